@@ -6,6 +6,7 @@ import importlib
 
 PLAN_MODULES = [
     "snipflow.plans.rules_q",
+    "snipflow.plans.trace_q",
 ]
 
 

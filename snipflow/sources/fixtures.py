@@ -85,3 +85,38 @@ def x4_sql() -> str:
 
 
 assert len(x4_feature_exprs("div")) == len(FEATURE_NAMES)
+
+
+# ---------------------------------------------------------------- X1 -------
+# Trace steps from `events`: run = user, order (ts, event_id); click -> call,
+# purchase -> return, view/signup -> line, error -> exception. A line step
+# prints its event type.
+X1_CAP = 50
+X1_TIME_LIMIT_S = 29.5 * 86400.0
+
+_X1_EVENT = ("CASE event_type WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'return' "
+             "WHEN 'error' THEN 'exception' ELSE 'line' END")
+
+
+def x1_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.selectExpr(
+        "user_id AS run_id", "event_id AS seq", f"{_X1_EVENT} AS event",
+        "'main' AS func_name", "CAST(event_id % 20 + 1 AS INT) AS line_number",
+        "CASE WHEN event_type IN ('view', 'signup') THEN event_type || '\\n' END AS output",
+        "ts",
+    )
+
+
+def x1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per user; its code text only needs to be non-blank here."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select("user_id").distinct().selectExpr(
+        "user_id AS run_id", "'run_' || CAST(user_id AS STRING) AS code")
+
+
+def x1_steps_sql() -> str:
+    return (f"SELECT user_id AS run_id, event_id AS seq, {_X1_EVENT} AS event, "
+            "'main' AS func_name, CAST(event_id % 20 + 1 AS INT) AS line_number, "
+            "CASE WHEN event_type IN ('view', 'signup') THEN event_type || chr(10) END AS output, "
+            "ts FROM events")
