@@ -7,6 +7,7 @@ import importlib
 PLAN_MODULES = [
     "snipflow.plans.rules_q",
     "snipflow.plans.trace_q",
+    "snipflow.plans.dsops_q",
 ]
 
 

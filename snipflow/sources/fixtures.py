@@ -120,3 +120,73 @@ def x1_steps_sql() -> str:
             "'main' AS func_name, CAST(event_id % 20 + 1 AS INT) AS line_number, "
             "CASE WHEN event_type IN ('view', 'signup') THEN event_type || chr(10) END AS output, "
             "ts FROM events")
+
+
+# ---------------------------------------------------------------- X2 -------
+# Operation lines from `events`: one step per event; the run's program is the
+# twelve lines below and each step executes line event_id % 12 + 1. Locals are
+# an ordered pair: a collection named by (event_id // 12) % 6 holding
+# k .. k + k%26 - 1 (k = props.k), then a scalar `node` or `v` = 3k.
+X2_LINES = [
+    "        node = queue.popleft()",
+    "        first = q.pop(0)",
+    "        top = stack.pop()",
+    "        result.append(stack.pop())",
+    "        queue.append(42)",
+    "        q.append('x')",
+    "        frontier.append(node)",
+    "        stack.append(1.5)",
+    "        stk.push(v)",
+    "        queued.append(1)",
+    "    ",
+    "        total = a + b",
+]
+X2_NAMES = ["queue", "stack", "result", "my_arr", "s", "other"]
+X2_PROGRAM = "\n".join(X2_LINES) + "\n"
+
+
+def _x2_name_expr(div: str) -> str:
+    arr = ", ".join(f"'{n}'" for n in X2_NAMES)
+    return f"[{arr}][CAST((event_id {div} 12) % 6 AS INT) + 1]"
+
+
+def x2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("user_id").alias("run_id")).distinct().withColumn(
+        "code", F.lit(X2_PROGRAM))
+
+
+def x2_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    names = F.array(*[F.lit(n) for n in X2_NAMES])
+    name = F.element_at(names, F.expr("CAST((event_id div 12) % 6 AS INT) + 1"))
+    n_items = k % 26
+    items = F.when(n_items > 0, F.transform(F.sequence(k, k + n_items - 1),
+                                            lambda x: x.cast("string"))) \
+        .otherwise(F.array().cast("array<string>"))
+    coll = F.struct(name.alias("name"),
+                    F.when(name == "other", "tuple").otherwise("list").alias("kind"),
+                    items.alias("items"),
+                    F.lit(None).cast("string").alias("repr"))
+    scalar = F.struct(F.when(F.col("event_id") % 2 == 0, "node").otherwise("v").alias("name"),
+                      F.lit("int").alias("kind"),
+                      F.lit(None).cast("array<string>").alias("items"),
+                      (k * 3).cast("string").alias("repr"))
+    return ev.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"),
+        F.lit("line").alias("event"), F.lit("main").alias("func_name"),
+        (F.col("event_id") % 12 + 1).cast("int").alias("line_number"),
+        F.array(coll, scalar).alias("locals"),
+        F.lit(None).cast("string").alias("output"), "ts")
+
+
+def x2_steps_sql() -> str:
+    """DuckDB: the same steps, with locals flattened into columns."""
+    return f"""SELECT user_id AS run_id, event_id AS seq, CAST(event_id % 12 + 1 AS INT) AS line_number,
+  {_x2_name_expr('//')} AS coll_name,
+  CASE WHEN {_x2_name_expr('//')} = 'other' THEN 'tuple' ELSE 'list' END AS coll_kind,
+  list_transform(range(k, k + k % 26), lambda x: CAST(x AS VARCHAR)) AS items,
+  CASE WHEN event_id % 2 = 0 THEN 'node' ELSE 'v' END AS scalar_name,
+  CAST(k * 3 AS VARCHAR) AS scalar_repr
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) e"""
