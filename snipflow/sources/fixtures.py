@@ -190,3 +190,37 @@ def x2_steps_sql() -> str:
   CASE WHEN event_id % 2 = 0 THEN 'node' ELSE 'v' END AS scalar_name,
   CAST(k * 3 AS VARCHAR) AS scalar_repr
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) e"""
+
+
+# ---------------------------------------------------------------- X5 -------
+# Predictions from `documents`: truth y, prediction pred, three-class
+# probabilities from integer weights, folds by doc_id % 3.
+_X5 = {
+    "y": "CASE WHEN doc_id % 17 = 0 THEN 'xx' ELSE lang END",
+    "pred": ("CASE WHEN doc_id % 7 = 0 THEN 'en' WHEN doc_id % 11 = 0 THEN 'de' "
+             "WHEN doc_id % 13 = 0 THEN 'it' ELSE lang END"),
+    "w1": "1 + (doc_id * 37) % 100",
+    "w2": "1 + (doc_id * 53) % 100",
+    "w3": "1 + (doc_id * 71) % 100",
+    "fold": "CAST(doc_id % 3 AS INT)",
+}
+
+
+def x5_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    base = d.selectExpr("doc_id", *[f"{e} AS {k}" for k, e in _X5.items()])
+    s = F.col("w1") + F.col("w2") + F.col("w3")
+    return base.select("doc_id", "y", "pred", "fold",
+                       F.array(*[(F.col(w) / s).cast("double") for w in ("w1", "w2", "w3")])
+                       .alias("probability"))
+
+
+def x5_sql() -> str:
+    cols = ", ".join(f"{e} AS {k}" for k, e in _X5.items())
+    return (f"SELECT doc_id, y, pred, fold, w1 / (w1 + w2 + w3) AS p1, w2 / (w1 + w2 + w3) AS p2, "
+            f"w3 / (w1 + w2 + w3) AS p3 FROM (SELECT doc_id, {cols} FROM documents) d")
+
+
+# X4 split key: a multiplicative hash of b spread over [0, 2^31 - 1).
+X4_SPLIT_KEY = "((b % 2147483647) * 48271) % 2147483647"
+X4_TIEBREAK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
