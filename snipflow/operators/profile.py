@@ -50,6 +50,6 @@ def naming_sensitivity(df: DataFrame, template: str = "template_key") -> DataFra
     # Unpivot then dedupe: one narrow row per (template, feature, value), so
     # 39 distinct counts cost two small aggregations instead of a 39-way Expand.
     long = df.select(template, *FEATURE_NAMES).unpivot(template, FEATURE_NAMES, "feature", "value")
-    distinct_vals = long.groupBy(template, "feature", "value").agg()
+    distinct_vals = long.select(template, "feature", "value").distinct()
     return (distinct_vals.groupBy(template, "feature").agg(F.count(F.lit(1)).alias("n_values"))
             .where(F.col("n_values") > 1))
