@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from snipflow.schemas import FEATURE_NAMES
+from snipflow.session import materialize
 
 # --- fixed values: names the features test for -----------------------------
 LOOP_KINDS = ["For", "While"]
@@ -58,7 +59,7 @@ class Tree:
     """Shared relations over one node table."""
 
     def __init__(self, nodes: DataFrame):
-        n = nodes.where(F.col("kind") != "ParseError")
+        n = materialize(nodes.where(F.col("kind") != "ParseError"))
         self.n = n
         self.samples = n.where(F.col("node_id") == 0).select("sample_id")
         self.kids = n.select("sample_id", "parent_id", "field", "pos",
@@ -83,7 +84,7 @@ class Tree:
         a = slim.select("sample_id", F.col("node_id").alias("anc_id"), F.col("kind").alias("anc_kind"),
                         F.col("name").alias("anc_name"), F.col("test_kind").alias("anc_test_kind"),
                         F.col("target_name").alias("anc_target"))
-        self.anc = ex.join(a, ["sample_id", "anc_id"])
+        self.anc = materialize(ex.join(a, ["sample_id", "anc_id"]))
 
     def child(self, field: str, prefix: str, pos: int | None = None) -> DataFrame:
         """Children in ``field`` keyed by their parent as ``node_id``."""

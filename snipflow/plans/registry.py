@@ -9,6 +9,7 @@ PLAN_MODULES = [
     "snipflow.plans.trace_q",
     "snipflow.plans.dsops_q",
     "snipflow.plans.eval_q",
+    "snipflow.plans.corpus_q",
 ]
 
 

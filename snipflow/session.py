@@ -60,3 +60,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d.replace("file:", "") if d.startswith("file:") and os.name == "posix" else d
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` as a reliable checkpoint in the shared folder.
+
+    Used where a plan is read many times (node table, ancestor relation) so
+    the Python parse runs once and a lost executor re-reads files instead of
+    recomputing the lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

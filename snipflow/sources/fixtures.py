@@ -224,3 +224,10 @@ def x5_sql() -> str:
 # X4 split key: a multiplicative hash of b spread over [0, 2^31 - 1).
 X4_SPLIT_KEY = "((b % 2147483647) * 48271) % 2147483647"
 X4_TIEBREAK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+# ---------------------------------------------------------------- X6 -------
+def x6_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rendered snippet per document id (template and variant from doc_id)."""
+    from snipflow.operators.corpus import corpus_from_ids
+    return corpus_from_ids(table(spark, sf_dir, "documents").select("doc_id"))
