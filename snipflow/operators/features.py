@@ -140,13 +140,8 @@ def compute_features(nodes: DataFrame) -> DataFrame:
         _flag(F.col("callee").isin(*SORT_CALLS)).alias("uses_sorted_or_sort_call"),
     )
 
-    # nearest enclosing FunctionDef of every candidate node
-    nearest_fn = (anc.where(F.col("anc_kind") == "FunctionDef")
-                  .groupBy("sample_id", "node_id")
-                  .agg(F.max_by("anc_name", "idx").alias("fn_name")))
-    rec_calls = (calls.join(nearest_fn, K).where(F.col("callee") == F.col("fn_name"))
-                 .groupBy("sample_id", "fn_name").agg(F.count(F.lit(1)).alias("c")))
-    rec = rec_calls.groupBy("sample_id").agg(F.max("c").alias("recursion_branch_count"))
+    nearest_fn = nearest_function(anc)
+    rec = recursion(calls, nearest_fn)
 
     # ---- assignments --------------------------------------------------------
     tgt = t.child("targets", "t")
@@ -183,23 +178,8 @@ def compute_features(nodes: DataFrame) -> DataFrame:
                    .groupBy("sample_id").agg(F.lit(1).alias("_cache_default")))
 
     # ---- loops, ifs, returns -------------------------------------------------
+    loop_depth, has_loop, if_sig, ret_sig = loop_signals(t)
     in_loop = F.col("anc_kind").isin(*LOOP_KINDS)
-    loop_depth = (anc.where(F.col("kind").isin(*LOOP_KINDS)).groupBy("sample_id", "node_id")
-                  .agg(F.count(F.when(in_loop, 1)).alias("d"))
-                  .groupBy("sample_id").agg((F.max("d") + 1).alias("_max_loop_anc")))
-    # loops with no loop ancestor produce no ancestor row with a loop: use 1
-    has_loop = t.of_kind(*LOOP_KINDS).groupBy("sample_id").agg(F.lit(1).alias("_has_loop"))
-
-    ifs = (anc.where(F.col("kind") == "If").groupBy("sample_id", "node_id")
-           .agg(F.min(F.when(in_loop, F.col("idx"))).alias("first_loop"),
-                F.collect_list(F.when(F.col("anc_kind") == "If", F.col("idx"))).alias("if_idx"))
-           .where(F.col("first_loop").isNotNull())
-           .select("sample_id", (F.size(F.filter("if_idx", lambda i: i > F.col("first_loop"))) + 1)
-                   .alias("nest")))
-    if_sig = ifs.groupBy("sample_id").agg(F.max("nest").alias("max_if_nesting_in_loop"))
-
-    ret_sig = (anc.where((F.col("kind") == "Return") & in_loop)
-               .groupBy("sample_id").agg(F.lit(1).alias("has_early_return_in_loop")))
 
     fdefs = t.of_kind("FunctionDef").select(*K, "n_args")
     nested_fd = anc.where((F.col("kind") == "FunctionDef") & (F.col("anc_kind") == "FunctionDef")) \
@@ -399,6 +379,70 @@ def compute_features(nodes: DataFrame) -> DataFrame:
                                    for k, e in exprs.items()])
 
 
+def nearest_function(anc: DataFrame) -> DataFrame:
+    """Name of the nearest enclosing FunctionDef of every candidate node."""
+    return (anc.where(F.col("anc_kind") == "FunctionDef").groupBy("sample_id", "node_id")
+            .agg(F.max_by("anc_name", "idx").alias("fn_name")))
+
+
+def recursion(calls: DataFrame, nearest_fn: DataFrame) -> DataFrame:
+    """calls whose callee is the enclosing function's name, pooled per
+    function name; the most per name is the branch count."""
+    rec_calls = (calls.join(nearest_fn, ["sample_id", "node_id"])
+                 .where(F.col("callee") == F.col("fn_name"))
+                 .groupBy("sample_id", "fn_name").agg(F.count(F.lit(1)).alias("c")))
+    return rec_calls.groupBy("sample_id").agg(F.max("c").alias("recursion_branch_count"))
+
+
+def loop_signals(t: "Tree"):
+    """F1 (via loop ancestors), F18 and F19 from the ancestor relation."""
+    anc = t.anc
+    in_loop = F.col("anc_kind").isin(*LOOP_KINDS)
+    loop_depth = (anc.where(F.col("kind").isin(*LOOP_KINDS)).groupBy("sample_id", "node_id")
+                  .agg(F.count(F.when(in_loop, 1)).alias("d"))
+                  .groupBy("sample_id").agg((F.max("d") + 1).alias("_max_loop_anc")))
+    has_loop = t.of_kind(*LOOP_KINDS).groupBy("sample_id").agg(F.lit(1).alias("_has_loop"))
+    # an If counts the Ifs on its path that lie inside some loop, itself included
+    ifs = (anc.where(F.col("kind") == "If").groupBy("sample_id", "node_id")
+           .agg(F.min(F.when(in_loop, F.col("idx"))).alias("first_loop"),
+                F.collect_list(F.when(F.col("anc_kind") == "If", F.col("idx"))).alias("if_idx"))
+           .where(F.col("first_loop").isNotNull())
+           .select("sample_id", (F.size(F.filter("if_idx", lambda i: i > F.col("first_loop"))) + 1)
+                   .alias("nest")))
+    if_sig = ifs.groupBy("sample_id").agg(F.max("nest").alias("max_if_nesting_in_loop"))
+    ret_sig = (anc.where((F.col("kind") == "Return") & in_loop)
+               .groupBy("sample_id").agg(F.lit(1).alias("has_early_return_in_loop")))
+    return loop_depth, has_loop, if_sig, ret_sig
+
+
+SUBTREE_FEATURES = ["max_loop_depth", "num_loops", "has_recursion", "recursion_branch_count",
+                    "num_function_defs", "max_if_nesting_in_loop", "has_early_return_in_loop"]
+
+
+def subtree_features(nodes: DataFrame, callee: str = "name") -> DataFrame:
+    """F1-F4, F17-F19 on any preorder tree with paths, where a Call node names
+    its callee in column ``callee`` (synthetic trees)."""
+    t = Tree(nodes)
+    loop_depth, has_loop, if_sig, ret_sig = loop_signals(t)
+    calls = t.of_kind("Call").select("sample_id", "node_id", F.col(callee).alias("callee"))
+    rec = recursion(calls, nearest_function(t.anc))
+    counts = t.n.groupBy("sample_id").agg(
+        F.count(F.when(F.col("kind").isin(*LOOP_KINDS), 1)).alias("num_loops"),
+        F.count(F.when(F.col("kind") == "FunctionDef", 1)).alias("num_function_defs"))
+    j = _join_all(t.samples, [counts, loop_depth, has_loop, if_sig, ret_sig, rec])
+    br = F.coalesce(F.col("recursion_branch_count"), F.lit(0))
+    return j.select(
+        "sample_id",
+        F.when(F.col("_has_loop").isNull(), 0).otherwise(F.coalesce(F.col("_max_loop_anc"), F.lit(1)))
+        .cast("int").alias("max_loop_depth"),
+        F.col("num_loops").cast("int").alias("num_loops"),
+        (br > 0).cast("int").alias("has_recursion"),
+        br.cast("int").alias("recursion_branch_count"),
+        F.col("num_function_defs").cast("int").alias("num_function_defs"),
+        F.coalesce(F.col("max_if_nesting_in_loop"), F.lit(0)).cast("int").alias("max_if_nesting_in_loop"),
+        F.coalesce(F.col("has_early_return_in_loop"), F.lit(0)).cast("int").alias("has_early_return_in_loop"))
+
+
 def _backtracking(t: Tree, calls: DataFrame, nearest_fn: DataFrame) -> DataFrame:
     """F29 over expression-statement calls in For bodies (and If/loop bodies
     nested in them): append/add on a name, then a call to the current
@@ -478,3 +522,27 @@ def _linked_list(t: Tree, calls, assigns, a_val, tgt, anc) -> DataFrame:
     return j.select("sample_id", ins.cast("int").alias("has_ll_insert_pattern"),
                     dele.cast("int").alias("has_ll_delete_pattern"),
                     revf.cast("int").alias("has_ll_reverse_pattern"))
+
+
+def build_features(corpus: DataFrame, code: str = "code") -> tuple[DataFrame, DataFrame]:
+    """P1 + P3: corpus rows with their 39 features, and rejects (rows whose
+    snippet does not parse, with the message). Duplicate snippets parse once
+    but keep their own rows; a hot duplicate is a skewed join key that AQE
+    splits."""
+    from snipflow.operators.parse import parse_nodes, sample_ids
+    nodes = materialize(parse_nodes(corpus, code))
+    feats = compute_features(nodes)
+    rows = sample_ids(corpus, code)
+    good = rows.join(feats, "sample_id")
+    rejects = rows.join(nodes.where(F.col("kind") == "ParseError")
+                        .select("sample_id", "parse_error"), "sample_id")
+    return good, rejects
+
+
+def failure_report(rejects: DataFrame, order_col: str, shown: int = 20) -> DataFrame:
+    """The first ``shown`` failures by ``order_col`` plus the total and the
+    number not shown ("... and N more"). A top-k, not a sort of all failures."""
+    first = rejects.orderBy(order_col).limit(shown).withColumn("_k", F.lit(1))
+    total = rejects.agg(F.count(F.lit(1)).alias("n_failed")).withColumn("_k", F.lit(1))
+    return (first.join(F.broadcast(total), "_k").drop("_k")  # total is one row
+            .withColumn("n_more", F.greatest(F.col("n_failed") - shown, F.lit(0))))

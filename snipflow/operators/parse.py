@@ -42,6 +42,8 @@ NODE_SCHEMA = T.StructType([
     T.StructField("path", T.ArrayType(T.IntegerType()), True),
     T.StructField("path_fields", T.ArrayType(T.StringType()), True),
     T.StructField("parse_error", T.StringType(), True),
+    T.StructField("error_type", T.StringType(), True),
+    T.StructField("error_msg", T.StringType(), True),
 ])
 
 PARSER_VERSION = f"python-ast-{sys.version_info.major}.{sys.version_info.minor}"
@@ -114,8 +116,10 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError, TypeError) as exc:
+        msg = getattr(exc, "msg", None) if isinstance(exc, SyntaxError) else str(exc)
+        line = getattr(exc, "lineno", None) if isinstance(exc, SyntaxError) else None
         return [(sample_id, -1, None, -1, 0, None, None, "ParseError", None, None, None, None,
-                 None, None, None, None, None, f"{type(exc).__name__}: {exc}")]
+                 None, None, line, None, None, str(exc), type(exc).__name__, msg)]
     rows: list[list] = []
     # stack items: (node, parent_id, field, pos, depth, path, path_fields) or ("end", id)
     stack: list = [(tree, None, None, None, 0, [], [])]
@@ -130,7 +134,7 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
         rows.append([sample_id, nid, parent, nid, depth, field, pos, type(node).__name__,
                      _op_of(node), _name_of(node), _const_num(node), n_args, n_elts,
                      getattr(node, "level", None) if isinstance(node, ast.ImportFrom) else None,
-                     getattr(node, "lineno", None), path, pfields, None])
+                     getattr(node, "lineno", None), path, pfields, None, None, None])
         stack.append(("end", nid))
         children = []
         for fname, value in ast.iter_fields(node):
@@ -187,3 +191,11 @@ def parse_nodes(corpus: DataFrame, code: str = "code") -> DataFrame:
                               F.coalesce(F.col(code), F.lit("")).alias("code"))
                 .dropDuplicates(["sample_id"]))
     return distinct.mapInArrow(_parse_batches, NODE_SCHEMA)
+
+
+def conform(df: DataFrame) -> DataFrame:
+    """Give a hand-built node table every column of NODE_SCHEMA (missing -> null)."""
+    cols = []
+    for f in NODE_SCHEMA.fields:
+        cols.append(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name))
+    return df.select(*cols)

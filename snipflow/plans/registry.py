@@ -10,6 +10,8 @@ PLAN_MODULES = [
     "snipflow.plans.dsops_q",
     "snipflow.plans.eval_q",
     "snipflow.plans.corpus_q",
+    "snipflow.plans.features_q",
+    "snipflow.plans.policy_q",
 ]
 
 

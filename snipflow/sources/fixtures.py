@@ -231,3 +231,62 @@ def x6_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rendered snippet per document id (template and variant from doc_id)."""
     from snipflow.operators.corpus import corpus_from_ids
     return corpus_from_ids(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+# ---------------------------------------------------------------- X3 -------
+# Synthetic preorder trees from `lineitem`: tree = l_orderkey mod n_trees,
+# k = rank in the tree; dyadic numbering gives parent k & (k-1), subtree end
+# min(n-1, k + lowbit(k) - 1), depth popcount(k). Calls name their callee.
+X3_KINDS = ["For", "While", "If", "Return", "Call", "Name", "FunctionDef", "Attribute",
+            "Import", "ImportFrom", "Assign", "Expr", "ClassDef"]
+X3_NAMES = ["f", "g", "h", "open", "eval", "os", "sys.path", "collections", "heapq.heappush",
+            "__class__", "x", "helper", "json"]
+X3_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
+
+
+def x3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+    li = table(spark, sf_dir, "lineitem")
+    # one number: the tree count scales with the table
+    n_trees = max(li.count() // 100, 1)
+    kinds = F.array(*[F.lit(k) for k in X3_KINDS])
+    names = F.array(*[F.lit(n) for n in X3_NAMES])
+    t = li.select(*X3_ORDER, (F.col("l_orderkey") % n_trees).alias("sample_id"))
+    w = Window.partitionBy("sample_id").orderBy(*X3_ORDER)
+    t = t.withColumn("k", (F.row_number().over(w) - 1).cast("int")) \
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sample_id")).cast("int"))
+    k = F.col("k")
+    low = k.bitwiseAND(-k)
+    # ancestors of k: k with its lowest 1, 2, ... set bits cleared
+    path = F.expr("array_sort(array_distinct(filter(transform(sequence(1, 31), "
+                  "b -> shiftleft(shiftright(k, b), b)), a -> a < k)))")
+    from snipflow.operators.parse import conform
+    return conform(t.select(
+        "sample_id", k.alias("node_id"),
+        F.when(k > 0, k.bitwiseAND(k - 1)).cast("int").alias("parent_id"),
+        F.when(k == 0, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, k + low - 1)).cast("int")
+        .alias("end_id"),
+        F.bit_count(k).cast("int").alias("depth"),
+        F.when(k > 0, F.lit("body")).alias("field"),
+        F.when(k == 0, F.lit("Module"))
+        .otherwise(F.element_at(kinds, (F.col("l_partkey") % len(X3_KINDS)).cast("int") + 1)).alias("kind"),
+        F.when(k > 0, F.element_at(names, (F.col("l_suppkey") % len(X3_NAMES)).cast("int") + 1))
+        .alias("name"),
+        path.alias("path"),
+        F.array_repeat(F.lit("body"), F.size(path)).alias("path_fields"),
+    ))
+
+
+def x3_sql(n_trees_expr: str = "greatest(count(*) OVER () // 100, 1)") -> str:
+    kinds = ", ".join(f"'{k}'" for k in X3_KINDS)
+    names = ", ".join(f"'{n}'" for n in X3_NAMES)
+    order = ", ".join(X3_ORDER)
+    return f"""SELECT sample_id, k AS node_id,
+  CASE WHEN k > 0 THEN k & (k - 1) END AS parent_id,
+  CASE WHEN k = 0 THEN n - 1 ELSE least(n - 1, k + (k & -k) - 1) END AS end_id,
+  bit_count(k) AS depth,
+  CASE WHEN k = 0 THEN 'Module' ELSE [{kinds}][CAST(l_partkey % {len(X3_KINDS)} AS INT) + 1] END AS kind,
+  CASE WHEN k > 0 THEN [{names}][CAST(l_suppkey % {len(X3_NAMES)} AS INT) + 1] END AS name
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY {order}) - 1 AS INT) AS k,
+             CAST(count(*) OVER (PARTITION BY sample_id) AS INT) AS n
+      FROM (SELECT *, l_orderkey % {n_trees_expr} AS sample_id FROM lineitem) a) b"""
