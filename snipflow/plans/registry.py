@@ -12,6 +12,7 @@ PLAN_MODULES = [
     "snipflow.plans.corpus_q",
     "snipflow.plans.features_q",
     "snipflow.plans.policy_q",
+    "snipflow.plans.model_q",
 ]
 
 
