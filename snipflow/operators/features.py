@@ -59,7 +59,8 @@ class Tree:
     """Shared relations over one node table."""
 
     def __init__(self, nodes: DataFrame):
-        n = materialize(nodes.where(F.col("kind") != "ParseError"))
+        # callers pass a materialised node table (see build_features)
+        n = nodes.where(F.col("kind") != "ParseError")
         self.n = n
         self.samples = n.where(F.col("node_id") == 0).select("sample_id")
         self.kids = n.select("sample_id", "parent_id", "field", "pos",
@@ -84,7 +85,7 @@ class Tree:
         a = slim.select("sample_id", F.col("node_id").alias("anc_id"), F.col("kind").alias("anc_kind"),
                         F.col("name").alias("anc_name"), F.col("test_kind").alias("anc_test_kind"),
                         F.col("target_name").alias("anc_target"))
-        self.anc = materialize(ex.join(a, ["sample_id", "anc_id"]))
+        self.anc = materialize(ex.join(a, ["sample_id", "anc_id"]), "ancestors")
 
     def child(self, field: str, prefix: str, pos: int | None = None) -> DataFrame:
         """Children in ``field`` keyed by their parent as ``node_id``."""
@@ -107,7 +108,11 @@ def _join_all(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 
 def compute_features(nodes: DataFrame) -> DataFrame:
-    """One row per parsed sample: ``sample_id`` + the 39 features (doubles)."""
+    """One row per parsed sample: ``sample_id`` + the 39 features (doubles).
+
+    ``nodes`` should be materialised (build_features does it): every feature
+    reads it, and an unmaterialised parse would run once per reader.
+    """
     t = Tree(nodes)
     n, anc, K = t.n, t.anc, ["sample_id", "node_id"]
 
@@ -422,7 +427,7 @@ SUBTREE_FEATURES = ["max_loop_depth", "num_loops", "has_recursion", "recursion_b
 def subtree_features(nodes: DataFrame, callee: str = "name") -> DataFrame:
     """F1-F4, F17-F19 on any preorder tree with paths, where a Call node names
     its callee in column ``callee`` (synthetic trees)."""
-    t = Tree(nodes)
+    t = Tree(materialize(nodes, "nodes"))
     loop_depth, has_loop, if_sig, ret_sig = loop_signals(t)
     calls = t.of_kind("Call").select("sample_id", "node_id", F.col(callee).alias("callee"))
     rec = recursion(calls, nearest_function(t.anc))
@@ -530,7 +535,7 @@ def build_features(corpus: DataFrame, code: str = "code") -> tuple[DataFrame, Da
     but keep their own rows; a hot duplicate is a skewed join key that AQE
     splits."""
     from snipflow.operators.parse import parse_nodes, sample_ids
-    nodes = materialize(parse_nodes(corpus, code))
+    nodes = materialize(parse_nodes(corpus, code), "nodes")
     feats = compute_features(nodes)
     rows = sample_ids(corpus, code)
     good = rows.join(feats, "sample_id")

@@ -62,12 +62,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d.replace("file:", "") if d.startswith("file:") and os.name == "posix" else d
 
 
-def materialize(df):
-    """Cut lineage: write ``df`` as a reliable checkpoint in the shared folder.
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as Parquet into the shared checkpoint folder
+    and read it back.
 
-    Used where a plan is read many times (node table, ancestor relation) so
-    the Python parse runs once and a lost executor re-reads files instead of
-    recomputing the lineage.
+    Used where a plan is read many times (node table, ancestor relation): the
+    Python parse runs once, later stages get column pruning and predicate
+    pushdown on the files, and a lost executor re-reads files instead of
+    recomputing the lineage. (RDD ``checkpoint()`` would run the lineage twice
+    unless cached, and yields rows, not columns.)
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
