@@ -66,6 +66,29 @@ def model_out_of_scope(spark, sf_dir):
                     "confidence")
 
 
+def score_corpus(spark, sf_dir):
+    """H1 + H2 over every X6 rendering; every 13th is emptied and every 17th
+    cut in half, so empty and unparsable requests become status rows."""
+    from snipflow.operators.scoring import analyse
+    d = _data(spark, sf_dir)
+    m = model.fit(d.where(F.col("split") == "train"))
+    c = fx.x6_corpus(spark, sf_dir)
+    code = (F.when(F.col("doc_id") % 13 == 0, F.lit(""))
+            .when(F.col("doc_id") % 17 == 0, F.expr("substring(code, 1, length(code) div 2)"))
+            .otherwise(F.col("code")))
+    subs = c.select(F.col("doc_id").cast("string").alias("sub_id"), code.alias("code"))
+    r = analyse(subs, m)
+    return r.select("sub_id", "status", "detail", "algorithm", "confidence",
+                    F.col("complexity.time_complexity").alias("time_complexity"),
+                    F.col("complexity.space_complexity").alias("space_complexity"))
+
+
+def template_leakage(spark, sf_dir):
+    """Templates whose renderings fall on both sides of the split."""
+    from snipflow.operators.corpus import template_leakage as leak
+    return leak(_data(spark, sf_dir))
+
+
 def oracle():
     return {}
 
@@ -78,4 +101,6 @@ def queries():
         "model_importances": model_importances,
         "model_cv": model_cv,
         "model_out_of_scope": model_out_of_scope,
+        "score_corpus": score_corpus,
+        "template_leakage": template_leakage,
     }
