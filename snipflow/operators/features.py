@@ -1,24 +1,31 @@
 """The structural features as relational queries over the node table.
 
-Building blocks, all equi-joins on ``(sample_id, node_id)`` — no range join,
-no per-snippet window, so a giant snippet spreads over many tasks:
-
-* ``kids``  — a node's children by parent field (``value``, ``test``, ...).
-* ``anc``   — for candidate nodes (loops, ifs, calls, assignments, ...), one
-  row per ancestor: the ancestor's kind/name and the parent field the path
-  takes below it (``posexplode`` of the stored path). Rows = candidates x
-  depth, and the Python parser bounds nesting depth.
-* per-sample aggregates, joined on ``sample_id``.
-
-"Inside X" means "X is an ancestor"; "in the body of X" means the path goes
-through X's ``body`` field. Flags are 0/1 doubles; a sample with no match
-gets 0.
+Three building blocks, each one pass:
+
+1. **first-child chain** — in preorder a node's first child is ``node_id + 1``
+   (the value of an Attribute/Subscript, the func of a Call, the left of a
+   BinOp/Compare, the target of a For/AugAssign, ...). One aggregation keyed
+   by the parent puts the first child (``fc``) and its first child (``fc2``)
+   on every node.
+2. **child slots** — one aggregation of all children by parent gives each
+   node its ``func``/``value``/``test``/``targets[0]``/``left``/``right``/
+   ``slice`` children (with their own ``fc``/``fc2``) and a few child
+   summaries; one join puts them on the node row.
+3. **ancestor facts** — the parser stores each node's ancestor ids, the field
+   taken below each ancestor, their kinds and definition names. "Inside a
+   loop", "in the body of a For", "nearest FunctionDef" are array expressions
+   on the node's own row: no join, no window, no shuffle.
+
+Almost every feature is then a conditional aggregate in **one** groupBy per
+snippet; six shapes that relate two distant nodes (recursion per function
+name, loop-body name sets, monotonic stack, same-direction pointers, matrix
+transpose, backtracking order) add small side queries over the few candidate
+rows. Joins are equi-joins on (sample_id, node id), so a giant snippet
+spreads over many tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,8 +50,54 @@ ADD_METHODS = ["append", "add"]
 REMOVE_METHODS = ["pop", "remove"]
 # ---------------------------------------------------------------------------
 
-_CANDIDATES = ["For", "While", "If", "Return", "Call", "Assign", "AugAssign", "Subscript",
-               "Expr", "FunctionDef"]
+K = ["sample_id", "node_id"]
+_LOOPS_SQL = "('For', 'While')"
+
+
+# ---- ancestor facts: array expressions over the node's own path --------------
+def anc_loop_count() -> Column:
+    return F.expr(f"size(filter(path_kinds, k -> k IN {_LOOPS_SQL}))")
+
+
+def anc_in_loop_body() -> Column:
+    return F.expr(f"exists(zip_with(path_kinds, path_fields, (k, f) -> k IN {_LOOPS_SQL} AND f = 'body'),"
+                  " x -> x)")
+
+
+def anc_first_loop_idx() -> Column:
+    return F.expr(f"array_min(transform(path_kinds, (k, i) -> IF(k IN {_LOOPS_SQL}, i, NULL)))")
+
+
+def _outer_body_loop_idx() -> Column:
+    return F.expr(f"array_min(transform(path_kinds, (k, i) -> "
+                  f"IF(k IN {_LOOPS_SQL} AND get(path_fields, i) = 'body', i, NULL)))")
+
+
+def anc_outer_body_loop() -> Column:
+    """Id of the outermost loop whose body contains the node."""
+    return F.get("path", _outer_body_loop_idx())
+
+
+def anc_nearest_function() -> Column:
+    return F.expr("try_element_at(filter(zip_with(path_kinds, path_names, "
+                  "(k, nm) -> IF(k = 'FunctionDef', nm, NULL)), x -> x IS NOT NULL), -1)")
+
+
+def anc_ids(kind: str, field: str) -> Column:
+    """Ids of ancestors of ``kind`` whose ``field`` holds the node."""
+    return F.expr(f"filter(transform(path_kinds, (k, i) -> IF(k = '{kind}' AND "
+                  f"get(path_fields, i) = '{field}', get(path, i), NULL)), x -> x IS NOT NULL)")
+
+
+def _if_nesting() -> Column:
+    """Ifs on the path below the first loop, plus the If itself."""
+    return F.expr("size(filter(transform(path_kinds, (k, i) -> k = 'If' AND i > "
+                  f"array_min(transform(path_kinds, (k2, j) -> IF(k2 IN {_LOOPS_SQL}, j, NULL)))), "
+                  "x -> x)) + 1")
+
+
+def _parent_kind() -> Column:
+    return F.try_element_at("path_kinds", F.lit(-1))
 
 
 def _words(c: Column, words: list[str]) -> Column:
@@ -55,480 +108,351 @@ def _flag(c: Column) -> Column:
     return F.coalesce(F.max(c.cast("int")), F.lit(0))
 
 
-class Tree:
-    """Shared relations over one node table."""
-
-    def __init__(self, nodes: DataFrame):
-        # callers pass a materialised node table (see build_features)
-        n = nodes.where(F.col("kind") != "ParseError")
-        self.n = n
-        self.samples = n.where(F.col("node_id") == 0).select("sample_id")
-        self.kids = n.select("sample_id", "parent_id", "field", "pos",
-                             F.col("node_id").alias("kid_id"), F.col("kind").alias("kid_kind"),
-                             F.col("name").alias("kid_name"), F.col("op").alias("kid_op"),
-                             F.col("const_num").alias("kid_const"),
-                             F.col("n_elts").alias("kid_n_elts"))
-        # per node: kind of its `test` child and the name of a plain-Name `target`
-        test = self.child("test", "test")
-        target = self.child("target", "target")
-        slim = (n.select("sample_id", "node_id", "kind", "name")
-                .join(test.select("sample_id", "node_id", "test_kind"), ["sample_id", "node_id"], "left")
-                .join(target.where(F.col("target_kind") == "Name")
-                      .select("sample_id", "node_id", F.col("target_name")),
-                      ["sample_id", "node_id"], "left"))
-        self.slim = slim
-        cand = n.where(F.col("kind").isin(*_CANDIDATES)).select(
-            "sample_id", "node_id", "kind", "path", "path_fields")
-        ex = cand.select("sample_id", "node_id", "kind", F.size("path").alias("plen"),
-                         F.posexplode("path").alias("idx", "anc_id"), "path_fields")
-        ex = ex.withColumn("anc_field", F.element_at("path_fields", F.col("idx") + 1)).drop("path_fields")
-        a = slim.select("sample_id", F.col("node_id").alias("anc_id"), F.col("kind").alias("anc_kind"),
-                        F.col("name").alias("anc_name"), F.col("test_kind").alias("anc_test_kind"),
-                        F.col("target_name").alias("anc_target"))
-        self.anc = materialize(ex.join(a, ["sample_id", "anc_id"]), "ancestors")
-
-    def child(self, field: str, prefix: str, pos: int | None = None) -> DataFrame:
-        """Children in ``field`` keyed by their parent as ``node_id``."""
-        k = self.kids.where(F.col("field") == field)
-        if pos is not None:
-            k = k.where(F.col("pos") == pos)
-        return k.select("sample_id", F.col("parent_id").alias("node_id"),
-                        F.col("kid_id").alias(f"{prefix}_id"), F.col("kid_kind").alias(f"{prefix}_kind"),
-                        F.col("kid_name").alias(f"{prefix}_name"), F.col("kid_op").alias(f"{prefix}_op"),
-                        F.col("kid_const").alias(f"{prefix}_const"),
-                        F.col("kid_n_elts").alias(f"{prefix}_n_elts"),
-                        F.col("pos").alias(f"{prefix}_pos"))
-
-    def of_kind(self, *kinds: str) -> DataFrame:
-        return self.n.where(F.col("kind").isin(*kinds))
+# ---- 1 + 2: first-child chain and child slots ---------------------------------
+def _first_children(n: DataFrame) -> DataFrame:
+    first = F.col("parent_id") == F.col("node_id") - 1
+    lvl1 = n.where(first).select(
+        "sample_id", (F.col("node_id") - 1).alias("p"), F.lit(1).alias("lvl"), "kind", "name", "op")
+    lvl2 = n.where(first & (F.get("path", F.size("path") - 2) == F.col("node_id") - 2)).select(
+        "sample_id", (F.col("node_id") - 2).alias("p"), F.lit(2).alias("lvl"), "kind", "name", "op")
+    f = lvl1.unionByName(lvl2).groupBy("sample_id", "p").agg(
+        F.max(F.when(F.col("lvl") == 1, F.struct("kind", "name", "op"))).alias("fc"),
+        F.max(F.when(F.col("lvl") == 2, F.struct("kind", "name"))).alias("fc2"))
+    return f.withColumnRenamed("p", "node_id")
+
+
+def _slot(cond: Column, *cols: str) -> Column:
+    return F.max(F.when(cond, F.struct(*cols)))
+
+
+def wide_nodes(nodes: DataFrame) -> DataFrame:
+    """Every node with its first-child chain and child slots."""
+    n = nodes.where(F.col("kind") != "ParseError")
+    n1 = n.join(_first_children(n), K, "left")
+    fld, kind = F.col("field"), F.col("kind")
+    opnd = fld.isin("left", "comparators")
+    slots = n1.where(F.col("parent_id").isNotNull()).groupBy("sample_id", "parent_id").agg(
+        _slot(fld == "func", "kind", "name", "fc", "fc2").alias("s_func"),
+        _slot(fld == "value", "node_id", "kind", "name", "op", "fc", "fc2").alias("s_value"),
+        _slot((fld == "targets") & (F.col("pos") == 0), "node_id", "kind", "name", "n_elts").alias("s_t0"),
+        _slot(fld == "left", "kind", "op").alias("s_left"),
+        _slot(fld == "right", "kind", "const_num").alias("s_right"),
+        _slot(fld == "slice", "kind", "name").alias("s_slice"),
+        F.count(F.when((fld == "elts") & (kind == "Subscript") & (F.col("fc.kind") == "Subscript"), 1))
+        .alias("c_subsub_elts"),
+        F.count(F.when(opnd & (kind == "Name"), 1)).alias("c_cmp_names"),
+        F.count(F.when(opnd & (kind == "Name") & ~F.lower("name").isin(*TWO_POINTER_NAMES), 1))
+        .alias("c_cmp_other"),
+        F.count(F.when(opnd & (kind == "BinOp"), 1)).alias("c_cmp_binop"),
+        F.collect_set(F.when((fld == "values") & (kind == "Compare") & (F.col("fc.kind") == "Name"),
+                             F.col("fc.name"))).alias("c_clause_names"),
+        F.collect_list(F.when((fld == "targets") & (kind == "Name"), F.col("name"))).alias("c_name_targets"),
+        F.collect_list(F.when((fld == "targets") & (kind == "Subscript") & (F.col("fc.kind") == "Name"),
+                              F.col("fc.name"))).alias("c_sub_target_bases"),
+        F.collect_list(F.when((fld == "defaults") & kind.isin("Dict", "List"), F.col("pos")))
+        .alias("c_cache_default_pos"),
+    ).withColumnRenamed("parent_id", "node_id")
+    return n1.join(slots, K, "left")
 
 
 def _join_all(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda acc, p: acc.join(p, "sample_id", "left"), parts, base)
+    out = base
+    for p in parts:
+        out = out.join(p, "sample_id", "left")
+    return out
 
 
 def compute_features(nodes: DataFrame) -> DataFrame:
     """One row per parsed sample: ``sample_id`` + the 39 features (doubles).
 
-    ``nodes`` should be materialised (build_features does it): every feature
-    reads it, and an unmaterialised parse would run once per reader.
+    ``nodes`` should be materialised (build_features does it); the wide table
+    is written once and read by the main aggregation and the side queries.
     """
-    t = Tree(nodes)
-    n, anc, K = t.n, t.anc, ["sample_id", "node_id"]
-
-    # ---- local signals: one aggregation over all nodes -------------------
+    w = materialize(wide_nodes(nodes), "wide_nodes")
     kind, name, op = F.col("kind"), F.col("name"), F.col("op")
-    local = n.groupBy("sample_id").agg(
+    parent_kind = _parent_kind()
+    is_call, is_assign = kind == "Call", kind == "Assign"
+    callee = F.when(F.col("s_func.kind").isin("Name", "Attribute"), F.col("s_func.name"))
+    single = is_assign & (F.col("n_elts") == 1)
+    in_top = (F.get("path_kinds", 1) == "FunctionDef") | ((kind == "FunctionDef") & (F.col("parent_id") == 0))
+    val = F.col("s_value")
+    name_targets = F.col("c_name_targets")
+    any_target = F.size(name_targets) > 0
+    top_level_def = (kind == "FunctionDef") & ~F.array_contains("path_kinds", "FunctionDef")
+
+    def targets_match(words):
+        return F.exists(name_targets, lambda t: _words(t, words))
+
+    zip_len = F.when(F.col("n_elts") <= F.col("n_args"), F.col("n_elts")).otherwise(
+        F.least(F.col("n_args"), F.col("n_elts") - F.col("n_args")))
+    cache_default = ((kind == "arguments") & (parent_kind == "FunctionDef")
+                     & F.exists("c_cache_default_pos", lambda p: p < zip_len))
+    chain_m = F.expr("array_max(transform(path_kinds, (k, i) -> "
+                     "IF(NOT (k = 'Subscript' AND get(path_fields, i) = 'value'), i, NULL)))")
+    while_test = (F.col("field") == "test") & (parent_kind == "While")
+    main = w.groupBy("sample_id").agg(
         F.count(F.when(kind.isin(*LOOP_KINDS), 1)).alias("num_loops"),
+        F.max(F.when(kind.isin(*LOOP_KINDS), anc_loop_count() + 1)).alias("max_loop_depth"),
         F.count(F.when(kind == "FunctionDef", 1)).alias("num_function_defs"),
+        F.max_by(F.when(top_level_def, F.col("n_args")), F.when(top_level_def, F.col("node_id")))
+        .alias("param_count"),
+        _flag(is_call & callee.isin(*HEAP_CALLS)).alias("uses_priority_queue"),
+        _flag(is_call & (callee == "deque")).alias("uses_queue"),
+        _flag(is_call & (F.col("s_func.kind") == "Name") & (callee == "deque")).alias("_deque_by_name"),
+        _flag(is_call & callee.isin(*SORT_CALLS)).alias("uses_sorted_or_sort_call"),
+        _flag(is_assign & targets_match(VISITED_WORDS)).alias("has_visited_like_var"),
+        _flag(is_assign & targets_match(ADJ_WORDS)).alias("uses_adjacency_structure"),
+        _flag((is_assign & targets_match(MEMO_WORDS)) | cache_default).alias("_memo_var"),
+        _flag(is_assign & any_target & ((val.kind == "Set")
+                                        | ((val.kind == "Call") & (val.fc.kind == "Name")
+                                           & (val["fc"]["name"] == "set")))).alias("uses_set"),
+        _flag((is_assign & any_target & ((val.kind == "Dict")
+                                         | ((val.kind == "Call") & (val.fc.kind == "Name")
+                                            & val["fc"]["name"].isin("dict", "defaultdict"))))
+              | cache_default).alias("uses_dict"),
+        F.max(F.when(kind == "Subscript", F.size("path") - chain_m)).alias("array_dimensionality"),
+        _flag(single & (F.col("s_t0.kind") == "Tuple") & (val.kind == "Tuple") & anc_in_loop_body())
+        .alias("has_swap_in_loop"),
+        _flag((kind == "Compare") & while_test & (F.col("c_cmp_names") >= 2) & (F.col("c_cmp_other") == 0))
+        .alias("has_two_pointer_pattern"),
+        F.max(F.when((kind == "If") & anc_first_loop_idx().isNotNull(), _if_nesting()))
+        .alias("max_if_nesting_in_loop"),
+        _flag((kind == "Return") & (anc_loop_count() > 0)).alias("has_early_return_in_loop"),
         _flag(kind.isin("BinOp", "AugAssign") & op.isin(*BIT_OPS)).alias("uses_bit_manipulation"),
         _flag(kind.isin("BinOp", "AugAssign") & (op == "Mod")).alias("uses_modular_math"),
         _flag((kind == "Attribute") & (name == "next")).alias("has_linked_list_pattern"),
         _flag((kind == "Attribute") & name.isin("left", "right")).alias("_lr_attr"),
+        # self.left / self.right / self.children assigned inside a class
+        _flag((kind == "Attribute") & name.isin("left", "right", "children")
+              & (F.col("field") == "targets") & (parent_kind == "Assign")
+              & (F.col("fc.kind") == "Name") & (F.col("fc.name") == "self")
+              & F.array_contains("path_kinds", "ClassDef")).alias("_class_tree"),
+        _flag(is_assign & (val.kind == "BinOp") & (val.op == "Add") & (val.fc.kind == "Subscript")
+              & (val.fc2.kind == "Name") & F.array_contains("c_sub_target_bases", val["fc2"]["name"]))
+        .alias("has_prefix_pattern"),
+        _flag(is_assign & (val.kind == "Attribute") & (val["name"] == "next")
+              & (val.fc.kind == "Attribute") & (val["fc"]["name"] == "next")).alias("has_fast_slow_pointer_pattern"),
+        _flag((kind == "Compare") & while_test & (F.col("c_cmp_binop") > 0)
+              & F.array_contains("path_kinds", "For")).alias("has_sliding_window_pattern"),
+        _flag((kind == "BoolOp") & (op == "And") & while_test & (F.col("n_elts") >= 2)
+              & (F.size("c_clause_names") >= 2)).alias("has_parallel_two_pointer_pattern"),
+        _flag((kind == "BinOp") & op.isin("FloorDiv", "Div") & (F.col("s_right.kind") == "Constant")
+              & (F.col("s_right.const_num") == 2.0) & (F.col("s_left.kind") == "BinOp")
+              & (F.col("s_left.op") == "Add")).alias("has_midpoint_calculation"),
         _flag((kind == "Name") & F.lower(name).contains("parent")).alias("_parent_name"),
         _flag((kind == "Name") & F.replace(F.lower(name), F.lit("_"), F.lit("")).contains("indegree"))
         .alias("_indegree"),
         _flag((kind == "FunctionDef") & F.lower(name).contains("find")).alias("_fn_find"),
         _flag((kind == "FunctionDef") & F.lower(name).contains("union")).alias("_fn_union"),
+        # linked-list operations look inside module-level functions only
+        _flag(in_top).alias("_top"),
+        _flag(in_top & (kind == "Attribute") & (name == "next")).alias("_next_in"),
+        F.array_distinct(F.collect_list(F.when(kind == "ClassDef", name))).alias("_classes"),
+        F.array_distinct(F.collect_list(F.when(in_top & is_call & (F.col("s_func.kind") == "Name"),
+                                               F.col("s_func.name")))).alias("_top_calls"),
+        _flag(in_top & single & (F.col("s_t0.kind") == "Attribute") & (F.col("s_t0.name") == "next")
+              & (val.kind == "Attribute") & (val["name"] == "next")).alias("_skip"),
     )
-
-    # ---- calls: callee (Name id or Attribute attr) and receiver ----------
-    func = t.child("func", "f")
-    recv = t.child("value", "r").select("sample_id", F.col("node_id").alias("f_id"), "r_kind", "r_name")
-    calls = (t.of_kind("Call").select(*K).join(func, K)
-             .join(recv, ["sample_id", "f_id"], "left"))
-    calls = calls.withColumn("callee", F.when(F.col("f_kind").isin("Name", "Attribute"), F.col("f_name")))
-    call_sig = calls.groupBy("sample_id").agg(
-        _flag(F.col("callee").isin(*HEAP_CALLS)).alias("uses_priority_queue"),
-        _flag(F.col("callee") == "deque").alias("uses_queue"),
-        _flag((F.col("f_kind") == "Name") & (F.col("callee") == "deque")).alias("_deque_by_name"),
-        _flag(F.col("callee").isin(*SORT_CALLS)).alias("uses_sorted_or_sort_call"),
-    )
-
-    nearest_fn = nearest_function(anc)
-    rec = recursion(calls, nearest_fn)
-
-    # ---- assignments --------------------------------------------------------
-    tgt = t.child("targets", "t")
-    val = t.child("value", "v")
-    vfunc = t.child("func", "vf").select("sample_id", F.col("node_id").alias("v_id"), "vf_kind", "vf_name")
-    assigns = t.of_kind("Assign").select(*K, F.col("n_elts").alias("n_targets"))
-    a_val = assigns.join(val, K).join(vfunc, ["sample_id", "v_id"], "left")
-    name_tg = tgt.where(F.col("t_kind") == "Name").select(*K, "t_name")
-    a_names = a_val.join(name_tg, K)
-    is_set = (F.col("v_kind") == "Set") | ((F.col("v_kind") == "Call") & (F.col("vf_kind") == "Name")
-                                           & (F.col("vf_name") == "set"))
-    is_dict = (F.col("v_kind") == "Dict") | ((F.col("v_kind") == "Call") & (F.col("vf_kind") == "Name")
-                                             & F.col("vf_name").isin("dict", "defaultdict"))
-    assign_sig = a_names.groupBy("sample_id").agg(
-        _flag(_words(F.col("t_name"), VISITED_WORDS)).alias("has_visited_like_var"),
-        _flag(_words(F.col("t_name"), ADJ_WORDS)).alias("uses_adjacency_structure"),
-        _flag(_words(F.col("t_name"), MEMO_WORDS)).alias("_memo_assign"),
-        _flag(is_set).alias("_set_assign"),
-        _flag(is_dict).alias("_dict_assign"),
-    )
-
-    # default arguments that are dict/list literals (cache-like parameters)
-    fn_args = (t.of_kind("arguments").where(F.col("field") == "args")
-               .select("sample_id", "node_id", "n_args", F.col("n_elts").alias("n_def"),
-                       F.col("parent_id").alias("owner"))
-               .join(t.slim.select("sample_id", F.col("node_id").alias("owner"),
-                                   F.col("kind").alias("owner_kind")), ["sample_id", "owner"])
-               .where(F.col("owner_kind") == "FunctionDef"))
-    defaults = t.child("defaults", "d")
-    zip_len = F.when(F.col("n_def") <= F.col("n_args"), F.col("n_def")).otherwise(
-        F.least(F.col("n_args"), F.col("n_def") - F.col("n_args")))
-    default_sig = (fn_args.join(defaults, K)
-                   .where((F.col("d_pos") < zip_len) & F.col("d_kind").isin("Dict", "List"))
-                   .groupBy("sample_id").agg(F.lit(1).alias("_cache_default")))
-
-    # ---- loops, ifs, returns -------------------------------------------------
-    loop_depth, has_loop, if_sig, ret_sig = loop_signals(t)
-    in_loop = F.col("anc_kind").isin(*LOOP_KINDS)
-
-    fdefs = t.of_kind("FunctionDef").select(*K, "n_args")
-    nested_fd = anc.where((F.col("kind") == "FunctionDef") & (F.col("anc_kind") == "FunctionDef")) \
-        .select(*K).distinct()
-    param_sig = (fdefs.join(nested_fd, K, "left_anti").groupBy("sample_id")
-                 .agg(F.max_by("n_args", "node_id").alias("param_count")))
-
-    # ---- swaps / transpose / fast-slow / prefix ----------------------------
-    t0 = t.child("targets", "t0", pos=0)
-    single = assigns.where(F.col("n_targets") == 1).join(t0, K).join(val, K)
-    swap_cand = single.where((F.col("t0_kind") == "Tuple") & (F.col("v_kind") == "Tuple")).select(*K)
-    swap_sig = (anc.join(swap_cand, K).where(in_loop & (F.col("anc_field") == "body"))
-                .groupBy("sample_id").agg(F.lit(1).alias("has_swap_in_loop")))
-
-    elt = t.child("elts", "e").select("sample_id", F.col("node_id").alias("t0_id"), "e_id", "e_kind")
-    sub_val = t.child("value", "sv").select("sample_id", F.col("node_id").alias("e_id"), "sv_kind")
-    transpose = (single.where((F.col("t0_kind") == "Tuple") & (F.col("t0_n_elts") == 2)
-                              & (F.col("v_kind") == "Tuple"))
-                 .join(elt, ["sample_id", "t0_id"]).join(sub_val, ["sample_id", "e_id"], "left")
-                 .groupBy("sample_id", "node_id")
-                 .agg(F.count(F.when((F.col("e_kind") == "Subscript") & (F.col("sv_kind") == "Subscript"), 1))
-                      .alias("ok"))
-                 .where(F.col("ok") == 2).groupBy("sample_id")
-                 .agg(F.lit(1).alias("has_matrix_transpose_pattern")))
-
-    vv = t.child("value", "vv").select("sample_id", F.col("node_id").alias("v_id"), "vv_kind", "vv_name")
-    fast = (a_val.where((F.col("v_kind") == "Attribute") & (F.col("v_name") == "next"))
-            .join(vv, ["sample_id", "v_id"])
-            .where((F.col("vv_kind") == "Attribute") & (F.col("vv_name") == "next"))
-            .groupBy("sample_id").agg(F.lit(1).alias("has_fast_slow_pointer_pattern")))
-
-    tv = t.child("value", "tb").select("sample_id", F.col("node_id").alias("t_id"), "tb_kind", "tb_name")
-    left = t.child("left", "lf").select("sample_id", F.col("node_id").alias("v_id"), "lf_id", "lf_kind")
-    lv = t.child("value", "lb").select("sample_id", F.col("node_id").alias("lf_id"), "lb_kind", "lb_name")
-    prefix = (assigns.join(tgt.where(F.col("t_kind") == "Subscript"), K)
-              .join(tv, ["sample_id", "t_id"]).where(F.col("tb_kind") == "Name")
-              .join(val.where((F.col("v_kind") == "BinOp") & (F.col("v_op") == "Add")), K)
-              .join(left, ["sample_id", "v_id"]).where(F.col("lf_kind") == "Subscript")
-              .join(lv, ["sample_id", "lf_id"])
-              .where((F.col("lb_kind") == "Name") & (F.col("lb_name") == F.col("tb_name")))
-              .groupBy("sample_id").agg(F.lit(1).alias("has_prefix_pattern")))
-
-    # ---- subscript chains: trailing ancestors that are Subscripts reached via `value`
-    chain_break = ~((F.col("anc_kind") == "Subscript") & (F.col("anc_field") == "value"))
-    dims = (anc.where(F.col("kind") == "Subscript").groupBy("sample_id", "node_id")
-            .agg(F.first("plen").alias("plen"), F.max(F.when(chain_break, F.col("idx"))).alias("m"))
-            .select("sample_id", (F.col("plen") - F.col("m")).alias("chain"))
-            .groupBy("sample_id").agg(F.max("chain").alias("array_dimensionality")))
-
-    # ---- while-test shapes -------------------------------------------------
-    whiles = t.of_kind("While").select(*K).join(t.child("test", "w"), K)
-    opnd = t.kids.where(F.col("field").isin("left", "comparators")).select(
-        "sample_id", F.col("parent_id").alias("w_id"), F.col("kid_kind").alias("o_kind"),
-        F.col("kid_name").alias("o_name"))
-    cmp_names = (whiles.where(F.col("w_kind") == "Compare").join(opnd, ["sample_id", "w_id"])
-                 .where(F.col("o_kind") == "Name")
-                 .groupBy("sample_id", "node_id")
-                 .agg(F.count(F.lit(1)).alias("k"),
-                      F.bool_and(F.lower("o_name").isin(*TWO_POINTER_NAMES)).alias("all_alias")))
-    two_ptr = (cmp_names.where((F.col("k") >= 2) & F.col("all_alias"))
-               .groupBy("sample_id").agg(F.lit(1).alias("has_two_pointer_pattern")))
-
-    binop_opnd = (whiles.where(F.col("w_kind") == "Compare").join(opnd, ["sample_id", "w_id"])
-                  .where(F.col("o_kind") == "BinOp").select(*K).distinct())
-    sliding = (anc.join(binop_opnd, K).where(F.col("anc_kind") == "For")
-               .groupBy("sample_id").agg(F.lit(1).alias("has_sliding_window_pattern")))
-
-    clauses = t.kids.where((F.col("field") == "values") & (F.col("kid_kind") == "Compare")).select(
-        "sample_id", F.col("parent_id").alias("w_id"), F.col("kid_id").alias("c_id"))
-    c_left = t.child("left", "cl").select("sample_id", F.col("node_id").alias("c_id"), "cl_kind", "cl_name")
-    parallel = (whiles.where((F.col("w_kind") == "BoolOp") & (F.col("w_op") == "And")
-                             & (F.col("w_n_elts") >= 2))
-                .join(clauses, ["sample_id", "w_id"]).join(c_left, ["sample_id", "c_id"])
-                .where(F.col("cl_kind") == "Name")
-                .groupBy("sample_id", "node_id").agg(F.count_distinct("cl_name").alias("k"))
-                .where(F.col("k") >= 2).groupBy("sample_id")
-                .agg(F.lit(1).alias("has_parallel_two_pointer_pattern")))
-
-    # ---- midpoint -------------------------------------------------------------
-    right = t.child("right", "rt")
-    left2 = t.child("left", "lt")
-    midpoint = (t.of_kind("BinOp").where(F.col("op").isin("FloorDiv", "Div")).select(*K)
-                .join(right, K).join(left2, K)
-                .where((F.col("rt_kind") == "Constant") & (F.col("rt_const") == 2.0)
-                       & (F.col("lt_kind") == "BinOp") & (F.col("lt_op") == "Add"))
-                .groupBy("sample_id").agg(F.lit(1).alias("has_midpoint_calculation")))
-
-    # ---- tree: self.left/right/children assigned inside a class ------------
-    cls_t = (tgt.where((F.col("t_kind") == "Attribute") & F.col("t_name").isin("left", "right", "children"))
-             .join(tv, ["sample_id", "t_id"])
-             .where((F.col("tb_kind") == "Name") & (F.col("tb_name") == "self")).select(*K).distinct())
-    cls_tree = (anc.join(cls_t, K).where(F.col("anc_kind") == "ClassDef")
-                .groupBy("sample_id").agg(F.lit(1).alias("_class_tree")))
-
-    # ---- monotonic stack: per outermost loop body --------------------------
-    body_loop = in_loop & (F.col("anc_field") == "body")
-    pop_calls = calls.where((F.col("f_kind") == "Attribute") & (F.col("f_name") == "pop")).select(*K)
-    app_calls = calls.where((F.col("f_kind") == "Attribute") & (F.col("f_name") == "append")).select(*K)
-    pop_rows = (anc.join(pop_calls, K).groupBy("sample_id", "node_id")
-                .agg(F.min_by(F.when(body_loop, F.col("anc_id")), F.when(body_loop, F.col("idx"))).alias("blk"),
-                     F.min(F.when(body_loop, F.col("idx"))).alias("blk_idx"),
-                     F.max(F.when((F.col("anc_kind") == "While") & (F.col("anc_test_kind") == "BoolOp"),
-                                  F.col("idx"))).alias("w_idx"))
-                .where(F.col("blk").isNotNull() & (F.col("w_idx") > F.col("blk_idx")))
-                .select("sample_id", "blk", F.lit(1).alias("pop")))
-    app_rows = (anc.join(app_calls, K).where(body_loop).groupBy("sample_id", "node_id")
-                .agg(F.min_by("anc_id", "idx").alias("blk"))
-                .select("sample_id", "blk", F.lit(1).alias("app")))
-    mono = (pop_rows.distinct().join(app_rows.distinct(), ["sample_id", "blk"])
-            .groupBy("sample_id").agg(F.lit(1).alias("has_monotonic_stack_pattern")))
-
-    # ---- same-direction pointers --------------------------------------------
-    aug_t = t.child("target", "at")
-    inc = (t.of_kind("AugAssign").where(F.col("op") == "Add").select(*K).join(aug_t, K)
-           .where(F.col("at_kind") == "Name").select(*K, F.col("at_name").alias("v"), F.lit(1).alias("inc")))
-    slc = t.child("slice", "sl").select("sample_id", F.col("node_id").alias("t_id"), "sl_kind", "sl_name")
-    wr = (assigns.join(tgt.where(F.col("t_kind") == "Subscript"), K).join(slc, ["sample_id", "t_id"])
-          .where(F.col("sl_kind") == "Name").select(*K, F.col("sl_name").alias("v"), F.lit(1).alias("wr")))
-    stmt_vars = inc.unionByName(wr.withColumn("inc", F.lit(0)), allowMissingColumns=True) \
-        .fillna(0, subset=["inc", "wr"])
-    if_body = anc.where((F.col("anc_kind") == "If") & (F.col("anc_field") == "body")) \
-        .select(*K, F.col("anc_id").alias("if_id"))
-    cand_v = (stmt_vars.join(if_body, K).groupBy("sample_id", "if_id", "v")
-              .agg(F.max("inc").alias("inc"), F.max("wr").alias("wr"))
-              .where((F.col("inc") == 1) & (F.col("wr") == 1)))
-    for_vars = (anc.where((F.col("kind") == "If") & (F.col("anc_kind") == "For")
-                          & (F.col("anc_field") == "body") & F.col("anc_target").isNotNull())
-                .select("sample_id", F.col("node_id").alias("if_id"), F.col("anc_target").alias("loop_var")))
-    same_dir = (cand_v.join(for_vars, ["sample_id", "if_id"]).where(F.col("loop_var") != F.col("v"))
-                .groupBy("sample_id").agg(F.lit(1).alias("has_same_direction_pointer_pattern")))
-
-    # ---- backtracking undo ----------------------------------------------------
-    bt = _backtracking(t, calls, nearest_fn)
-
-    # ---- linked-list operations, module-level functions only ----------------
-    ll = _linked_list(t, calls, assigns, a_val, tgt, anc)
-
-    parts = [local, call_sig, rec, assign_sig, default_sig, loop_depth, has_loop, if_sig, ret_sig,
-             param_sig, swap_sig, transpose, fast, prefix, dims, two_ptr, sliding, parallel, midpoint,
-             cls_tree, mono, same_dir, bt, ll]
-    j = _join_all(t.samples, parts)
+    sides = [_recursion(w, callee), _reverse(w, in_top, single), _monotonic(w), _same_direction(w),
+             _transpose(w, single), _backtracking(w)]
+    j = _join_all(main, sides)
 
     def z(c):
-        return F.coalesce(F.col(c), F.lit(0)).cast("double")
+        return F.coalesce(F.col(c), F.lit(0))
 
-    has_rec = F.coalesce(F.col("recursion_branch_count"), F.lit(0)) > 0
-    memo_vars = (F.coalesce(F.col("_memo_assign"), F.lit(0)) == 1) | F.col("_cache_default").isNotNull()
-    dim = F.coalesce(F.col("array_dimensionality"), F.lit(0))
+    has_rec = z("recursion_branch_count") > 0
+    dim = z("array_dimensionality")
     fn_find, fn_union = F.col("_fn_find") == 1, F.col("_fn_union") == 1
+    base_ll = (F.col("_top") == 1) & (F.col("_next_in") == 1)
+    ll_ins = base_ll & F.arrays_overlap("_classes", "_top_calls")
+    ll_del = base_ll & ~ll_ins & (F.col("_skip") == 1)
+    ll_rev = base_ll & ~ll_ins & ~ll_del & (z("_rev") == 1)
     exprs = {
-        "max_loop_depth": F.when(F.col("_has_loop").isNull(), 0)
-        .otherwise(F.coalesce(F.col("_max_loop_anc"), F.lit(1))),
+        "max_loop_depth": z("max_loop_depth"),
         "num_loops": F.col("num_loops"),
         "has_recursion": has_rec.cast("int"),
-        "recursion_branch_count": F.coalesce(F.col("recursion_branch_count"), F.lit(0)),
-        "has_memoization": (has_rec & memo_vars).cast("int"),
-        "uses_priority_queue": z("uses_priority_queue"),
-        "uses_queue": z("uses_queue"),
+        "recursion_branch_count": z("recursion_branch_count"),
+        "has_memoization": (has_rec & (F.col("_memo_var") == 1)).cast("int"),
+        "uses_priority_queue": F.col("uses_priority_queue"),
+        "uses_queue": F.col("uses_queue"),
         "uses_stack": F.lit(0),
-        "uses_set": z("_set_assign"),
-        "uses_dict": ((F.coalesce(F.col("_dict_assign"), F.lit(0)) == 1)
-                      | F.col("_cache_default").isNotNull()).cast("int"),
-        "has_visited_like_var": z("has_visited_like_var"),
+        "uses_set": F.col("uses_set"),
+        "uses_dict": F.col("uses_dict"),
+        "has_visited_like_var": F.col("has_visited_like_var"),
         "has_2d_list_indexing": (dim >= 2).cast("int"),
         "array_dimensionality": dim,
-        "has_swap_in_loop": z("has_swap_in_loop"),
-        "uses_sorted_or_sort_call": z("uses_sorted_or_sort_call"),
-        "has_two_pointer_pattern": z("has_two_pointer_pattern"),
+        "has_swap_in_loop": F.col("has_swap_in_loop"),
+        "uses_sorted_or_sort_call": F.col("uses_sorted_or_sort_call"),
+        "has_two_pointer_pattern": F.col("has_two_pointer_pattern"),
         "num_function_defs": F.col("num_function_defs"),
         "max_if_nesting_in_loop": z("max_if_nesting_in_loop"),
-        "has_early_return_in_loop": z("has_early_return_in_loop"),
+        "has_early_return_in_loop": F.col("has_early_return_in_loop"),
         "param_count": z("param_count"),
-        "uses_adjacency_structure": z("uses_adjacency_structure"),
+        "uses_adjacency_structure": F.col("uses_adjacency_structure"),
         "uses_bit_manipulation": F.col("uses_bit_manipulation"),
         "has_linked_list_pattern": F.col("has_linked_list_pattern"),
-        "has_ll_insert_pattern": z("has_ll_insert_pattern"),
-        "has_ll_delete_pattern": z("has_ll_delete_pattern"),
-        "has_ll_reverse_pattern": z("has_ll_reverse_pattern"),
-        "has_tree_pattern": ((F.col("_lr_attr") == 1) | F.col("_class_tree").isNotNull()).cast("int"),
-        "has_prefix_pattern": z("has_prefix_pattern"),
+        "has_ll_insert_pattern": ll_ins.cast("int"),
+        "has_ll_delete_pattern": ll_del.cast("int"),
+        "has_ll_reverse_pattern": ll_rev.cast("int"),
+        "has_tree_pattern": ((F.col("_lr_attr") == 1) | (F.col("_class_tree") == 1)).cast("int"),
+        "has_prefix_pattern": F.col("has_prefix_pattern"),
         "has_backtracking_undo_pattern": z("has_backtracking_undo_pattern"),
         "has_union_find_pattern": ((fn_find & fn_union)
                                    | ((F.col("_parent_name") == 1) & (fn_find | fn_union))).cast("int"),
-        "has_fast_slow_pointer_pattern": z("has_fast_slow_pointer_pattern"),
-        "has_sliding_window_pattern": z("has_sliding_window_pattern"),
+        "has_fast_slow_pointer_pattern": F.col("has_fast_slow_pointer_pattern"),
+        "has_sliding_window_pattern": F.col("has_sliding_window_pattern"),
         "has_monotonic_stack_pattern": z("has_monotonic_stack_pattern"),
-        "has_topological_sort_pattern": ((F.col("_indegree") == 1)
-                                         & (F.coalesce(F.col("_deque_by_name"), F.lit(0)) == 1)).cast("int"),
+        "has_topological_sort_pattern": ((F.col("_indegree") == 1) & (F.col("_deque_by_name") == 1)).cast("int"),
         "has_matrix_transpose_pattern": z("has_matrix_transpose_pattern"),
         "uses_modular_math": F.col("uses_modular_math"),
         "has_same_direction_pointer_pattern": z("has_same_direction_pointer_pattern"),
-        "has_parallel_two_pointer_pattern": z("has_parallel_two_pointer_pattern"),
-        "has_midpoint_calculation": z("has_midpoint_calculation"),
+        "has_parallel_two_pointer_pattern": F.col("has_parallel_two_pointer_pattern"),
+        "has_midpoint_calculation": F.col("has_midpoint_calculation"),
     }
     assert list(exprs) == FEATURE_NAMES
     return j.select("sample_id", *[F.coalesce(e.cast("double"), F.lit(0.0)).alias(k)
                                    for k, e in exprs.items()])
 
 
-def nearest_function(anc: DataFrame) -> DataFrame:
-    """Name of the nearest enclosing FunctionDef of every candidate node."""
-    return (anc.where(F.col("anc_kind") == "FunctionDef").groupBy("sample_id", "node_id")
-            .agg(F.max_by("anc_name", "idx").alias("fn_name")))
-
-
-def recursion(calls: DataFrame, nearest_fn: DataFrame) -> DataFrame:
-    """calls whose callee is the enclosing function's name, pooled per
-    function name; the most per name is the branch count."""
-    rec_calls = (calls.join(nearest_fn, ["sample_id", "node_id"])
-                 .where(F.col("callee") == F.col("fn_name"))
-                 .groupBy("sample_id", "fn_name").agg(F.count(F.lit(1)).alias("c")))
-    return rec_calls.groupBy("sample_id").agg(F.max("c").alias("recursion_branch_count"))
-
-
-def loop_signals(t: "Tree"):
-    """F1 (via loop ancestors), F18 and F19 from the ancestor relation."""
-    anc = t.anc
-    in_loop = F.col("anc_kind").isin(*LOOP_KINDS)
-    loop_depth = (anc.where(F.col("kind").isin(*LOOP_KINDS)).groupBy("sample_id", "node_id")
-                  .agg(F.count(F.when(in_loop, 1)).alias("d"))
-                  .groupBy("sample_id").agg((F.max("d") + 1).alias("_max_loop_anc")))
-    has_loop = t.of_kind(*LOOP_KINDS).groupBy("sample_id").agg(F.lit(1).alias("_has_loop"))
-    # an If counts the Ifs on its path that lie inside some loop, itself included
-    ifs = (anc.where(F.col("kind") == "If").groupBy("sample_id", "node_id")
-           .agg(F.min(F.when(in_loop, F.col("idx"))).alias("first_loop"),
-                F.collect_list(F.when(F.col("anc_kind") == "If", F.col("idx"))).alias("if_idx"))
-           .where(F.col("first_loop").isNotNull())
-           .select("sample_id", (F.size(F.filter("if_idx", lambda i: i > F.col("first_loop"))) + 1)
-                   .alias("nest")))
-    if_sig = ifs.groupBy("sample_id").agg(F.max("nest").alias("max_if_nesting_in_loop"))
-    ret_sig = (anc.where((F.col("kind") == "Return") & in_loop)
-               .groupBy("sample_id").agg(F.lit(1).alias("has_early_return_in_loop")))
-    return loop_depth, has_loop, if_sig, ret_sig
-
-
-SUBTREE_FEATURES = ["max_loop_depth", "num_loops", "has_recursion", "recursion_branch_count",
-                    "num_function_defs", "max_if_nesting_in_loop", "has_early_return_in_loop"]
-
-
-def subtree_features(nodes: DataFrame, callee: str = "name") -> DataFrame:
-    """F1-F4, F17-F19 on any preorder tree with paths, where a Call node names
-    its callee in column ``callee`` (synthetic trees)."""
-    t = Tree(materialize(nodes, "nodes"))
-    loop_depth, has_loop, if_sig, ret_sig = loop_signals(t)
-    calls = t.of_kind("Call").select("sample_id", "node_id", F.col(callee).alias("callee"))
-    rec = recursion(calls, nearest_function(t.anc))
-    counts = t.n.groupBy("sample_id").agg(
-        F.count(F.when(F.col("kind").isin(*LOOP_KINDS), 1)).alias("num_loops"),
-        F.count(F.when(F.col("kind") == "FunctionDef", 1)).alias("num_function_defs"))
-    j = _join_all(t.samples, [counts, loop_depth, has_loop, if_sig, ret_sig, rec])
-    br = F.coalesce(F.col("recursion_branch_count"), F.lit(0))
-    return j.select(
+# ---- side queries over few candidate rows ----------------------------------------
+def _recursion(w: DataFrame, callee: Column) -> DataFrame:
+    """calls to the nearest enclosing function's name, pooled per name."""
+    c = (w.where((F.col("kind") == "Call") & callee.isNotNull())
+         .select("sample_id", callee.alias("callee"), anc_nearest_function().alias("fn"))
+         .where(F.col("callee") == F.col("fn")))
+    per_fn = c.groupBy("sample_id", "fn").agg(F.count(F.lit(1)).alias("c"))
+    return per_fn.groupBy("sample_id").agg(F.max("c").alias("recursion_branch_count"))
+
+
+def _reverse(w: DataFrame, in_top: Column, single: Column) -> DataFrame:
+    """F26 helper: a loop (in a module-level function) whose body assigns >= 3
+    distinct plain names; the outermost such body holds all inner ones."""
+    a = (w.where(in_top & single & (F.col("s_t0.kind") == "Name"))
+         .select("sample_id", F.col("s_t0.name").alias("v"), anc_outer_body_loop().alias("blk"))
+         .where(F.col("blk").isNotNull()))
+    return (a.groupBy("sample_id", "blk").agg(F.count_distinct("v").alias("k")).where(F.col("k") >= 3)
+            .groupBy("sample_id").agg(F.lit(1).alias("_rev")))
+
+
+def _monotonic(w: DataFrame) -> DataFrame:
+    """some loop body holds a While with a BoolOp test containing an
+    attribute ``pop`` call, and an attribute ``append`` call."""
+    is_attr_call = (F.col("kind") == "Call") & (F.col("s_func.kind") == "Attribute")
+    wstar = (w.where((F.col("kind") == "BoolOp") & (F.col("field") == "test") & (_parent_kind() == "While"))
+             .select("sample_id", F.col("parent_id").alias("anc_id")).distinct())
+    pops = (w.where(is_attr_call & (F.col("s_func.name") == "pop"))
+            .select("sample_id", anc_outer_body_loop().alias("blk"), _outer_body_loop_idx().alias("blk_idx"),
+                    F.posexplode("path").alias("idx", "anc_id"))
+            .where(F.col("blk").isNotNull() & (F.col("idx") > F.col("blk_idx"))))
+    cond_pop = pops.join(wstar, ["sample_id", "anc_id"]).select("sample_id", "blk").distinct()
+    apps = (w.where(is_attr_call & (F.col("s_func.name") == "append"))
+            .select("sample_id", anc_outer_body_loop().alias("blk")).where(F.col("blk").isNotNull())
+            .distinct())
+    return (cond_pop.join(apps, ["sample_id", "blk"]).groupBy("sample_id")
+            .agg(F.lit(1).alias("has_monotonic_stack_pattern")))
+
+
+def _same_direction(w: DataFrame) -> DataFrame:
+    """an If inside a For body (plain-name loop variable) whose body both
+    increments ``v`` and writes ``x[v]``, for some ``v`` other than the loop
+    variable."""
+    inc = (w.where((F.col("kind") == "AugAssign") & (F.col("op") == "Add") & (F.col("fc.kind") == "Name"))
+           .select("sample_id", F.col("fc.name").alias("v"), F.lit(1).alias("inc"), F.lit(0).alias("wr"),
+                   anc_ids("If", "body").alias("ifs")))
+    wr = (w.where((F.col("kind") == "Subscript") & (F.col("field") == "targets")
+                  & (_parent_kind() == "Assign") & (F.col("s_slice.kind") == "Name"))
+          .select("sample_id", F.col("s_slice.name").alias("v"), F.lit(0).alias("inc"), F.lit(1).alias("wr"),
+                  anc_ids("If", "body").alias("ifs")))
+    cand = (inc.unionByName(wr).select("sample_id", "v", "inc", "wr", F.explode("ifs").alias("if_id"))
+            .groupBy("sample_id", "if_id", "v").agg(F.max("inc").alias("inc"), F.max("wr").alias("wr"))
+            .where((F.col("inc") == 1) & (F.col("wr") == 1)))
+    loop_var = (w.where((F.col("kind") == "For") & (F.col("fc.kind") == "Name"))
+                .select("sample_id", F.col("node_id").alias("for_id"), F.col("fc.name").alias("loop_var")))
+    if_fors = (w.where(F.col("kind") == "If")
+               .select("sample_id", F.col("node_id").alias("if_id"),
+                       F.explode(anc_ids("For", "body")).alias("for_id"))
+               .join(loop_var, ["sample_id", "for_id"]))
+    return (cand.join(if_fors, ["sample_id", "if_id"]).where(F.col("loop_var") != F.col("v"))
+            .groupBy("sample_id").agg(F.lit(1).alias("has_same_direction_pointer_pattern")))
+
+
+def _transpose(w: DataFrame, single: Column) -> DataFrame:
+    """single 2-tuple target whose elements are both subscripts of
+    subscripts, with a tuple value."""
+    tuples = (w.where((F.col("kind") == "Tuple") & (F.col("n_elts") == 2) & (F.col("c_subsub_elts") == 2))
+              .select("sample_id", F.col("node_id").alias("t0_id")))
+    assigns = (w.where(single & (F.col("s_t0.kind") == "Tuple") & (F.col("s_value.kind") == "Tuple"))
+               .select("sample_id", F.col("s_t0.node_id").alias("t0_id")))
+    return (assigns.join(tuples, ["sample_id", "t0_id"]).groupBy("sample_id")
+            .agg(F.lit(1).alias("has_matrix_transpose_pattern")))
+
+
+def _backtracking(w: DataFrame) -> DataFrame:
+    """in a For body (or an If/loop body nested in one only through such
+    blocks), an expression statement ``x.append/add(..)``, later a call to the
+    current function, later ``x.pop/remove(..)`` on the same name."""
+    calls = w.where((F.col("kind") == "Call") & (F.col("field") == "value") & (_parent_kind() == "Expr"))
+    f = F.col("s_func")
+    is_add = (f.kind == "Attribute") & f["name"].isin(*ADD_METHODS)
+    is_rem = (f.kind == "Attribute") & f["name"].isin(*REMOVE_METHODS)
+    fn = anc_nearest_function()
+    is_rec = ~is_add & (f.kind == "Name") & fn.isNotNull() & (f["name"] == fn)
+    recv = F.when(f.fc.kind == "Name", f["fc"]["name"])
+    # the statement's block must reach a For body through If body/orelse and
+    # loop bodies only (steps above the Expr: indices up to size - 2)
+    valid = F.expr(
+        "array_max(transform(path_kinds, (k, i) -> IF(i <= size(path_kinds) - 2 AND k = 'For' "
+        "AND get(path_fields, i) = 'body', i, NULL))) > coalesce(array_max(transform(path_kinds, "
+        "(k, i) -> IF(i <= size(path_kinds) - 2 AND NOT ((k = 'If' AND get(path_fields, i) IN "
+        f"('body', 'orelse')) OR (k IN {_LOOPS_SQL} AND get(path_fields, i) = 'body')), i, NULL))), -1)")
+    stmt = F.try_element_at("path", F.lit(-1))      # the Expr; ids follow statement order
+    s = calls.where(valid).select(
         "sample_id",
-        F.when(F.col("_has_loop").isNull(), 0).otherwise(F.coalesce(F.col("_max_loop_anc"), F.lit(1)))
-        .cast("int").alias("max_loop_depth"),
-        F.col("num_loops").cast("int").alias("num_loops"),
-        (br > 0).cast("int").alias("has_recursion"),
-        br.cast("int").alias("recursion_branch_count"),
-        F.col("num_function_defs").cast("int").alias("num_function_defs"),
-        F.coalesce(F.col("max_if_nesting_in_loop"), F.lit(0)).cast("int").alias("max_if_nesting_in_loop"),
-        F.coalesce(F.col("has_early_return_in_loop"), F.lit(0)).cast("int").alias("has_early_return_in_loop"))
-
-
-def _backtracking(t: Tree, calls: DataFrame, nearest_fn: DataFrame) -> DataFrame:
-    """F29 over expression-statement calls in For bodies (and If/loop bodies
-    nested in them): append/add on a name, then a call to the current
-    function, then pop/remove on the same name."""
-    K = ["sample_id", "node_id"]
-    stmt_call = t.child("value", "c").where(F.col("c_kind") == "Call") \
-        .select("sample_id", "node_id", F.col("c_id").alias("call_id"))
-    stmts = (t.of_kind("Expr").select(*K, "parent_id", "field", "pos").join(stmt_call, K))
-    cinfo = calls.select("sample_id", F.col("node_id").alias("call_id"), "f_kind", "f_name",
-                         "r_kind", "r_name")
-    stmts = stmts.join(cinfo, ["sample_id", "call_id"]).join(nearest_fn, K, "left")
-    is_add = (F.col("f_kind") == "Attribute") & F.col("f_name").isin(*ADD_METHODS)
-    is_rec = ~is_add & (F.col("f_kind") == "Name") & F.col("fn_name").isNotNull() \
-        & (F.col("f_name") == F.col("fn_name"))
-    is_rem = (F.col("f_kind") == "Attribute") & F.col("f_name").isin(*REMOVE_METHODS)
-    recv = F.when(F.col("r_kind") == "Name", F.col("r_name"))
-    s = stmts.select(*K, "parent_id", "field", "pos",
-                     F.when(is_add & recv.isNotNull(), F.struct(F.col("pos").alias("p"), recv.alias("v")))
-                     .alias("add"),
-                     F.when(is_rec, F.col("pos")).alias("rec_pos"),
-                     F.when(is_rem, recv).alias("rem_var"))
-    # the statement's block must be a For body, or an If body/orelse or a
-    # loop body nested (only through such blocks) in one
-    valid = ((F.col("anc_kind") == "If") & F.col("anc_field").isin("body", "orelse")) | \
-        (F.col("anc_kind").isin(*LOOP_KINDS) & (F.col("anc_field") == "body"))
-    ok_blocks = (t.anc.join(s.select(*K), K).groupBy(*K)
-                 .agg(F.max(F.when((F.col("anc_kind") == "For") & (F.col("anc_field") == "body"),
-                                   F.col("idx"))).alias("for_idx"),
-                      F.max(F.when(~valid, F.col("idx"))).alias("bad_idx"))
-                 .where(F.col("for_idx").isNotNull()
-                        & (F.col("for_idx") > F.coalesce(F.col("bad_idx"), F.lit(-1))))
-                 .select(*K))
-    s = s.join(ok_blocks, K)
-    w = (Window.partitionBy("sample_id", "parent_id", "field").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("last_add", F.last("add", ignorenulls=True).over(w)) \
-        .withColumn("last_rec", F.max("rec_pos").over(w))
-    hit = ((F.col("rem_var").isNotNull()) & (F.col("rem_var") == F.col("last_add.v"))
+        F.try_element_at("path", F.lit(-2)).alias("owner"),
+        F.try_element_at("path_fields", F.lit(-2)).alias("blk_field"),
+        stmt.alias("pos"),
+        F.when(is_add & recv.isNotNull(), F.struct(stmt.alias("p"), recv.alias("v"))).alias("add"),
+        F.when(is_rec, stmt).alias("rec_pos"),
+        F.when(is_rem, recv).alias("rem_var"))
+    win = (Window.partitionBy("sample_id", "owner", "blk_field").orderBy("pos")
+           .rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("last_add", F.last("add", ignorenulls=True).over(win)) \
+        .withColumn("last_rec", F.max("rec_pos").over(win))
+    hit = (F.col("rem_var").isNotNull() & (F.col("rem_var") == F.col("last_add.v"))
            & (F.col("last_add.p") < F.col("last_rec")))
     return s.where(hit).groupBy("sample_id").agg(F.lit(1).alias("has_backtracking_undo_pattern"))
 
 
-def _linked_list(t: Tree, calls, assigns, a_val, tgt, anc) -> DataFrame:
-    """F24-F26 with precedence insert > delete > reverse, scoped to the
-    subtrees of module-level functions."""
-    K = ["sample_id", "node_id"]
-    top = t.of_kind("FunctionDef").where(F.col("parent_id") == 0).select(
-        "sample_id", F.col("node_id").alias("top_id"))
-    scope_of = F.when(F.col("parent_id") == 0, F.col("node_id")).otherwise(F.get("path", 1))
-    scoped = (t.n.select(*K, "kind", "name", scope_of.alias("top_id"))
-              .join(top, ["sample_id", "top_id"]).select(*K, "kind", "name"))
-    has_top = top.groupBy("sample_id").agg(F.lit(1).alias("_top"))
-    next_in = (scoped.where((F.col("kind") == "Attribute") & (F.col("name") == "next"))
-               .groupBy("sample_id").agg(F.lit(1).alias("_next_in")))
-    classes = t.of_kind("ClassDef").select("sample_id", F.col("name").alias("cls")).distinct()
-    ctor = (calls.join(scoped.select(*K), K).where(F.col("f_kind") == "Name")
-            .join(classes.withColumnRenamed("cls", "f_name"), ["sample_id", "f_name"])
-            .groupBy("sample_id").agg(F.lit(1).alias("_ctor")))
-    t0 = t.child("targets", "t0", pos=0)
-    skip = (a_val.where((F.col("n_targets") == 1) & (F.col("v_kind") == "Attribute")
-                        & (F.col("v_name") == "next"))
-            .join(t0, K).where((F.col("t0_kind") == "Attribute") & (F.col("t0_name") == "next"))
-            .join(scoped.select(*K), K).groupBy("sample_id").agg(F.lit(1).alias("_skip")))
-    # loops whose body assigns >= 3 distinct plain names (single target)
-    single_names = (assigns.where(F.col("n_targets") == 1).join(t0, K).where(F.col("t0_kind") == "Name")
-                    .join(scoped.select(*K), K).select(*K, F.col("t0_name").alias("v")))
-    body_loop = F.col("anc_kind").isin(*LOOP_KINDS) & (F.col("anc_field") == "body")
-    outer = (anc.join(single_names.select(*K), K).where(body_loop).groupBy(*K)
-             .agg(F.min_by("anc_id", "idx").alias("blk")))
-    rev = (single_names.join(outer, K).groupBy("sample_id", "blk").agg(F.count_distinct("v").alias("k"))
-           .where(F.col("k") >= 3).groupBy("sample_id").agg(F.lit(1).alias("_rev")))
-    j = _join_all(has_top, [next_in, ctor, skip, rev])
-    base = F.col("_next_in").isNotNull()
-    ins = base & F.col("_ctor").isNotNull()
-    dele = base & ~ins & F.col("_skip").isNotNull()
-    revf = base & ~ins & ~dele & F.col("_rev").isNotNull()
-    return j.select("sample_id", ins.cast("int").alias("has_ll_insert_pattern"),
-                    dele.cast("int").alias("has_ll_delete_pattern"),
-                    revf.cast("int").alias("has_ll_reverse_pattern"))
+# ---- synthetic trees: the whole-subtree features only ------------------------------
+SUBTREE_FEATURES = ["max_loop_depth", "num_loops", "has_recursion", "recursion_branch_count",
+                    "num_function_defs", "max_if_nesting_in_loop", "has_early_return_in_loop"]
 
 
+def subtree_features(nodes: DataFrame, callee: str = "name") -> DataFrame:
+    """F1-F4, F17-F19 on any preorder tree carrying ancestor arrays, where a
+    Call node names its callee in column ``callee`` (synthetic trees)."""
+    kind = F.col("kind")
+    main = nodes.groupBy("sample_id").agg(
+        F.count(F.when(kind.isin(*LOOP_KINDS), 1)).cast("int").alias("num_loops"),
+        F.coalesce(F.max(F.when(kind.isin(*LOOP_KINDS), anc_loop_count() + 1)), F.lit(0)).cast("int")
+        .alias("max_loop_depth"),
+        F.count(F.when(kind == "FunctionDef", 1)).cast("int").alias("num_function_defs"),
+        F.coalesce(F.max(F.when((kind == "If") & anc_first_loop_idx().isNotNull(), _if_nesting())),
+                   F.lit(0)).cast("int").alias("max_if_nesting_in_loop"),
+        _flag((kind == "Return") & (anc_loop_count() > 0)).cast("int").alias("has_early_return_in_loop"))
+    calls = (nodes.where((kind == "Call") & F.col(callee).isNotNull())
+             .select("sample_id", F.col(callee).alias("callee"), anc_nearest_function().alias("fn"))
+             .where(F.col("callee") == F.col("fn")))
+    rec = (calls.groupBy("sample_id", "fn").agg(F.count(F.lit(1)).alias("c"))
+           .groupBy("sample_id").agg(F.max("c").alias("br")))
+    j = main.join(rec, "sample_id", "left")
+    br = F.coalesce(F.col("br"), F.lit(0))
+    return j.select("sample_id", "max_loop_depth", "num_loops", (br > 0).cast("int").alias("has_recursion"),
+                    br.cast("int").alias("recursion_branch_count"), "num_function_defs",
+                    "max_if_nesting_in_loop", "has_early_return_in_loop")
+
+
+# ---- corpus level ------------------------------------------------------------------
 def build_features(corpus: DataFrame, code: str = "code") -> tuple[DataFrame, DataFrame]:
     """P1 + P3: corpus rows with their 39 features, and rejects (rows whose
     snippet does not parse, with the message). Duplicate snippets parse once

@@ -3,8 +3,10 @@
 Each distinct snippet (``sample_id = sha2(code, 256)``) is parsed once inside
 ``mapInArrow``; the rows describe the tree and nothing else — kind, the
 parent field a node sits in, preorder ``node_id`` / ``end_id`` (the subtree of
-x is ``node_id BETWEEN x.node_id AND x.end_id``), the ancestor path and the
-parent field taken at each step. Every feature is a relational query over
+x is ``node_id BETWEEN x.node_id AND x.end_id``), and the ancestor path: ids,
+the field taken below each ancestor, each ancestor's kind, and the names of
+ancestor definitions. With the path on the row, "inside a loop" or "in the
+body of a For" is an array expression, not a join. Every feature is a relational query over
 this table (operators/features.py).
 
 Operator and context nodes (Add, Load, ...) are folded into the ``op`` column
@@ -41,6 +43,8 @@ NODE_SCHEMA = T.StructType([
     T.StructField("lineno", T.IntegerType(), True),
     T.StructField("path", T.ArrayType(T.IntegerType()), True),
     T.StructField("path_fields", T.ArrayType(T.StringType()), True),
+    T.StructField("path_kinds", T.ArrayType(T.StringType()), True),
+    T.StructField("path_names", T.ArrayType(T.StringType()), True),
     T.StructField("parse_error", T.StringType(), True),
     T.StructField("error_type", T.StringType(), True),
     T.StructField("error_msg", T.StringType(), True),
@@ -49,6 +53,7 @@ NODE_SCHEMA = T.StructType([
 PARSER_VERSION = f"python-ast-{sys.version_info.major}.{sys.version_info.minor}"
 
 _FOLDED = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
+_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
 def _name_of(node: ast.AST):
@@ -119,22 +124,23 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
         msg = getattr(exc, "msg", None) if isinstance(exc, SyntaxError) else str(exc)
         line = getattr(exc, "lineno", None) if isinstance(exc, SyntaxError) else None
         return [(sample_id, -1, None, -1, 0, None, None, "ParseError", None, None, None, None,
-                 None, None, line, None, None, str(exc), type(exc).__name__, msg)]
+                 None, None, line, None, None, None, None, str(exc), type(exc).__name__, msg)]
     rows: list[list] = []
-    # stack items: (node, parent_id, field, pos, depth, path, path_fields) or ("end", id)
-    stack: list = [(tree, None, None, None, 0, [], [])]
+    # stack items: (node, parent_id, field, pos, depth, path, fields, kinds, names) or ("end", id)
+    stack: list = [(tree, None, None, None, 0, [], [], [], [])]
     while stack:
         item = stack.pop()
         if item[0] == "end":
             rows[item[1]][3] = len(rows) - 1
             continue
-        node, parent, field, pos, depth, path, pfields = item
+        node, parent, field, pos, depth, path, pfields, pkinds, pnames = item
         nid = len(rows)
         n_args, n_elts = _sizes(node)
-        rows.append([sample_id, nid, parent, nid, depth, field, pos, type(node).__name__,
-                     _op_of(node), _name_of(node), _const_num(node), n_args, n_elts,
+        kind, name = type(node).__name__, _name_of(node)
+        rows.append([sample_id, nid, parent, nid, depth, field, pos, kind,
+                     _op_of(node), name, _const_num(node), n_args, n_elts,
                      getattr(node, "level", None) if isinstance(node, ast.ImportFrom) else None,
-                     getattr(node, "lineno", None), path, pfields, None, None, None])
+                     getattr(node, "lineno", None), path, pfields, pkinds, pnames, None, None, None])
         stack.append(("end", nid))
         children = []
         for fname, value in ast.iter_fields(node):
@@ -144,9 +150,11 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
                         children.append((v, fname, i))
             elif isinstance(value, ast.AST) and not isinstance(value, _FOLDED):
                 children.append((value, fname, None))
-        cpath = path + [nid]
+        cpath, ckinds = path + [nid], pkinds + [kind]
+        # ancestor names only for definitions (what scope rules need)
+        cnames = pnames + [name if isinstance(node, _DEFS) else None]
         for v, fname, i in reversed(children):
-            stack.append((v, nid, fname, i, depth + 1, cpath, pfields + [fname]))
+            stack.append((v, nid, fname, i, depth + 1, cpath, pfields + [fname], ckinds, cnames))
     return [tuple(r) for r in rows]
 
 

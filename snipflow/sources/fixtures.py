@@ -261,7 +261,7 @@ def x3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.expr("array_sort(array_distinct(filter(transform(sequence(1, 31), "
                   "b -> shiftleft(shiftright(k, b), b)), a -> a < k)))")
     from snipflow.operators.parse import conform
-    return conform(t.select(
+    base = t.select(
         "sample_id", k.alias("node_id"),
         F.when(k > 0, k.bitwiseAND(k - 1)).cast("int").alias("parent_id"),
         F.when(k == 0, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, k + low - 1)).cast("int")
@@ -274,7 +274,18 @@ def x3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("name"),
         path.alias("path"),
         F.array_repeat(F.lit("body"), F.size(path)).alias("path_fields"),
-    ))
+    )
+    # ancestor kinds and definition names, in path order (trees are ~100 nodes)
+    ex = base.select("sample_id", "node_id", F.posexplode("path").alias("i", "anc_id"))
+    anc = base.select("sample_id", F.col("node_id").alias("anc_id"), F.col("kind").alias("ak"),
+                      F.when(F.col("kind").isin("FunctionDef", "ClassDef"), F.col("name")).alias("an"))
+    pk = (ex.join(anc, ["sample_id", "anc_id"]).groupBy("sample_id", "node_id")
+          .agg(F.array_sort(F.collect_list(F.struct("i", "ak", "an"))).alias("pk")))
+    out = base.join(pk, ["sample_id", "node_id"], "left").select(
+        *base.columns,
+        F.coalesce(F.transform("pk", lambda x: x["ak"]), F.array().cast("array<string>")).alias("path_kinds"),
+        F.coalesce(F.transform("pk", lambda x: x["an"]), F.array().cast("array<string>")).alias("path_names"))
+    return conform(out)
 
 
 def x3_sql(n_trees_expr: str = "greatest(count(*) OVER () // 100, 1)") -> str:
