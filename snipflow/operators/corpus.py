@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snipflow.functions.text import py_lstrip, py_strip
+from snipflow.session import literal_df
 from snipflow.sources import templates as tp
 
 RESIDUAL = r"__([A-Z0-9_]+)__"
@@ -19,8 +20,8 @@ RESIDUAL = r"__([A-Z0-9_]+)__"
 
 def templates_df(spark: SparkSession) -> DataFrame:
     rows = [(i, key, label, name, body) for i, (key, label, name, body) in enumerate(tp.TEMPLATES)]
-    return spark.createDataFrame(rows, "template_idx int, func_key string, label string, "
-                                       "original_name string, body string")
+    return literal_df(spark, rows, "template_idx int, func_key string, label string, "
+                                   "original_name string, body string")
 
 
 def styles_df(spark: SparkSession) -> DataFrame:
@@ -29,12 +30,12 @@ def styles_df(spark: SparkSession) -> DataFrame:
     rows = [tuple([s] + [tp.ROLE_NAMES[t][s] for t in toks]) for s in range(tp.STYLES)]
     schema = T.StructType([T.StructField("style_id", T.IntegerType(), False)]
                           + [T.StructField(f"tok_{t}", T.StringType(), False) for t in toks])
-    return spark.createDataFrame(rows, schema)
+    return literal_df(spark, rows, schema)
 
 
 def func_names_df(spark: SparkSession) -> DataFrame:
     rows = [(k, p, n) for k, names in tp.FUNC_NAMES.items() for p, n in enumerate(names)]
-    return spark.createDataFrame(rows, "func_key string, func_pos int, func_name string")
+    return literal_df(spark, rows, "func_key string, func_pos int, func_name string")
 
 
 def expand(templates: DataFrame, k: int = tp.VARIANTS_PER_TEMPLATE) -> DataFrame:

@@ -57,7 +57,8 @@ def importances(spark: SparkSession, model: PipelineModel, top: int = 15) -> Dat
     """The forest's feature importances, largest first (a 39-row table)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = [(n, float(v)) for n, v in zip(FEATURE_NAMES, imp)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
+    from snipflow.session import literal_df
+    df = literal_df(spark, rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(top)
 
 

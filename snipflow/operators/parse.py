@@ -198,7 +198,11 @@ def parse_nodes(corpus: DataFrame, code: str = "code") -> DataFrame:
     distinct = (corpus.select(F.sha2(F.coalesce(F.col(code), F.lit("")), 256).alias("sample_id"),
                               F.coalesce(F.col(code), F.lit("")).alias("code"))
                 .dropDuplicates(["sample_id"]))
-    return distinct.mapInArrow(_parse_batches, NODE_SCHEMA)
+    # Parsing costs far more per byte than the shuffle that precedes it, so
+    # fix the task count to the cluster's parallelism instead of letting AQE
+    # merge small partitions into a single Python task.
+    n = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+    return distinct.repartition(n, "sample_id").mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from snipflow.session import literal_df
+
 # --- fixed values: rule texts (id, name, time, space, confidence) ----------
 # ids follow the cascade order. None = computed per row (see _time/_space).
 RULES = [
@@ -85,7 +87,7 @@ _DIM_SCHEMA = T.StructType([
 
 def rules_dimension(spark: SparkSession) -> DataFrame:
     rows = [(i, n, t, s, c, REASONING[i]) for i, n, t, s, c in RULES]
-    return spark.createDataFrame(rows, _DIM_SCHEMA)
+    return literal_df(spark, rows, _DIM_SCHEMA)
 
 
 def _c(name: str) -> Column:

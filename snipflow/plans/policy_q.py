@@ -11,7 +11,8 @@ from snipflow.sources.tables import table
 
 
 def tree_features(spark, sf_dir):
-    return features.subtree_features(fx.x3_nodes(spark, sf_dir))
+    from snipflow.session import materialize
+    return features.subtree_features(materialize(fx.x3_nodes(spark, sf_dir), "x3_nodes"))
 
 
 def tree_violations(spark, sf_dir):

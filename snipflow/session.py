@@ -78,3 +78,23 @@ def materialize(df, name: str = "stage"):
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def literal_df(spark, rows, schema):
+    """A small fixed table (dimensions defined in code) as a SQL inline table:
+    resolved to a LocalRelation at analysis, no Python worker, no RDD."""
+    from pyspark.sql import types as T
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(v)
+
+    names = [f.name for f in schema.fields]
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields)
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(names)})")

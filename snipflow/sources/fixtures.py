@@ -275,16 +275,18 @@ def x3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         path.alias("path"),
         F.array_repeat(F.lit("body"), F.size(path)).alias("path_fields"),
     )
-    # ancestor kinds and definition names, in path order (trees are ~100 nodes)
-    ex = base.select("sample_id", "node_id", F.posexplode("path").alias("i", "anc_id"))
-    anc = base.select("sample_id", F.col("node_id").alias("anc_id"), F.col("kind").alias("ak"),
-                      F.when(F.col("kind").isin("FunctionDef", "ClassDef"), F.col("name")).alias("an"))
-    pk = (ex.join(anc, ["sample_id", "anc_id"]).groupBy("sample_id", "node_id")
-          .agg(F.array_sort(F.collect_list(F.struct("i", "ak", "an"))).alias("pk")))
-    out = base.join(pk, ["sample_id", "node_id"], "left").select(
+    # ancestor kinds and definition names: each tree (about 100 nodes by
+    # construction) lists its nodes once in the same window partition, and a
+    # path maps through that list — no join
+    whole = (Window.partitionBy("sample_id").orderBy("node_id")
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kinds = F.collect_list("kind").over(whole)        # index = node_id (0..n-1)
+    dnames = F.collect_list(F.when(F.col("kind").isin("FunctionDef", "ClassDef"), F.col("name"))
+                            .otherwise(F.lit(""))).over(whole)
+    out = base.withColumn("_k", kinds).withColumn("_n", dnames).select(
         *base.columns,
-        F.coalesce(F.transform("pk", lambda x: x["ak"]), F.array().cast("array<string>")).alias("path_kinds"),
-        F.coalesce(F.transform("pk", lambda x: x["an"]), F.array().cast("array<string>")).alias("path_names"))
+        F.transform("path", lambda a: F.element_at("_k", a + 1)).alias("path_kinds"),
+        F.transform("path", lambda a: F.nullif(F.element_at("_n", a + 1), F.lit(""))).alias("path_names"))
     return conform(out)
 
 
