@@ -60,6 +60,33 @@ def render(body: Column, func_name: Column, comment_on: Column) -> Column:
     return F.concat(py_strip(c), F.lit("\n"))
 
 
+def prepared_templates(spark: SparkSession) -> DataFrame:
+    """Per-template part of rendering, done once on the 51-row dimension:
+    left-over placeholders lower-cased (G5), comment lines removed for the
+    odd variants (G6), both ends stripped (G7). Role names and function names
+    hold no '#', no whitespace and no placeholder, so doing these steps before
+    the row-level replacements gives the same text as doing them after."""
+    t = templates_df(spark)
+    body = F.col("body")
+    left = F.array_except(F.array_distinct(F.regexp_extract_all(body, F.lit(RESIDUAL), 1)),
+                          F.array(*[F.lit(x) for x in list(tp.ROLE_NAMES) + ["FUNC"]]))
+    low = F.aggregate(left, body, lambda acc, x: F.replace(acc, F.concat(F.lit("__"), x, F.lit("__")),
+                                                           F.lower(x)))
+    lines = F.split(low, "\n", -1)
+    no_comments = F.array_join(F.filter(lines, lambda ln: ~py_lstrip(ln).startswith("#")), "\n")
+    return t.select("*", py_strip(low).alias("body_c"), py_strip(no_comments).alias("body_nc"))
+
+
+def render_prepared(rows: DataFrame) -> Column:
+    """G4 on a prepared template: function name (default ``func``), then the
+    role tokens — a chain of native replaces, no higher-order function."""
+    c = F.when(F.col("variant") % 2 == 0, F.col("body_c")).otherwise(F.col("body_nc"))
+    c = F.replace(c, F.lit("__FUNC__"), F.coalesce(F.col("func_name"), F.lit("func")))
+    for tok in tp.ROLE_NAMES:
+        c = F.replace(c, F.lit(f"__{tok}__"), F.col(f"tok_{tok}"))
+    return F.concat(c, F.lit("\n"))
+
+
 def assign(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """G2 + G3: style = (variant + t_idx) mod 5, name = pool[(variant + t_idx) mod 4]."""
     s = (F.col("variant") + F.col("template_idx"))
@@ -70,17 +97,15 @@ def assign(rows: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def render_rows(rows: DataFrame) -> DataFrame:
-    """Rows with template_idx, variant, body, label (and dimensions) -> code."""
+    """Rows with template_idx, variant and the prepared template -> code."""
     spark = rows.sparkSession
-    a = assign(rows, spark)
-    code = render(F.col("body"), F.col("func_name"), F.col("variant") % 2 == 0)
-    return a.withColumn("code", code)
+    return assign(rows, spark).withColumn("code", render_prepared(rows))
 
 
 def generate(spark: SparkSession) -> DataFrame:
     """G1-G9 + G11: the canonical corpus (templates x 5 variants), debug columns
     kept; sort rows carry their original algorithm name (G9/G11)."""
-    t = expand(templates_df(spark))
+    t = expand(prepared_templates(spark))
     r = render_rows(t)
     flat = r.where(F.col("func_key") != "sorting").select(
         "code", "label", F.col("template_idx").alias("source_template_idx"), "variant")
@@ -99,7 +124,7 @@ def corpus_from_ids(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
                       F.pmod(F.col(id_col), F.lit(n)).cast("int").alias("template_idx"),
                       F.pmod(F.floor(F.col(id_col) / n), F.lit(tp.VARIANTS_PER_TEMPLATE))
                       .cast("int").alias("variant"))
-    rows = rows.join(F.broadcast(templates_df(spark)), "template_idx")
+    rows = rows.join(F.broadcast(prepared_templates(spark)), "template_idx")
     return render_rows(rows).select("doc_id", "template_idx", "variant", "label", "original_name",
                                     "code")
 

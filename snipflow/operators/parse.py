@@ -201,8 +201,10 @@ def parse_nodes(corpus: DataFrame, code: str = "code") -> DataFrame:
     # Parsing costs far more per byte than the shuffle that precedes it, so
     # fix the task count to the cluster's parallelism instead of letting AQE
     # merge small partitions into a single Python task.
+    # (keyed by a different hash than the dedupe's, so the planner keeps it)
     n = 2 * corpus.sparkSession.sparkContext.defaultParallelism
-    return distinct.repartition(n, "sample_id").mapInArrow(_parse_batches, NODE_SCHEMA)
+    return (distinct.repartition(n, F.xxhash64("sample_id"))
+            .mapInArrow(_parse_batches, NODE_SCHEMA))
 
 
 def conform(df: DataFrame) -> DataFrame:

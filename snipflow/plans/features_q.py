@@ -15,7 +15,9 @@ from snipflow.sources.tables import table
 
 
 def _good(spark, sf_dir):
-    good, _ = features.build_features(fx.x6_corpus(spark, sf_dir))
+    # the renderings are read twice (parse input, feature join): write once
+    from snipflow.session import materialize
+    good, _ = features.build_features(materialize(fx.x6_corpus(spark, sf_dir), "x6_corpus"))
     return good
 
 

@@ -15,7 +15,7 @@ SPLIT_KEY = "pmod(xxhash64(doc_id, 42), 2147483647)"
 
 
 def _data(spark, sf_dir):
-    good, _ = features.build_features(fx.x6_corpus(spark, sf_dir))
+    good, _ = features.build_features(materialize(fx.x6_corpus(spark, sf_dir), "x6_corpus"))
     d = good.select("doc_id", "template_idx", "label", *FEATURE_NAMES) \
         .withColumn("split_key", F.expr(SPLIT_KEY))
     return materialize(ev.stratified_split(d, "split_key", ["doc_id"]))
