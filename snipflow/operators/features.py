@@ -247,9 +247,10 @@ def compute_features(nodes: DataFrame) -> DataFrame:
         # linked-list operations look inside module-level functions only
         _flag(in_top).alias("_top"),
         _flag(in_top & (kind == "Attribute") & (name == "next")).alias("_next_in"),
-        F.array_distinct(F.collect_list(F.when(kind == "ClassDef", name))).alias("_classes"),
-        F.array_distinct(F.collect_list(F.when(in_top & is_call & (F.col("s_func.kind") == "Name"),
-                                               F.col("s_func.name")))).alias("_top_calls"),
+        # sets, so a buffer holds the snippet's vocabulary, not one entry per call
+        F.collect_set(F.when(kind == "ClassDef", name)).alias("_classes"),
+        F.collect_set(F.when(in_top & is_call & (F.col("s_func.kind") == "Name"),
+                             F.col("s_func.name"))).alias("_top_calls"),
         _flag(in_top & single & (F.col("s_t0.kind") == "Attribute") & (F.col("s_t0.name") == "next")
               & (val.kind == "Attribute") & (val["name"] == "next")).alias("_skip"),
     )
