@@ -82,6 +82,20 @@ def stratified_folds(df: DataFrame, key: str, tiebreak: list[str], label: str =
         .drop("group_rank", "group_n")
 
 
+def group_split(df: DataFrame, group: str, key: str, label: str = "label",
+                test_fraction: float = 0.2) -> DataFrame:
+    """Group-aware stratified split (next to M2): whole groups (e.g. all
+    renderings of one template) go to one side, so no group leaks across the
+    split. Per class, the first ceil(fraction * groups) groups by ``key`` are
+    test groups. Ranks are over the distinct (class, group) pairs — a small
+    table — joined back by broadcast-free equi-join."""
+    groups = df.select(label, group, key).distinct()
+    r = group_rank(groups, label, key, [group])
+    is_test = F.col("group_rank") <= F.ceil(F.col("group_n") * F.lit(test_fraction))
+    sides = r.select(label, group, F.when(is_test, "test").otherwise("train").alias("split"))
+    return df.join(sides, [label, group])
+
+
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """M3: balanced weights n / (k * n_c), from the training rows only."""
     c = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))

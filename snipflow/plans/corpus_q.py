@@ -37,6 +37,19 @@ def doc_normalize(spark, sf_dir):
                     F.concat(py_strip(kept), F.lit("\n")).alias("uncommented"))
 
 
+GROUP_KEY = "(template_idx * 48271 + 11) % 2147483647"
+
+
+def corpus_group_split(spark, sf_dir):
+    """Group-aware split of the X6 renderings: templates, not rows, are split."""
+    from snipflow.operators.evaluation import group_split
+    c = fx.x6_corpus(spark, sf_dir).select("doc_id", "template_idx", "label") \
+        .withColumn("gkey", F.expr(GROUP_KEY))
+    s = group_split(c, "template_idx", "gkey")
+    return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                           F.count_distinct("template_idx").alias("n_templates"))
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -87,6 +100,14 @@ def oracle():
 FROM ({rs}) c GROUP BY ROLLUP (label)""",
         "corpus_duplicates": f"""SELECT sha256(code) AS code_sha256, count(*) AS n, count(DISTINCT label) AS n_labels
 FROM ({rs}) c GROUP BY 1 HAVING count(*) > 1""",
+        "corpus_group_split": f"""
+WITH c AS (SELECT doc_id, template_idx, label, {GROUP_KEY} AS gkey FROM ({rs}) r),
+g AS (SELECT DISTINCT label, template_idx, gkey FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gkey, template_idx) AS rk,
+             count(*) OVER (PARTITION BY label) AS gn FROM g),
+s AS (SELECT label, template_idx, CASE WHEN rk <= ceil(0.2 * gn) THEN 'test' ELSE 'train' END AS split FROM r)
+SELECT label, split, count(*) AS n_rows, count(DISTINCT template_idx) AS n_templates
+FROM c JOIN s USING (label, template_idx) GROUP BY label, split""",
         "doc_normalize": f"""SELECT doc_id, {sql_py_strip('text')} || chr(10) AS normalized,
   {sql_py_strip(uncommented)} || chr(10) AS uncommented FROM documents""",
     }
@@ -98,4 +119,5 @@ def queries():
         "corpus_report": corpus_report,
         "corpus_duplicates": corpus_duplicates,
         "doc_normalize": doc_normalize,
+        "corpus_group_split": corpus_group_split,
     }

@@ -48,3 +48,13 @@ def test_cv_population_std(spark):
     accs = sorted(x["accuracy"] for x in r)
     assert accs == [0.0, 0.5, 1.0]
     assert abs(r[0]["std_accuracy"] - round(math.sqrt(1 / 6), 6)) < 1e-9
+
+
+def test_group_split_keeps_groups_whole(spark):
+    from conftest import SF01
+    from snipflow.operators.corpus import template_leakage
+    c = fx.x6_corpus(spark, SF01).withColumn("gkey", F.expr("(template_idx * 48271 + 11) % 2147483647"))
+    s = ev.group_split(c, "template_idx", "gkey")
+    assert template_leakage(s).count() == 0
+    assert s.count() == c.count()
+    assert s.where("split = 'test'").select("label").distinct().count() == 17
