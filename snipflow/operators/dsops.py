@@ -43,7 +43,9 @@ def attach_line_text(steps: DataFrame, runs: DataFrame) -> DataFrame:
     (run_id, line_number), so a long text is never re-split per step and a hot
     run's steps spread over its line numbers.
     """
-    lines = runs.select("run_id", F.posexplode(py_splitlines(F.col("code"))).alias("p", "line_text"))
+    # split only the code of runs that have steps (a semi join on the run ids)
+    active = runs.join(steps.select("run_id").distinct(), "run_id", "left_semi")
+    lines = active.select("run_id", F.posexplode(py_splitlines(F.col("code"))).alias("p", "line_text"))
     lines = lines.select("run_id", (F.col("p") + 1).cast("int").alias("line_number"), "line_text")
     return (steps.join(lines, ["run_id", "line_number"], "left")
             .withColumn("line_text", F.coalesce(F.col("line_text"), F.lit(""))))
@@ -83,7 +85,9 @@ def detect_operations(steps: DataFrame) -> DataFrame:
     Adds operation, ds_type, value, data, active_indices, front, rear, top, log.
     The snapshot shows the structure before the line runs.
     """
-    t = py_strip(F.col("line_text"))
+    # the stripped line is read by every test below: compute it once
+    steps = steps.withColumn("_t", py_strip(F.col("line_text")))
+    t = F.col("_t")
     loc = F.col("locals")
     is_deq = t.contains(".popleft(") | t.contains(".pop(0)")
     is_pop = F.regexp_like(t, F.lit(RE_POP)) & ~t.contains(".pop(0)")
@@ -161,7 +165,7 @@ def detect_operations(steps: DataFrame) -> DataFrame:
             .withColumn("front", front.cast("int")).withColumn("rear", rear.cast("int"))
             .withColumn("top", top.cast("int"))
             .withColumn("log", log)
-            .drop("_s", "_has_arg", "_raw", "_arg"))
+            .drop("_s", "_has_arg", "_raw", "_arg", "_t"))
 
 
 def py_str_repr(c: Column) -> Column:
