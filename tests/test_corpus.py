@@ -32,3 +32,16 @@ def test_duplicates(spark):
     g = corpus.generate(spark)
     d = corpus.duplicate_report(g).collect()
     assert all(r["n"] >= 2 for r in d)
+
+
+def test_validate_and_failure_report(spark):
+    from snipflow.operators import features
+    from snipflow.operators.parse import parse_nodes
+    rows = [(i, f"x{i} = {i}\n") for i in range(5)] + [(10 + i, f"def f{i}(:\n") for i in range(25)]
+    df = spark.createDataFrame(rows, "row_id long, code string")
+    good, bad = corpus.validate(df, parse_nodes(df))
+    assert good.count() == 5 and bad.count() == 25
+    _, rejects = features.build_features(df)
+    rep = features.failure_report(rejects.select("row_id", "parse_error"), "row_id").collect()
+    assert len(rep) == 20 and rep[0]["n_failed"] == 25 and rep[0]["n_more"] == 5
+    assert sorted(r["row_id"] for r in rep) == list(range(10, 30))
