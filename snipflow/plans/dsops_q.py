@@ -151,7 +151,7 @@ WITH w AS (SELECT doc_id, text,
 f AS (SELECT *, '[' || array_to_string(reprs, ', ') || ']' AS full_repr FROM w)
 SELECT doc_id, 2 AS n_locals, {_trunc_sql('text')} AS text_value,
   CASE WHEN length(full_repr) > 1000 THEN 'repr' ELSE 'list' END AS words_kind,
-  CASE WHEN length(full_repr) > 1000 THEN NULL ELSE len(reprs[1:50]) END AS words_n_items,
+  CAST(CASE WHEN length(full_repr) > 1000 THEN NULL ELSE len(reprs[1:50]) END AS INT) AS words_n_items,
   CASE WHEN length(full_repr) > 1000 THEN NULL ELSE array_to_string(reprs[1:50], ' ') END AS words_items,
   CASE WHEN length(full_repr) > 1000 THEN {_trunc_sql('full_repr')} END AS words_repr
 FROM f""",

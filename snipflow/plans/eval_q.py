@@ -175,7 +175,7 @@ FROM (SELECT label, count(*) AS n_c FROM ({_split_sql()}) s WHERE split = 'train
         "fold_rows": f"SELECT {keys}, label, fold FROM ({_split_sql()}) s",
         "fold_summary": f"SELECT label, fold, count(*) AS n FROM ({_split_sql()}) s GROUP BY label, fold",
         "feature_profile": f"SELECT label, count(*) AS n_rows, {avgs} FROM ({fx.x4_sql()}) x GROUP BY label",
-        "signature_collisions": f"""SELECT {feats}, count(*) AS n_rows, count(DISTINCT label) AS n_labels,
+        "signature_collisions": f"""SELECT {feats}, count(*) AS n_rows, CAST(count(DISTINCT label) AS INT) AS n_labels,
   array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
 FROM ({fx.x4_sql()}) x GROUP BY ALL HAVING count(DISTINCT label) > 1""",
         "nonzero_features": f"""SELECT * FROM (UNPIVOT (SELECT {keys}, {feats} FROM ({fx.x4_sql()}) x)
@@ -185,7 +185,7 @@ FROM ({fx.x4_sql()}) x GROUP BY ALL HAVING count(DISTINCT label) > 1""",
         "eval_confidence": f"""SELECT doc_id, pred, confidence,
   CAST(CASE WHEN p1 >= p2 AND p1 >= p3 THEN 0 WHEN p2 >= p3 THEN 1 ELSE 2 END AS INT) AS top_index
 FROM ({_x5_sql()}) p""",
-        "eval_accuracy": f"""SELECT count(*) AS n, sum(CASE WHEN y = pred THEN 1 ELSE 0 END) AS hits,
+        "eval_accuracy": f"""SELECT count(*) AS n, CAST(sum(CASE WHEN y = pred THEN 1 ELSE 0 END) AS BIGINT) AS hits,
   round(avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_x5_sql()}) p""",
         "eval_class_report": _report_sql(),
         "eval_confusion": f"""WITH p AS ({_x5_sql()}), lab AS (SELECT DISTINCT y AS l FROM p),

@@ -86,7 +86,8 @@ status AS (
 def oracle():
     return {
         "trace_call_depth": _walk_sql() + """
-SELECT run_id, seq, step_no, event, line_number, call_depth FROM steps WHERE step_no <= """
+SELECT run_id, seq, CAST(step_no AS INT) AS step_no, event, line_number, call_depth
+FROM steps WHERE step_no <= """
         + str(CAP),
         "trace_run_status": _status_sql() + "\nSELECT * FROM status",
         "trace_run_summary": _status_sql() + f""",
@@ -100,7 +101,7 @@ SELECT s.run_id, status, error, step_count, final_output,
 FROM status s LEFT JOIN first USING (run_id)""",
         "trace_hot_lines": _walk_sql() + f"""
 SELECT run_id, line_number, hits, max_depth,
-       rank() OVER (PARTITION BY run_id ORDER BY hits DESC, line_number) AS line_rank
+       CAST(rank() OVER (PARTITION BY run_id ORDER BY hits DESC, line_number) AS INT) AS line_rank
 FROM (SELECT run_id, line_number, count(*) AS hits, max(call_depth) AS max_depth
       FROM steps WHERE step_no <= {CAP} GROUP BY run_id, line_number) t""",
     }

@@ -48,6 +48,17 @@ def digest(columns, rows):
     return [columns[i] for i in order], len(rows), h, lines
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_diffs(df, rel):
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in df.schema.fields}
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [(c, st.get(c), dt.get(c)) for c in sorted(set(st) | set(dt)) if st.get(c) != dt.get(c)]
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -79,12 +90,15 @@ def compare(spark, sf_dir, names=None, verbose=True):
         orows = rel.fetchall()
         sc, sn, sh, sl = digest(scols, srows)
         oc, on, oh, ol = digest(ocols, orows)
-        ok = sc == oc and sn == on and sh == oh
+        tdiff = type_diffs(df, rel)
+        ok = sc == oc and sn == on and sh == oh and not tdiff
         results[name] = ("ok" if ok else "MISMATCH", sn, round(t1 - t0, 2))
         if verbose:
             print(f"{name:40s} {'ok' if ok else 'MISMATCH'} rows={sn}/{on} {t1 - t0:.1f}s",
                   flush=True)
             if not ok:
+                if tdiff:
+                    print("   types (spark, duckdb):", tdiff)
                 if sc != oc:
                     print("   cols spark:", sc, "\n   cols duck: ", oc)
                 a, b = set(sl), set(ol)
