@@ -68,9 +68,14 @@ def nonzero_features(spark, sf_dir):
 
 
 def feature_vector(spark, sf_dir):
+    """the assembled vector in saved feature order (as text) and the
+    name -> value map (its size and one looked-up entry)."""
+    from pyspark.ml.functions import vector_to_array
     m = profile.feature_map(fx.x4_features(spark, sf_dir))
-    return m.select(*KEYS, F.to_json("features_map").alias("features_json"),
-                    F.size(F.map_keys("features_map")).alias("n_features"))
+    vec = F.array_join(F.transform(vector_to_array("features_vec"), lambda v: v.cast("string")), ",")
+    return m.select(*KEYS, vec.alias("features_text"),
+                    F.size(F.map_keys("features_map")).alias("n_features"),
+                    F.element_at("features_map", F.lit("max_loop_depth")).alias("max_loop_depth"))
 
 
 def naming_sensitivity(spark, sf_dir):
@@ -180,6 +185,9 @@ FROM (SELECT label, count(*) AS n_c FROM ({_split_sql()}) s WHERE split = 'train
 FROM ({fx.x4_sql()}) x GROUP BY ALL HAVING count(DISTINCT label) > 1""",
         "nonzero_features": f"""SELECT * FROM (UNPIVOT (SELECT {keys}, {feats} FROM ({fx.x4_sql()}) x)
   ON {feats} INTO NAME feature VALUE value) u WHERE value <> 0""",
+        "feature_vector": f"""SELECT {keys},
+  concat_ws(',', {", ".join(f"CAST({c} AS VARCHAR)" for c in FEATURE_NAMES)}) AS features_text,
+  39 AS n_features, max_loop_depth FROM ({fx.x4_sql()}) x""",
         "naming_sensitivity": f"""SELECT * FROM (UNPIVOT (SELECT template_key, {cds} FROM ({fx.x4_sql()}) x
   GROUP BY template_key) ON {feats} INTO NAME feature VALUE n_values) u WHERE n_values > 1""",
         "eval_confidence": f"""SELECT doc_id, pred, confidence,
