@@ -39,3 +39,31 @@ def test_score_stream(spark, tmp_path):
     q.awaitTermination()
     out = {r["sub_id"]: r for r in spark.read.parquet(os.path.join(d, "out")).collect()}
     assert out["s1"]["status"] == "ok" and out["s2"]["status"] == "empty"
+
+
+def test_stream_late_steps(spark, tmp_path):
+    import datetime as dt
+    d = str(tmp_path)
+    sch = ("run_id long, seq long, event string, func_name string, line_number int, "
+           "locals array<struct<name:string,kind:string,items:array<string>,repr:string>>, "
+           "output string, ts timestamp_ntz")
+    t0 = dt.datetime(2024, 1, 1)
+
+    def rows(seqs, events):
+        return [(1, s, e, "f", 1, None, None, t0 + dt.timedelta(seconds=s)) for s, e in zip(seqs, events)]
+
+    spark.createDataFrame(rows([10, 11, 12, 13, 14], ["call", "call", "line", "return", "line"]), sch) \
+        .coalesce(1).write.parquet(os.path.join(d, "in", "b1"))
+    spark.createDataFrame(rows([5, 6, 15, 16], ["call", "line", "call", "line"]), sch) \
+        .coalesce(1).write.parquet(os.path.join(d, "in", "b2"))
+    src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in", "*"))
+    q = (traced_stream(src, cap=100, idle_ms=3_600_000)
+         .writeStream.format("memory").queryName("t19late").outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.table("t19late").orderBy("late", "seq").collect()
+    late = [r["seq"] for r in out if r["late"]]
+    kept = [(r["seq"], r["step_no"], r["call_depth"]) for r in out if not r["late"]]
+    assert late == [5, 6]
+    # depth continues across micro-batches: 1, 2, 2, 2 (return shows pre-pop), 1, then call -> 2
+    assert kept == [(10, 1, 1), (11, 2, 2), (12, 3, 2), (13, 4, 2), (14, 5, 1), (15, 6, 2), (16, 7, 2)]
