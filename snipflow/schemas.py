@@ -61,25 +61,7 @@ CORPUS_SCHEMA = T.StructType([
     T.StructField("label", T.StringType(), True),
 ])
 
-# One row per syntax node, preorder-numbered (see operators/parse.py).
-AST_NODES_SCHEMA = T.StructType([
-    T.StructField("sample_id", T.StringType(), False),
-    T.StructField("node_id", T.IntegerType(), False),
-    T.StructField("parent_id", T.IntegerType(), True),
-    T.StructField("end_id", T.IntegerType(), False),
-    T.StructField("depth", T.IntegerType(), False),
-    T.StructField("field", T.StringType(), True),
-    T.StructField("pos", T.IntegerType(), True),
-    T.StructField("kind", T.StringType(), False),
-    T.StructField("op", T.StringType(), True),
-    T.StructField("name", T.StringType(), True),
-    T.StructField("const_num", T.DoubleType(), True),
-    T.StructField("n_args", T.IntegerType(), True),
-    T.StructField("n_elts", T.IntegerType(), True),
-    T.StructField("level", T.IntegerType(), True),
-    T.StructField("lineno", T.IntegerType(), True),
-    T.StructField("parse_error", T.StringType(), True),
-])
+# The syntax-node table schema lives with its producer: operators/parse.py NODE_SCHEMA.
 
 LOCAL_SCHEMA = T.StructType([
     T.StructField("name", T.StringType(), True),

@@ -42,3 +42,22 @@ def test_write_corpus(spark, tmp_path):
     assert sorted(clean.columns) == ["code", "label"] and clean.count() == g.count()
     dbg = spark.read.json(os.path.join(str(tmp_path), "dataset_debug"))
     assert dbg.where(F.col("original_algorithm").isNotNull()).count() == 105
+
+
+def test_steps_and_submissions_roundtrip(spark, tmp_path):
+    from conftest import SF001
+    from snipflow.operators import trace
+    from snipflow.sources import fixtures as fx
+    steps = fx.x1_steps(spark, SF001).withColumn("line_number", F.col("line_number").cast("int")) \
+        .withColumn("locals", F.lit(None).cast(
+            "array<struct<name:string,kind:string,items:array<string>,repr:string>>")) \
+        .select("run_id", "seq", "event", "func_name", "line_number", "locals", "output", "ts")
+    path = os.path.join(str(tmp_path), "steps")
+    io.write_steps(steps, path)
+    back = io.read_steps(spark, path)
+    a = trace.traced_steps(steps, 50).select("run_id", "seq", "call_depth")
+    b = trace.traced_steps(back, 50).select("run_id", "seq", "call_depth")
+    assert a.exceptAll(b).count() == 0 and b.count() == a.count()
+    subs = os.path.join(str(tmp_path), "subs")
+    spark.createDataFrame([("a", "x = 1\n", None)], io.SUBMISSION_SCHEMA).write.json(subs)
+    assert io.read_submissions(spark, subs).collect()[0]["code"] == "x = 1\n"
