@@ -42,14 +42,19 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
 
 # ------------------------------------------------------- exact group rank --
 def group_rank(df: DataFrame, group: str, key: str, tiebreak: list[str],
-               key_range: int = 2**31, n_slices: int = 64) -> DataFrame:
+               key_range: int = 2**31, n_slices: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by group order by key, tiebreak)``.
 
     ``key`` must be spread over ``[0, key_range)`` (a hash). Rows are cut into
     ``n_slices`` key slices; ranks are local to (group, slice) and offset by
     the row counts of the earlier slices of the group, so no task holds more
-    than about 1/n_slices of a class.
+    than about 1/n_slices of a class. By default the slice count follows the
+    session's shuffle partitions (a cluster sized for its data), at least 64;
+    the offsets table is classes x slices rows.
     """
+    if n_slices is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        n_slices = max(64, 2 * parts)
     sl = F.least(F.floor(F.col(key) * n_slices / key_range), F.lit(n_slices - 1)).cast("int")
     d = df.withColumn("_slice", sl)
     counts = d.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
