@@ -472,7 +472,7 @@ def build_features(corpus: DataFrame, code: str = "code") -> tuple[DataFrame, Da
 def failure_report(rejects: DataFrame, order_col: str, shown: int = 20) -> DataFrame:
     """The first ``shown`` failures by ``order_col`` plus the total and the
     number not shown ("... and N more"). A top-k, not a sort of all failures."""
-    first = rejects.orderBy(order_col).limit(shown).withColumn("_k", F.lit(1))
-    total = rejects.agg(F.count(F.lit(1)).alias("n_failed")).withColumn("_k", F.lit(1))
-    return (first.join(F.broadcast(total), "_k").drop("_k")  # total is one row
+    total = rejects.agg(F.count(F.lit(1)).alias("n_failed")).scalar()   # scalar subquery
+    return (rejects.orderBy(order_col).limit(shown)
+            .withColumn("n_failed", total)
             .withColumn("n_more", F.greatest(F.col("n_failed") - shown, F.lit(0))))
