@@ -36,8 +36,18 @@ def pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int =
 
 
 def fit(train: DataFrame, **kw) -> PipelineModel:
-    """M3 + M4: balanced weights from the training rows, then the forest."""
-    return pipeline(**kw).fit(with_class_weight(train.select(*FEATURE_NAMES, "label")))
+    """M3 + M4: balanced weights from the training rows, then the forest.
+
+    The forest samples rows per partition, so the same seed gives the same
+    forest only if rows land in the same partitions in the same order. Rows
+    are therefore hash-partitioned and sorted by their content (equal rows are
+    interchangeable) — one shuffle of the training set buys reproducibility.
+    """
+    cols = [*FEATURE_NAMES, "label"]
+    d = with_class_weight(train.select(*cols))
+    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = d.repartition(n, *cols).sortWithinPartitions(*cols)
+    return pipeline(**kw).fit(d)
 
 
 def labels_of(model: PipelineModel) -> list[str]:

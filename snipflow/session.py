@@ -21,9 +21,12 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what is explicitly hinted after a size check; do not let
-    # a stale statistic broadcast a side that grew with the data.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from planner estimates (a stale statistic must not
+    # broadcast a side that grew with the data). Broadcasts happen for the
+    # explicitly hinted dimensions fixed by code, or when AQE has measured a
+    # finished stage below the runtime threshold.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 
