@@ -79,7 +79,7 @@ def _opt(df: DataFrame, name: str, default: Column) -> Column:
 
 
 def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
-               time_limit_s: float = TIMEOUT_SECONDS) -> DataFrame:
+               time_limit_s: float = TIMEOUT_SECONDS, capped: DataFrame | None = None) -> DataFrame:
     """T15 + T16: one row per run with status, error text, steps kept, output.
 
     ``runs`` has ``run_id, code`` and may carry screening results
@@ -94,7 +94,8 @@ def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
           - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6).alias("duration_s"),
         F.max_by(F.struct("event", "line_number"), "seq").alias("_last"),
     )
-    capped = call_depth(cap_steps(user_steps(steps), cap))
+    if capped is None:
+        capped = call_depth(cap_steps(user_steps(steps), cap))
     kept = F.col("step_no") <= cap
     per_run = capped.groupBy("run_id").agg(
         F.count(F.when(kept, 1)).alias("n_steps"),
@@ -145,8 +146,10 @@ def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
 def run_summary(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
                 time_limit_s: float = TIMEOUT_SECONDS, shown: int = SHOWN_STEPS) -> DataFrame:
     """Status + the first ``shown`` steps in compact form + "... N more steps"."""
-    st = run_status(runs, steps, cap, time_limit_s)
-    first = (traced_steps(steps, cap).where(F.col("step_no") <= shown)
+    # one capped walk feeds both the status and the first steps
+    capped = call_depth(cap_steps(user_steps(steps), cap))
+    st = run_status(runs, steps, cap, time_limit_s, capped=capped)
+    first = (capped.where(F.col("step_no") <= shown)
              .groupBy("run_id").agg(F.array_join(F.transform(
                  F.array_sort(F.collect_list(F.struct(
                      "step_no", F.concat_ws(":", "event", F.col("line_number").cast("string"),
