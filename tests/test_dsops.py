@@ -71,3 +71,24 @@ def test_locals_bounds(spark):
     assert by["s"]["repr"] == "x" * 1000 + "... (truncated)"
     assert by["big"]["kind"] == "repr" and by["big"]["repr"].endswith("... (truncated)")
     assert len(by["small"]["items"]) == 50
+
+
+def test_argument_parsing(spark):
+    rows = [
+        ("stack.append('hello')", [L("stack", [1])]),
+        ("stack.append(+7)", [L("stack", [1])]),
+        ("stack.append(2.)", [L("stack", [1])]),
+        ("stack.append(007)", [L("stack", [1])]),
+        ("stack.append( xs )", [L("stack", [1]), L("xs", [1, 2])]),
+        ("queue.append()", [L("queue", [3])]),
+        ("stack.append(123456789012345678901234567890)", [L("stack", [])]),
+    ]
+    o = _ops(spark, rows)
+    assert o["stack.append('hello')"]["value"] == "hello"
+    assert o["stack.append(+7)"]["value"] == "7"
+    assert o["stack.append(2.)"]["value"] == "2.0"
+    assert o["stack.append(007)"]["value"] == "7"
+    assert o["stack.append( xs )"]["value"] == "[1, 2]"
+    q = o["queue.append()"]
+    assert q["value"] == "None" and q["log"] == "Enqueued None to queue. Queue is now: [3]"
+    assert o["stack.append(123456789012345678901234567890)"]["value"] == "123456789012345678901234567890"
