@@ -19,3 +19,13 @@ def test_entry_smoke(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.count() > 0
+
+
+def test_every_registered_query_runs(spark):
+    """All registered queries, including rows-only ones, run at sf0.001 with
+    unique column names."""
+    import __spark_entry__ as entry
+    for name, fn in entry.queries().items():
+        df = fn(spark, SF001)
+        assert len(df.columns) == len(set(df.columns)), name
+        assert df.count() >= 0, name
