@@ -6,8 +6,9 @@ The library never creates a session on import; callers pass one in.
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,19 +51,50 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) do we create one under the system
-    temp folder.
+    ``spark.checkpoint.dir`` is used as it is, scheme included. Only a local
+    master (tests) may leave it unset and gets a temporary folder; on a cluster
+    a machine-local folder is invisible to the other hosts, so that is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
         d = tempfile.mkdtemp(prefix="snipflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
-    return d.replace("file:", "") if d.startswith("file:") and os.name == "posix" else d
+    return d.rstrip("/")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system API (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Written intermediates of one job, in the shared checkpoint folder.
+
+    ``save`` writes a DataFrame as Parquet and reads it back: lineage is cut,
+    later stages prune columns, and a lost executor re-reads files instead of
+    recomputing. ``drop`` deletes one step (or all of them) once no plan reads
+    it any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def save(self, df, step: str, compression: str = "snappy"):
+        path = f"{self.root}/{step}"
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *steps: str) -> None:
+        for path in [f"{self.root}/{s}" for s in steps] or [self.root]:
+            delete_path(self.spark, path)
 
 
 def materialize(df, name: str = "stage"):
@@ -74,15 +106,26 @@ def materialize(df, name: str = "stage"):
     pushdown on the files, and a lost executor re-reads files instead of
     recomputing the lineage. (RDD ``checkpoint()`` would run the lineage twice
     unless cached, and yields rows, not columns.)
+
+    The files stay while the returned DataFrame may be read; those of a driver
+    process are deleted when it ends.
     """
-    import uuid
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _at_exit(spark, path)
     return spark.read.parquet(path)
 
 
+def _at_exit(spark: SparkSession, path: str) -> None:
+    def remove():
+        try:
+            delete_path(spark, path)
+        except Exception:  # the session has already stopped: nothing to call
+            pass
+    atexit.register(remove)
+
+
 def literal_df(spark, rows, schema):
     """A small fixed table (dimensions defined in code) as a SQL inline table:
     resolved to a LocalRelation at analysis, no Python worker, no RDD."""

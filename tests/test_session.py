@@ -20,3 +20,35 @@ def test_parse_keeps_parallelism(spark):
     nodes = parse_nodes(df)
     assert nodes.rdd.getNumPartitions() >= 2
     assert nodes.where("node_id = 0").count() == 40
+
+
+def test_cluster_master_needs_a_shared_folder(monkeypatch):
+    import pytest
+    from snipflow import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="shared folder"):
+        session.checkpoint_dir(Session())
+
+
+def test_scratch_save_and_drop(spark):
+    import os
+    from snipflow.session import Scratch
+    s = Scratch(spark, "t")
+    assert s.save(spark.range(5), "a").count() == 5
+    assert os.path.isdir(f"{s.root}/a")
+    s.drop("a")
+    assert not os.path.exists(f"{s.root}/a")
+    s.drop()
