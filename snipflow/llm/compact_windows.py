@@ -17,13 +17,14 @@ with probability 0.64, some of five with 0.994; equal passages share all.
    a passage on a third of all documents is one row per block.
 3. A block asks the hubs' blocks for the tokens of the passages in question, each
    once, and verifies its own aligned passages: Jaccard similarity of the token
-   sets of at least 0.8. Members that fail choose a hub among themselves and go
-   round again, until no signature has two documents left.
+   sets of at least 0.8. Members without any verified passage with their hub
+   choose a new hub among themselves (``ROUNDS`` in all).
 4. Verified links give classes; verified passages give each document's spans.
 
-Nothing is capped. A document is compared with the hub of each of its
-signatures, not with each member, so links inside a group appear through its
-hub.
+A document is compared with the hubs of its signatures, not with each member,
+so links inside a group appear through its hub: a pair is lost only if, for all
+signatures it shares (five per run of passage starts, all of them for equal
+passages), both rounds gave hubs that hold no similar passage.
 
 Defined results: null and empty texts, and texts under ``WORDS`` words, have no
 passage and form a class of their own; equal texts share a class whatever their
@@ -50,6 +51,7 @@ SHINGLE, WORDS = 5, 50
 TOKENS = WORDS - SHINGLE + 1
 PAIRS = 5
 PERCENT = 80
+ROUNDS = 2
 _S = mix(np.arange(1, 4 * PAIRS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _S[:2 * PAIRS], _S[2 * PAIRS:] | np.uint64(1)
 _LOW = np.uint64((1 << 28) - 1)
@@ -301,6 +303,48 @@ def _merge(spans):
     return out
 
 
+def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
+    """Word ranges of a document and of its hub whose passages are similar enough.
+
+    Along one alignment the equal tokens of every passage are counted at once;
+    where tokens do not repeat, that count bounds the similarity from below.
+    What it leaves open is decided on the token sets at both ends of the hits."""
+    mine, yours = [], []
+    least = -(-2 * percent * TOKENS // (100 + percent))     # equal tokens that make the similarity
+    los = [p[0] for p in theirs]
+    cut = np.flatnonzero(hits["shift"][1:] != hits["shift"][:-1]) + 1
+    unsure = []
+    for g in np.split(hits, cut):
+        shift = int(g["shift"][0])
+        for first, last in _merge(zip(g["a"].tolist(), (g["b"] + 1).tolist())):
+            first = max(first, -shift)
+            at = np.searchsorted(los, first + shift, "right") - 1
+            if at < 0 or first >= last:
+                continue
+            lo, tok = theirs[at]
+            z = tok[first + shift - lo:last + shift - lo + TOKENS - 1]
+            x = own[first:first + len(z)]
+            if len(x) < TOKENS:
+                continue
+            z = z[:len(x)]
+            same = np.concatenate([[0], np.cumsum(x == z)])
+            equal = same[TOKENS:] - same[:-TOKENS]
+            plain = len(np.unique(x)) == len(x) and len(np.unique(z)) == len(z)
+            good = equal >= (least if plain else TOKENS)
+            for p, q in _merge((int(k), int(k) + 1) for k in np.flatnonzero(good)):
+                mine.append((first + p, first + q - 1 + WORDS))
+                yours.append((first + p + shift, first + q - 1 + shift + WORDS))
+            if not good.all():
+                ends = {0, len(equal) - 1} | {int(k) - first for k in g["a"].tolist()} | {int(k) - first for k in g["b"].tolist()}
+                unsure += [(first + k, x[k:k + TOKENS], z[k:k + TOKENS], shift) for k in sorted(ends) if 0 <= k < len(equal) and not good[k]]
+    if not mine:
+        for p, x, z, shift in unsure:
+            if _similar(x, z, percent):
+                mine.append((p, p + WORDS))
+                yours.append((p + shift, p + shift + WORDS))
+    return mine, yours
+
+
 def _verify(percent):
     def run(t, block, right):
         hits = [np.frombuffer(x, _HIT) for x in right["hits"].to_pylist() if x]
@@ -316,34 +360,16 @@ def _verify(percent):
         hits = hits[np.lexsort((hits["a"], hits["shift"], hits["hub"], hits["row"]))]
         change = np.flatnonzero((hits["row"][1:] != hits["row"][:-1]) | (hits["hub"][1:] != hits["hub"][:-1])) + 1
         found, failed, cache = [], [], (-1, None)
-        for g in np.split(hits, change) if len(hits) else []:
+        for g in np.split(hits, change):
             row, hub = int(g["row"][0]), int(g["hub"][0])
             if cache[0] != row:
                 cache = (row, doc_tokens(block, [row])[row])
-            own, theirs, done = cache[1], passages.get(hub, []), {}
-            mine, yours = [], []
-            los = [p[0] for p in theirs]
-            for a, b, shift, sig in zip(*(g[c].tolist() for c in ("a", "b", "shift", "sig"))):
-                ok = False
-                for s in {a, b, (a + b) // 2}:
-                    if (s, shift) not in done:
-                        q, good = max(s + shift, 0), False
-                        at = np.searchsorted(los, q, "right") - 1
-                        if at >= 0:
-                            lo, tok = theirs[at]
-                            z = tok[q - lo:q - lo + TOKENS]
-                            x = own[s:s + TOKENS]
-                            if len(z) == TOKENS:
-                                good = bool((x == z).all()) or _similar(x, z, percent)
-                        done[(s, shift)] = good
-                        if good:
-                            mine.append((s, s + WORDS))
-                            yours.append((q, q + WORDS))
-                    ok |= done[(s, shift)]
-                if not ok:
-                    failed.append((sig, block.ids[row]))
+            mine, yours = _agreeing(cache[1], passages.get(hub, []), g, percent)
             doc = int(block.ids[row])
-            found += [(doc, hub, x, y) for x, y in _merge(mine)] + [(hub, doc, x, y) for x, y in _merge(yours)]
+            if mine:
+                found += [(doc, hub, x, y) for x, y in _merge(mine)] + [(hub, doc, x, y) for x, y in _merge(yours)]
+            else:
+                failed += [(sig, doc) for sig in np.unique(g["sig"]).tolist()]
         # a hub's spans once per block; the link itself is in the member's rows
         seen, rows = set(), []
         member = set(block.ids[hits["row"]].tolist())
@@ -421,7 +447,7 @@ def _classes(table: BlockTable, scratch: Scratch, docs: DataFrame, percent: int)
         found.append(result.where("kind = 0"))
         left_open = result.where("kind = 1").select("block", "open")
         rounds += 1
-        if left_open.isEmpty():
+        if rounds == ROUNDS or left_open.isEmpty():
             break
         right = _with_marks(left_open, marks, "open binary")
     spans = found[0]
