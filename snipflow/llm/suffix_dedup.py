@@ -357,9 +357,14 @@ def _finish(t: int, block: Block, right: pa.Table) -> pa.Table:
         if len(warm):
             r = rep[warm]
             around, _, _ = surroundings(block, doc[r], at[r])
-            for j, rows, a, b in _window_hashes(around, ll[r], rl[r]):
+            mine = list(_window_hashes(around, ll[r], rl[r]))
+            a, b, d = _lowest(np.concatenate([x[2] for x in mine]), np.concatenate([x[3] for x in mine]),
+                              np.concatenate([low[r][x[1]] for x in mine]))
+            for k in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), d.tolist()):
+                least[k[:2]] = min(k[2], least.get(k[:2], k[2]))
+            for j, rows, a, b in mine:
                 got = np.full(len(mask), np.iinfo(np.int64).max)
-                got[warm[rows]] = [least.get(k, np.iinfo(np.int64).max) for k in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())]
+                got[warm[rows]] = [least[k] for k in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())]
                 lows[j] = got
         for j in range(REACH + 1):
             ok = (ll >= j) & (rl >= LENGTH - j)
@@ -422,8 +427,10 @@ def _remove(table: BlockTable, buckets: int, hot: int) -> DataFrame:
     masks = scratch.save(cold.repartitionByRange("lead").sortWithinPartitions("lead")
                          .mapInArrow(_compare_suffixes, "block int, idx int, mask bigint"), "masks")
     warm = suffixes.where("kind = 2").select("block", "wa", "wb", "doc")
-    lowest = warm.groupBy("wa", "wb").agg(F.min("doc").alias("low"))
-    warm = warm.join(lowest, ["wa", "wb"]).select("block", "wa", "wb", F.col("low").alias("doc"))
+    # Only blocks whose own lowest id is not the lowest of all need an answer.
+    lowest = warm.groupBy("wa", "wb").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    warm = (warm.join(lowest, ["wa", "wb"]).where("doc > low")
+            .select("block", "wa", "wb", F.col("low").alias("doc")))
     types = dict(kind="int", block="int", doc_id="bigint", own="bigint", idx="int", mask="bigint", wa="bigint", wb="bigint",
                  doc="bigint", blob="binary")
 
