@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snipflow.llm.common import buffers, slices, text_frame
+from snipflow.session import Scratch
 
 PER_CLASS = 3000
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -93,19 +94,19 @@ def fit(feats: list[np.ndarray], y: np.ndarray, rate: float, dims: int, cost: fl
         count[y[i], feats[i]] += 1
     ratio = np.log(count[1] / (np.sum(y[train] == 1) + 2 * smooth)) - np.log(count[0] / (np.sum(y[train] == 0) + 2 * smooth))
     sign = np.where(y == 1, 1.0, -1.0)
-    x = [ratio[f] for f in feats]
-    x = [v / _norm(v) for v in x]
-    w, b = np.zeros(dims), 0.0
+    scale = np.array([1.0 / _norm(ratio[f]) for f in feats])
+    w, b = np.zeros(dims), 0.0          # values are ratio x scale, made when needed: only ids are held
     alpha = np.zeros(n)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(train):
-            g = sign[i] * (w[feats[i]] @ x[i] + b) - 1.0
+            x = ratio[feats[i]] * scale[i]
+            g = sign[i] * (w[feats[i]] @ x + b) - 1.0
             new = min(max(alpha[i] - g / 2.0, 0.0), cost)      # unit row and constant: Q_ii = 2
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                w[feats[i]] += step * sign[i] * x[i]
+                w[feats[i]] += step * sign[i] * x
                 b += step * sign[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
@@ -113,7 +114,7 @@ def fit(feats: list[np.ndarray], y: np.ndarray, rate: float, dims: int, cost: fl
     test = np.flatnonzero(held)
     if len(set(y[test].tolist())) < 2:
         test = np.arange(n)
-    m = np.array([w[feats[i]] @ x[i] + b for i in test])
+    m = np.array([w[feats[i]] @ ratio[feats[i]] * scale[i] + b for i in test])
     t = (y[test] == 1).astype(float)
     share = t.mean()
     weight = np.where(t == 1, rate / share, (1 - rate) / (1 - share))
@@ -140,13 +141,17 @@ def train(df: DataFrame, labels: DataFrame, extract: Extract, dims: int, label_c
           id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, seed: int = 11) -> Model:
     """Fit on a bounded sample of the labelled rows where ``usable`` holds."""
     picked, counts = sample_ids(labels, id_col, label_col, usable, per_class, seed)
-    # At most 2 x per_class ids: a proven bound, so the texts need no shuffle.
-    rows = (text_frame(df, id_col, text_col).join(F.broadcast(picked), "doc_id")
-            .mapInArrow(_feature_rows(extract), "doc_id bigint, y int, feat binary").collect())
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["feat"])))
+    # At most 2 x per_class ids: a proven bound, so the texts need no shuffle. The
+    # sample's n-gram ids are written and then read part by part.
+    scratch = Scratch(df.sparkSession, "sample")
+    saved = scratch.save(text_frame(df, id_col, text_col).join(F.broadcast(picked), "doc_id")
+                         .mapInArrow(_feature_rows(extract), "doc_id bigint, y int, feat binary"), "rows")
+    rows = [(r["doc_id"], r["y"], bytes(r["feat"])) for r in saved.toLocalIterator()]
+    scratch.drop()
+    rows.sort()
     total = sum(counts.values())
     rate = counts.get(1, 0) / total if total else 0.5
-    return fit([np.frombuffer(r["feat"], np.int32) for r in rows], np.array([r["y"] for r in rows], int), rate, dims)
+    return fit([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows], int), rate, dims)
 
 
 def score(df: DataFrame, model: Model, extract: Extract, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
