@@ -95,6 +95,10 @@ class Words:
         base, n = int(off[0]), int(off[-1] - off[0])
         b = data[base:base + n]
         rel = off - base
+        if n == 0:                          # nothing but empty texts
+            self.start = self.end = self.doc = np.zeros(0, np.int64)
+            self.hash, self.first = np.zeros(0, np.uint64), np.zeros(len(rel), np.int64)
+            return
         if lower:
             b = _LOWER[b]
         between = _SPACE

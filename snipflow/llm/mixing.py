@@ -43,7 +43,8 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int, exact: int = EX
     budget = max(0, min(budget, total))
     if total == 0:
         return [0] * len(sizes)
-    take = [c * budget // total if s else 0 for s, c in zip(sizes, counts)]
+    share = budget - min(budget, exact // 2)       # the rest stays open for the exact part
+    take = [c * share // total if s else 0 for s, c in zip(sizes, counts)]
     left = budget - sum(s * t for s, t in zip(sizes, take))
     order = sorted((i for i, s in enumerate(sizes) if s), key=lambda i: (sizes[i] * 2654435761) % (1 << 32))
     while left > exact:
