@@ -15,15 +15,10 @@ from pyspark.sql.window import Window
 
 from snipflow.schemas import FEATURE_NAMES
 
-MAX_CLASSES = 10_000  # a class list above this is a modelling error, not data
-
-
 def class_labels(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct labels; the list is bounded by MAX_CLASSES and checked."""
-    rows = df.select(col).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct values in {col}")
-    return sorted(r[0] for r in rows if r[0] is not None)
+    """Sorted distinct labels (one per class), for the wide confusion matrix, whose
+    columns they are."""
+    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
 
 
 # ------------------------------------------------------------------ M1 -----
@@ -186,10 +181,18 @@ def confusion_wide(pred: DataFrame, y: str = "y", p: str = "pred",
 
 def confusion_long(pred: DataFrame, y: str = "y", p: str = "pred",
                    labels: list[str] | None = None) -> DataFrame:
-    labels = labels if labels is not None else class_labels(pred, y)
-    wide = confusion_wide(pred, y, p, labels)
-    return wide.unpivot("true_label", labels, "pred_label", "n").select(
-        "true_label", "pred_label", F.col("n").cast("long").alias("n"))
+    """(true_label, pred_label, n) of every pair of a true label and a label, zeros
+    included; labels are data here, so any string may be one."""
+    counts = (pred.groupBy(F.col(y).alias("_t"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")))
+    true = counts.where("_t IS NOT NULL").select(F.col("_t").alias("true_label")).distinct()
+    if labels is None:
+        listed = true.agg(F.collect_list("true_label").alias("_l"))
+    else:
+        listed = true.limit(1).select(F.array(*[F.lit(x) for x in labels]).alias("_l"))
+    # the result has a row per pair by definition: classes x classes, not rows x rows
+    pairs = true.join(F.broadcast(listed)).select("true_label", F.explode("_l").alias("pred_label"))
+    return (pairs.join(counts, (F.col("true_label") == F.col("_t")) & (F.col("pred_label") == F.col("_p")), "left")
+            .select("true_label", "pred_label", F.coalesce("_n", F.lit(0)).cast("long").alias("n")))
 
 
 # -------------------------------------------------------------- M12 -------

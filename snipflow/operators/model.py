@@ -25,13 +25,16 @@ SEED = 42
 # -----------------------------------------------------------------------------
 
 
-def pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED) -> Pipeline:
+def pipeline(num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH, seed: int = SEED,
+             max_bins: int = 32) -> Pipeline:
+    """``max_bins``: distinct split values kept per feature; raise it for features
+    with more distinct counts, which are binned otherwise."""
     indexer = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc",
                             handleInvalid="keep")
     assembler = VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features")
     rf = RandomForestClassifier(labelCol="label_idx", featuresCol="features", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                featureSubsetStrategy="sqrt", maxBins=32)
+                                featureSubsetStrategy="sqrt", maxBins=max_bins)
     return Pipeline(stages=[indexer, assembler, rf])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snipflow.functions.text import is_blank, py_rstrip, py_strip
+from snipflow.schemas import SYNTAX_ERRORS
 
 # --- fixed values: screening lists and messages ------------------------------
 BLOCKED_NAMES = ["open", "__import__", "exec", "eval", "compile", "input", "os", "sys",
@@ -94,7 +95,7 @@ def _parse_error(prefix: str) -> F.Column:
     syntax = F.concat(F.lit("Syntax error on line "),
                       F.coalesce(F.col(f"{prefix}_line").cast("string"), F.lit("None")),
                       F.lit(": "), F.col(f"{prefix}_emsg"))
-    return (F.when(et == "SyntaxError", F.struct(F.lit("syntax_error").alias("k"), syntax.alias("m")))
+    return (F.when(et.isin(*SYNTAX_ERRORS), F.struct(F.lit("syntax_error").alias("k"), syntax.alias("m")))
             .when(et == "ValueError", F.struct(F.lit("policy_error").alias("k"),
                                                 F.col(f"{prefix}_emsg").alias("m")))
             .when(et.isNotNull(), F.struct(F.lit("prepare_error").alias("k"),

@@ -16,6 +16,7 @@ from snipflow.operators import features, model, rules
 from snipflow.operators.parse import parse_nodes, sample_ids
 from snipflow.schemas import FEATURE_NAMES
 from snipflow.session import materialize
+from snipflow.schemas import SYNTAX_ERRORS
 
 # --- fixed values: request error texts -----------------------------------------
 MSG_EMPTY = "`code` field is empty."
@@ -46,7 +47,7 @@ def analyse(subs: DataFrame, fitted: PipelineModel, id_col: str = "sub_id") -> D
                     fmap.alias("features"))
     out = (s.join(ok, "sample_id", "left").join(errs, "sample_id", "left"))
     status = (F.when(F.col("_blank"), "empty")
-              .when(F.col("error_type") == "SyntaxError", "parse_error")
+              .when(F.col("error_type").isin(*SYNTAX_ERRORS), "parse_error")
               .when(F.col("error_type").isNotNull(), "extraction_error")
               .when(F.col("algorithm").isNotNull(), "ok")
               .otherwise("extraction_error"))

@@ -80,3 +80,6 @@ TRACE_STEPS_SCHEMA = T.StructType([
     T.StructField("output", T.StringType(), True),
     T.StructField("ts", T.TimestampNTZType(), True),
 ])
+
+# Python's syntax error and its subclasses: all report as syntax errors.
+SYNTAX_ERRORS = ("SyntaxError", "IndentationError", "TabError")

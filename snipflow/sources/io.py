@@ -31,12 +31,16 @@ SUBMISSION_SCHEMA = T.StructType([
 
 
 def _reader(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parquet, JSON lines (a file or a folder of part files) or one JSON array.
+
+    The content decides between the two JSON forms: a document whose first
+    character is ``[`` is an array, which no split can cut; every other input is
+    read line by line, one row per line."""
     if path.endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
-    if path.endswith(".jsonl"):
-        return spark.read.schema(schema).json(path)
-    # one JSON array document (the reference's format); not splittable
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    head = spark.read.text(path).where("length(trim(value)) > 0").limit(1).collect()
+    array = bool(head) and head[0][0].lstrip().startswith("[")
+    return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
 def read_corpus(spark: SparkSession, *paths: str, debug: bool = False) -> DataFrame:
@@ -72,7 +76,7 @@ def write_features(df: DataFrame, path: str) -> None:
 def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A4: feature table with the explicit schema; returns (all columns, X only)."""
     df = (spark.read.schema(FEATURES_SCHEMA).option("header", True).option("escape", '"')
-          .option("multiLine", True).csv(path))
+          .option("multiLine", True).csv(path))         # labels may hold line breaks
     return df, df.drop("label")
 
 

@@ -58,3 +58,10 @@ def test_group_split_keeps_groups_whole(spark):
     assert template_leakage(s).count() == 0
     assert s.count() == c.count()
     assert s.where("split = 'test'").select("label").distinct().count() == 17
+
+
+def test_confusion_long_takes_any_label(spark):
+    from snipflow.operators.evaluation import confusion_long
+    df = spark.createDataFrame([("a.b", "n"), ("n", "n"), ("n", "true_label"), ("true_label", "zz")], "y string, pred string")
+    got = {(r[0], r[1]): r[2] for r in confusion_long(df).collect()}
+    assert len(got) == 9 and got[("a.b", "n")] == 1 and got[("n", "true_label")] == 1 and sum(got.values()) == 3

@@ -61,3 +61,11 @@ def test_steps_and_submissions_roundtrip(spark, tmp_path):
     subs = os.path.join(str(tmp_path), "subs")
     spark.createDataFrame([("a", "x = 1\n", None)], io.SUBMISSION_SCHEMA).write.json(subs)
     assert io.read_submissions(spark, subs).collect()[0]["code"] == "x = 1\n"
+
+
+def test_corpus_written_in_parts_is_read_back_whole(spark, scratch):
+    from snipflow.sources.io import read_corpus, write_corpus
+    df = spark.createDataFrame([(f"x = {i}\n", "c") for i in range(50)], "code string, label string").repartition(4)
+    write_corpus(df, scratch)
+    back = read_corpus(spark, f"{scratch}/dataset")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
