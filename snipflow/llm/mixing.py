@@ -59,7 +59,7 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int, exact: int = EX
     for i in sorted(order, key=lambda i: -sizes[i]):
         if left <= exact:
             break
-        n = min(counts[i] - take[i], left // sizes[i])
+        n = min(counts[i] - take[i], left // sizes[i], -(-(left - exact) // sizes[i]))
         take[i] += n
         left -= n * sizes[i]
     mask, reach, trail = (1 << (left + 1)) - 1, 1, []
