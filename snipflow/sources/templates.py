@@ -2,8 +2,8 @@
 
 Bodies use ``__TOKEN__`` placeholders. ``__FUNC__`` takes the function name;
 role tokens take a name from one of five naming styles; any other token is
-lower-cased. These bodies were written for this project; only the 17 class
-labels and the name of each sort algorithm are shared values.
+lower-cased. Problems, bodies and names are this project's; only the 17 class
+labels are shared values.
 """
 
 from __future__ import annotations
@@ -35,42 +35,40 @@ VARIANTS_PER_TEMPLATE = 5
 
 # Role token -> five spellings (style 0..4). Ours.
 ROLE_NAMES = {
-    "ARR": ["arr", "nums", "data", "values", "items"],
-    "N": ["n", "size", "length", "count_n", "total"],
-    "I": ["i", "a", "p", "row", "idx"],
-    "J": ["j", "b", "q_idx", "col", "jdx"],
-    "RES": ["result", "out", "answer", "collected", "acc_list"],
-    "TMP": ["tmp", "held", "swap_tmp", "spare", "t"],
-    "TGT": ["target", "goal", "wanted", "key_val", "needle"],
-    "SEEN": ["visited", "seen", "marked", "done", "reached"],
-    "Q": ["queue", "frontier", "q", "pending", "todo"],
-    "STK": ["stack", "stk", "pile", "st", "call_stack"],
-    "G": ["graph", "adj", "edges", "links", "neighbors"],
-    "NODE": ["node", "u", "cur_node", "vertex", "at"],
-    "NB": ["nb", "v", "nxt", "other", "w"],
-    "LO": ["lo", "left", "low", "start", "begin"],
-    "HI": ["hi", "right", "high", "end", "finish"],
-    "MID": ["mid", "middle", "m", "pivot_pos", "half"],
-    "CNT": ["count", "freq", "tally", "hits", "occ"],
-    "MEMO": ["memo", "cache", "dp", "lookup", "saved"],
-    "PAR": ["parent", "par", "root_of", "leader", "parent_of"],
-    "CUR": ["cur", "curr", "walker", "here", "ptr"],
-    "PREV": ["prev", "before", "last", "behind", "trail"],
-    "ACC": ["acc", "running", "window_sum", "summed", "agg"],
+    "ARR": ["series", "records", "entries", "batch", "readings"],
+    "LEN": ["width", "how_many", "span_len", "extent", "amount"],
+    "AT": ["pos", "slot", "step", "cell", "spot"],
+    "OUT": ["found", "report", "picked", "outcome", "gathered"],
+    "HELD": ["carried", "held", "lifted", "moving", "aside"],
+    "AIM": ["aim", "quota", "limit", "sought", "mark"],
+    "MET": ["visited", "seen", "known", "familiar", "noted"],
+    "LINE": ["waiting", "line", "upcoming", "turns", "backlog"],
+    "PILE": ["tower", "heap_of", "column", "kept", "pile"],
+    "MAP": ["roads", "adj", "links", "graph", "bridges"],
+    "SPOT": ["town", "place", "room", "station", "site"],
+    "NEAR": ["nearby", "door", "neighbour", "exit_to", "reach"],
+    "LOW": ["left", "lo", "low", "near_end", "front"],
+    "TOP": ["right", "hi", "high", "far_end", "rear"],
+    "HALF": ["half", "probe", "centre", "guess", "trial"],
+    "TALLY": ["tally", "ledger", "votes", "stock", "census"],
+    "KNOWN": ["memo", "cache", "solved", "answers", "book"],
+    "HEAD_OF": ["parent", "captain", "chief", "owner", "head_of"],
+    "HERE": ["link", "wagon", "bead", "here", "car"],
+    "SUM": ["load", "weight", "volume", "spent", "level"],
 }
 
 FUNC_NAMES = {
-    "bfs": ["bfs", "level_walk", "spread", "shortest_hops"],
-    "dfs": ["dfs", "explore", "walk_deep", "visit_all"],
-    "dp": ["solve", "best_total", "count_ways", "fill_table"],
-    "backtracking": ["backtrack", "search", "enumerate_all", "generate"],
-    "two_pointer": ["pair_scan", "two_ptr", "squeeze", "meet"],
-    "sliding_window": ["window_scan", "best_window", "slide", "window"],
-    "binary_search": ["bsearch", "find_pos", "halve", "locate"],
-    "union_find": ["connect", "components", "merge_sets", "group"],
-    "monotonic_stack": ["next_bigger", "stack_scan", "spans", "nearest"],
-    "linked_list": ["relink", "list_op", "edit_list", "walk_list"],
-    "sorting": ["sort_items", "order", "arrange", "sort_list"],
+    "bfs": ["rumour_days", "spread_out", "fewest_turns", "ripple"],
+    "dfs": ["dig", "wander", "follow_down", "unfold"],
+    "dp": ["cheapest_plan", "tabulate", "best_score", "plan_ahead"],
+    "backtracking": ["try_all", "attempt", "list_choices", "puzzle"],
+    "two_pointer": ["close_in", "both_ends", "sweep_pair", "match_up"],
+    "sliding_window": ["busiest_span", "moving_span", "frame", "recent"],
+    "binary_search": ["narrow_down", "halving", "threshold", "pin_down"],
+    "union_find": ["team_up", "join_all", "alliances", "cluster"],
+    "monotonic_stack": ["skyline", "keep_rising", "trim_tower", "outlook"],
+    "linked_list": ["rewire", "shunt", "splice", "thread_beads"],
+    "sorting": ["tidy", "line_up", "in_order", "rank_all"],
 }
 
 # (func_key, label, original_name, body)
@@ -82,770 +80,708 @@ def _add(key: str, label: str, name: str, body: str) -> None:
 
 
 # ------------------------------------------------------------------- BFS ------
-_add("bfs", "BFS", "queue walk", '''
+_add("bfs", "BFS", "rumour per day", '''
 from collections import deque
 
-def __FUNC__(__G__, start):
-    # breadth-first order from start
-    __SEEN__ = set([start])
-    __Q__ = deque([start])
-    __RES__ = []
-    while __Q__:
-        __NODE__ = __Q__.popleft()
-        __RES__.append(__NODE__)
-        for __NB__ in __G__[__NODE__]:
-            if __NB__ not in __SEEN__:
-                __SEEN__.add(__NB__)
-                __Q__.append(__NB__)
-    return __RES__
-''')
-_add("bfs", "BFS", "hop distance", '''
+def __FUNC__(friends, first):
+    # how many people hear the rumour on each day
+    __MET__ = {first}
+    __LINE__ = deque([[first]])
+    heard = []
+    while __LINE__:
+        today = __LINE__.popleft()
+        heard.append(len(today))
+        fresh = []
+        for teller in today:
+            for friend in friends.get(teller, ()):
+                if friend not in __MET__:
+                    __MET__.add(friend)
+                    fresh.append(friend)
+        if fresh:
+            __LINE__.append(fresh)
+    return heard
+''')
+_add("bfs", "BFS", "dial lock", '''
 
 from collections import deque
 
-def __FUNC__(__G__, src, dst):
+def __FUNC__(opening, secret, jammed):
 	# tab-indented comment line
-    __Q__ = deque([(src, 0)])
-    __SEEN__ = {src}
-    while __Q__:
-        __NODE__, hops = __Q__.popleft()
-        if __NODE__ == dst:
-            return hops  # reached
-        for __NB__ in __G__.get(__NODE__, []):
-            if __NB__ not in __SEEN__:
-                __SEEN__.add(__NB__)
-                __Q__.append((__NB__, hops + 1))
-    return -1
-
-''')
-_add("bfs", "BFS", "grid flood", '''
+    turns = {opening: 0}
+    __LINE__ = deque([opening])
+    while __LINE__ and secret not in turns:
+        dial = __LINE__.popleft()
+        for wheel in range(len(dial)):
+            for turn in (1, 9):
+                digit = (int(dial[wheel]) + turn) % 10
+                other = dial[:wheel] + str(digit) + dial[wheel + 1:]
+                if other not in jammed and other not in turns:
+                    turns[other] = turns[dial] + 1
+                    __LINE__.append(other)
+    return turns.get(secret)  # None if jammed shut
+
+''')
+_add("bfs", "BFS", "jug pouring", '''
 from collections import deque
 
-def __FUNC__(grid, r0, c0):
-    # count cells reachable from (r0, c0)
-    __N__ = len(grid)
-    __SEEN__ = set()
-    __Q__ = deque()
-    __Q__.append((r0, c0))
-    __SEEN__.add((r0, c0))
-    while __Q__:
-        __I__, __J__ = __Q__.popleft()
-        for di, dj in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-            ni, nj = __I__ + di, __J__ + dj
-            if 0 <= ni < __N__ and 0 <= nj < len(grid[0]) and grid[ni][nj] == 1:
-                if (ni, nj) not in __SEEN__:
-                    __SEEN__.add((ni, nj))
-                    __Q__.append((ni, nj))
-    return len(__SEEN__)
+def __FUNC__(big, small, __AIM__):
+    # fewest pours that leave the wanted volume in one of two jugs
+    __MET__ = set([(0, 0)])
+    __LINE__ = deque([(0, 0, 0)])
+    while __LINE__:
+        a, b, pours = __LINE__.popleft()
+        if __AIM__ in (a, b):
+            return pours
+        moved, back = min(a, small - b), min(b, big - a)
+        states = [(big, b), (a, small), (0, b), (a, 0), (a - moved, b + moved), (a + back, b - back)]
+        for state in states:
+            if state not in __MET__:
+                __MET__.add(state)
+                __LINE__.append(state + (pours + 1,))
+    return -1
 ''')
 # ------------------------------------------------------------------- DFS ------
-_add("dfs", "DFS", "recursive visit", '''
-def __FUNC__(__G__, __NODE__, __SEEN__=None):
-    # depth-first visit, recursive
-    if __SEEN__ is None:
-        __SEEN__ = set()
-    __SEEN__.add(__NODE__)
-    for __NB__ in __G__[__NODE__]:
-        if __NB__ not in __SEEN__:
-            __FUNC__(__G__, __NB__, __SEEN__)
-    return __SEEN__
-''')
-_add("dfs", "DFS", "explicit stack", '''
-def __FUNC__(__G__, start):
-    __SEEN__ = set()
-    __STK__ = [start]
-    __RES__ = []
-    while __STK__:
-        __NODE__ = __STK__.pop()
-        if __NODE__ in __SEEN__:
+_add("dfs", "DFS", "folder sizes", '''
+def __FUNC__(folder, prefix=""):
+    # bytes below every folder, deepest first
+    __OUT__ = {}
+    total = 0
+    for label, content in folder.items():
+        if isinstance(content, dict):
+            inner = __FUNC__(content, prefix + "/" + label)
+            __OUT__.update(inner)
+            total += inner[prefix + "/" + label]
+        else:
+            total += content
+    __OUT__[prefix] = total
+    return __OUT__
+''')
+_add("dfs", "DFS", "flatten parcels", '''
+def __FUNC__(parcel):
+    __PILE__ = [iter(parcel)]
+    __OUT__ = []
+    while __PILE__:
+        try:
+            inside = next(__PILE__[-1])
+        except StopIteration:
+            __PILE__.pop()
             continue
-        __SEEN__.add(__NODE__)
-        __RES__.append(__NODE__)
-        for __NB__ in reversed(__G__[__NODE__]):
-            __STK__.append(__NB__)
-    return __RES__
-''')
-_add("dfs", "DFS", "island count", '''
-def __FUNC__(grid):
-    # islands of 1s, 4-connected
-    __N__ = len(grid)
-    __SEEN__ = set()
-
-    def __HELPER__(__I__, __J__):
-        if __I__ < 0 or __J__ < 0 or __I__ >= __N__ or __J__ >= len(grid[0]):
-            return
-        if grid[__I__][__J__] != 1 or (__I__, __J__) in __SEEN__:
-            return
-        __SEEN__.add((__I__, __J__))
-        __HELPER__(__I__ + 1, __J__)
-        __HELPER__(__I__ - 1, __J__)
-        __HELPER__(__I__, __J__ + 1)
-        __HELPER__(__I__, __J__ - 1)
-
-    __CNT__ = 0
-    for __I__ in range(__N__):
-        for __J__ in range(len(grid[0])):
-            if grid[__I__][__J__] == 1 and (__I__, __J__) not in __SEEN__:
-                __HELPER__(__I__, __J__)
-                __CNT__ += 1
-    return __CNT__
+        if isinstance(inside, (list, tuple)):
+            __PILE__.append(iter(inside))
+        else:
+            __OUT__.append(inside)
+    return __OUT__
+''')
+_add("dfs", "DFS", "import cycle", '''
+def __FUNC__(__MAP__):
+    # a module that imports itself through others, if any
+    __MET__ = dict()
+
+    def __HELPER__(__SPOT__):
+        if __MET__.get(__SPOT__) == "open":
+            return __SPOT__
+        if __SPOT__ in __MET__:
+            return None
+        __MET__[__SPOT__] = "open"
+        for __NEAR__ in __MAP__.get(__SPOT__, []):
+            culprit = __HELPER__(__NEAR__)
+            if culprit is not None:
+                return culprit
+        __MET__[__SPOT__] = "closed"
+        return None
+
+    for __SPOT__ in sorted(__MAP__):
+        culprit = __HELPER__(__SPOT__)
+        if culprit is not None:
+            return culprit
 ''')
 # ------------------------------------------------------------- DP -------------
-_add("dp", "Dynamic Programming", "grid paths", '''
-def __FUNC__(rows, cols):
-    __MEMO__ = [[0] * cols for _ in range(rows)]
-    for __I__ in range(rows):
-        for __J__ in range(cols):
-            if __I__ == 0 or __J__ == 0:
-                __MEMO__[__I__][__J__] = 1
-            else:
-                __MEMO__[__I__][__J__] = __MEMO__[__I__ - 1][__J__] + __MEMO__[__I__][__J__ - 1]
-    return __MEMO__[rows - 1][cols - 1]
-''')
-_add("dp", "Dynamic Programming", "memo climb", '''
-def __FUNC__(__N__, __MEMO__={}):
-    # ways to climb with steps of 1 or 2
-    if __N__ <= 1:
-        return 1
-    if __N__ in __MEMO__:
-        return __MEMO__[__N__]
-    __MEMO__[__N__] = __FUNC__(__N__ - 1, __MEMO__) + __FUNC__(__N__ - 2, __MEMO__)
-    return __MEMO__[__N__]
-''')
-_add("dp", "Dynamic Programming", "knapsack", '''
-def __FUNC__(weights, gains, cap):
-    __N__ = len(weights)
-    table = [[0] * (cap + 1) for _ in range(__N__ + 1)]
-    for __I__ in range(1, __N__ + 1):
-        for c in range(cap + 1):
-            table[__I__][c] = table[__I__ - 1][c]
-            if weights[__I__ - 1] <= c:
-                table[__I__][c] = max(table[__I__][c], table[__I__ - 1][c - weights[__I__ - 1]] + gains[__I__ - 1])
-    return table[__N__][cap]
+_add("dp", "Dynamic Programming", "museum passes", '''
+def __FUNC__(visits, day_price, week_price):
+    last = max(visits, default=0)
+    cost = [[0, 0] for _ in range(last + 8)]
+    for day in range(8, last + 8):
+        single = cost[day - 1][0] + day_price
+        weekly = cost[day - 7][0] + week_price
+        for kind in (0, 1):
+            cost[day][kind] = cost[day - 1][0]
+            if day - 7 in visits:
+                cost[day][kind] = min(single, weekly)
+    return cost[last + 7][0]
+''')
+_add("dp", "Dynamic Programming", "stone game", '''
+def __FUNC__(__ARR__, first, last, __KNOWN__={}):
+    # lead of the player who takes stones from either end
+    if first > last:
+        return 0
+    key = (first, last)
+    if key not in __KNOWN__:
+        take_first = __ARR__[first] - __FUNC__(__ARR__, first + 1, last, __KNOWN__)
+        take_last = __ARR__[last] - __FUNC__(__ARR__, first, last - 1, __KNOWN__)
+        __KNOWN__[key] = max(take_first, take_last)
+    return __KNOWN__[key]
+''')
+_add("dp", "Dynamic Programming", "mirror spans", '''
+def __FUNC__(text):
+    __LEN__ = len(text)
+    mirror = [[False] * __LEN__ for _ in range(__LEN__)]
+    total = 0
+    for start in range(__LEN__ - 1, -1, -1):
+        for stop in range(start, __LEN__):
+            inner = stop - start < 2 or mirror[start + 1][stop - 1]
+            mirror[start][stop] = inner and text[start] == text[stop]
+            if mirror[start][stop]:
+                total += 1
+    return total
 ''')
 # ----------------------------------------------------------- backtracking -----
-_add("backtracking", "Backtracking", "subsets", '''
-def __FUNC__(__ARR__):
-    __RES__ = []
-    path = []
-
-    def __HELPER__(start):
-        __RES__.append(list(path))
-        for __I__ in range(start, len(__ARR__)):
-            path.append(__ARR__[__I__])
-            __HELPER__(__I__ + 1)
-            path.pop()
-
-    __HELPER__(0)
-    return __RES__
-''')
-_add("backtracking", "Backtracking", "permutations", '''
-def __FUNC__(__ARR__):
-    __RES__ = []
-    path = []
-    used = [False] * len(__ARR__)
-
-    def __HELPER__():
-        if len(path) == len(__ARR__):
-            __RES__.append(path[:])
-            return
-        for __I__ in range(len(__ARR__)):
-            if not used[__I__]:
-                used[__I__] = True
-                path.append(__ARR__[__I__])
-                __HELPER__()
-                path.pop()
-                used[__I__] = False
-
-    __HELPER__()
-    return __RES__
-''')
-_add("backtracking", "Backtracking", "combination sum", '''
-def __FUNC__(__ARR__, __TGT__):
-    # all combinations summing to the target
-    __RES__ = []
-    chosen = []
-
-    def __HELPER__(start, left_over):
-        if left_over == 0:
-            __RES__.append(list(chosen))
-            return
-        for __I__ in range(start, len(__ARR__)):
-            if __ARR__[__I__] <= left_over:
-                chosen.append(__ARR__[__I__])
-                __HELPER__(__I__, left_over - __ARR__[__I__])
-                chosen.pop()
-
-    __HELPER__(0, __TGT__)
-    return __RES__
+_add("backtracking", "Backtracking", "balanced brackets", '''
+def __FUNC__(pairs):
+    __OUT__ = []
+    written = []
+
+    def __HELPER__(opened, closed):
+        if closed == pairs:
+            __OUT__.append("".join(written))
+        for sign in "()":
+            opens = sign == "("
+            if (opens and opened < pairs) or (not opens and closed < opened):
+                written.append(sign)
+                __HELPER__(opened + opens, closed + (not opens))
+                written.pop()
+
+    __HELPER__(0, 0)
+    return __OUT__
+''')
+_add("backtracking", "Backtracking", "split into words", '''
+def __FUNC__(letters, dictionary):
+    sentences = []
+    words = []
+
+    def __HELPER__(rest):
+        if not rest:
+            sentences.append(" ".join(words))
+        for word in dictionary:
+            if rest.startswith(word):
+                words.append(word)
+                __HELPER__(rest[len(word):])
+                words.pop()
+
+    __HELPER__(letters)
+    return sentences
+''')
+_add("backtracking", "Backtracking", "round trips", '''
+def __FUNC__(__MAP__, home):
+    # every tour that returns home without passing a place twice
+    __OUT__ = []
+    trail = [home]
+
+    def __HELPER__(__SPOT__):
+        if home in __MAP__[__SPOT__] and len(trail) > 2:
+            __OUT__.append(tuple(trail))
+        for __NEAR__ in __MAP__[__SPOT__]:
+            if __NEAR__ not in trail:
+                trail.append(__NEAR__)
+                __HELPER__(__NEAR__)
+                trail.pop()
+
+    __HELPER__(home)
+    return __OUT__
 ''')
 # ----------------------------------------------------------- two pointer ------
-_add("two_pointer", "Two Pointer", "pair sum", '''
-def __FUNC__(__ARR__, __TGT__):
-    __LO__, __HI__ = 0, len(__ARR__) - 1
-    while __LO__ < __HI__:
-        s = __ARR__[__LO__] + __ARR__[__HI__]
-        if s == __TGT__:
-            return (__LO__, __HI__)
-        if s < __TGT__:
-            __LO__ += 1
+_add("two_pointer", "Two Pointer", "mirror phrase", '''
+def __FUNC__(phrase):
+    __LOW__ = 0
+    __TOP__ = len(phrase) - 1
+    while __LOW__ < __TOP__:
+        if not phrase[__LOW__].isalpha():
+            __LOW__ += 1
+        elif not phrase[__TOP__].isalpha():
+            __TOP__ -= 1
+        elif phrase[__LOW__].lower() != phrase[__TOP__].lower():
+            return False
         else:
-            __HI__ -= 1
-    return None
+            __LOW__ += 1
+            __TOP__ -= 1
+    return True
 ''')
-_add("two_pointer", "Two Pointer", "compact", '''
+_add("two_pointer", "Two Pointer", "squeeze blanks", '''
 def __FUNC__(__ARR__):
-    # drop repeated values in place
-    if not __ARR__:
-        return 0
-    __I__ = 0
-    for __J__ in range(1, len(__ARR__)):
-        if __ARR__[__J__] != __ARR__[__I__]:
-            __I__ += 1
-            __ARR__[__I__] = __ARR__[__J__]
-    return __I__ + 1
-''')
-_add("two_pointer", "Two Pointer", "merge sorted", '''
-def __FUNC__(a, b):
-    __I__ = __J__ = 0
-    __RES__ = []
-    while __I__ < len(a) and __J__ < len(b):
-        if a[__I__] <= b[__J__]:
-            __RES__.append(a[__I__])
-            __I__ += 1
+    # runs of blanks become one blank, in place
+    __LEN__ = 0
+    for letter in __ARR__:
+        if letter != " " or (__LEN__ and __ARR__[__LEN__ - 1] != " "):
+            __ARR__[__LEN__] = letter
+            __LEN__ += 1
+    del __ARR__[__LEN__:]
+    return __ARR__
+''')
+_add("two_pointer", "Two Pointer", "shared free time", '''
+def __FUNC__(mine, yours, minutes):
+    m = y = 0
+    while m < len(mine) and y < len(yours):
+        begin = max(mine[m][0], yours[y][0])
+        finish = min(mine[m][1], yours[y][1])
+        if finish - begin >= minutes:
+            return begin, begin + minutes
+        if mine[m][1] == finish:
+            m += 1
         else:
-            __RES__.append(b[__J__])
-            __J__ += 1
-    __RES__.extend(a[__I__:])
-    __RES__.extend(b[__J__:])
-    return __RES__
+            y += 1
+    return None
 ''')
 # --------------------------------------------------------- sliding window -----
-_add("sliding_window", "Sliding Window", "longest under budget", '''
-def __FUNC__(__ARR__, budget):
-    __LO__ = 0
-    __ACC__ = 0
-    best = 0
-    for __HI__ in range(len(__ARR__)):
-        __ACC__ += __ARR__[__HI__]
-        while __ACC__ > budget + 0 * __HI__:
-            __ACC__ -= __ARR__[__LO__]
-            __LO__ += 1
-        best = max(best, __HI__ - __LO__ + 1)
-    return best
-''')
-_add("sliding_window", "Sliding Window", "distinct window", '''
-def __FUNC__(text, k):
-    # longest span with at most k distinct symbols
-    __CNT__ = {}
-    __LO__ = 0
-    best = 0
-    for __HI__, ch in enumerate(text):
-        __CNT__[ch] = __CNT__.get(ch, 0) + 1
-        while len(__CNT__) > k + 0:
-            __CNT__[text[__LO__]] -= 1
-            if __CNT__[text[__LO__]] == 0:
-                del __CNT__[text[__LO__]]
-            __LO__ += 1
-        best = max(best, __HI__ - __LO__ + 1)
-    return best
-''')
-_add("sliding_window", "Sliding Window", "fixed window", '''
-def __FUNC__(__ARR__, k):
-    __ACC__ = 0
-    __LO__ = 0
-    best = float("-inf")
-    for __HI__ in range(len(__ARR__)):
-        __ACC__ += __ARR__[__HI__]
-        while __HI__ - __LO__ + 1 > k:
-            __ACC__ -= __ARR__[__LO__]
-            __LO__ += 1
-        if __HI__ - __LO__ + 1 == k:
-            best = max(best, __ACC__)
-    return best
+_add("sliding_window", "Sliding Window", "login burst", '''
+def __FUNC__(stamps, seconds):
+    oldest = 0
+    peak = 0
+    for newest, stamp in enumerate(stamps):
+        while stamp - stamps[oldest] > seconds:
+            oldest += 1
+        peak = max(peak, newest - oldest + 1)
+    return peak
+''')
+_add("sliding_window", "Sliding Window", "repaired streak", '''
+def __FUNC__(days, repairs):
+    # longest streak of good days if some bad ones may be repaired
+    bad = start = longest = 0
+    for today in range(len(days)):
+        bad += not days[today]
+        while bad - repairs > 0:
+            bad -= not days[start]
+            start += 1
+        longest = max(longest, today + 1 - start)
+    return longest
+''')
+_add("sliding_window", "Sliding Window", "steady readings", '''
+def __FUNC__(__ARR__, tolerance):
+    begin = 0
+    spans = []
+    for finish in range(len(__ARR__)):
+        frame = __ARR__[begin:finish + 1]
+        while max(frame) - min(frame) > tolerance:
+            begin += 1
+            frame = __ARR__[begin:finish + 1]
+        spans.append((begin, finish))
+    return max(spans, key=lambda s: s[1] - s[0])
 ''')
 # --------------------------------------------------------- binary search ------
-_add("binary_search", "Binary Search", "exact match", '''
-def __FUNC__(__ARR__, __TGT__):
-    __LO__, __HI__ = 0, len(__ARR__) - 1
-    while __LO__ <= __HI__:
-        __MID__ = (__LO__ + __HI__) // 2
-        if __ARR__[__MID__] == __TGT__:
-            return __MID__
-        elif __ARR__[__MID__] < __TGT__:
-            __LO__ = __MID__ + 1
-        else:
-            __HI__ = __MID__ - 1
-    return -1
-''')
-_add("binary_search", "Binary Search", "lower bound", '''
-def __FUNC__(__ARR__, __TGT__):
-    # first index with value >= target
-    __LO__ = 0
-    __HI__ = len(__ARR__)
-    while __LO__ < __HI__:
-        __MID__ = (__LO__ + __HI__) // 2
-        if __ARR__[__MID__] < __TGT__:
-            __LO__ = __MID__ + 1
+_add("binary_search", "Binary Search", "mountain peak", '''
+def __FUNC__(heights):
+    __LOW__ = 0
+    __TOP__ = len(heights) - 1
+    while __LOW__ < __TOP__:
+        __HALF__ = (__LOW__ + __TOP__) // 2
+        uphill = heights[__HALF__ + 1] > heights[__HALF__]
+        __LOW__ = __HALF__ + 1 if uphill else __LOW__
+        __TOP__ = __TOP__ if uphill else __HALF__
+    return heights[__LOW__]
+''')
+_add("binary_search", "Binary Search", "citation index", '''
+def __FUNC__(citations):
+    # largest h with h papers of at least h citations; citations descend
+    __LOW__ = 0
+    __TOP__ = len(citations)
+    while __TOP__ - __LOW__ > 0:
+        __HALF__ = (__LOW__ + __TOP__ + 1) // 2
+        if citations[__HALF__ - 1] < __HALF__:
+            __TOP__ = __HALF__ - 1
         else:
-            __HI__ = __MID__
-    return __LO__
-''')
-_add("binary_search", "Binary Search", "integer root", '''
-def __FUNC__(x):
-    __LO__, __HI__ = 0, x
-    ans = 0
-    while __LO__ <= __HI__:
-        __MID__ = (__LO__ + __HI__) // 2
-        if __MID__ * __MID__ <= x:
-            ans = __MID__
-            __LO__ = __MID__ + 1
+            __LOW__ = __HALF__
+    return __LOW__
+''')
+_add("binary_search", "Binary Search", "cube side", '''
+def __FUNC__(volume):
+    __LOW__ = 0.0
+    __TOP__ = volume + 1.0
+    for _ in range(80):
+        __HALF__ = (__LOW__ + __TOP__) / 2
+        if __HALF__ ** 3 > volume:
+            __TOP__ = __HALF__
         else:
-            __HI__ = __MID__ - 1
-    return ans
+            __LOW__ = __HALF__
+    return round(__LOW__, 6)
 ''')
 # ------------------------------------------------------------ union-find ------
-_add("union_find", "Union-Find", "components", '''
-def __FUNC__(__N__, pairs):
-    __PAR__ = list(range(__N__))
-
-    def find(x):
-        while __PAR__[x] != x:
-            __PAR__[x] = __PAR__[__PAR__[x]]
-            x = __PAR__[x]
-        return x
-
-    def union(a, b):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            __PAR__[ra] = rb
-
-    for a, b in pairs:
-        union(a, b)
-    return len({find(x) for x in range(__N__)})
-''')
-_add("union_find", "Union-Find", "ranked sets", '''
-def find_root(__PAR__, x):
-    if __PAR__[x] != x:
-        __PAR__[x] = find_root(__PAR__, __PAR__[x])
-    return __PAR__[x]
-
-def union_sets(__PAR__, rank, a, b):
-    ra = find_root(__PAR__, a)
-    rb = find_root(__PAR__, b)
-    if ra == rb:
-        return False
-    if rank[ra] < rank[rb]:
-        ra, rb = rb, ra
-    __PAR__[rb] = ra
-    if rank[ra] == rank[rb]:
-        rank[ra] += 1
-    return True
-''')
-_add("union_find", "Union-Find", "redundant edge", '''
-def __FUNC__(edge_list):
-    # first edge closing a cycle
-    __PAR__ = {}
-
-    def find(x):
-        __PAR__.setdefault(x, x)
-        if __PAR__[x] != x:
-            __PAR__[x] = find(__PAR__[x])
-        return __PAR__[x]
-
-    for a, b in edge_list:
-        ra, rb = find(a), find(b)
-        if ra == rb:
-            return (a, b)
-        __PAR__[ra] = rb
-    return None
+_add("union_find", "Union-Find", "shared mailboxes", '''
+def __FUNC__(accounts):
+    __HEAD_OF__ = {}
+
+    def find_owner(mail):
+        while mail in __HEAD_OF__:
+            mail = __HEAD_OF__[mail]
+        return mail
+
+    def union_mails(mails):
+        owners = sorted(set(map(find_owner, mails)))
+        __HEAD_OF__.update(dict.fromkeys(owners[1:], owners[0]))
+
+    for mails in accounts.values():
+        union_mails(mails)
+    return {person: find_owner(mails[0]) for person, mails in accounts.items()}
+''')
+_add("union_find", "Union-Find", "rival camps", '''
+class Camps:
+    def __init__(self):
+        self.link = {}
+
+    def find_camp(self, who):
+        if who not in self.link:
+            return who, 0
+        chief, side = self.find_camp(self.link[who][0])
+        return chief, side ^ self.link[who][1]
+
+    def union_rivals(self, one, two):
+        # False if both already stand on one side
+        first, side_one = self.find_camp(one)
+        second, side_two = self.find_camp(two)
+        if first == second:
+            return side_one != side_two
+        self.link[first] = (second, 1 ^ side_one ^ side_two)
+        return True
+''')
+_add("union_find", "Union-Find", "cheapest cabling", '''
+def __FUNC__(cables):
+    # total price of the cables that join all houses
+    __HEAD_OF__ = dict()
+    price = 0
+
+    def find_hub(house):
+        hub = __HEAD_OF__.get(house, house)
+        return house if hub == house else find_hub(hub)
+
+    def union_houses(one, two):
+        __HEAD_OF__[find_hub(one)] = find_hub(two)
+
+    for cost, one, two in sorted(cables):
+        if find_hub(one) != find_hub(two):
+            union_houses(one, two)
+            price += cost
+    return price
 ''')
 # ------------------------------------------------------- monotonic stack ------
-_add("monotonic_stack", "Monotonic Stack", "next greater", '''
-def __FUNC__(__ARR__):
-    __RES__ = [-1] * len(__ARR__)
-    __STK__ = []
-    for __I__ in range(len(__ARR__)):
-        while __STK__ and __ARR__[__STK__[-1]] < __ARR__[__I__]:
-            __RES__[__STK__.pop()] = __ARR__[__I__]
-        __STK__.append(__I__)
-    return __RES__
-''')
-_add("monotonic_stack", "Monotonic Stack", "warmer days", '''
-def __FUNC__(temps):
-    # days until a warmer day
-    __RES__ = [0] * len(temps)
-    __STK__ = []
-    for __I__, t in enumerate(temps):
-        while __STK__ and temps[__STK__[-1]] < t:
-            __J__ = __STK__.pop()
-            __RES__[__J__] = __I__ - __J__
-        __STK__.append(__I__)
-    return __RES__
-''')
-_add("monotonic_stack", "Monotonic Stack", "largest rectangle", '''
-def __FUNC__(heights):
-    __STK__ = []
-    best = 0
-    for __I__, h in enumerate(heights + [0]):
-        while __STK__ and heights[__STK__[-1]] >= h:
-            top = __STK__.pop()
-            width = __I__ if not __STK__ else __I__ - __STK__[-1] - 1
-            best = max(best, heights[top] * width)
-        __STK__.append(__I__)
-    return best
+_add("monotonic_stack", "Monotonic Stack", "sea view", '''
+def __FUNC__(buildings):
+    __PILE__ = []
+    for floors, address in reversed(buildings):
+        while __PILE__ and __PILE__[0][0] > floors and len(__PILE__) > 9:
+            __PILE__.pop()
+        if not __PILE__ or floors > __PILE__[-1][0]:
+            __PILE__.append((floors, address))
+    return [address for _, address in __PILE__]
+''')
+_add("monotonic_stack", "Monotonic Stack", "smallest number", '''
+def __FUNC__(digits, drop):
+    # smallest number left after dropping some digits
+    __PILE__ = []
+    for digit in digits:
+        while drop and __PILE__ and __PILE__[-1] > digit:
+            __PILE__.pop()
+            drop -= 1
+        __PILE__.append(digit)
+    kept = __PILE__[:len(__PILE__) - drop]
+    return "".join(kept).lstrip("0") or "0"
+''')
+_add("monotonic_stack", "Monotonic Stack", "falling asteroids", '''
+def __FUNC__(rocks):
+    __PILE__ = []
+    for rock in rocks:
+        alive = True
+        while alive and __PILE__ and rock < 0 < __PILE__[-1]:
+            alive = __PILE__[-1] + rock < 0
+            if __PILE__[-1] + rock <= 0:
+                __PILE__.pop()
+        if alive:
+            __PILE__.append(rock)
+    return __PILE__
 ''')
 # ----------------------------------------------------------- linked list ------
-_add("linked_list", "Linked List Operations", "insert front", '''
-class Node:
-    def __init__(self, value):
-        self.value = value
+_add("linked_list", "Linked List Operations", "detour stop", '''
+class Stop:
+    def __init__(self, title):
+        self.title = title
         self.next = None
 
-def __FUNC__(head, value):
-    fresh = Node(value)
-    fresh.next = head
-    return fresh
-''')
-_add("linked_list", "Linked List Operations", "delete value", '''
-class Node:
-    def __init__(self, value):
-        self.value = value
+def __FUNC__(route, wanted, title):
+    __HERE__ = route
+    while __HERE__ and __HERE__.title != wanted:
+        __HERE__ = __HERE__.next
+    if __HERE__:
+        extra = Stop(title)
+        extra.next = __HERE__.next
+        __HERE__.next = extra
+    return route
+''')
+_add("linked_list", "Linked List Operations", "drop every second", '''
+class Wagon:
+    def __init__(self, cargo):
+        self.cargo = cargo
         self.next = None
 
-def __FUNC__(head, value):
-    # unlink the first node holding value
-    if head is None:
-        return None
-    if head.value == value:
-        return head.next
-    __CUR__ = head
-    while __CUR__.next and __CUR__.next.value != value:
-        __CUR__ = __CUR__.next
-    if __CUR__.next:
-        __CUR__.next = __CUR__.next.next
-    return head
-''')
-_add("linked_list", "Linked List Operations", "reverse", '''
-class Node:
-    def __init__(self, value):
-        self.value = value
+def __FUNC__(engine):
+    # uncouple every second wagon
+    __HERE__ = engine
+    while __HERE__ and __HERE__.next:
+        __HERE__.next = __HERE__.next.next
+        __HERE__ = __HERE__.next
+    return engine
+''')
+_add("linked_list", "Linked List Operations", "zip two chains", '''
+class Bead:
+    def __init__(self, colour):
+        self.colour = colour
         self.next = None
 
-def __FUNC__(head):
-    __PREV__ = None
-    __CUR__ = head
-    while __CUR__:
-        following = __CUR__.next
-        __CUR__.next = __PREV__
-        __PREV__ = __CUR__
-        __CUR__ = following
-    return __PREV__
+def __FUNC__(one, two):
+    start = one
+    while one and two:
+        after_one = one.next
+        after_two = two.next
+        one.next = two
+        two.next = after_one or after_two
+        one = after_one
+        two = after_two
+    return start
 ''')
 # ------------------------------------------------------------- sorting --------
 _S = "sorting"
-_add(_S, "In-Place Nested-Loop Swap Sort", "Bubble Sort", '''
-def __FUNC__(__ARR__):
-    __N__ = len(__ARR__)
-    for __I__ in range(__N__):
-        for __J__ in range(__N__ - __I__ - 1):
-            if __ARR__[__J__] > __ARR__[__J__ + 1]:
-                __ARR__[__J__], __ARR__[__J__ + 1] = __ARR__[__J__ + 1], __ARR__[__J__]
+_add(_S, "In-Place Nested-Loop Swap Sort", "Rank Partition Sort", '''
+def __FUNC__(__ARR__, ranks):
+    edge = 0
+    for rank in ranks:
+        for __AT__ in range(edge, len(__ARR__)):
+            if __ARR__[__AT__][0] == rank:
+                __ARR__[__AT__], __ARR__[edge] = __ARR__[edge], __ARR__[__AT__]
+                edge += 1
     return __ARR__
 ''')
-_add(_S, "In-Place Nested-Loop Swap Sort", "Selection Sort", '''
+_add(_S, "In-Place Nested-Loop Swap Sort", "Cocktail Sort", '''
 def __FUNC__(__ARR__):
-    # pick the minimum of the rest each round
-    for __I__ in range(len(__ARR__)):
-        smallest = __I__
-        for __J__ in range(__I__ + 1, len(__ARR__)):
-            if __ARR__[__J__] < __ARR__[smallest]:
-                smallest = __J__
-        __ARR__[__I__], __ARR__[smallest] = __ARR__[smallest], __ARR__[__I__]
+    # sweep up and down between two closing walls
+    walls = [0, len(__ARR__) - 1]
+    while walls[0] < walls[1]:
+        for __AT__ in range(walls[0], walls[1]):
+            if __ARR__[__AT__ + 1] < __ARR__[__AT__]:
+                __ARR__[__AT__ + 1], __ARR__[__AT__] = __ARR__[__AT__], __ARR__[__AT__ + 1]
+        walls[1] -= 1
+        for __AT__ in range(walls[1], walls[0], -1):
+            if __ARR__[__AT__] < __ARR__[__AT__ - 1]:
+                __ARR__[__AT__], __ARR__[__AT__ - 1] = __ARR__[__AT__ - 1], __ARR__[__AT__]
+        walls[0] += 1
     return __ARR__
 ''')
 _add(_S, "In-Place Nested-Loop Swap Sort", "Odd-Even Sort", '''
 def __FUNC__(__ARR__):
-    done = False
-    while not done:
-        done = True
-        for __I__ in range(1, len(__ARR__) - 1, 2):
-            if __ARR__[__I__] > __ARR__[__I__ + 1]:
-                __ARR__[__I__], __ARR__[__I__ + 1] = __ARR__[__I__ + 1], __ARR__[__I__]
-                done = False
+    for turn in range(len(__ARR__)):
+        for __AT__ in range(turn & 1, len(__ARR__) - 1, 2):
+            pair = __ARR__[__AT__:__AT__ + 2]
+            if pair[0] > pair[1]:
+                __ARR__[__AT__], __ARR__[__AT__ + 1] = pair[1], pair[0]
     return __ARR__
 ''')
-_add(_S, "Shift-Based Sort", "Insertion Sort", '''
+_add(_S, "Shift-Based Sort", "Hand Rank Sort", '''
 def __FUNC__(__ARR__):
-    for __I__ in range(1, len(__ARR__)):
-        __TMP__ = __ARR__[__I__]
-        __J__ = __I__ - 1
-        while __J__ >= 0 and __ARR__[__J__] > __TMP__:
-            __ARR__[__J__ + 1] = __ARR__[__J__]
-            __J__ -= 1
-        __ARR__[__J__ + 1] = __TMP__
+    for __AT__, card in enumerate(list(__ARR__)):
+        rank = 0
+        while rank < __AT__ and __ARR__[rank] <= card:
+            rank += 1
+        __ARR__.insert(rank, __ARR__.pop(__AT__))
     return __ARR__
 ''')
-_add(_S, "Shift-Based Sort", "Shell Sort", '''
+_add(_S, "Shift-Based Sort", "Two-End Sort", '''
+from collections import deque
+
 def __FUNC__(__ARR__):
-    gap = len(__ARR__) // 2
-    while gap > 0:
-        for __I__ in range(gap, len(__ARR__)):
-            __TMP__ = __ARR__[__I__]
-            __J__ = __I__
-            while __J__ >= gap and __ARR__[__J__ - gap] > __TMP__:
-                __ARR__[__J__] = __ARR__[__J__ - gap]
-                __J__ -= gap
-            __ARR__[__J__] = __TMP__
-        gap //= 2
-    return __ARR__
-''')
-_add(_S, "Shift-Based Sort", "Binary Insertion Sort", '''
+    shelf = deque()
+    for __HELD__ in __ARR__:
+        turned = 0
+        while turned < len(shelf) and shelf[0] < __HELD__:
+            shelf.rotate(-1)
+            turned += 1
+        shelf.appendleft(__HELD__)
+        shelf.rotate(turned)
+    return list(shelf)
+''')
+_add(_S, "Shift-Based Sort", "Slice Shift Sort", '''
 def __FUNC__(__ARR__):
-    # insertion with a shifted block
-    for __I__ in range(1, len(__ARR__)):
-        __TMP__ = __ARR__[__I__]
-        pos = __I__
-        while pos > 0 and __ARR__[pos - 1] > __TMP__:
-            pos -= 1
-        __ARR__[pos + 1:__I__ + 1] = __ARR__[pos:__I__]
-        __ARR__[pos] = __TMP__
+    # the block of larger values moves up by one
+    for __AT__ in range(1, len(__ARR__)):
+        __HELD__ = __ARR__[__AT__]
+        gap = sum(1 for before in __ARR__[:__AT__] if before <= __HELD__)
+        __ARR__[gap + 1:__AT__ + 1] = __ARR__[gap:__AT__]
+        __ARR__[gap] = __HELD__
     return __ARR__
 ''')
-_add(_S, "Recursive Non-Swap Sort", "Merge Sort", '''
-def __FUNC__(__ARR__):
-    if len(__ARR__) <= 1:
-        return __ARR__
-    __MID__ = len(__ARR__) // 2
-    a = __FUNC__(__ARR__[:__MID__])
-    b = __FUNC__(__ARR__[__MID__:])
-    __I__ = __J__ = 0
-    __RES__ = []
-    while __I__ < len(a) and __J__ < len(b):
-        if a[__I__] <= b[__J__]:
-            __RES__.append(a[__I__])
-            __I__ += 1
-        else:
-            __RES__.append(b[__J__])
-            __J__ += 1
-    return __RES__ + a[__I__:] + b[__J__:]
-''')
-_add(_S, "Recursive Non-Swap Sort", "Tree Sort", '''
-class Leaf:
-    def __init__(self, key):
-        self.key = key
-        self.left = None
-        self.right = None
-
-def __HELPER__(root, key):
-    if root is None:
-        return Leaf(key)
-    if key < root.key:
-        root.left = __HELPER__(root.left, key)
-    else:
-        root.right = __HELPER__(root.right, key)
-    return root
+_add(_S, "Recursive Non-Swap Sort", "Strand Sort", '''
+from heapq import merge
 
 def __FUNC__(__ARR__):
-    root = None
-    for x in __ARR__:
-        root = __HELPER__(root, x)
-    __RES__ = []
-
-    def walk(t):
-        if t:
-            walk(t.left)
-            __RES__.append(t.key)
-            walk(t.right)
-
-    walk(root)
-    return __RES__
-''')
-_add(_S, "Recursive Non-Swap Sort", "Recursive Insertion Sort", '''
+    if not __ARR__:
+        return []
+    strand, rest = [__ARR__[0]], []
+    for __HELD__ in __ARR__[1:]:
+        if __HELD__ < strand[-1]:
+            rest.append(__HELD__)
+        else:
+            strand.append(__HELD__)
+    return list(merge(strand, __FUNC__(rest)))
+''')
+_add(_S, "Recursive Non-Swap Sort", "Prefix Trie Sort", '''
+def __FUNC__(words, depth=0):
+    ended = [word for word in words if len(word) == depth]
+    shelves = {}
+    for word in words:
+        if len(word) > depth:
+            shelves.setdefault(word[depth], []).append(word)
+    for letter in map(chr, range(128)):
+        if letter in shelves:
+            ended = ended + __FUNC__(shelves[letter], depth + 1)
+    return ended
+''')
+_add(_S, "Recursive Non-Swap Sort", "Head Placing Sort", '''
 def __FUNC__(__ARR__):
-    # sort the tail, then insert the head
-    if len(__ARR__) <= 1:
-        return list(__ARR__)
-    rest = __FUNC__(__ARR__[1:])
-    head = __ARR__[0]
-    __I__ = 0
-    while __I__ < len(rest) and rest[__I__] < head:
-        __I__ += 1
-    return rest[:__I__] + [head] + rest[__I__:]
-''')
-_add(_S, "Recursive Swap-Based Sort", "Quick Sort", '''
-def __FUNC__(__ARR__, __LO__=0, __HI__=None):
-    if __HI__ is None:
-        __HI__ = len(__ARR__) - 1
-    if __LO__ >= __HI__:
+    # order the tail, then place the head
+    if len(__ARR__) < 2:
         return __ARR__
-    pivot = __ARR__[__HI__]
-    __I__ = __LO__
-    for __J__ in range(__LO__, __HI__):
-        if __ARR__[__J__] < pivot:
-            __ARR__[__I__], __ARR__[__J__] = __ARR__[__J__], __ARR__[__I__]
-            __I__ += 1
-    __ARR__[__I__], __ARR__[__HI__] = __ARR__[__HI__], __ARR__[__I__]
-    __FUNC__(__ARR__, __LO__, __I__ - 1)
-    __FUNC__(__ARR__, __I__ + 1, __HI__)
-    return __ARR__
+    head, tail = __ARR__[0], __FUNC__(__ARR__[1:])
+    smaller = [x for x in tail if x < head]
+    return smaller + [head] + tail[len(smaller):]
 ''')
-_add(_S, "Recursive Swap-Based Sort", "Stooge Sort", '''
-def __FUNC__(__ARR__, __LO__=0, __HI__=None):
-    if __HI__ is None:
-        __HI__ = len(__ARR__) - 1
-    if __ARR__[__LO__] > __ARR__[__HI__]:
-        __ARR__[__LO__], __ARR__[__HI__] = __ARR__[__HI__], __ARR__[__LO__]
-    if __HI__ - __LO__ + 1 > 2:
-        third = (__HI__ - __LO__ + 1) // 3
-        __FUNC__(__ARR__, __LO__, __HI__ - third)
-        __FUNC__(__ARR__, __LO__ + third, __HI__)
-        __FUNC__(__ARR__, __LO__, __HI__ - third)
-    return __ARR__
-''')
-_add(_S, "Recursive Swap-Based Sort", "Hoare Quick Sort", '''
-def __FUNC__(__ARR__, __LO__, __HI__):
-    # partition around the middle value
-    if __LO__ >= __HI__:
+_add(_S, "Recursive Swap-Based Sort", "Slow Sort", '''
+def __FUNC__(__ARR__, first, last):
+    if first >= last:
         return
-    pivot = __ARR__[(__LO__ + __HI__) // 2]
-    __I__, __J__ = __LO__, __HI__
-    while __I__ <= __J__:
-        while __ARR__[__I__] < pivot:
-            __I__ += 1
-        while __ARR__[__J__] > pivot:
-            __J__ -= 1
-        if __I__ <= __J__:
-            __ARR__[__I__], __ARR__[__J__] = __ARR__[__J__], __ARR__[__I__]
-            __I__ += 1
-            __J__ -= 1
-    __FUNC__(__ARR__, __LO__, __J__)
-    __FUNC__(__ARR__, __I__, __HI__)
-''')
-_add(_S, "Heap/Complex Structural Sort", "Heap Sort", '''
-def __HELPER__(__ARR__, __N__, root):
-    largest = root
-    l_child = 2 * root + 1
-    r_child = 2 * root + 2
-    if l_child < __N__ and __ARR__[l_child] > __ARR__[largest]:
-        largest = l_child
-    if r_child < __N__ and __ARR__[r_child] > __ARR__[largest]:
-        largest = r_child
-    if largest != root:
-        __ARR__[root], __ARR__[largest] = __ARR__[largest], __ARR__[root]
-        __HELPER__(__ARR__, __N__, largest)
-
-def __FUNC__(__ARR__):
-    __N__ = len(__ARR__)
-    for __I__ in range(__N__ // 2 - 1, -1, -1):
-        __HELPER__(__ARR__, __N__, __I__)
-    for __I__ in range(__N__ - 1, 0, -1):
-        __ARR__[0], __ARR__[__I__] = __ARR__[__I__], __ARR__[0]
-        __HELPER__(__ARR__, __I__, 0)
-    return __ARR__
+    centre = first + (last - first) // 2
+    __FUNC__(__ARR__, first, centre)
+    __FUNC__(__ARR__, centre + 1, last)
+    for __AT__ in (centre,):
+        if __ARR__[__AT__] > __ARR__[last]:
+            __ARR__[__AT__], __ARR__[last] = __ARR__[last], __ARR__[__AT__]
+    __FUNC__(__ARR__, first, last - 1)
 ''')
-_add(_S, "Heap/Complex Structural Sort", "Library Heap Sort", '''
+_add(_S, "Recursive Swap-Based Sort", "Stooge Sort", '''
+def __FUNC__(__ARR__, first, size):
+    for last in [first + size - 1]:
+        if __ARR__[first] > __ARR__[last]:
+            __ARR__[first], __ARR__[last] = __ARR__[last], __ARR__[first]
+    if size > 2:
+        part = size - size // 3
+        __FUNC__(__ARR__, first, part)
+        __FUNC__(__ARR__, first + size - part, part)
+        __FUNC__(__ARR__, first, part)
+''')
+_add(_S, "Recursive Swap-Based Sort", "Circle Sort", '''
+def __FUNC__(__ARR__, first, last):
+    # mirrored positions are put in order, then both halves
+    if first >= last:
+        return 0
+    swaps = 0
+    for offset in range((last - first + 1) // 2):
+        if __ARR__[first + offset] > __ARR__[last - offset]:
+            __ARR__[first + offset], __ARR__[last - offset] = __ARR__[last - offset], __ARR__[first + offset]
+            swaps += 1
+    cut = first + (last - first) // 2
+    return swaps + __FUNC__(__ARR__, first, cut) + __FUNC__(__ARR__, cut + 1, last)
+''')
+_add(_S, "Heap/Complex Structural Sort", "Replacement Run Sort", '''
 import heapq
 
-def __FUNC__(__ARR__):
-    # push everything, pop in order
-    pile = []
-    for x in __ARR__:
-        heapq.heappush(pile, x)
-    return [heapq.heappop(pile) for _ in range(len(pile))]
-''')
-_add(_S, "Heap/Complex Structural Sort", "Run Merge Sort", '''
-def __FUNC__(__ARR__, run=4):
-    for __LO__ in range(0, len(__ARR__), run):
-        chunk = __ARR__[__LO__:__LO__ + run]
-        chunk.sort()
-        __ARR__[__LO__:__LO__ + run] = chunk
-    width = run
-    while width < len(__ARR__):
-        for __LO__ in range(0, len(__ARR__), 2 * width):
-            merged = sorted(__ARR__[__LO__:__LO__ + 2 * width])
-            __ARR__[__LO__:__LO__ + 2 * width] = merged
-        width *= 2
-    return __ARR__
-''')
-_add(_S, "Distribution Sort", "Counting Sort", '''
-def __FUNC__(__ARR__):
-    if not __ARR__:
-        return []
-    __CNT__ = [0] * (max(__ARR__) + 1)
-    for x in __ARR__:
-        __CNT__[x] += 1
-    __RES__ = []
-    for value, k in enumerate(__CNT__):
-        __RES__.extend([value] * k)
-    return __RES__
-''')
-_add(_S, "Distribution Sort", "Bucket Sort", '''
-def __FUNC__(__ARR__, buckets=10):
-    # spread into buckets, then concatenate
-    groups = [[] for _ in range(buckets)]
-    for x in __ARR__:
-        groups[min(int(x * buckets), buckets - 1)].append(x)
-    __RES__ = []
-    for g in groups:
-        __RES__.extend(g)
-    return __RES__
-''')
-_add(_S, "Distribution Sort", "Radix Sort", '''
-def __FUNC__(__ARR__):
-    place = 1
-    top = max(__ARR__) if __ARR__ else 0
-    while top // place > 0:
-        slots = {d: [] for d in range(10)}
-        for x in __ARR__:
-            slots[(x // place) % 10].append(x)
-        __ARR__ = [x for d in range(10) for x in slots[d]]
-        place *= 10
-    return __ARR__
+def __FUNC__(__ARR__, room=8):
+    waiting = [(0, x) for x in __ARR__[:room]]
+    heapq.heapify(waiting)
+    runs = {}
+    for x in __ARR__[room:]:
+        run, least = heapq.heappop(waiting)
+        runs.setdefault(run, []).append(least)
+        heapq.heappush(waiting, (run + (x < least), x))
+    while waiting:
+        run, least = heapq.heappop(waiting)
+        runs.setdefault(run, []).append(least)
+    return list(heapq.merge(*runs.values()))
+''')
+_add(_S, "Heap/Complex Structural Sort", "Nearly Ordered Heap Sort", '''
+import heapq
+
+def __FUNC__(__ARR__, drift):
+    # every value lies within drift places of its own
+    near = __ARR__[:drift]
+    heapq.heapify(near)
+    __OUT__ = [heapq.heappushpop(near, late) for late in __ARR__[drift:]]
+    while near:
+        __OUT__.append(heapq.heappop(near))
+    return __OUT__
 ''')
-_add(_S, "Single-Pass Loop Sort", "Gnome Sort", '''
+_add(_S, "Heap/Complex Structural Sort", "Shelf Merge Sort", '''
+import heapq
+
+def __FUNC__(shelves):
+    fronts = []
+    for number, shelf in enumerate(shelves):
+        if shelf:
+            heapq.heappush(fronts, (shelf[0], number, 0))
+    __OUT__ = []
+    while fronts:
+        least, number, __AT__ = heapq.heappop(fronts)
+        __OUT__.append(least)
+        if __AT__ + 1 < len(shelves[number]):
+            heapq.heappush(fronts, (shelves[number][__AT__ + 1], number, __AT__ + 1))
+    return __OUT__
+''')
+_add(_S, "Distribution Sort", "Calendar Sort", '''
+def __FUNC__(events):
+    months = {}
+    for title, month in events:
+        months[month] = months.get(month, []) + [title]
+    __OUT__ = []
+    for month in range(1, 13):
+        __OUT__ += months.get(month, [])
+    return __OUT__
+''')
+_add(_S, "Distribution Sort", "Word Length Sort", '''
+def __FUNC__(words):
+    # one drawer per length, emptied in order
+    drawers = [[]]
+    for word in words:
+        while len(drawers) <= len(word):
+            drawers.append([])
+        drawers[len(word)].append(word)
+    return [word for drawer in drawers for word in drawer]
+''')
+_add(_S, "Distribution Sort", "Ballot Sort", '''
+def __FUNC__(ballots):
+    __TALLY__ = {}
+    for name in ballots:
+        __TALLY__[name] = __TALLY__.get(name, 0) + 1
+    places = [[] for _ in range(len(ballots) + 1)]
+    for name in __TALLY__:
+        places[__TALLY__[name]].append(name)
+    return [name for place in places[::-1] for name in place]
+''')
+_add(_S, "Single-Pass Loop Sort", "Drop Sort", '''
 def __FUNC__(__ARR__):
-    __I__ = 0
-    while __I__ < len(__ARR__):
-        if __I__ == 0 or __ARR__[__I__ - 1] <= __ARR__[__I__]:
-            __I__ += 1
-        else:
-            __ARR__[__I__], __ARR__[__I__ - 1] = __ARR__[__I__ - 1], __ARR__[__I__]
-            __I__ -= 1
-    return __ARR__
+    risen = []
+    for __HELD__ in __ARR__:
+        if not risen or __HELD__ >= risen[-1]:
+            risen.append(__HELD__)
+    return risen
 ''')
-_add(_S, "Single-Pass Loop Sort", "Shuffle Check Sort", '''
-import random
+_add(_S, "Single-Pass Loop Sort", "Shelf Insert Sort", '''
+from bisect import insort
 
 def __FUNC__(__ARR__):
-    # shuffle until ordered, bounded attempts
-    tries = 0
-    while any(__ARR__[k] > __ARR__[k + 1] for k in range(len(__ARR__) - 1)) and tries < 1000:
-        random.shuffle(__ARR__)
-        tries += 1
-    return __ARR__
+    # each value goes straight to its place
+    shelf = []
+    for __HELD__ in __ARR__:
+        insort(shelf, __HELD__)
+    return shelf
 ''')
-_add(_S, "Single-Pass Loop Sort", "Min Extraction Sort", '''
+_add(_S, "Single-Pass Loop Sort", "Least Removal Sort", '''
 def __FUNC__(__ARR__):
-    __RES__ = []
-    rest = list(__ARR__)
-    while rest:
-        smallest = min(rest)
-        rest.remove(smallest)
-        __RES__.append(smallest)
-    return __RES__
+    pool, ordered = list(__ARR__), []
+    while pool:
+        ordered.append(pool.pop(pool.index(min(pool))))
+    return ordered
 ''')
 
 TEMPLATES = list(_T)
 STYLES = 5
-
-
-def template_rows() -> list[tuple]:
-    """(template_idx, category, func_key, label, original_name, body)."""
-    return [(i, key if key != "sorting" else "sorting", key, label, name, body)
-            for i, (key, label, name, body) in enumerate(TEMPLATES)]
-
-
-def style_rows() -> list[tuple]:
-    """(style_id, token, name) — 5 x len(ROLE_NAMES) rows."""
-    return [(s, tok, names[s]) for tok, names in ROLE_NAMES.items() for s in range(STYLES)]

@@ -24,8 +24,9 @@ def test_render_rules(spark):
     out = df.select("variant", corpus.render(F.col("body"), F.lit(None).cast("string"),
                                              F.col("variant") % 2 == 0).alias("code")).collect()
     by = {r["variant"]: r["code"] for r in out}
-    assert by[1] == "def func(arr):\n    return helper  # kept\n"
-    assert by[0].startswith("# comment\n\t# tab comment\ndef func(arr):")
+    arr = tp.ROLE_NAMES["ARR"][0]
+    assert by[1] == f"def func({arr}):\n    return helper  # kept\n"
+    assert by[0].startswith(f"# comment\n\t# tab comment\ndef func({arr}):")
 
 
 def test_duplicates(spark):

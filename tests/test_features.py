@@ -53,7 +53,7 @@ def test_repartition_invariant(spark):
 
 
 def test_preorder_intervals(spark):
-    df = spark.createDataFrame([(GOLDEN["n_queens"][0],)], "code string")
+    df = spark.createDataFrame([(GOLDEN["round_trips"][0],)], "code string")
     n = parse.parse_nodes(df).collect()
     by = {r["node_id"]: r for r in n}
     for r in n:
