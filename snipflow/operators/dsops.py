@@ -27,7 +27,7 @@ RE_PUSH_CALL = r"\.(append|push)\("
 RE_FIRST_ARG = r"\.\w+\(\s*([^\)]+?)\s*\)"
 # ---------------------------------------------------------------------------
 
-RE_INT = r"^[+-]?[0-9]+$"
+RE_INT = r"^[+-]?[0-9]+(_[0-9]+)*$"
 RE_FLOAT = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?[0-9]+[eE][+-]?[0-9]+$"
 
 
@@ -57,17 +57,35 @@ def _truncate(c: Column) -> Column:
                   ).otherwise(c)
 
 
+def collection_text(kind: Column, items: Column) -> Column:
+    """Text of a collection of ``kind`` whose item texts are ``items``."""
+    inner = F.array_join(items, ", ")
+    braces = F.concat(F.lit("{"), inner, F.lit("}"))
+    return (F.when(kind == "tuple", F.concat(F.lit("("), inner, F.when(F.size(items) == 1, ",").otherwise(""), F.lit(")")))
+            .when(kind == "set", F.when(F.size(items) == 0, "set()").otherwise(braces))
+            .when(kind == "dict", braces)
+            .when(kind == "deque", F.concat(F.lit("deque(["), inner, F.lit("])")))
+            .otherwise(py_list_text(items)))
+
+
+def plain_text(item: Column) -> Column:
+    """``str`` of an item given as its repr: a quoted string loses its quotes and escapes."""
+    quoted = F.regexp_like(item, F.lit(r"(?s)^'.*'$|^\".*\"$")) & (F.length(item) >= 2)
+    inside = F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"\\([\\'\"])", "$1")
+    return F.when(quoted, inside).otherwise(item)
+
+
 def sanitise_locals(locals_col: Column) -> Column:
     """T5 + T6: drop engine names and module handles; cut long strings; a
-    collection whose repr exceeds the limit becomes its truncated repr,
-    otherwise it keeps its first 50 items."""
+    collection whose repr exceeds the limit becomes its truncated repr, a deque
+    its repr; others keep their first 50 items."""
     keep = F.filter(locals_col, lambda x: ~x["name"].isin(*ENGINE_NAMES)
                     & ~(x["name"].isin(*MODULE_NAMES) & (x["kind"] == "module")))
 
     def bound(x):
         is_coll = x["kind"].isin("list", "tuple", "set", "deque", "dict")
-        full = py_list_text(x["items"])
-        too_long = is_coll & (F.length(full) > MAX_REPR_LENGTH)
+        full = collection_text(x["kind"], x["items"])
+        too_long = is_coll & ((x["kind"] == "deque") | (F.length(full) > MAX_REPR_LENGTH))
         return F.struct(
             x["name"].alias("name"),
             F.when(too_long, F.lit("repr")).otherwise(x["kind"]).alias("kind"),
@@ -113,8 +131,8 @@ def detect_operations(steps: DataFrame) -> DataFrame:
     raw = F.regexp_replace(py_strip(F.regexp_extract(t, RE_FIRST_ARG, 1)), "^['\"]+|['\"]+$", "")
     named = F.get(F.filter(loc, lambda x: x["name"] == F.col("_raw")), 0)
     named_text = F.when(named["kind"].isin("list", "tuple", "set", "deque"),
-                        py_list_text(named["items"])).otherwise(named["repr"])
-    int_val = F.expr("try_cast(_raw AS BIGINT)").cast("string")
+                        collection_text(named["kind"], named["items"])).otherwise(named["repr"])
+    int_val = F.expr("try_cast(replace(_raw, '_', '') AS BIGINT)").cast("string")
     arg = (F.when(~F.col("_has_arg"), F.lit("None"))
            .when(F.regexp_like(F.col("_raw"), F.lit(RE_INT)) & int_val.isNotNull(), int_val)
            .when(F.regexp_like(F.col("_raw"), F.lit(RE_FLOAT)),
@@ -145,11 +163,11 @@ def detect_operations(steps: DataFrame) -> DataFrame:
     rear = F.when(found & is_queue, F.when(n > 0, n - 1).otherwise(-1))
     top = F.when(found & ~is_queue, n - 1)
     log = (F.when(o == "dequeue", F.when(found, F.concat(
-                F.lit("Dequeued "), first, F.lit(" from queue. Queue is now: "),
+                F.lit("Dequeued "), plain_text(first), F.lit(" from queue. Queue is now: "),
                 py_list_text(F.slice(items, 2, VIEW_ITEMS - 1))))
                 .otherwise(F.lit("Dequeued from queue.")))
            .when(o == "pop", F.when(found, F.concat(
-                F.lit("Popped "), last, F.lit(" from stack. Stack is now: "),
+                F.lit("Popped "), plain_text(last), F.lit(" from stack. Stack is now: "),
                 py_list_text(F.slice(items, 1, F.greatest(n - 1, F.lit(0))))))
                 .otherwise(F.lit("Popped from stack.")))
            .when(o == "enqueue", F.when(found, F.concat(

@@ -84,7 +84,9 @@ def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
 
     ``runs`` has ``run_id, code`` and may carry screening results
     (``syntax_error``, ``policy_error``, ``prepare_error`` texts, ``no_result``
-    flag). Precedence: empty, timed out, no result, syntax error, policy
+    flag) and the run's own ``error`` text. Without such a column a run counts as
+    failed if nothing but returns follows its last exception: a trace emits a
+    return for every frame that the exception leaves. Precedence: empty, timed out, no result, syntax error, policy
     error, could not prepare, truncated, runtime error, ok. A timed-out or
     unprepared run keeps no steps and no output.
     """
@@ -92,7 +94,7 @@ def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
     span = steps.groupBy("run_id").agg(
         ((F.max(F.unix_micros(F.col("ts").cast("timestamp")))
           - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6).alias("duration_s"),
-        F.max_by(F.struct("event", "line_number"), "seq").alias("_last"),
+        F.max_by(F.struct("event", "line_number"), F.when(F.col("event") != "return", F.col("seq"))).alias("_last"),
     )
     if capped is None:
         capped = call_depth(cap_steps(user_steps(steps), cap))
@@ -115,7 +117,9 @@ def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
     no_result = _opt(r, "no_result", F.lit(False))
     timed_out = F.coalesce(F.col("duration_s") > F.lit(time_limit_s), F.lit(False))
     truncated = F.coalesce(F.col("truncated"), F.lit(False))
-    raised = F.coalesce(F.col("_last.event") == "exception", F.lit(False))
+    own_error = _opt(r, "error", F.lit(None).cast("string"))
+    raised = (own_error.isNotNull() if "error" in r.columns
+              else F.coalesce(F.col("_last.event") == "exception", F.lit(False)))
     status = (F.when(blank, "empty").when(timed_out, "timed_out")
               .when(no_result, "no_result").when(syntax.isNotNull(), "syntax_error")
               .when(policy.isNotNull(), "policy_error").when(prepare.isNotNull(), "prepare_error")
@@ -126,8 +130,8 @@ def run_status(runs: DataFrame, steps: DataFrame, cap: int = MAX_STEPS,
              .when(status == "prepare_error", F.concat(F.lit("Could not prepare code: "), prepare))
              .when(status == "truncated", MSG_TRUNCATED.format(cap=cap))
              .when(status == "runtime_error",
-                   F.concat(F.lit("Exception raised at line "),
-                            F.col("_last.line_number").cast("string"))))
+                   F.coalesce(own_error, F.concat(F.lit("Exception raised at line "),
+                                                  F.col("_last.line_number").cast("string")))))
     has_steps = status.isin("truncated", "runtime_error", "ok")
     return r.select(
         "run_id",

@@ -91,7 +91,9 @@ f AS (SELECT o.*,
        WHEN regexp_matches(raw, '^[+-]?[0-9]+$') AND TRY_CAST(raw AS BIGINT) IS NOT NULL
          THEN CAST(TRY_CAST(raw AS BIGINT) AS VARCHAR)
        WHEN regexp_matches(raw, '^[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+)$') THEN CAST(TRY_CAST(raw AS DOUBLE) AS VARCHAR)
-       WHEN raw = coll_name AND coll_kind IN ('list', 'tuple') THEN '[' || array_to_string(items, ', ') || ']'
+       WHEN raw = coll_name AND coll_kind = 'list' THEN '[' || array_to_string(items, ', ') || ']'
+       WHEN raw = coll_name AND coll_kind = 'tuple' AND len(items) = 1 THEN '(' || items[1] || ',)'
+       WHEN raw = coll_name AND coll_kind = 'tuple' THEN '(' || array_to_string(items, ', ') || ')'
        WHEN raw = scalar_name THEN scalar_repr
        ELSE raw END AS arg
   FROM o),

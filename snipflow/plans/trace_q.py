@@ -55,7 +55,8 @@ steps AS (SELECT kc.*, CAST(walk.shown AS INT) AS call_depth
 def _status_sql() -> str:
     return _walk_sql() + f""",
 span AS (SELECT run_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s,
-                arg_max(event, seq) AS last_event, arg_max(line_number, seq) AS last_line
+                arg_max(event, seq) FILTER (WHERE event <> 'return') AS last_event,
+                arg_max(line_number, seq) FILTER (WHERE event <> 'return') AS last_line
          FROM st GROUP BY run_id),
 agg AS (SELECT run_id, count(*) FILTER (WHERE step_no <= {CAP}) AS n_steps,
                max(step_no) > {CAP} AS truncated,

@@ -4,7 +4,9 @@ State per run: last applied ``seq``, the floored call depth after it, steps
 kept so far and the truncation flag. Each micro-batch of a run is sorted by
 ``seq``; the depth walk is vectorised (reflected cumulative sum from the
 stored depth), and rows at or below the last applied ``seq`` go out flagged
-``late`` instead of being applied. A run's state is dropped by an event-time
+``late`` instead of being applied. A run that passes its cap gets one closing
+row (event ``truncated``, step_no ``cap + 1``, the first step left out), also
+when its kept steps went out in earlier micro-batches. A run's state is dropped by an event-time
 timer once the watermark passes its last step plus ``idle_ms`` (the run's
 time limit), so state does not grow with the number of runs ever seen.
 """
@@ -20,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from snipflow.operators.trace import MAX_STEPS, MODULE_FRAME
 
+TRUNCATED = "truncated"
 OUT_SCHEMA = ("run_id long, seq long, step_no long, event string, line_number int, "
               "call_depth int, truncated boolean, late boolean")
 STATE_SCHEMA = "last_seq long, depth long, n long, truncated boolean, last_ts_ms long"
@@ -58,8 +61,7 @@ def _step_fn(cap: int, idle_ms: int):
             shown = prev + (ev == "call")
             room = max(cap - n, 0)
             take = min(room, len(fresh))
-            if len(fresh) > room:
-                trunc = True
+            trunc = len(fresh) > room
             if take:
                 out.append(pd.DataFrame({
                     "run_id": fresh["run_id"].to_numpy()[:take], "seq": fresh["seq"].to_numpy()[:take],
@@ -69,6 +71,12 @@ def _step_fn(cap: int, idle_ms: int):
                     "truncated": np.full(take, trunc), "late": np.full(take, False)}))
                 n += take
                 depth = int(post[take - 1])
+            if trunc:
+                over = fresh.iloc[take]
+                out.append(pd.DataFrame({
+                    "run_id": [over["run_id"]], "seq": [over["seq"]], "step_no": [cap + 1],
+                    "event": [TRUNCATED], "line_number": [over["line_number"]],
+                    "call_depth": np.array([-1], "int32"), "truncated": [True], "late": [False]}))
             last_seq = int(fresh["seq"].to_numpy()[-1])
         elif len(fresh):
             last_seq = int(fresh["seq"].to_numpy()[-1])

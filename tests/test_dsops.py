@@ -92,3 +92,32 @@ def test_argument_parsing(spark):
     q = o["queue.append()"]
     assert q["value"] == "None" and q["log"] == "Enqueued None to queue. Queue is now: [3]"
     assert o["stack.append(123456789012345678901234567890)"]["value"] == "123456789012345678901234567890"
+
+
+def test_text_by_kind(spark):
+    rows = [
+        ("stack.append(t)", [L("stack", [1]), L("t", [1], "tuple")]),
+        ("stack.append(tt)", [L("stack", [1]), L("tt", [1, 2], "tuple")]),
+        ("stack.append(d)", [L("stack", [1]), L("d", [1, 2], "deque")]),
+        ("stack.append(e)", [L("stack", [1]), L("e", [], "set")]),
+        ("stack.append(1_000)", [L("stack", [1])]),
+        ("x = queue.popleft()", [L("queue", ["'a'", '"it\'s"'], "deque")]),
+        ("y = stack.pop()", [L("stack", ["'a'", r"'b\\c'"])]),
+    ]
+    o = _ops(spark, rows)
+    assert o["stack.append(t)"]["value"] == "(1,)"
+    assert o["stack.append(tt)"]["value"] == "(1, 2)"
+    assert o["stack.append(d)"]["value"] == "deque([1, 2])"
+    assert o["stack.append(e)"]["value"] == "set()"
+    assert o["stack.append(1_000)"]["value"] == "1000"
+    assert o["x = queue.popleft()"]["log"] == """Dequeued a from queue. Queue is now: ["it's"]"""
+    assert o["y = stack.pop()"]["log"] == r"Popped b\c from stack. Stack is now: ['a']"
+
+
+def test_deque_and_long_tuple_bounds(spark):
+    loc = [L("d", [1, 2], "deque"), L("t", list(range(400)), "tuple"), L("u", [1], "tuple")]
+    df = spark.createDataFrame([(loc,)], f"locals {LOC}")
+    by = {x["name"]: x for x in df.select(dsops.sanitise_locals(F.col("locals")).alias("l")).collect()[0]["l"]}
+    assert by["d"]["kind"] == "repr" and by["d"]["repr"] == "deque([1, 2])"
+    assert by["t"]["repr"].startswith("(0, 1, ") and by["t"]["repr"].endswith("... (truncated)")
+    assert by["u"]["kind"] == "tuple" and by["u"]["items"] == ["1"]

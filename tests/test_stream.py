@@ -20,10 +20,34 @@ def test_stream_equals_batch(spark, tmp_path):
          .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     cols = ["run_id", "seq", "step_no", "event", "line_number", "call_depth"]
-    got = spark.table("t19").where("not late").select(cols)
+    out = spark.table("t19").where("not late")
+    got = out.where("event <> 'truncated'").select(cols)
     want = trace.traced_steps(steps, fx.X1_CAP).select(cols)
     assert got.count() == want.count() == 7243
     assert got.exceptAll(want).count() == 0
+    # one closing row per run with more user steps than the cap
+    over = trace.user_steps(steps).groupBy("run_id").count().where(F.col("count") > fx.X1_CAP).select("run_id")
+    closed = out.where("event = 'truncated'").select("run_id")
+    assert closed.count() == over.count() and closed.exceptAll(over).count() == 0
+
+
+def test_stream_truncation_at_batch_edge(spark, tmp_path):
+    import datetime as dt
+    d = str(tmp_path)
+    sch = ("run_id long, seq long, event string, func_name string, line_number int, "
+           "locals array<struct<name:string,kind:string,items:array<string>,repr:string>>, "
+           "output string, ts timestamp_ntz")
+    t0 = dt.datetime(2024, 1, 1)
+    for k, seqs in enumerate(([1, 2, 3], [4, 5], [6])):
+        spark.createDataFrame([(1, s, "line", "f", s, None, None, t0 + dt.timedelta(seconds=s)) for s in seqs], sch) \
+            .coalesce(1).write.parquet(os.path.join(d, "in", f"b{k}"))
+    src = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in", "*"))
+    q = (traced_stream(src, cap=3, idle_ms=3_600_000)
+         .writeStream.format("memory").queryName("t19edge").outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = [(r["seq"], r["step_no"], r["event"]) for r in spark.table("t19edge").orderBy("seq").collect()]
+    assert out == [(1, 1, "line"), (2, 2, "line"), (3, 3, "line"), (4, 4, "truncated")]
 
 
 def test_score_stream(spark, tmp_path):

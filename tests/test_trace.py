@@ -70,3 +70,19 @@ def test_x1_counts(spark):
     assert t.count() == 7243
     st = trace.run_status(fx.x1_runs(spark, SF01), fx.x1_steps(spark, SF01), fx.X1_CAP, 1e12)
     assert st.where("status = 'truncated'").count() == 94
+
+
+def test_crashed_run_ends_in_returns(spark):
+    runs = spark.createDataFrame([(1, "x = 1")], "run_id long, code string")
+
+    def status(events, runs=runs):
+        return trace.run_status(runs, _steps(spark, events), cap=50, time_limit_s=1e9).collect()[0]
+
+    assert status(["call", "call", "exception", "return", "exception", "return"])["status"] == "runtime_error"
+    assert status(["call", "exception", "line", "return"])["status"] == "ok"
+    told = spark.createDataFrame([(1, "x = 1", "ZeroDivisionError: division by zero")],
+                                 "run_id long, code string, error string")
+    st = status(["call", "line"], told)
+    assert st["status"] == "runtime_error" and st["error"] == "ZeroDivisionError: division by zero"
+    none = spark.createDataFrame([(1, "x = 1", None)], "run_id long, code string, error string")
+    assert status(["call", "exception"], none)["status"] == "ok"
