@@ -93,13 +93,36 @@ def test_minhash_chunk_pairs_find_all_links():
     base = np.unique(r.integers(0, 2**63, 100).astype(np.uint64))
     sets = [np.sort(np.concatenate([base[:100 - k], r.integers(0, 2**63, k).astype(np.uint64)])) for k in range(0, 24, 2)]
     ids = np.arange(len(sets))
-    links = minhash_dedup.links_of(ids, np.zeros(len(ids), int), ids * 0, sets, 85, False)
+    links, outside = minhash_dedup.links_of(ids, np.zeros(len(ids), int), sets, 85, ids == 0)
     want = components([frozenset(s.tolist()) for s in sets], ids.tolist(), 85)
     parent = {i: i for i in ids.tolist()}
     for _ in ids:
         for a, b in links:
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert parent == want
+    assert outside.tolist() == [want[i] != 0 for i in ids.tolist()]
+
+
+def test_minhash_large_clusters_in_two_rounds(spark, monkeypatch):
+    """Near copies, a drifting chain and two families tied by one bucket, cut into many chunks."""
+    base, rows = words(150, 40), []
+    for k in range(40):                                   # near copies of one text
+        t = base.copy()
+        t[(7 * k) % 150] = f"copy{k}"
+        rows.append((100 + k, " ".join(t)))
+    t = base.copy()
+    for k in range(40):                                   # each step changes three words for good
+        t[3 * k:3 * k + 3] = [f"a{k}", f"b{k}", f"c{k}"]
+        rows.append((200 + (17 * k) % 40, " ".join(t)))
+    for k in range(40):                                   # similar below the threshold: candidates, few links
+        t = base.copy()
+        for j in range(6):
+            t[(11 * k + 23 * j) % 150] = f"far{k}x{j}"
+        rows.append((300 + k, " ".join(t)))
+    monkeypatch.setattr(minhash_dedup, "CHUNK_ITEMS", 700)
+    got = {r["doc_id"]: r["component_id"]
+           for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == components([shingle_set(t) for _, t in rows], [i for i, _ in rows], 85)
 
 
 def brute_repeats(rows):
