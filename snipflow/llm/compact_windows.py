@@ -17,14 +17,14 @@ with probability 0.64, some of five with 0.994; equal passages share all.
    a passage on a third of all documents is one row per block.
 3. A block asks the hubs' blocks for the tokens of the passages in question, each
    once, and verifies its own aligned passages: Jaccard similarity of the token
-   sets of at least 0.8. Members without any verified passage with their hub
-   choose a new hub among themselves (``ROUNDS`` in all).
-4. Verified links give classes; verified passages give each document's spans.
+   sets of at least 0.8, decided for every passage. A signature with a passage
+   that is not similar to its hub's, or that the hub holds at two places, is open.
+4. All passages of an open signature meet, each distinct text of them once, and are
+   compared pair by pair, except where a pair can add neither a passage nor a link.
+5. Verified links give classes; verified passages give each document's spans.
 
-A document is compared with the hubs of its signatures, not with each member,
-so links inside a group appear through its hub: a pair is lost only if, for all
-signatures it shares (five per run of passage starts, all of them for equal
-passages), both rounds gave hubs that hold no similar passage.
+So aligned similar passages of two documents that share a signature are always
+found, and their documents share a class.
 
 Defined results: null and empty texts, and texts under ``WORDS`` words, have no
 passage and form a class of their own; equal texts share a class whatever their
@@ -51,7 +51,7 @@ SHINGLE, WORDS = 5, 50
 TOKENS = WORDS - SHINGLE + 1
 PAIRS = 5
 PERCENT = 80
-ROUNDS = 2
+CHUNK = 256                 # distinct texts of a signature that are counted against as many others at once
 _S = mix(np.arange(1, 4 * PAIRS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _S[:2 * PAIRS], _S[2 * PAIRS:] | np.uint64(1)
 _LOW = np.uint64((1 << 28) - 1)
@@ -143,7 +143,7 @@ def _ask_signatures(buckets):
 
 
 HUBS = "bucket int, block int, keys binary, docs binary, roots binary, single binary"
-TOLD = "block int, keys binary, docs binary, hub_blocks binary, roots binary"
+TOLD = "bucket int, block int, keys binary, docs binary, hub_blocks binary, roots binary"
 
 
 def _rows_per_bucket(t, buckets, key, doc, root, single):
@@ -155,33 +155,22 @@ def _rows_per_bucket(t, buckets, key, doc, root, single):
                      "single": pack(single.astype(np.uint8))}, schema=arrow_schema(HUBS))
 
 
-def _offer_hubs(buckets, round_):
-    """The block's smallest open document per repeated signature."""
+def _offer_hubs(buckets):
+    """The block's smallest document per repeated signature."""
     def run(t, block, right):
         marks = right.filter(pa.compute.is_valid(right["doc_id"]))
         x = _Block(block, block.marked(marks))
-        if round_ == 0:
-            x.keep(Repeated(right.filter(pa.compute.is_valid(right["keys"])), buckets).look_up(x.sig)[0])
-        else:
-            open_ = _opened(right)
-            x.keep(_is_open(x, open_))
+        x.keep(Repeated(right.filter(pa.compute.is_valid(right["keys"])), buckets).look_up(x.sig)[0])
         key, lo, hi, root = _lowest_per_key(x.sig, block.ids[x.row], x.root)
         return _rows_per_bucket(t, buckets, key, lo, root, lo == hi)
     return run
 
 
-def _opened(right):
-    """Sorted (signature, doc) pairs still without a link, from their packed rows."""
-    got = [np.frombuffer(r, np.int64).reshape(-1, 2) for r in right["open"].to_pylist() if r]
-    return np.concatenate(got) if got else np.zeros((0, 2), np.int64)
-
-
-def _is_open(x: _Block, open_: np.ndarray) -> np.ndarray:
-    if not len(open_):
-        return np.zeros(len(x.sig), bool)
-    pair = mix(open_[:, 0].view(np.uint64)) + open_[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    own = mix(x.sig) + x.block.ids[x.row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.isin(own, pair)
+def _split(keys: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed keys) of distinct signatures."""
+    keys = np.unique(keys)
+    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    return [(int(k), keys[cut[k]:cut[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cut))]
 
 
 def _tell_hubs(key, table):
@@ -204,30 +193,34 @@ def _tell_hubs(key, table):
         h = hub[use]
         for c, v in (("keys", k[use]), ("docs", d[h]), ("hub_blocks", block[h].astype(np.int32)), ("roots", r[h])):
             out[c].append(v.tobytes())
-    return pa.table({"block": table["block"], **{c: pa.array(v, pa.binary()) for c, v in out.items()}}, schema=arrow_schema(TOLD))
+    return pa.table({"bucket": table["bucket"], "block": table["block"], **{c: pa.array(v, pa.binary()) for c, v in out.items()}}, schema=arrow_schema(TOLD))
 
 
-# kind 0: a request to the hub's block; kind 1: the hits of this block, packed
+# kind 0: a request to the hub's block; kind 1: the hits of this block, packed;
+# kind 2: open signatures of a bucket (under block), packed
 REQUESTS = "kind int, block int, asker int, hub bigint, lo int, hi int, hits binary"
 _HIT = np.dtype([("row", np.int64), ("hub", np.int64), ("hub_block", np.int32), ("a", np.int32), ("b", np.int32),
                  ("shift", np.int32), ("sig", np.uint64)])
 
 
-def _request(t, block, right):
-    marks = right.filter(pa.compute.is_valid(right["doc_id"]))
-    told = right.filter(pa.compute.is_valid(right["keys"]))
-    load = lambda c, ty: np.frombuffer(b"".join(told[c].to_pylist()), ty)
-    key, hub, hub_block, root = load("keys", np.uint64), load("docs", np.int64), load("hub_blocks", np.int32), load("roots", np.int32)
-    if not len(key):
-        return empty(REQUESTS)
-    order = np.argsort(key)
-    key, hub, hub_block, root = key[order], hub[order], hub_block[order], root[order]
-    x = _Block(block, block.marked(marks))
+def _request(buckets):
+    def run(t, block, right):
+        marks = right.filter(pa.compute.is_valid(right["doc_id"]))
+        told = right.filter(pa.compute.is_valid(right["keys"]))
+        load = lambda c, ty: np.frombuffer(b"".join(told[c].to_pylist()), ty)
+        key, hub, hub_block, root = load("keys", np.uint64), load("docs", np.int64), load("hub_blocks", np.int32), load("roots", np.int32)
+        if not len(key):
+            return empty(REQUESTS)
+        order = np.argsort(key)
+        return _requests(t, _Block(block, block.marked(marks)), buckets, key[order], hub[order], hub_block[order], root[order])
+    return run
+
+
+def _requests(t, x, buckets, key, hub, hub_block, root):
     at = np.minimum(np.searchsorted(key, x.sig), len(key) - 1)
-    use = (key[at] == x.sig) & (hub[at] != block.ids[x.row])
-    open_ = _opened(right)
-    if len(open_):
-        use &= _is_open(x, open_)
+    use, own = key[at] == x.sig, hub[at] == x.block.ids[x.row]
+    again = _split(x.sig[use & own & (root[at] != x.root)], buckets)    # further places in the hub
+    use &= ~own
     at = at[use]
     x.keep(use)
     hit = np.zeros(len(at), _HIT)
@@ -247,16 +240,17 @@ def _request(t, block, right):
             reach[i] = max(reach[i - 1], hi[i])
     starts = np.array(starts, int)
     ends = np.append(starts[1:], len(h)) - 1 if len(starts) else starts
-    n = len(starts)
+    n, m = len(starts), len(again)
     i32 = pa.int32()
     return pa.table({
-        "kind": pa.array(np.append(np.zeros(n), 1).astype(np.int32)),
-        "block": pa.array(np.append(hit["hub_block"][order][starts], t), i32),
-        "asker": pa.array(np.full(n + 1, t), i32),
-        "hub": pa.concat_arrays([pa.array(h[starts]), pa.nulls(1, pa.int64())]),
-        "lo": pa.concat_arrays([pa.array(lo[starts], i32), pa.nulls(1, i32)]),
-        "hi": pa.concat_arrays([pa.array(reach[ends], i32), pa.nulls(1, i32)]),
-        "hits": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([hit.tobytes()], pa.binary())])}, schema=arrow_schema(REQUESTS))
+        "kind": pa.array(np.append(np.zeros(n), [1] + [2] * m).astype(np.int32)),
+        "block": pa.array([*hit["hub_block"][order][starts].tolist(), t, *[k for k, _ in again]], i32),
+        "asker": pa.array(np.full(n + 1 + m, t), i32),
+        "hub": pa.concat_arrays([pa.array(h[starts]), pa.nulls(1 + m, pa.int64())]),
+        "lo": pa.concat_arrays([pa.array(lo[starts], i32), pa.nulls(1 + m, i32)]),
+        "hi": pa.concat_arrays([pa.array(reach[ends], i32), pa.nulls(1 + m, i32)]),
+        "hits": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([hit.tobytes(), *[v for _, v in again]], pa.binary())])},
+        schema=arrow_schema(REQUESTS))
 
 
 PASSAGES = "block int, hub bigint, lo int, tokens binary"
@@ -283,14 +277,61 @@ def _send_passages(t, block, right):
     return pa.table(out, schema=arrow_schema(PASSAGES))
 
 
-# kind 0: span of a document (start and end word) and its partner; kind 1: open pairs
+# kind 0: span of a document (start and end word) and its partner; kind 1: open signatures of a bucket (under block)
 FOUND = "kind int, block int, doc bigint, other bigint, start int, stop int, open binary"
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    x, y = np.unique(x), np.unique(y)
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= percent * (len(x) + len(y) - common)
+def _presence(s: np.ndarray, size: int, n: int):
+    """Per sorted (token, place) key the first and last passage in which the place
+    is the token's first."""
+    at = s % size - TOKENS
+    first = np.maximum(at - TOKENS + 1, 0)
+    again = s[1:] // size == s[:-1] // size
+    first[1:] = np.where(again, np.maximum(first[1:], at[:-1] + 1), first[1:])
+    return first, np.minimum(at, n - 1)
+
+
+def _count(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """How many of the ranges hold each of ``n`` passages."""
+    use = first <= last
+    return np.cumsum(np.bincount(first[use], minlength=n + 1) - np.bincount(last[use] + 1, minlength=n + 1))[:n]
+
+
+def _keys(tokens: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
+    return np.sort(number * size + np.arange(len(tokens)) + TOKENS)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Number of different tokens in every passage."""
+    n, size = len(x) - TOKENS + 1, len(x) + 2 * TOKENS
+    return _count(*_presence(_keys(x, np.unique(x, return_inverse=True)[1], size), size, n), n)
+
+
+def similar_passages(x: np.ndarray, z: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each passage of ``x`` has a token set similar enough to that of the
+    passage at the same place of ``z`` (of equal length)."""
+    n, size = len(x) - TOKENS + 1, len(x) + 2 * TOKENS
+    same = np.concatenate([[0], np.cumsum(x == z)])
+    equal = same[TOKENS:] - same[:-TOKENS]
+    if equal.min() == TOKENS:
+        return np.ones(n, bool)
+    names, number = np.unique(np.concatenate([x, z]), return_inverse=True)
+    kx, kz = _keys(x, number[:len(x)], size), _keys(z, number[len(x):], size)
+    nx, nz = (len(x) - np.count_nonzero(k[1:] // size == k[:-1] // size) for k in (kx, kz))
+    if nx == nz == len(x):                  # nothing repeats
+        least = -(-2 * percent * TOKENS // (100 + percent))
+        if equal.min() >= least:
+            return np.ones(n, bool)
+        if nx + nz - len(names) < least:
+            return np.zeros(n, bool)
+    fx, lx = _presence(kx, size, n)
+    fz, lz = _presence(kz, size, n)
+    # places of one token near enough for one passage
+    a, b = np.searchsorted(kz, kx - (TOKENS - 1)), np.searchsorted(kz, kx + (TOKENS - 1), "right")
+    i = np.repeat(np.arange(len(kx)), b - a)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[i]
+    common = _count(np.maximum(fx[i], fz[j]), np.minimum(lx[i], lz[j]), n)
+    return 100 * common >= percent * (_count(fx, lx, n) + _count(fz, lz, n) - common)
 
 
 def _merge(spans):
@@ -303,20 +344,23 @@ def _merge(spans):
     return out
 
 
-def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
-    """Word ranges of a document and of its hub whose passages are similar enough.
+def _runs(good: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
-    Along one alignment the equal tokens of every passage are counted at once;
-    where tokens do not repeat, that count bounds the similarity from below.
-    What it leaves open is decided on the token sets at both ends of the hits."""
+
+def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
+    """Word ranges of a document and of its hub whose passages are similar enough,
+    and which hits have a passage that is not."""
     mine, yours = [], []
-    least = -(-2 * percent * TOKENS // (100 + percent))     # equal tokens that make the similarity
     los = [p[0] for p in theirs]
+    left = np.ones(len(hits), bool)
     cut = np.flatnonzero(hits["shift"][1:] != hits["shift"][:-1]) + 1
-    unsure = []
-    for g in np.split(hits, cut):
+    for at_hit, g in zip(np.concatenate([[0], cut]).tolist(), np.split(hits, cut)):
         shift = int(g["shift"][0])
         for first, last in _merge(zip(g["a"].tolist(), (g["b"] + 1).tolist())):
+            inside = np.flatnonzero((g["a"] >= first) & (g["b"] < last))
             first = max(first, -shift)
             at = np.searchsorted(los, first + shift, "right") - 1
             if at < 0 or first >= last:
@@ -326,26 +370,18 @@ def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
             x = own[first:first + len(z)]
             if len(x) < TOKENS:
                 continue
-            z = z[:len(x)]
-            same = np.concatenate([[0], np.cumsum(x == z)])
-            equal = same[TOKENS:] - same[:-TOKENS]
-            plain = len(np.unique(x)) == len(x) and len(np.unique(z)) == len(z)
-            good = equal >= (least if plain else TOKENS)
-            for p, q in _merge((int(k), int(k) + 1) for k in np.flatnonzero(good)):
+            good = similar_passages(x, z[:len(x)], percent)
+            for p, q in _runs(good):
                 mine.append((first + p, first + q - 1 + WORDS))
                 yours.append((first + p + shift, first + q - 1 + shift + WORDS))
-            if not good.all():
-                ends = {0, len(equal) - 1} | {int(k) - first for k in g["a"].tolist()} | {int(k) - first for k in g["b"].tolist()}
-                unsure += [(first + k, x[k:k + TOKENS], z[k:k + TOKENS], shift) for k in sorted(ends) if 0 <= k < len(equal) and not good[k]]
-    if not mine:
-        for p, x, z, shift in unsure:
-            if _similar(x, z, percent):
-                mine.append((p, p + WORDS))
-                yours.append((p + shift, p + shift + WORDS))
-    return mine, yours
-
-
-def _verify(percent):
+            sums = np.concatenate([[0], np.cumsum(good)])
+            a, b = g["a"][inside] - first, g["b"][inside] + 1 - first
+            held = (a >= 0) & (b <= len(good))
+            left[at_hit + inside[held]] = (sums[b[held]] - sums[a[held]]) < (b - a)[held]
+    return mine, yours, left
+
+
+def _verify(percent, buckets):
     def run(t, block, right):
         hits = [np.frombuffer(x, _HIT) for x in right["hits"].to_pylist() if x]
         if not hits:
@@ -364,12 +400,11 @@ def _verify(percent):
             row, hub = int(g["row"][0]), int(g["hub"][0])
             if cache[0] != row:
                 cache = (row, doc_tokens(block, [row])[row])
-            mine, yours = _agreeing(cache[1], passages.get(hub, []), g, percent)
+            mine, yours, left = _agreeing(cache[1], passages.get(hub, []), g, percent)
             doc = int(block.ids[row])
             if mine:
                 found += [(doc, hub, x, y) for x, y in _merge(mine)] + [(hub, doc, x, y) for x, y in _merge(yours)]
-            else:
-                failed += [(sig, doc) for sig in np.unique(g["sig"]).tolist()]
+            failed.append(g["sig"][left])
         # a hub's spans once per block; the link itself is in the member's rows
         seen, rows = set(), []
         member = set(block.ids[hits["row"]].tolist())
@@ -378,15 +413,156 @@ def _verify(percent):
                 continue
             seen.add((doc, x, y))
             rows.append((0, t, doc, other, x, y, None))
-        if failed:
-            f = np.array([(np.uint64(s), np.uint64(d)) for s, d in failed], np.uint64).view(np.int64)
-            rows.append((1, t, None, None, None, None, np.unique(f, axis=0).tobytes()))
+        rows += [(1, k, None, None, None, None, v) for k, v in _split(np.concatenate(failed), buckets)]
         if not rows:
             return empty(FOUND)
         return pa.table({f.name: pa.array(c, f.type) for f, c in zip(arrow_schema(FOUND), zip(*rows))}, schema=arrow_schema(FOUND))
     return run
 
 
+OPEN = "block int, keys binary"
+MEMBERS = "bucket int, sigs binary, docs binary, starts binary, befores binary, sizes binary, texts binary, tokens binary"
+
+
+def _tell_open(key, told, opened):
+    """For each block its signatures that are open."""
+    if not (told.num_rows and opened.num_rows):
+        return empty(OPEN)
+    keys = np.unique(np.frombuffer(b"".join(opened["open"].to_pylist()), np.uint64))
+    out = []
+    for block, own in zip(told["block"].to_pylist(), told["keys"].to_pylist()):
+        own = np.frombuffer(own, np.uint64)
+        own = own[np.isin(own, keys)]
+        if len(own):
+            out.append((block, own.tobytes()))
+    return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([k for _, k in out], pa.binary())],
+                    schema=arrow_schema(OPEN))
+
+
+def _send_members(buckets):
+    """The block's windows of open signatures by bucket, each distinct text of a signature once."""
+    def run(t, block, right):
+        keys = right.filter(pa.compute.is_valid(right["keys"]))
+        if not keys.num_rows:
+            return empty(MEMBERS)
+        keys = np.frombuffer(b"".join(keys["keys"].to_pylist()), np.uint64)
+        x = _Block(block, block.marked(right.filter(pa.compute.is_valid(right["doc_id"]))))
+        x.keep(np.isin(x.sig, keys))
+        order = np.argsort(x.row, kind="stable")
+        into: dict[int, tuple] = {}
+        last, own = -1, None
+        at = bucket_of(x.sig, buckets)
+        for k in order.tolist():
+            r, a, b = int(x.row[k]), int(x.a[k]), int(x.b[k])
+            if r != last:
+                last, own = r, doc_tokens(block, [r])[r]
+            texts, rows = into.setdefault(int(at[k]), ({}, []))
+            text = own[a:b + TOKENS].tobytes()
+            rows.append((int(x.sig[k]), int(block.ids[r]), a, int(x.root[k]) - a, len(text) // 8,
+                         texts.setdefault(text, len(texts))))
+        out = []
+        for k, (texts, rows) in into.items():
+            sig, doc, a, before, size, text = zip(*rows)
+            pack = lambda v, ty: np.array(v, ty).tobytes()
+            out.append((k, pack(sig, np.uint64), pack(doc, np.int64), pack(a, np.int32), pack(before, np.int32),
+                        pack([len(v) // 8 for v in texts], np.int32), pack(text, np.int32), b"".join(texts)))
+        if not out:
+            return empty(MEMBERS)
+        schema = arrow_schema(MEMBERS)
+        return pa.table([pa.array(c, f.type) for f, c in zip(schema, zip(*out))], schema=schema)
+    return run
+
+
+def _maybe_similar(texts: list, percent: int):
+    """Pairs of texts that hold enough common tokens for a similar passage."""
+    sets = [np.unique(t) for t in texts]
+    least = np.array([TOKENS if len(s) == len(t) else int(_distinct(t).min()) for s, t in zip(sets, texts)])
+    for i in range(0, len(texts), CHUNK):
+        names = np.unique(np.concatenate(sets[i:i + CHUNK]))
+        table = []
+        for j in range(i, len(texts), CHUNK):
+            part = sets[j:j + CHUNK]
+            row, tok = np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)
+            at = np.minimum(np.searchsorted(names, tok), len(names) - 1)
+            use = names[at] == tok
+            m = np.zeros((len(part), len(names)), np.float32)
+            m[row[use], at[use]] = 1
+            if j == i:
+                table = m
+            need = percent * (least[i:i + len(table), None] + least[None, j:j + len(part)])
+            a, b = np.nonzero((100 + percent) * (table @ m.T) >= need)
+            use = a + i < b + j
+            yield from zip((a[use] + i).tolist(), (b[use] + j).tolist())
+
+
+def _compare_all(texts, befores, places, percent):
+    """Spans (doc, partner, start, end) of one signature's distinct texts, whose
+    first passage lies ``before`` tokens ahead of the root; ``places``: (doc, start)
+    of each text. A pair that can add neither a passage nor a link is passed over."""
+    out = []
+    covered = [np.zeros(len(t) - TOKENS + 1, bool) for t in texts]
+    group = list(range(len(texts)))
+
+    def top(i):
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    docs = [sorted({d for d, _ in p}) for p in places]
+    for k, p in enumerate(places):
+        if len(docs[k]) > 1:
+            covered[k][:] = True
+            out += [(d, docs[k][0] if d != docs[k][0] else docs[k][1], a, a + len(texts[k]) - TOKENS + WORDS) for d, a in p]
+    for i, j in _maybe_similar(texts, percent):
+        if docs[i] == docs[j] and len(docs[i]) == 1:
+            continue
+        first = max(-befores[i], -befores[j])
+        a, b = first + befores[i], first + befores[j]
+        n = min(len(covered[i]) - a, len(covered[j]) - b)
+        if n <= 0 or (top(i) == top(j) and covered[i][a:a + n].all() and covered[j][b:b + n].all()):
+            continue
+        good = similar_passages(texts[i][a:a + n + TOKENS - 1], texts[j][b:b + n + TOKENS - 1], percent)
+        if not good.any():
+            continue
+        for k, at, other in ((i, a, j), (j, b, i)):
+            # a text of several documents is covered whole and only needs the link
+            for d, start in places[k] if len(docs[k]) == 1 else places[k][:1]:
+                partner = next(o for o in [*docs[other], *docs[k]] if o != d)
+                out += [(d, partner, start + at + p, start + at + q - 1 + WORDS) for p, q in _runs(good)]
+            covered[k][at:at + n] |= good
+        x, y = docs[i][0], next((o for o in docs[j] if o != docs[i][0]), None)
+        if y is None:
+            x, y = docs[i][1], docs[j][0]
+        p, q = _runs(good)[0]
+        start = next(s for d, s in places[i] if d == x)
+        out.append((x, y, start + a + p, start + a + q - 1 + WORDS))
+        group[top(j)] = top(i)
+    return out
+
+
+def _settle(percent):
+    def run(key, table):
+        groups: dict[int, dict] = {}
+        for row in table.to_pylist():
+            load = lambda c, ty: np.frombuffer(row[c], ty).tolist()
+            cut = np.concatenate([[0], np.cumsum(load("sizes", np.int32))]) * 8
+            texts = [row["tokens"][cut[k]:cut[k + 1]] for k in range(len(cut) - 1)]
+            for sig, doc, a, before, text in zip(load("sigs", np.uint64), load("docs", np.int64), load("starts", np.int32),
+                                                 load("befores", np.int32), load("texts", np.int32)):
+                groups.setdefault(sig, {}).setdefault((texts[text], before), []).append((doc, a))
+        found = set()
+        for members in groups.values():
+            found.update(_compare_all([np.frombuffer(t, np.uint64) for t, _ in members], [b for _, b in members],
+                                      list(members.values()), percent))
+        if not found:
+            return empty(FOUND)
+        schema = arrow_schema(FOUND)
+        rows = [(0, None, *f, None) for f in sorted(found)]
+        return pa.table([pa.array(c, f.type) for f, c in zip(schema, zip(*rows))], schema=schema)
+    return run
+
+
 def _count_words(batches):
     from snipflow.llm.common import buffers
     for batch in batches:
@@ -429,30 +605,21 @@ def _classes(table: BlockTable, scratch: Scratch, docs: DataFrame, percent: int)
     marks = table.marks
     told = scratch.save(table.step(marks, _ask_signatures(buckets), ASKED).groupBy("bucket")
                         .applyInArrow(answer(1 << 62), ANSWERED), "steps/asked")
-    found, rounds = [], 0
-    right = _with_marks(told, marks, "bucket int, keys binary, hot binary")
-    left_open = None
-    while True:
-        offers = table.step(right, _offer_hubs(buckets, rounds), HUBS)
-        hubs = scratch.save(offers.groupBy("bucket").applyInArrow(_tell_hubs, TOLD), f"steps/hubs{rounds}")
-        cols = "keys binary, docs binary, hub_blocks binary, roots binary, open binary"
-        asked = hubs if left_open is None else hubs.withColumn("open", _null("binary")).unionByName(
-            left_open.select("block", "open"), allowMissingColumns=True)
-        requests = scratch.save(table.step(_with_marks(asked, marks, cols), _request, REQUESTS), f"steps/requests{rounds}")
-        sent = table.step(_with_marks(requests.where("kind = 0"), marks, "asker int, hub bigint, lo int, hi int"),
-                          _send_passages, PASSAGES)
-        got = (sent.withColumn("hits", _null("binary"))
-               .unionAll(requests.where("kind = 1").select("block", _null("bigint"), _null("int"), _null("binary"), "hits")))
-        result = scratch.save(table.step(got, _verify(percent), FOUND), f"steps/found{rounds}")
-        found.append(result.where("kind = 0"))
-        left_open = result.where("kind = 1").select("block", "open")
-        rounds += 1
-        if rounds == ROUNDS or left_open.isEmpty():
-            break
-        right = _with_marks(left_open, marks, "open binary")
-    spans = found[0]
-    for f in found[1:]:
-        spans = spans.unionAll(f)
+    offers = table.step(_with_marks(told, marks, "bucket int, keys binary, hot binary"), _offer_hubs(buckets), HUBS)
+    hubs = scratch.save(offers.groupBy("bucket").applyInArrow(_tell_hubs, TOLD), "steps/hubs")
+    cols = "keys binary, docs binary, hub_blocks binary, roots binary"
+    requests = scratch.save(table.step(_with_marks(hubs, marks, cols), _request(buckets), REQUESTS), "steps/requests")
+    sent = table.step(_with_marks(requests.where("kind = 0"), marks, "asker int, hub bigint, lo int, hi int"),
+                      _send_passages, PASSAGES)
+    got = (sent.withColumn("hits", _null("binary"))
+           .unionAll(requests.where("kind = 1").select("block", _null("bigint"), _null("int"), _null("binary"), "hits")))
+    result = scratch.save(table.step(got, _verify(percent, buckets), FOUND), "steps/found")
+    opened = (result.where("kind = 1").select(F.col("block").alias("bucket"), "open")
+              .unionAll(requests.where("kind = 2").select("block", "hits")))
+    asked = hubs.select("bucket", "block", "keys").groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(_tell_open, OPEN)
+    members = table.step(_with_marks(asked, marks, "keys binary"), _send_members(buckets), MEMBERS)
+    settled = scratch.save(members.groupBy("bucket").applyInArrow(_settle(percent), FOUND), "steps/settled")
+    spans = result.where("kind = 0").unionAll(settled)
     links = spans.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
     comp = connected_components(links, scratch, "steps/cc")
     merged = F.aggregate(

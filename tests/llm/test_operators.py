@@ -161,6 +161,59 @@ def test_shared_passages(spark, frame, empty):
     assert compact_windows.shared_passages(empty).count() == 0
 
 
+def variant(k, v):
+    """50 words; variants of one k are similar to 40 / 52."""
+    w = words(50, 1000 + k)
+    w[24:26] = f"slot{v}a", f"slot{v}b"
+    return w
+
+
+def spanned(row, first, end):
+    return any(int(a) <= first and end <= int(b) for a, b in (s.split(":") for s in row["spans"].split(",") if s))
+
+
+def test_passages_of_every_variant_are_found(spark):
+    """The two last of four documents share a variant, the smaller ids hold others."""
+    rows = [(4 * k + d, " ".join(words(20, 5000 + 4 * k + d) + variant(k, min(d, 2)) + words(20, 9000 + 4 * k + d)))
+            for k in range(80) for d in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in compact_windows.shared_passages(df, block_bytes=20_000).collect()}
+    assert all(got[4 * k + 2]["class_id"] == got[4 * k + 3]["class_id"] == 4 * k + 2 for k in range(80))
+    assert all(spanned(got[4 * k + d], 20, 70) for k in range(80) for d in (2, 3))
+    assert all(got[4 * k + d]["n_spans"] == 0 for k in range(80) for d in (0, 1))
+
+
+def test_passages_verified_beside_others(spark):
+    """A shared boilerplate closes no other signature, a repeated phrase keeps the threshold."""
+    boiler, rows = words(80, 77), []
+    for d in range(4):
+        text = boiler.copy()
+        for k in range(40):
+            text += words(20, 20_000 + 40 * d + k) + variant(k, min(d, 2))
+        rows.append((d, " ".join(text)))
+    long = words(200, 78)
+    long[20:26] = long[60:66] = words(6, 79)
+    far = long.copy()
+    far[62] = "far"
+    rows += [(10, " ".join(long)), (11, " ".join(words(7, 80) + far))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in compact_windows.shared_passages(df, block_bytes=20_000).collect()}
+    assert all(spanned(got[d], 80 + 70 * k + 20, 80 + 70 * k + 70) for d in (2, 3) for k in range(40))
+    assert spanned(got[10], 0, 200) and spanned(got[11], 7, 207)
+
+
+def test_similar_passages_by_sets():
+    import numpy as np
+    r = np.random.default_rng(1)
+    for k in range(300):
+        x = r.integers(0, (3, 40, 60, 10**9)[k % 4], 46 + k % 60).astype(np.uint64)
+        z = np.roll(x, k % 3)
+        z[r.integers(0, len(z), k % 14)] = 7
+        want = [100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})
+                for a, b in ((x[i:i + 46].tolist(), z[i:i + 46].tolist()) for i in range(len(x) - 45))]
+        assert compact_windows.similar_passages(x, z, 80).tolist() == want
+
+
 @pytest.mark.parametrize("tokens", [1 << 20, -1])
 def test_decontamination_forgives_two_substitutions(spark, empty, tokens):
     item = words(20, 9)
