@@ -7,8 +7,9 @@ layers. A layer is scanned, then unwrapped: URL escapes, Unicode escapes and
 full-width letters, base64 runs, and compressed bytes (gzip, zlib, bz2, xz,
 zstandard) that base64 or URL escapes hold. Every new layer carries, for each
 of its characters, the range of the original text it came from, so spans found
-in any depth are reported in code points of the whole original text. Layers
-already seen in the document are not taken up again, so cycles end.
+in any depth are reported in code points of the whole original text. A layer of
+the same text and the same places is not taken up again, so cycles end, while
+the same content at another place is a layer of its own.
 
 Defined results: a null or empty text has no spans; a layer whose bytes are no
 printable UTF-8 text ends there; a compressed layer is read up to
@@ -163,12 +164,15 @@ def _unicode_piece(m: re.Match):
 
 def unwrap(text: str, limit: int = MAX_LAYER):
     """Spans of all layers in original code points, number of layers, cut layers."""
-    spans, work, seen, cut = set(), [_Layer(text)], {text}, 0
-    seen_bytes: set[bytes] = set()
+    spans, work, seen, cut = set(), [], set(), 0
+    seen_bytes: set[tuple] = set()
 
     def push(layer):
-        if layer.text and layer.text not in seen:
-            seen.add(layer.text)
+        key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        key.update(layer.start)
+        key.update(layer.end)
+        if layer.text and key.digest() not in seen:
+            seen.add(key.digest())
             work.append(layer)
 
     def push_bytes(raw, start, end):
@@ -176,7 +180,7 @@ def unwrap(text: str, limit: int = MAX_LAYER):
         nonlocal cut
         inner, whole = raw, False
         while True:
-            key = hashlib.blake2b(inner, digest_size=16).digest()
+            key = (hashlib.blake2b(inner, digest_size=16).digest(), start, end)
             if key in seen_bytes and whole:
                 return
             seen_bytes.add(key)
@@ -193,6 +197,7 @@ def unwrap(text: str, limit: int = MAX_LAYER):
         else:
             return got
 
+    push(_Layer(text))
     while work:
         layer = work.pop()
         spans.update((int(layer.start[s]), k, int(layer.end[e - 1])) for s, k, e in scan(layer.text))

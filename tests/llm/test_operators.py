@@ -59,6 +59,18 @@ def test_secrets_unwrap_layers_and_map_spans():
     assert any(k == 1 for _, k, _ in secrets.unwrap(double)[0])
 
 
+def test_secrets_repeat_at_every_place():
+    plain = base64.b64encode(b"say password = hunter2hunter2 now").decode()
+    packed = base64.b64encode(gzip.compress(b"see token: abcdefabcdef12 there")).decode()
+    text = f"{plain} and {packed}\n{plain} and {packed}"
+    spans = secrets.unwrap(text)[0]
+    second = text.index("\n") + 1
+    for at in (0, second):
+        a = at + len(plain) + 5
+        assert (a, 0, a + len(packed)) in spans
+        assert any(k == 0 and at <= s < e <= at + len(plain) for s, k, e in spans)
+
+
 def test_secrets_query_rows(spark, frame, empty):
     assert secrets.find_secrets(frame).count() == 14
     assert secrets.find_secrets(empty).count() == 0
