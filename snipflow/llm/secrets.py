@@ -11,9 +11,12 @@ in any depth are reported in code points of the whole original text. A layer of
 the same text and the same places is not taken up again, so cycles end, while
 the same content at another place is a layer of its own.
 
-Defined results: a null or empty text has no spans; a layer whose bytes are no
-printable UTF-8 text ends there; a compressed layer is read up to
-``MAX_LAYER`` bytes (a guard against bombs), and documents where that guard
+Defined results: a null or empty text has no spans; bytes of a layer that are no
+UTF-8 or UTF-16 stay in it as single characters, and decoded bytes without 16
+printable ASCII characters in a row (or full-width letters) end there, as no
+secret is shorter; a base64 run is read from each of its first four characters,
+and compressed bytes may begin anywhere in a run; all members of a compressed
+layer are read, up to ``MAX_LAYER`` bytes (a guard against bombs), and documents where that guard
 cut something are counted in ``n_oversized``. Rows with a repeated or null id
 are scanned one by one like any other. Other columns are left aside.
 """
@@ -25,6 +28,7 @@ import bz2
 import hashlib
 import lzma
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -41,9 +45,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 NAMES = ("passw", "secret", "token", "apikey", "api_key")   # each match of ASSIGN holds one
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})"
                      r"|((?:\\x[0-9A-Fa-f]{2})+)|([\uFF01-\uFF5E])")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")   # the shortest secret takes 22 characters
+MIXED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.!~*'()/;:@&=+$,?#-])+")    # percent-encoded bytes, some left as they are
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+PLAIN = re.compile(rb"[\x20-\x7e]{16}|\xef[\xbc\xbd]")
+WIDE = re.compile(rb"(?:[\x20-\x7e]\0){16}")
+CHUNK = 1 << 16
 MAX_LAYER = 1 << 26
 
 SCHEMA = ("doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, "
@@ -62,40 +72,73 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
-
-
-def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """Content of compressed bytes and whether the limit cut it; None if not compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d, out = zlib.decompressobj(31), None
-        elif raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            d, out = zlib.decompressobj(15), None
-        elif raw[:3] == b"BZh":
-            d, out = bz2.BZ2Decompressor(), None
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d, out = lzma.LZMADecompressor(memlimit=1 << 28), None
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as r:
-                out = r.read(limit + 1)
-            return out[:limit], len(out) > limit
+def _decoded(raw: bytes):
+    """(text, first byte, byte after) of the characters of UTF-8 bytes, and of UTF-16
+    bytes if there are any; only texts that can hold a secret."""
+    for codec, at in [("utf-8", 0)] * (PLAIN.search(raw) is not None) + [("utf-16-le", m.start() % 2) for m in WIDE.finditer(raw)][:1]:
+        text = raw[at:].decode(codec, "surrogateescape" if codec == "utf-8" else "replace")
+        if codec != "utf-8":
+            size = np.array([2 + 2 * (ord(c) > 0xFFFF) for c in text], np.int64)
+        elif len(text) == len(raw):
+            size = np.ones(len(text), np.int64)
         else:
-            return None, False
-        out = d.decompress(raw, limit + 1)
-        return out[:limit], len(out) > limit
+            size = np.array([len(c.encode("utf-8", "surrogateescape")) for c in text], np.int64)
+        stop = np.minimum(at + np.cumsum(size), len(raw))
+        yield text, np.minimum(at + np.cumsum(size) - size, len(raw) - 1), stop
+
+
+def _decompressor(raw: bytes):
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
+        return zlib.decompressobj(15)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=1 << 28)
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27)
+    return None
+
+
+def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool, int]:
+    """Content of all members of compressed bytes, whether the limit cut it and how
+    many bytes they take; None if not compressed. Damaged bytes give what comes
+    before the damage."""
+    out, at = bytearray(), 0
+    try:
+        while (d := _decompressor(raw[at:at + 8])) is not None and len(out) <= limit:
+            if hasattr(d, "stream_reader"):
+                with d.stream_reader(raw[at:], read_across_frames=True) as r:
+                    while len(out) <= limit and (part := r.read(min(CHUNK, limit + 1 - len(out)))):
+                        out += part
+                at = len(raw)
+                break
+            rest = b""
+            while not d.eof and len(out) <= limit:
+                data = rest or raw[at:at + CHUNK]
+                if not data and not hasattr(d, "needs_input"):
+                    break
+                if not rest:
+                    at += len(data)
+                part = d.decompress(data, limit + 1 - len(out))
+                out += part
+                rest = getattr(d, "unconsumed_tail", b"")
+                if not part and not data:
+                    break
+            if not d.eof:
+                break
+            at -= len(d.unused_data)
+            while raw[at:at + 1] == b"\0":     # padding between members
+                at += 1
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError):
-        return None, False
+        at = len(raw)
     except Exception as exc:  # zstandard has its own error class
-        if type(exc).__module__.startswith(("zstandard", "backend_c")) or type(exc).__name__ == "ZstdError":
-            return None, False
-        raise
+        if not (type(exc).__module__.startswith(("zstandard", "backend_c")) or type(exc).__name__ == "ZstdError"):
+            raise
+        at = len(raw)
+    return (bytes(out[:limit]) if out else None), len(out) > limit, at
 
 
 class _Layer:
@@ -175,27 +218,29 @@ def unwrap(text: str, limit: int = MAX_LAYER):
             seen.add(key.digest())
             work.append(layer)
 
-    def push_bytes(raw, start, end):
-        """Follow compressed bytes down; what is text in the end becomes a layer."""
+    def push_bytes(raw, place):
+        """Follow compressed bytes down; all of their content stands for the whole blob,
+        whose place in the original ``place`` gives from its first and last byte."""
         nonlocal cut
-        inner, whole = raw, False
-        while True:
-            key = (hashlib.blake2b(inner, digest_size=16).digest(), start, end)
-            if key in seen_bytes and whole:
-                return
-            seen_bytes.add(key)
-            deeper, over = _inflate(inner, limit)
+        for m in MAGIC.finditer(raw):
+            inner, over, used = _inflate(raw[m.start():], limit)
+            if inner is None:
+                continue
             cut += over
-            if deeper is None:
-                break
-            inner, whole = deeper, True
-        got = _printable(inner)
-        if not got:
-            return
-        if whole:       # every character of compressed content stands for the whole blob
-            push(_Layer(got, np.full(len(got), start), np.full(len(got), end)))
-        else:
-            return got
+            where = place(m.start(), m.start() + used)
+            todo = [inner]
+            while todo:
+                inner = todo.pop()
+                key = (hashlib.blake2b(inner, digest_size=16).digest(), *where)
+                if key in seen_bytes:
+                    continue
+                seen_bytes.add(key)
+                deeper, over, _ = _inflate(inner, limit)
+                cut += over
+                if deeper is not None:
+                    todo.append(deeper)
+                for got, _, _ in _decoded(inner):
+                    push(_Layer(got, np.full(len(got), where[0]), np.full(len(got), where[1])))
 
     push(_Layer(text))
     while work:
@@ -207,24 +252,29 @@ def unwrap(text: str, limit: int = MAX_LAYER):
             for m in URL.finditer(t):
                 raw = bytes.fromhex(m[0].replace("%", ""))
                 pieces.append((m.start(), m.end(), _chars(raw, m.start(), 3)))
-                if len(raw) >= 16:
-                    push_bytes(raw, int(layer.start[m.start()]), int(layer.end[m.end() - 1]))
             if pieces:
                 push(_rewrite(layer, pieces))
+            for m in MIXED.finditer(t):
+                if "%" not in m[0] or len(m[0]) < 16:
+                    continue
+                units = [(u.start(), u.end()) for u in ESCAPED.finditer(t, m.start(), m.end())]
+                for run in {m[0], m[0].replace("+", " ")}:
+                    push_bytes(urllib.parse.unquote_to_bytes(run),
+                               lambda a, b: (int(layer.start[units[a][0]]), int(layer.end[units[b - 1][1] - 1])))
         if "\\" in t or not t.isascii():
             pieces = [_unicode_piece(m) for m in UNICODE.finditer(t)]
             if pieces:
                 push(_rewrite(layer, pieces))
         for m in BASE64.finditer(t):
-            run = m[0].rstrip("=").translate({45: 43, 95: 47})
-            run = run[:len(run) - 1] if len(run) % 4 == 1 else run
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-            got = push_bytes(raw, int(layer.start[m.start()]), int(layer.end[m.end() - 1]))
-            if got:
-                chars = _chars(raw, 0, 1)
-                a = np.array([m.start() + x // 3 * 4 for _, x, _ in chars])
-                b = np.array([min(m.end(), m.start() + (y - 1) // 3 * 4 + 4) for _, _, y in chars])
-                push(_Layer(got, layer.start[a], layer.end[b - 1]))
+            whole = m[0].rstrip("=").translate({45: 43, 95: 47})
+            for skip in range(4):
+                run, at = whole[skip:], m.start() + skip
+                run = run[:len(run) - 1] if len(run) % 4 == 1 else run
+                raw = base64.b64decode(run + "=" * (-len(run) % 4))
+                stop = lambda y: np.where(y >= len(raw), m.end(), at + (y - 1) // 3 * 4 + 4)
+                push_bytes(raw, lambda a, b: (int(layer.start[at + a // 3 * 4]), int(layer.end[int(stop(b)) - 1])))
+                for got, x, y in _decoded(raw):
+                    push(_Layer(got, layer.start[at + x // 3 * 4], layer.end[np.minimum(m.end(), at + (y - 1) // 3 * 4 + 4) - 1]))
     return spans, len(seen), cut
 
 

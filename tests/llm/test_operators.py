@@ -71,6 +71,27 @@ def test_secrets_repeat_at_every_place():
         assert any(k == 0 and at <= s < e <= at + len(plain) for s, k, e in spans)
 
 
+def test_secrets_layers_that_are_not_all_text():
+    import bz2
+    import urllib.parse
+    secret = "password = hunter2hunter2"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    found = lambda text: any(k == 0 for _, k, _ in secrets.unwrap(text)[0])
+    for c in ("\ufeff", "\xa0", "\u200d", "\xad", "\f", "\x1b", "\0"):
+        assert found(b64(f"{c} {secret} x".encode()))
+        assert found(b64(gzip.compress(f"{c} {secret} x".encode())))
+    assert found(b64(b"\xff\xfe bad " + secret.encode()))
+    assert found(b64(secret.encode("utf-16")))
+    for pack in (gzip.compress, bz2.compress):
+        text = "é " + b64(pack(b"first member") + pack(secret.encode()))
+        assert (2, 0, len(text)) in secrets.unwrap(text)[0]
+    blob = urllib.parse.quote(gzip.compress(secret.encode() * 3, mtime=0))
+    assert (5, 0, 5 + len(blob)) in secrets.unwrap("q = \"" + blob + "\"")[0]
+    for prefix in ("/", "_", "-", "/a/", "key_"):
+        assert found(prefix + b64(secret.encode()))
+        assert found(prefix + b64(gzip.compress(secret.encode())))
+
+
 def test_secrets_query_rows(spark, frame, empty):
     assert secrets.find_secrets(frame).count() == 14
     assert secrets.find_secrets(empty).count() == 0
