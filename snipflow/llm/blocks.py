@@ -45,7 +45,7 @@ class BlockTable:
             spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(n))
         self.name = f"snipflow_{scratch.root.rsplit('-', 1)[1]}"
         placed = (docs.where("doc_id IS NOT NULL")
-                  .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+                  .withColumn("block", self.block_of("doc_id"))
                   .withColumn("own", F.xxhash64("text")).withColumn("own2", F.xxhash64(F.lit(7), F.col("text")))
                   .withColumn("n", F.octet_length("text")).withColumn("text", F.col("text").cast("binary")))
         (placed.repartition(n, "block").write.bucketBy(n, "block").format("parquet")
@@ -58,6 +58,9 @@ class BlockTable:
                                    .select("block", "doc_id", "own", "first").distinct(), "copies")
         self.marks = self.copies.where("doc_id > first").select("block", "doc_id", "own")
 
+    def block_of(self, id_col: str):
+        return F.pmod(F.xxhash64(id_col), F.lit(self.blocks)).cast("int").alias("block")
+
     def texts(self):
         return self.spark.table(self.name).select("block", "doc_id", "own", "text").groupBy("block")
 

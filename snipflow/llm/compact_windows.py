@@ -17,10 +17,11 @@ with probability 0.64, some of five with 0.994; equal passages share all.
    a passage on a third of all documents is one row per block.
 3. A block asks the hubs' blocks for the tokens of the passages in question, each
    once, and verifies its own aligned passages: Jaccard similarity of the token
-   sets of at least 0.8, decided for every passage. A signature with a passage
-   that is not similar to its hub's, or that the hub holds at two places, is open.
-4. All passages of an open signature meet, each distinct text of them once, and are
-   compared pair by pair, except where a pair can add neither a passage nor a link.
+   sets of at least 0.8, decided for every passage. A signature is open if it has
+   windows besides the hub's that may be similar to each other and one of them has
+   words outside its document's passages so far, or no link with the hub.
+4. All windows of an open signature meet, each distinct text of them once, and are
+   compared pair by pair, except where a pair can add neither words nor a link.
 5. Verified links give classes; verified passages give each document's spans.
 
 So aligned similar passages of two documents that share a signature are always
@@ -36,6 +37,8 @@ aside.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -166,11 +169,13 @@ def _offer_hubs(buckets):
     return run
 
 
-def _split(keys: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, packed keys) of distinct signatures."""
-    keys = np.unique(keys)
+def _split(keys: np.ndarray, active: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed signatures and infos): twice the number of windows, two at
+    most, and whether one is active."""
+    keys, inv = np.unique(keys, return_inverse=True)
+    info = (2 * np.minimum(np.bincount(inv, minlength=len(keys)), 2) + (np.bincount(inv, active, len(keys)) > 0)).astype(np.uint8)
     cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    return [(int(k), keys[cut[k]:cut[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cut))]
+    return [(int(k), keys[cut[k]:cut[k + 1]].tobytes() + info[cut[k]:cut[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cut))]
 
 
 def _tell_hubs(key, table):
@@ -185,7 +190,7 @@ def _tell_hubs(key, table):
     group = np.empty(len(k), np.int64)
     group[order] = np.cumsum(np.isin(np.arange(len(k)), first)) - 1
     hub = order[first][group]
-    shared = (d != d[hub]) | (s == 0)
+    shared = (np.bincount(group)[group] > 1) | (s == 0)
     cut = np.concatenate([[0], np.cumsum(size)])
     out = {c: [] for c in ("keys", "docs", "hub_blocks", "roots")}
     for i in range(len(size)):
@@ -197,7 +202,7 @@ def _tell_hubs(key, table):
 
 
 # kind 0: a request to the hub's block; kind 1: the hits of this block, packed;
-# kind 2: open signatures of a bucket (under block), packed
+# kind 2: signatures of a bucket (under block) at further places of the hub
 REQUESTS = "kind int, block int, asker int, hub bigint, lo int, hi int, hits binary"
 _HIT = np.dtype([("row", np.int64), ("hub", np.int64), ("hub_block", np.int32), ("a", np.int32), ("b", np.int32),
                  ("shift", np.int32), ("sig", np.uint64)])
@@ -219,7 +224,8 @@ def _request(buckets):
 def _requests(t, x, buckets, key, hub, hub_block, root):
     at = np.minimum(np.searchsorted(key, x.sig), len(key) - 1)
     use, own = key[at] == x.sig, hub[at] == x.block.ids[x.row]
-    again = _split(x.sig[use & own & (root[at] != x.root)], buckets)    # further places in the hub
+    again = x.sig[use & own & (root[at] != x.root)]     # further places in the hub
+    again = _split(again, np.ones(len(again), bool), buckets)
     use &= ~own
     at = at[use]
     x.keep(use)
@@ -277,7 +283,7 @@ def _send_passages(t, block, right):
     return pa.table(out, schema=arrow_schema(PASSAGES))
 
 
-# kind 0: span of a document (start and end word) and its partner; kind 1: open signatures of a bucket (under block)
+# kind 0: span of a document (start and end word) and its partner; kind 1: signatures of a bucket (under block)
 FOUND = "kind int, block int, doc bigint, other bigint, start int, stop int, open binary"
 
 
@@ -344,6 +350,12 @@ def _merge(spans):
     return out
 
 
+def _held(spans, a, b) -> bool:
+    """Whether one of sorted disjoint spans holds all of a to b."""
+    k = bisect.bisect_right(spans, a, key=lambda x: x[0]) - 1
+    return k >= 0 and spans[k][1] >= b
+
+
 def _runs(good: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
@@ -395,8 +407,10 @@ def _verify(percent, buckets):
             v.sort(key=lambda p: p[0])
         hits = hits[np.lexsort((hits["a"], hits["shift"], hits["hub"], hits["row"]))]
         change = np.flatnonzero((hits["row"][1:] != hits["row"][:-1]) | (hits["hub"][1:] != hits["hub"][:-1])) + 1
-        found, failed, cache = [], [], (-1, None)
-        for g in np.split(hits, change):
+        found, active, words, cache = [], np.zeros(len(hits), bool), {}, (-1, None)
+        linked = np.zeros(len(hits), bool)
+        cut = np.concatenate([[0], change])
+        for at, g in zip(cut.tolist(), np.split(hits, change)):
             row, hub = int(g["row"][0]), int(g["hub"][0])
             if cache[0] != row:
                 cache = (row, doc_tokens(block, [row])[row])
@@ -404,7 +418,9 @@ def _verify(percent, buckets):
             doc = int(block.ids[row])
             if mine:
                 found += [(doc, hub, x, y) for x, y in _merge(mine)] + [(hub, doc, x, y) for x, y in _merge(yours)]
-            failed.append(g["sig"][left])
+                words.setdefault(row, []).extend(mine)
+            active[at:at + len(g)] = left if mine else True
+            linked[at:at + len(g)] = bool(mine)
         # a hub's spans once per block; the link itself is in the member's rows
         seen, rows = set(), []
         member = set(block.ids[hits["row"]].tolist())
@@ -413,59 +429,79 @@ def _verify(percent, buckets):
                 continue
             seen.add((doc, x, y))
             rows.append((0, t, doc, other, x, y, None))
-        rows += [(1, k, None, None, None, None, v) for k, v in _split(np.concatenate(failed), buckets)]
+        for k in np.flatnonzero(active & linked).tolist():
+            h = hits[k]
+            active[k] = not _held(_merge(words[int(h["row"])]), int(h["a"]), int(h["b"]) + WORDS)
+        rows += [(1, k, None, None, None, None, v) for k, v in _split(hits["sig"], active, buckets)]
         if not rows:
             return empty(FOUND)
         return pa.table({f.name: pa.array(c, f.type) for f, c in zip(arrow_schema(FOUND), zip(*rows))}, schema=arrow_schema(FOUND))
     return run
 
 
-OPEN = "block int, keys binary"
-MEMBERS = "bucket int, sigs binary, docs binary, starts binary, befores binary, sizes binary, texts binary, tokens binary"
+OPEN = "block int, keys binary, docs binary"
+MEMBERS = ("bucket int, sigs binary, docs binary, starts binary, befores binary, linked binary, covers binary, "
+           "sizes binary, texts binary, tokens binary")
 
 
 def _tell_open(key, told, opened):
-    """For each block its signatures that are open."""
+    """For each block its signatures that are open, and their hubs."""
     if not (told.num_rows and opened.num_rows):
         return empty(OPEN)
-    keys = np.unique(np.frombuffer(b"".join(opened["open"].to_pylist()), np.uint64))
+    packed = opened["open"].to_pylist()
+    keys, inv = np.unique(np.concatenate([np.frombuffer(v, np.uint64, len(v) // 9) for v in packed]), return_inverse=True)
+    info = np.concatenate([np.frombuffer(v, np.uint8, offset=len(v) // 9 * 8) for v in packed])
+    keys = keys[(np.bincount(inv, info >> 1, len(keys)) > 1) & (np.bincount(inv, info & 1, len(keys)) > 0)]
     out = []
-    for block, own in zip(told["block"].to_pylist(), told["keys"].to_pylist()):
-        own = np.frombuffer(own, np.uint64)
-        own = own[np.isin(own, keys)]
-        if len(own):
-            out.append((block, own.tobytes()))
-    return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([k for _, k in out], pa.binary())],
-                    schema=arrow_schema(OPEN))
+    for block, own, hub in zip(*(told[c].to_pylist() for c in ("block", "keys", "docs"))):
+        own, hub = np.frombuffer(own, np.uint64), np.frombuffer(hub, np.int64)
+        use = np.isin(own, keys)
+        if use.any():
+            out.append((block, own[use].tobytes(), hub[use].tobytes()))
+    schema = arrow_schema(OPEN)
+    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def _send_members(buckets):
-    """The block's windows of open signatures by bucket, each distinct text of a signature once."""
+    """The block's windows of open signatures by bucket, each distinct text of a
+    signature once; which passages lie in known spans, and links with the hub."""
     def run(t, block, right):
-        keys = right.filter(pa.compute.is_valid(right["keys"]))
-        if not keys.num_rows:
+        told = right.filter(pa.compute.is_valid(right["keys"]))
+        if not told.num_rows:
             return empty(MEMBERS)
-        keys = np.frombuffer(b"".join(keys["keys"].to_pylist()), np.uint64)
+        hub_of = dict(zip(np.frombuffer(b"".join(told["keys"].to_pylist()), np.uint64).tolist(),
+                          np.frombuffer(b"".join(told["docs"].to_pylist()), np.int64).tolist()))
+        known = right.filter(pa.compute.is_valid(right["doc"]))
+        links, spans = set(), {}
+        for doc, other, x, y in zip(*(known[c].to_pylist() for c in ("doc", "other", "start", "stop"))):
+            links.add((doc, other))
+            spans.setdefault(doc, []).append((x, y))
         x = _Block(block, block.marked(right.filter(pa.compute.is_valid(right["doc_id"]))))
-        x.keep(np.isin(x.sig, keys))
+        x.keep(np.isin(x.sig, np.fromiter(hub_of, np.uint64, len(hub_of))))
         order = np.argsort(x.row, kind="stable")
         into: dict[int, tuple] = {}
-        last, own = -1, None
+        last, own, cover = -1, None, None
         at = bucket_of(x.sig, buckets)
         for k in order.tolist():
-            r, a, b = int(x.row[k]), int(x.a[k]), int(x.b[k])
+            r, a, b, sig = int(x.row[k]), int(x.a[k]), int(x.b[k]), int(x.sig[k])
+            doc = int(block.ids[r])
             if r != last:
                 last, own = r, doc_tokens(block, [r])[r]
-            texts, rows = into.setdefault(int(at[k]), ({}, []))
-            text = own[a:b + TOKENS].tobytes()
-            rows.append((int(x.sig[k]), int(block.ids[r]), a, int(x.root[k]) - a, len(text) // 8,
-                         texts.setdefault(text, len(texts))))
+                cover = np.zeros(len(own), np.uint8)
+                for y, z in _merge(spans.get(doc, [])):
+                    cover[y:max(y, z - WORDS + 1)] = 1
+            texts, rows, covers = into.setdefault(int(at[k]), ({}, [], []))
+            text, hub = own[a:b + TOKENS].tobytes(), hub_of[sig]
+            linked = doc == hub or (doc, hub) in links or (hub, doc) in links
+            rows.append((sig, doc, a, int(x.root[k]) - a, linked, texts.setdefault(text, len(texts))))
+            covers.append(cover[a:b + 1].tobytes())
         out = []
-        for k, (texts, rows) in into.items():
-            sig, doc, a, before, size, text = zip(*rows)
+        for k, (texts, rows, covers) in into.items():
+            sig, doc, a, before, linked, text = zip(*rows)
             pack = lambda v, ty: np.array(v, ty).tobytes()
             out.append((k, pack(sig, np.uint64), pack(doc, np.int64), pack(a, np.int32), pack(before, np.int32),
-                        pack([len(v) // 8 for v in texts], np.int32), pack(text, np.int32), b"".join(texts)))
+                        pack(linked, np.uint8), b"".join(covers), pack([len(v) // 8 for v in texts], np.int32),
+                        pack(text, np.int32), b"".join(texts)))
         if not out:
             return empty(MEMBERS)
         schema = arrow_schema(MEMBERS)
@@ -473,71 +509,102 @@ def _send_members(buckets):
     return run
 
 
-def _maybe_similar(texts: list, percent: int):
-    """Pairs of texts that hold enough common tokens for a similar passage."""
+def _least(t: np.ndarray) -> int:
+    """Fewest different tokens of a passage."""
+    return TOKENS if len(np.unique(t)) == len(t) else int(_distinct(t).min())
+
+
+def _maybe_similar(parts: list, texts: list, percent: int):
+    """Pairs of a part and a text that hold enough common tokens for a similar passage."""
     sets = [np.unique(t) for t in texts]
-    least = np.array([TOKENS if len(s) == len(t) else int(_distinct(t).min()) for s, t in zip(sets, texts)])
-    for i in range(0, len(texts), CHUNK):
-        names = np.unique(np.concatenate(sets[i:i + CHUNK]))
-        table = []
-        for j in range(i, len(texts), CHUNK):
-            part = sets[j:j + CHUNK]
-            row, tok = np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)
+    least = np.array([_least(t) for t in texts])
+    for i in range(0, len(parts), CHUNK):
+        rows = [np.unique(t) for t in parts[i:i + CHUNK]]
+        low = np.array([_least(t) for t in parts[i:i + CHUNK]])
+        names = np.unique(np.concatenate(rows))
+
+        def table(sets):
+            row, tok = np.repeat(np.arange(len(sets)), [len(p) for p in sets]), np.concatenate(sets)
             at = np.minimum(np.searchsorted(names, tok), len(names) - 1)
             use = names[at] == tok
-            m = np.zeros((len(part), len(names)), np.float32)
+            m = np.zeros((len(sets), len(names)), np.float32)
             m[row[use], at[use]] = 1
-            if j == i:
-                table = m
-            need = percent * (least[i:i + len(table), None] + least[None, j:j + len(part)])
-            a, b = np.nonzero((100 + percent) * (table @ m.T) >= need)
-            use = a + i < b + j
-            yield from zip((a[use] + i).tolist(), (b[use] + j).tolist())
+            return m
+        left = table(rows)
+        for j in range(0, len(texts), CHUNK):
+            need = percent * (low[:, None] + least[None, j:j + CHUNK])
+            a, b = np.nonzero((100 + percent) * (left @ table(sets[j:j + CHUNK]).T) >= need)
+            yield from zip((a + i).tolist(), (b + j).tolist())
 
 
 def _compare_all(texts, befores, places, percent):
     """Spans (doc, partner, start, end) of one signature's distinct texts, whose
-    first passage lies ``before`` tokens ahead of the root; ``places``: (doc, start)
-    of each text. A pair that can add neither a passage nor a link is passed over."""
+    first passage lies ``before`` tokens ahead of the root; ``places``: (doc, start,
+    passages in known spans, link with the hub) of each text."""
     out = []
-    covered = [np.zeros(len(t) - TOKENS + 1, bool) for t in texts]
-    group = list(range(len(texts)))
-
-    def top(i):
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    docs = [sorted({d for d, _ in p}) for p in places]
+    group: dict[int, int] = {}
+
+    def top(d):
+        while group.setdefault(d, d) != d:
+            group[d] = group[group[d]]
+            d = group[d]
+        return d
+
+    main = None
+    for p in places:
+        for d, _, _, linked in p:
+            if linked:
+                main = d if main is None else main
+                group[top(d)] = top(main)
+    docs = [sorted({d for d, *_ in p}) for p in places]
+    covered = []
     for k, p in enumerate(places):
-        if len(docs[k]) > 1:
-            covered[k][:] = True
-            out += [(d, docs[k][0] if d != docs[k][0] else docs[k][1], a, a + len(texts[k]) - TOKENS + WORDS) for d, a in p]
-    for i, j in _maybe_similar(texts, percent):
-        if docs[i] == docs[j] and len(docs[i]) == 1:
+        n = len(texts[k]) - TOKENS + 1
+        if len(docs[k]) == 1:
+            covered.append(np.all([c for _, _, c, _ in p], axis=0))
             continue
-        first = max(-befores[i], -befores[j])
+        covered.append(np.ones(n, bool))
+        for d, a, c, _ in p:
+            if not c.all() or top(d) != top(docs[k][0]):
+                group[top(d)] = top(docs[k][0])
+                out.append((d, docs[k][0] if d != docs[k][0] else docs[k][1], a, a + n - 1 + WORDS))
+    # what may still find something: texts without a link, and uncovered passages
+    parts = []
+    for k, c in enumerate(covered):
+        apart = main is None or top(docs[k][0]) != top(main)
+        parts += [(k, p, q) for p, q in ([(0, len(c))] if apart else _runs(~c))]
+    for part, j in _maybe_similar([texts[k][p:q + TOKENS - 1] for k, p, q in parts], texts, percent):
+        i, p0, p1 = parts[part]
+        if i == j or (docs[i] == docs[j] and len(docs[i]) == 1):
+            continue
+        first = max(p0 - befores[i], -befores[j])
         a, b = first + befores[i], first + befores[j]
-        n = min(len(covered[i]) - a, len(covered[j]) - b)
-        if n <= 0 or (top(i) == top(j) and covered[i][a:a + n].all() and covered[j][b:b + n].all()):
+        n = min(p1 - a, len(covered[j]) - b)
+        if n <= 0:
             continue
+        tied = top(docs[i][0]) == top(docs[j][0])
+        if tied:
+            need = np.flatnonzero(~(covered[i][a:a + n] & covered[j][b:b + n]))
+            if not len(need):
+                continue
+            a, b, n = a + int(need[0]), b + int(need[0]), int(need[-1] - need[0]) + 1
         good = similar_passages(texts[i][a:a + n + TOKENS - 1], texts[j][b:b + n + TOKENS - 1], percent)
         if not good.any():
             continue
         for k, at, other in ((i, a, j), (j, b, i)):
-            # a text of several documents is covered whole and only needs the link
-            for d, start in places[k] if len(docs[k]) == 1 else places[k][:1]:
-                partner = next(o for o in [*docs[other], *docs[k]] if o != d)
-                out += [(d, partner, start + at + p, start + at + q - 1 + WORDS) for p, q in _runs(good)]
+            fresh = good & ~covered[k][at:at + n]
             covered[k][at:at + n] |= good
-        x, y = docs[i][0], next((o for o in docs[j] if o != docs[i][0]), None)
-        if y is None:
-            x, y = docs[i][1], docs[j][0]
-        p, q = _runs(good)[0]
-        start = next(s for d, s in places[i] if d == x)
-        out.append((x, y, start + a + p, start + a + q - 1 + WORDS))
-        group[top(j)] = top(i)
+            for d, start, *_ in places[k]:
+                partner = next((o for o in docs[other] if o != d), None)
+                if partner is not None:
+                    out += [(d, partner, start + at + p, start + at + q - 1 + WORDS) for p, q in _runs(fresh)]
+        if not tied:
+            d, start = places[i][0][:2]
+            partner = next((o for o in docs[j] if o != d), None)
+            p, q = _runs(good)[0]
+            if partner is not None:
+                out.append((d, partner, start + a + p, start + a + q - 1 + WORDS))
+            group[top(docs[j][0])] = top(docs[i][0])
     return out
 
 
@@ -548,9 +615,13 @@ def _settle(percent):
             load = lambda c, ty: np.frombuffer(row[c], ty).tolist()
             cut = np.concatenate([[0], np.cumsum(load("sizes", np.int32))]) * 8
             texts = [row["tokens"][cut[k]:cut[k + 1]] for k in range(len(cut) - 1)]
-            for sig, doc, a, before, text in zip(load("sigs", np.uint64), load("docs", np.int64), load("starts", np.int32),
-                                                 load("befores", np.int32), load("texts", np.int32)):
-                groups.setdefault(sig, {}).setdefault((texts[text], before), []).append((doc, a))
+            covers, at = np.frombuffer(row["covers"], np.uint8) > 0, 0
+            for sig, doc, a, before, linked, text in zip(
+                    load("sigs", np.uint64), load("docs", np.int64), load("starts", np.int32), load("befores", np.int32),
+                    load("linked", np.uint8), load("texts", np.int32)):
+                n = len(texts[text]) // 8 - TOKENS + 1
+                groups.setdefault(sig, {}).setdefault((texts[text], before), []).append((doc, a, covers[at:at + n], linked))
+                at += n
         found = set()
         for members in groups.values():
             found.update(_compare_all([np.frombuffer(t, np.uint64) for t, _ in members], [b for _, b in members],
@@ -616,8 +687,10 @@ def _classes(table: BlockTable, scratch: Scratch, docs: DataFrame, percent: int)
     result = scratch.save(table.step(got, _verify(percent, buckets), FOUND), "steps/found")
     opened = (result.where("kind = 1").select(F.col("block").alias("bucket"), "open")
               .unionAll(requests.where("kind = 2").select("block", "hits")))
-    asked = hubs.select("bucket", "block", "keys").groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(_tell_open, OPEN)
-    members = table.step(_with_marks(asked, marks, "keys binary"), _send_members(buckets), MEMBERS)
+    asked = hubs.select("bucket", "block", "keys", "docs").groupBy("bucket").cogroup(opened.groupBy("bucket")).applyInArrow(_tell_open, OPEN)
+    known = result.where("kind = 0").select(table.block_of("doc"), "doc", "other", "start", "stop").distinct()
+    cols = "keys binary, docs binary, doc bigint, other bigint, start int, stop int"
+    members = table.step(_with_marks(asked.unionByName(known, allowMissingColumns=True), marks, cols), _send_members(buckets), MEMBERS)
     settled = scratch.save(members.groupBy("bucket").applyInArrow(_settle(percent), FOUND), "steps/settled")
     spans = result.where("kind = 0").unionAll(settled)
     links = spans.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
