@@ -70,7 +70,7 @@ def seed_hashes(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
     h += x4[16:16 + m]
     h *= _C[2]
     h ^= h >> np.uint64(32)
-    h[h == _MAX] = 1
+    h[(h == _MAX) | (h == 0)] = 1          # both mark what is no seed
     h[_before(ends, SEED - 1, m)] = _MAX
     return h
 

@@ -183,6 +183,16 @@ def test_suffix_dedup(spark, frame, docs, empty, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_with_nul_runs(spark):
+    rows = [(1, "\0" * 60), (2, "ab" + "\0" * 60), (3, "begin" + "\0" * 24 + " " + " ".join(words(4, 90))),
+            (4, "other text " + "begin" + "\0" * 24 + " " + " ".join(words(4, 90)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for r in suffix_dedup.remove_repeats(df, block_bytes=20_000).collect():
+        got.setdefault(r["doc_id"], set()).add(tuple(r)[1:])
+    assert got == brute_repeats(rows)
+
+
 def test_shared_passages(spark, frame, empty):
     got = {r["doc_id"]: r for r in compact_windows.shared_passages(frame, block_bytes=20_000).collect()}
     assert [got[i]["class_id"] for i in (0, 1, 2, 7, 8, 12)] == [0, 0, 0, 7, 7, 12]
