@@ -624,6 +624,7 @@ def _settle(percent):
                 at += n
         found = set()
         for members in groups.values():
+            members = {m: sorted(members[m], key=lambda p: p[:2]) for m in sorted(members)}
             found.update(_compare_all([np.frombuffer(t, np.uint64) for t, _ in members], [b for _, b in members],
                                       list(members.values()), percent))
         if not found:
