@@ -80,12 +80,13 @@ class Scratch:
     ``save`` writes a DataFrame as Parquet and reads it back: lineage is cut,
     later stages prune columns, and a lost executor re-reads files instead of
     recomputing. ``drop`` deletes one step (or all of them) once no plan reads
-    it any more.
+    it any more; what is left, after a failure too, goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _at_exit(spark, self.root)
 
     def save(self, df, step: str, compression: str = "snappy"):
         path = f"{self.root}/{step}"
@@ -118,10 +119,14 @@ def materialize(df, name: str = "stage"):
 
 
 def _at_exit(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the driver process ends, also if the session has stopped by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
     def remove():
         try:
-            delete_path(spark, path)
-        except Exception:  # the session has already stopped: nothing to call
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM is gone: nothing to call
             pass
     atexit.register(remove)
 
