@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snipflow.llm import (compact_windows, decision_lists, decontaminate, line_dedup, minhash_dedup, mixing, quality,
+from snipflow.llm import (compact_windows, decision_lists, decontaminate, line_dedup, merkle, minhash_dedup, mixing, quality,
                           secrets, suffix_dedup, toxicity)
 from snipflow.sources.tables import table
 
@@ -69,10 +69,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf_hash(*fields[:4], lower))
+    out = merkle.manifest(docs, fields, F.col("doc_id"), F.col("lang"), altered)
+    out = out.withColumn("folded_root", merkle.folded(F.col("altered"), F.col("path")))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_suffix_dedup, op5_decontaminate,
-        op6_mixing, op7_compact_windows, op8_toxicity, op9_quality_rules, op10_minhash_dedup)}
+        op6_mixing, op7_compact_windows, op8_toxicity, op9_quality_rules, op10_minhash_dedup,
+        op13_merkle_manifest)}
 
 
 # Site-relative line frequency: the same ratio and least number of pages as line_dedup.
@@ -93,5 +105,60 @@ FROM d
 """
 
 
+# The tree by recursion over its nodes, every proof by joining a leaf's ancestors with their runs.
+OP13_SQL = r"""
+WITH RECURSIVE
+field(doc_id, lang, f1, f2, f3, f4, text) AS (
+  SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+         coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), text FROM documents),
+crc_step(i, k, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8),
+crc(doc_id, crc) AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) FROM (SELECT DISTINCT doc_id FROM documents), crc_table),
+leaves AS (
+  SELECT f.doc_id, lang, sha256(f1 || f2 || f3 || f4 || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(f1 || f2 || f3 || f4 || coalesce(strlen(text) || ':' ||
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered
+  FROM field f LEFT JOIN crc c ON f.doc_id IS NOT DISTINCT FROM c.doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY coalesce(hex(lang), '')) - 1 AS g FROM leaves),
+low(g, level, pos, n, digest) AS (
+  SELECT g, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT g, level + 1, pos // 8, (max(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY g, level, pos // 8),
+sub AS (SELECT g, digest, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, pos, n, digest) AS (
+  SELECT 0, g, n, digest FROM sub
+  UNION ALL SELECT level + 1, pos // 8, (max(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 8),
+-- a run of siblings per node: level, place, what stands left and right of it
+low_beside AS (
+  SELECT g, level, pos, n, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM low WINDOW w AS (PARTITION BY g, level, pos // 8 ORDER BY pos)),
+high_beside AS (
+  SELECT level, pos, n, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM high WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)),
+climb(g, leaf_pos, level, pos, done, acc, proof, above) AS (
+  SELECT g, pos, 0, pos, n = 1, coalesce(altered, leaf), '', FALSE FROM placed
+  UNION ALL
+  SELECT c.g, c.leaf_pos, CASE WHEN c.done THEN 0 ELSE c.level + 1 END,
+         CASE WHEN c.done THEN c.g ELSE c.pos // 8 END,
+         CASE WHEN c.done THEN (SELECT max(n) FROM sub) = 1 WHEN c.above THEN (h.n + 7) // 8 = 1 ELSE (b.n + 7) // 8 = 1 END,
+         CASE WHEN c.done THEN c.acc WHEN c.above THEN sha256(h.l || c.acc || h.r) ELSE sha256(b.l || c.acc || b.r) END,
+         CASE WHEN c.done THEN c.proof WHEN c.above THEN c.proof || h.l || h.r ELSE c.proof || b.l || b.r END,
+         c.above OR c.done
+  FROM climb c LEFT JOIN low_beside b ON NOT c.above AND NOT c.done AND b.g = c.g AND b.level = c.level AND b.pos = c.pos
+       LEFT JOIN high_beside h ON c.above AND NOT c.done AND h.level = c.level AND h.pos = c.pos
+  WHERE NOT (c.above AND c.done))
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.acc AS folded_root, c.acc = r.digest AS verified
+FROM placed p JOIN climb c ON c.g = p.g AND c.leaf_pos = p.pos AND c.above AND c.done
+JOIN sub s ON s.g = p.g JOIN (SELECT digest FROM high WHERE n = 1) r ON TRUE
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op13_merkle_manifest": OP13_SQL}
