@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snipflow.llm import (compact_windows, decision_lists, decontaminate, line_dedup, merkle, minhash_dedup, mixing, quality,
-                          secrets, suffix_dedup, toxicity)
+                          ranked_search, secrets, suffix_dedup, toxicity)
 from snipflow.sources.tables import table
 
 
@@ -69,6 +69,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -84,7 +88,7 @@ def queries():
     return {f.__name__: f for f in (
         op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_suffix_dedup, op5_decontaminate,
         op6_mixing, op7_compact_windows, op8_toxicity, op9_quality_rules, op10_minhash_dedup,
-        op13_merkle_manifest)}
+        op12_ranked_search, op13_merkle_manifest)}
 
 
 # Site-relative line frequency: the same ratio and least number of pages as line_dedup.
@@ -105,6 +109,28 @@ FROM d
 """
 
 
+# Every document scored in full.
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w FROM words WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM docs),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) GROUP BY doc_id, term),
+item AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, corpus WHERE term IN (SELECT term FROM item) GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM item JOIN weights USING (term) JOIN tf USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 # The tree by recursion over its nodes, every proof by joining a leaf's ancestors with their runs.
 OP13_SQL = r"""
 WITH RECURSIVE
@@ -161,4 +187,4 @@ JOIN sub s ON s.g = p.g JOIN (SELECT digest FROM high WHERE n = 1) r ON TRUE
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
