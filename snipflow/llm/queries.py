@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from snipflow.llm import (compact_windows, decision_lists, decontaminate, line_dedup, merkle, minhash_dedup, mixing, quality,
+from snipflow.llm import (compact_windows, decision_lists, decontaminate, jaccard_join, line_dedup, merkle, minhash_dedup, mixing, quality,
                           ranked_search, secrets, suffix_dedup, toxicity)
 from snipflow.sources.tables import table
 
@@ -69,6 +69,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,7 +92,7 @@ def queries():
     return {f.__name__: f for f in (
         op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_suffix_dedup, op5_decontaminate,
         op6_mixing, op7_compact_windows, op8_toxicity, op9_quality_rules, op10_minhash_dedup,
-        op12_ranked_search, op13_merkle_manifest)}
+        op11_jaccard_join, op12_ranked_search, op13_merkle_manifest)}
 
 
 # Site-relative line frequency: the same ratio and least number of pages as line_dedup.
@@ -109,6 +113,22 @@ FROM d
 """
 
 
+# Links by counting common shingles of all pairs that share one; components by recursion.
+OP11_SQL = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+item AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM item a JOIN item b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(b, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN low ON low.a = s.doc_id
+"""
+
 # Every document scored in full.
 OP12_SQL = r"""
 WITH words AS (
@@ -187,4 +207,4 @@ JOIN sub s ON s.g = p.g JOIN (SELECT digest FROM high WHERE n = 1) r ON TRUE
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op11_jaccard_join": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
