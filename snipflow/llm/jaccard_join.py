@@ -21,12 +21,14 @@ set whose partners may fall into the next power of two gives keys for both.
    the texts serves both steps. Tokens of one document only match nothing but use up
    slack: a set with more than ``slack`` of them has no partner and leaves here.
 2. Equal sets (128-bit digest) are one class with its smallest id as representative.
-3. Keys of at least two classes become candidates. First every member of a key is
-   compared with the key's first member; components of these links settle groups of
-   near copies with one comparison per member. Then, for keys that hold several
-   components, members outside the key's largest component are compared with all
-   others. No key, candidate or partner is capped.
-4. Each candidate pair is verified on the full sets.
+3. Keys of at least two classes give candidates; of keys with the same classes one is
+   kept. First every member of a key is verified against the key's first member on the
+   full sets; components of these links settle groups of near copies with one
+   comparison per member.
+4. For keys that hold several components, what stands outside the key's largest one is
+   verified against that component, and against all else outside, on the full sets:
+   they meet in chunks of bounded size, which count common tokens through an inverted
+   index and give out links only. No key, candidate or partner is capped.
 
 Blocks grow with the input (``_block_bytes``), which keeps packed rows long.
 
@@ -48,12 +50,13 @@ from pyspark.sql import DataFrame, functions as F
 from snipflow.llm.blocks import arrow_schema, bucket_of, empty
 from snipflow.llm.common import buffers, mix, slices, text_frame
 from snipflow.llm.components import connected_components
-from snipflow.llm.minhash_dedup import shingle_sets
+from snipflow.llm.minhash_dedup import LINKS, links_of, shingle_sets
 from snipflow.session import Scratch
 
 RARE, COMMON = 64, 4096       # document frequencies up to which k is 1, and 2
 SUBCLASS = 16
 BUCKET_BYTES = 32 << 20       # of text whose tokens one bucket counts
+CHUNK_ITEMS = 200_000         # tokens of documents that a task compares with as many others
 
 ASKED = "bucket int, block int, keys binary, counts binary"
 ANSWERED = "block int, keys binary, high binary, dfs binary"
@@ -246,6 +249,73 @@ def _verified(threshold: int):
     return run
 
 
+def _chunks(weight):
+    return F.ceil(weight / CHUNK_ITEMS).cast("int")
+
+
+def _bundled(rows: DataFrame, cluster: str, whole, a: str, b: str) -> DataFrame:
+    """Group columns: small clusters share groups of about a chunk, others have one per (a, b)."""
+    w = rows.where(whole).agg(F.sum("n")).first()[0] or 0
+    share = F.pmod(F.xxhash64(cluster), F.lit(int(w // CHUNK_ITEMS) + 1))
+    return (rows.withColumn("g", F.when(whole, share).otherwise(F.lit(-1))).withColumn("g0", F.when(whole, F.lit(None)).otherwise(F.col(cluster)))
+            .withColumn("g1", F.col(a)).withColumn("g2", F.col(b)))
+
+
+def _among_outside(outside: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
+    """Links between members of a key that all stand outside its main component.
+
+    A key with many of them is cut into chunks that meet in pairs."""
+    per_key = (outside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _chunks(F.sum("n")).alias("chunks"))
+               .where("lo <> hi").select("key", "chunks"))
+    rows = outside.join(per_key, "key").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 OR other <> chunk")
+    rows = rows.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
+    rows = _bundled(rows, "key", F.col("chunks") == 1, "one", "two").join(items, "cls")
+    return (rows.select("g", "g0", "g1", "g2", F.col("key").alias("cluster"), "rep", "items", F.lit(False).alias("asking"))
+            .groupBy("g", "g0", "g1", "g2").applyInArrow(_counted(threshold, False), "a bigint, b bigint"))
+
+
+def _against_main(outside: DataFrame, member: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
+    """Links between members outside a key's main component and that component, whose
+    members and those outside are both cut into chunks."""
+    asking = outside.select("cls", "rep", "n", F.col("main").alias("cluster")).distinct()
+    askers = asking.groupBy("cluster").agg(_chunks(F.sum("n")).alias("blocks"))
+    size = (member.join(askers, F.col("comp") == F.col("cluster")).groupBy("cluster", "blocks")
+            .agg(_chunks(F.sum("n")).alias("chunks")))
+    own = (member.join(size, F.col("comp") == F.col("cluster"))
+           .withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+           .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asking", F.lit(False)))
+    asking = (asking.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asking", F.lit(True)))
+    columns = ["cls", "rep", "n", "cluster", "chunk", "block", "chunks", "blocks", "asking"]
+    rows = own.select(*columns).unionByName(asking.select(*columns))
+    rows = _bundled(rows, "cluster", (F.col("chunks") == 1) & (F.col("blocks") == 1), "chunk", "block").join(items, "cls")
+    return (rows.select("g", "g0", "g1", "g2", "cluster", "rep", "items", "asking")
+            .groupBy("g", "g0", "g1", "g2").applyInArrow(_counted(threshold, True), "a bigint, b bigint"))
+
+
+def _counted(threshold: int, asked: bool):
+    """Links within each cluster of a group by counting common tokens; with ``asked``
+    only between rows that ask and rows that do not."""
+    def run(table):
+        table = table.combine_chunks()
+        asking = np.array(table["asking"].to_pylist(), bool)
+        sets = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        tied = ~asking if asked else np.zeros(len(asking), bool)
+        got, _ = links_of(table["rep"].to_numpy(), table["cluster"].to_numpy(), sets, threshold, tied, asking if asked else None)
+        return pa.table([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], schema=LINKS)
+    return run
+
+
+def _multiple(keys: DataFrame) -> DataFrame:
+    """Rows of keys that at least two classes share; of keys with the same classes, one."""
+    keys = keys.repartition("key")
+    per_key = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x1"),
+                                      F.bit_xor(F.xxhash64(F.lit(1), F.col("cls"))).alias("x2")).where("m > 1")
+    once = per_key.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    return keys.join(once, "key", "left_semi")
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       width: int = 4, threshold: int = 85) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id linked,
@@ -264,10 +334,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = (sets.where("items IS NOT NULL").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi")
             .dropDuplicates(["cls"]).select("cls", F.col("doc_id").alias("rep"), "n", "keys", "items"))
     reps = scratch.save(reps, "reps")
-    keys = reps.where("length(keys) > 0").mapInArrow(_key_rows, KEYS).repartition("key")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    keys = scratch.save(keys.join(shared, "key", "left_semi"), "keys")
-
+    keys = scratch.save(_multiple(reps.where("length(keys) > 0").mapInArrow(_key_rows, KEYS)), "keys")
     items = reps.select("cls", "items")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -282,32 +349,29 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def pair(x: str, y: str):
         """The pair under one order of its classes."""
         swap = F.col(f"{x}.cls") > F.col(f"{y}.cls")
-        one, two = F.struct(f"{x}.cls", f"{x}.rep"), F.struct(f"{y}.cls", f"{y}.rep")
-        p = F.struct(F.when(swap, two).otherwise(one).alias("l"), F.when(swap, one).otherwise(two).alias("r"))
-        return p.alias("p")
-
-    def flat(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().select(F.col("p.l.cls").alias("x"), F.col("p.r.cls").alias("y"),
-                                       F.col("p.l.rep").alias("a"), F.col("p.r.rep").alias("b"))
+        both = [(f"{x}.{c}", f"{y}.{c}") for c in ("cls", "rep")]
+        return [F.when(swap, F.col(c[1 - k])).otherwise(F.col(c[k])).alias(name)
+                for c, names in zip(both, ("xy", "ab")) for k, name in enumerate(names)]
 
     # First: every member of a key with the key's first member.
     hubs = keys.groupBy("key").agg(F.min(F.struct("rep", "cls", "n")).alias("h")).select("key", "h.*")
-    tried = flat(keys.alias("x").join(hubs.alias("y"), "key").where((F.col("x.cls") != F.col("y.cls")) & sized("x", "y"))
-                 .select(pair("x", "y")))
-    tried = scratch.save(tried, "tried")
+    tried = (keys.alias("x").join(hubs.alias("y"), "key").where((F.col("x.cls") != F.col("y.cls")) & sized("x", "y"))
+             .select(*pair("x", "y")).distinct())
     first = scratch.save(links(tried), "first")
-    settled = connected_components(first, scratch, "settled")
-    # Then: what stands outside the largest component of its key.
-    member = (keys.join(settled, F.col("rep") == F.col("id"), "left")
-              .select("key", "cls", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-    member = scratch.save(member, "members")
+    settled = scratch.save(connected_components(first, scratch, "settled"), "settled")
+
+    def with_component(rows: DataFrame) -> DataFrame:
+        return (rows.join(settled, F.col("rep") == F.col("id"), "left")
+                .withColumn("comp", F.coalesce("component", "rep")).drop("id", "component"))
+
+    # Then: what stands outside the largest component of its key, the main one.
+    member = scratch.save(with_component(keys), "members")
     held = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = held.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    outside = member.join(main, "key").where("comp <> main").drop("main", "comps")
-    rest = flat(outside.alias("x").join(member.alias("y"), "key")
-                .where((F.col("x.comp") != F.col("y.comp")) & sized("x", "y")).select(pair("x", "y")))
-    rest = rest.join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    found = scratch.save(first.unionByName(links(rest)), "links")
+    outside = scratch.save(member.join(main, "key").where("comp <> main").select("key", "cls", "rep", "n", "comp", "main"), "outside")
+    found = first.unionByName(_among_outside(outside, items, threshold)).unionByName(
+        _against_main(outside, with_component(reps.select("cls", "rep", "n")), items, threshold))
+    found = scratch.save(found, "links")
 
     # Ids with several texts tie their classes.
     several = (sets.where("cls IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
@@ -319,5 +383,5 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("cls", F.coalesce("component", "rep").alias("component_id")))
     out = sets.select("doc_id", "n", "cls").join(named, "cls", "left")
     out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "out")
-    scratch.drop("sets", "classes", "reps", "keys", "tried", "first", "members", "links")
+    scratch.drop("sets", "classes", "reps", "keys", "first", "settled", "members", "outside", "links")
     return out
