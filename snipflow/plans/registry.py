@@ -8,6 +8,7 @@ PLAN_MODULES = [
     "snipflow.plans.rules_q",
     "snipflow.plans.trace_q",
     "snipflow.plans.dsops_q",
+    "snipflow.plans.nested_q",
     "snipflow.plans.eval_q",
     "snipflow.plans.corpus_q",
     "snipflow.plans.features_q",
