@@ -14,6 +14,7 @@ PLAN_MODULES = [
     "snipflow.plans.features_q",
     "snipflow.plans.policy_q",
     "snipflow.plans.model_q",
+    "snipflow.plans.stream_q",
 ]
 
 
