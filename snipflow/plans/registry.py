@@ -15,6 +15,7 @@ PLAN_MODULES = [
     "snipflow.plans.policy_q",
     "snipflow.plans.model_q",
     "snipflow.plans.stream_q",
+    "snipflow.plans.io_q",
 ]
 
 

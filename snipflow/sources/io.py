@@ -2,8 +2,7 @@
 
 The reference keeps its corpus as one JSON array document and its features as
 one CSV file. We read those formats, but write directories of part files
-(JSON lines / CSV / Parquet) so that writing scales with the cluster; a single
-JSON array cannot be split across readers.
+(JSON lines / CSV / Parquet) so that writing scales with the cluster.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snipflow.schemas import FEATURE_NAMES, FEATURES_SCHEMA, TRACE_STEPS_SCHEMA
+from snipflow.sources.records import CORRUPT, read_records
 
 CORPUS_DEBUG_SCHEMA = T.StructType([
     T.StructField("code", T.StringType(), True),
@@ -31,30 +31,37 @@ SUBMISSION_SCHEMA = T.StructType([
 
 
 def _reader(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet, JSON lines (a file or a folder of part files) or one JSON array.
-
-    The content decides between the two JSON forms: a document whose first
-    character is ``[`` is an array, which no split can cut; every other input is
-    read line by line, one row per line."""
+    """Parquet, or JSON records of any layout (see ``records``)."""
     if path.endswith(".parquet"):
-        return spark.read.schema(schema).parquet(path)
-    head = spark.read.text(path).where("length(trim(value)) > 0").limit(1).collect()
-    array = bool(head) and head[0][0].lstrip().startswith("[")
-    return spark.read.schema(schema).option("multiLine", array).json(path)
+        return spark.read.schema(schema).parquet(path).withColumn(CORRUPT, F.lit(None).cast("string"))
+    return read_records(spark, path, schema)
+
 
+def read_corpus(spark: SparkSession, *paths: str, debug: bool = False, keep_bad: bool = False) -> DataFrame:
+    """A1: the first path that exists wins; none -> FileNotFoundError.
 
-def read_corpus(spark: SparkSession, *paths: str, debug: bool = False) -> DataFrame:
-    """A1: the first path that exists wins; none -> FileNotFoundError."""
-    schema = CORPUS_DEBUG_SCHEMA if debug else T.StructType(CORPUS_DEBUG_SCHEMA.fields[:2])
+    A record that does not parse fails the job, with its text; with ``keep_bad`` it is a
+    row whose text stands in ``corrupt_record``, and all rows carry ``row_id`` (JSON
+    only), their number in file order. Debug columns are also read with a leading
+    underscore in their names."""
+    fields = CORPUS_DEBUG_SCHEMA.fields if debug else CORPUS_DEBUG_SCHEMA.fields[:2]
+    other = [T.StructField(f"_{f.name}", f.dataType, True) for f in fields[2:]]
+    schema = T.StructType([*fields, *other])
     for p in paths:
         try:
             df = _reader(spark, p, schema)
             df.schema  # noqa: B018 — resolves the path now
-            return df
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
                 continue
             raise
+        for f in other:
+            df = df.withColumn(f.name[1:], F.coalesce(f.name[1:], f.name)).drop(f.name)
+        if keep_bad:
+            return df
+        bad = F.raise_error(F.concat(F.lit("corpus record does not parse: "), F.substring(CORRUPT, 1, 200)))
+        code = F.when(F.col(CORRUPT).isNotNull(), bad.cast("string")).otherwise(F.col("code"))
+        return df.select(code.alias("code"), *[f.name for f in fields[1:]])
     raise FileNotFoundError(f"no corpus at any of: {', '.join(paths)}")
 
 
