@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snipflow.functions.text import py_lstrip, py_strip
+from snipflow.functions.text import json_text, py_lstrip, py_strip
 from snipflow.session import literal_df
 from snipflow.sources import templates as tp
 
@@ -115,18 +115,20 @@ def generate(spark: SparkSession) -> DataFrame:
     return flat.unionByName(sorts, allowMissingColumns=True)
 
 
-def corpus_from_ids(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def corpus_from_ids(ids: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:
     """X6 at scale: one rendering per input id; template = id mod n_templates,
-    variant = (id div n_templates) mod 5. Work grows with the id table."""
+    variant = (id div n_templates) mod 5. With ``text_col`` the snippet ends in that
+    text, whole, as a string constant (JSON's escapes are Python's)."""
     spark = ids.sparkSession
     n = len(tp.TEMPLATES)
     rows = ids.select(F.col(id_col).alias("doc_id"),
                       F.pmod(F.col(id_col), F.lit(n)).cast("int").alias("template_idx"),
                       F.pmod(F.floor(F.col(id_col) / n), F.lit(tp.VARIANTS_PER_TEMPLATE))
-                      .cast("int").alias("variant"))
+                      .cast("int").alias("variant"),
+                      (F.lit("") if text_col is None else F.concat(json_text(F.coalesce(text_col, F.lit(""))), F.lit("\n"))).alias("_tail"))
     rows = rows.join(F.broadcast(prepared_templates(spark)), "template_idx")
     return render_rows(rows).select("doc_id", "template_idx", "variant", "label", "original_name",
-                                    "code")
+                                    F.concat("code", "_tail").alias("code"))
 
 
 def generation_report(corpus: DataFrame) -> DataFrame:
@@ -149,6 +151,13 @@ def template_leakage(split_rows: DataFrame) -> DataFrame:
             .where(F.col("n_sides") > 1))
 
 
+def validated(corpus: DataFrame) -> DataFrame:
+    """Corpus rows with ``sample_id`` and ``parse_error`` (null: it parses)."""
+    from snipflow.operators.parse import parse_nodes, sample_ids
+    errs = parse_nodes(corpus).where(F.col("kind") == "ParseError").select("sample_id", "parse_error")
+    return sample_ids(corpus).join(errs, "sample_id", "left")
+
+
 def validate(corpus: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split rows into those that parse and rejects (with the error)."""
     from snipflow.operators.parse import sample_ids

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snipflow.functions.text import json_text
 from snipflow.operators.dsops import (ENGINE_NAMES, MAX_ITEMS, MAX_REPR_LENGTH, MODULE_NAMES, TRUNCATED_SUFFIX,
                                       py_str_repr)
 from snipflow.session import materialize
@@ -37,12 +38,6 @@ def _cut(c: Column) -> Column:
                   F.concat(F.substring(c, 1, MAX_REPR_LENGTH), F.lit(TRUNCATED_SUFFIX))).otherwise(c)
 
 
-def json_text(c: Column) -> Column:
-    """A text as a JSON string."""
-    array = F.to_json(F.array(c))
-    return F.substring(array, F.lit(2), F.length(array) - 2)
-
-
 def _described(df: DataFrame) -> DataFrame:
     """Kind of each value, its children if it is a collection."""
     kind = F.try_variant_get("v", "$.kind", "string")

@@ -169,19 +169,24 @@ def _arrow_schema():
     return _ARROW_SCHEMA
 
 
+BATCH_ROWS = 50_000            # node rows that a task holds before it hands them on
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow_schema()
-    names = schema.names
+    rows: list[tuple] = []
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     for b in batches:
-        ids = b.column("sample_id").to_pylist()
-        codes = b.column("code").to_pylist()
-        cols: list[list] = [[] for _ in names]
-        for sid, code in zip(ids, codes):
-            for r in node_rows(sid, code if code is not None else ""):
-                for j, v in enumerate(r):
-                    cols[j].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=schema.field(i).type)
-                                          for i, c in enumerate(cols)], schema=schema)
+        for sid, code in zip(b.column("sample_id").to_pylist(), b.column("code").to_pylist()):
+            rows += node_rows(sid, code if code is not None else "")
+            if len(rows) >= BATCH_ROWS:
+                yield batch()
+                rows = []
+    if rows:
+        yield batch()
 
 
 def sample_ids(corpus: DataFrame, code: str = "code") -> DataFrame:

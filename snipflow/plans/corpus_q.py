@@ -23,7 +23,9 @@ def corpus_report(spark, sf_dir):
 
 
 def corpus_duplicates(spark, sf_dir):
-    return corpus.duplicate_report(fx.x6_corpus(spark, sf_dir))
+    """The renderings and the document texts themselves (which hold exact copies)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("code"), F.col("lang").alias("label"))
+    return corpus.duplicate_report(fx.x6_corpus(spark, sf_dir).select("code", "label").unionByName(docs))
 
 
 def doc_normalize(spark, sf_dir):
@@ -78,15 +80,16 @@ WITH t(template_idx, func_key, label, body) AS (VALUES {trows}),
 s({scols}) AS (VALUES {srows}),
 fn(func_key, func_pos, func_name) AS (VALUES {frows}),
 d AS (SELECT doc_id, CAST(doc_id % {n} AS INT) AS template_idx,
-             CAST((doc_id // {n}) % 5 AS INT) AS variant FROM documents),
+             CAST((doc_id // {n}) % 5 AS INT) AS variant,
+             CAST(to_json(coalesce(text, '')) AS VARCHAR) || chr(10) AS tail FROM documents),
 j AS (SELECT d.*, t.func_key, t.label, t.body, s.*, fn.func_name FROM d
       JOIN t USING (template_idx)
       JOIN s ON s.style_id = (d.variant + d.template_idx) % 5
       JOIN fn ON fn.func_key = t.func_key AND fn.func_pos = (d.variant + d.template_idx) % 4),
-r AS (SELECT doc_id, template_idx, variant, label, {expr} AS c FROM j),
-x AS (SELECT doc_id, template_idx, variant, label,
+r AS (SELECT doc_id, template_idx, variant, label, tail, {expr} AS c FROM j),
+x AS (SELECT doc_id, template_idx, variant, label, tail,
              CASE WHEN variant % 2 = 0 THEN c ELSE {uncommented} END AS c2 FROM r)
-SELECT doc_id, template_idx, variant, label, {sql_py_strip('c2')} || chr(10) AS code FROM x"""
+SELECT doc_id, template_idx, variant, label, {sql_py_strip('c2')} || chr(10) || tail AS code FROM x"""
 
 
 def oracle():
@@ -99,7 +102,7 @@ def oracle():
         "corpus_report": f"""SELECT coalesce(label, 'TOTAL') AS label, count(*) AS n
 FROM ({rs}) c GROUP BY ROLLUP (label)""",
         "corpus_duplicates": f"""SELECT sha256(code) AS code_sha256, count(*) AS n, count(DISTINCT label) AS n_labels
-FROM ({rs}) c GROUP BY 1 HAVING count(*) > 1""",
+FROM (SELECT code, label FROM ({rs}) r UNION ALL SELECT text, lang FROM documents) c GROUP BY 1 HAVING count(*) > 1""",
         "corpus_group_split": f"""
 WITH c AS (SELECT doc_id, template_idx, label, {GROUP_KEY} AS gkey FROM ({rs}) r),
 g AS (SELECT DISTINCT label, template_idx, gkey FROM c),

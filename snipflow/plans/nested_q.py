@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snipflow.functions.text import PY_WS
+from snipflow.functions.text import PY_WS, json_text
 from snipflow.operators import nested
 from snipflow.plans.dsops_q import _repr_sql, _trunc_sql
 from snipflow.sources.tables import table
@@ -15,7 +15,7 @@ def _nested_locals(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("w", F.filter(F.split("text", f"{PY_WS}+"), lambda x: x != ""))
     word = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit(f"none{k}"))
-    text = nested.json_text
+    text = json_text
     a, b, c, e, f = (text(word(k)) for k in range(5))
     n = F.size("w").cast("string")
 

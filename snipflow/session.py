@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -98,6 +100,22 @@ class Scratch:
             delete_path(self.spark, path)
 
 
+_scope = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Steps that ``materialize`` writes within the block (in this thread) are deleted at
+    its end, also after a failure. Results must be written before the block ends."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        for path in paths:
+            delete_path(spark, path)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage: write ``df`` as Parquet into the shared checkpoint folder
     and read it back.
@@ -108,13 +126,17 @@ def materialize(df, name: str = "stage"):
     recomputing the lineage. (RDD ``checkpoint()`` would run the lineage twice
     unless cached, and yields rows, not columns.)
 
-    The files stay while the returned DataFrame may be read; those of a driver
-    process are deleted when it ends.
+    The files stay while the returned DataFrame may be read: to the end of the
+    enclosing ``scratch_scope``, or of the driver process.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    paths = getattr(_scope, "paths", None)
+    if paths is None:
+        _at_exit(spark, path)
+    else:
+        paths.append(path)
     df.write.mode("overwrite").parquet(path)
-    _at_exit(spark, path)
     return spark.read.parquet(path)
 
 

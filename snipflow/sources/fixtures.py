@@ -228,9 +228,10 @@ X4_TIEBREAK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 # ---------------------------------------------------------------- X6 -------
 def x6_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rendered snippet per document id (template and variant from doc_id)."""
+    """One rendered snippet per document (template and variant from doc_id), its whole
+    text a string constant in it: as many distinct snippets as distinct documents."""
     from snipflow.operators.corpus import corpus_from_ids
-    return corpus_from_ids(table(spark, sf_dir, "documents").select("doc_id"))
+    return corpus_from_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), text_col="text")
 
 
 # ---------------------------------------------------------------- X3 -------

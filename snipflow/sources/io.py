@@ -8,11 +8,13 @@ one CSV file. We read those formats, but write directories of part files
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snipflow.operators.corpus import validated
 from snipflow.schemas import FEATURE_NAMES, FEATURES_SCHEMA, TRACE_STEPS_SCHEMA
+from snipflow.session import delete_path
 from snipflow.sources.records import CORRUPT, read_records
 
 CORPUS_DEBUG_SCHEMA = T.StructType([
@@ -71,13 +73,33 @@ def write_corpus(df: DataFrame, out_dir: str) -> None:
     df.select("code", "label").write.mode("overwrite").json(f"{out_dir}/dataset")
 
 
+def write_validated(corpus: DataFrame, out_dir: str, shown: int = 20) -> int:
+    """Write the corpus, rejects apart with their message (``rejected=true``), and
+    fail if there are any; returns the number of rows.
+
+    One pass: the counts are observed while the rows are written."""
+    rows = validated(corpus)
+    seen = Observation("validated")
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count("parse_error").alias("n_rejected"))
+    (rows.withColumn("rejected", F.col("parse_error").isNotNull()).drop("sample_id")
+     .write.mode("overwrite").partitionBy("rejected").json(out_dir))
+    if seen.get["n_rejected"]:
+        first = corpus.sparkSession.read.json(f"{out_dir}/rejected=true").select("parse_error").limit(shown).collect()
+        raise ValueError(f"{seen.get['n_rejected']} of {seen.get['n']} snippets do not parse (written to {out_dir}/rejected=true): "
+                         + "; ".join(r[0] for r in first))
+    return seen.get["n"]
+
+
 def write_features(df: DataFrame, path: str) -> None:
-    """A3: header, features in order then label; refuse to write nothing.
-    Quotes inside values are doubled, as Python's csv module does."""
-    if df.isEmpty():
-        raise ValueError("no feature rows to write; fix the failed extractions first")
-    (df.select(*FEATURE_NAMES, "label").write.mode("overwrite")
+    """A3: header, features in order then label; refuse to write nothing (the rows are
+    counted while they are written). Quotes inside values are doubled, as Python's csv
+    module does."""
+    seen = Observation("features")
+    (df.select(*FEATURE_NAMES, "label").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
      .option("header", True).option("escape", '"').csv(path))
+    if not seen.get.get("n"):
+        delete_path(df.sparkSession, path)
+        raise ValueError("no feature rows to write; fix the failed extractions first")
 
 
 def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -87,10 +109,10 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return df, df.drop("label")
 
 
-def read_submissions(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Snippets to analyse, as a table or as a stream of JSON files."""
+def read_submissions(spark: SparkSession, path: str, stream: bool = False, max_files: int = 1000) -> DataFrame:
+    """Snippets to analyse, as a table or as a stream of JSON files (``max_files`` a batch)."""
     if stream:
-        return spark.readStream.schema(SUBMISSION_SCHEMA).json(path)
+        return spark.readStream.schema(SUBMISSION_SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
     return spark.read.schema(SUBMISSION_SCHEMA).json(path)
 
 

@@ -69,3 +69,13 @@ def test_corpus_written_in_parts_is_read_back_whole(spark, scratch):
     write_corpus(df, scratch)
     back = read_corpus(spark, f"{scratch}/dataset")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_rejects_are_written_and_fail_the_job(spark, scratch):
+    rows = [(f"x = {i}\n" if i % 4 else "def (", "A") for i in range(20)]
+    df = spark.createDataFrame(rows, "code string, label string").repartition(3)
+    with pytest.raises(ValueError, match="5 of 20 snippets do not parse"):
+        io.write_validated(df, f"{scratch}/c")
+    assert spark.read.json(f"{scratch}/c/rejected=true").where("parse_error IS NOT NULL").count() == 5
+    assert io.write_validated(df.where("code LIKE 'x%'"), f"{scratch}/d") == 15
+    assert spark.read.json(f"{scratch}/d").count() == 15

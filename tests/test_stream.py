@@ -91,3 +91,41 @@ def test_stream_late_steps(spark, tmp_path):
     assert late == [5, 6]
     # depth continues across micro-batches: 1, 2, 2, 2 (return shows pre-pop), 1, then call -> 2
     assert kept == [(10, 1, 1), (11, 2, 2), (12, 3, 2), (13, 4, 2), (14, 5, 1), (15, 6, 2), (16, 7, 2)]
+
+
+def test_score_stream_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    import pytest
+    from snipflow.operators import corpus, features, model, scoring
+    from snipflow.session import checkpoint_dir
+    from snipflow.streaming import score_stream
+    good, _ = features.build_features(corpus.generate(spark))
+    m = model.fit(good, num_trees=5)
+    d = str(tmp_path)
+    inp = os.path.join(d, "in")
+    codes = [r["code"] for r in corpus.generate(spark).limit(40).collect()] + ["", "def (", "x = 1\n"]
+    subs = spark.createDataFrame([(f"s{i}", c, None) for i, c in enumerate(codes)], "sub_id string, code string, entry_call string")
+    subs.repartition(4, "sub_id").write.json(inp)
+
+    def left():
+        root = checkpoint_dir(spark).removeprefix("file://")
+        return {x for x in os.listdir(root) if x.startswith(("nodes", "stage", "wide", "feat"))}
+
+    before, calls = left(), []
+
+    def failing(batch, fitted):
+        calls.append(1)
+        out = scoring.analyse(batch, fitted)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return out
+
+    monkeypatch.setattr(score_stream, "analyse", failing)
+    with pytest.raises(Exception, match="lost"):
+        score_stream.start(spark, inp, os.path.join(d, "out"), os.path.join(d, "ck"), m, max_files=1).awaitTermination()
+    score_stream.start(spark, inp, os.path.join(d, "out"), os.path.join(d, "ck"), m, max_files=1).awaitTermination()
+    assert left() == before
+    out = spark.read.parquet(os.path.join(d, "out"))
+    assert out.select("batch_id").distinct().count() >= 4
+    cols = ["sub_id", "status", "detail", "algorithm", "confidence", "complexity", "features"]
+    want = scoring.analyse(subs, m).withColumn("complexity", F.to_json("complexity")).withColumn("features", F.to_json("features"))
+    assert sorted(map(str, out.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
