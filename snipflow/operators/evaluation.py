@@ -96,6 +96,47 @@ def group_split(df: DataFrame, group: str, key: str, label: str = "label",
     return df.join(sides, [label, group])
 
 
+SHARE_UNITS = 100_000
+
+
+def nearest_groups(sizes: list[int], share: float) -> list[bool]:
+    """Which groups to take so that their sizes sum nearest to ``share`` of all (the
+    smaller sum if two are as near), earlier groups first among equal sums.
+
+    A subset sum by reachable totals: bit ``s`` of ``reach[i]`` says that groups from
+    ``i`` on can make ``s``. Sizes count in units of 1 / SHARE_UNITS of the total
+    (exactly, for fewer rows than that). With two groups or more, neither side is empty."""
+    total = sum(sizes)
+    unit = max(1, total // SHARE_UNITS)
+    size = [round(x / unit) for x in sizes]
+    reach = [1]
+    for x in reversed(size):
+        reach.append(reach[-1] | reach[-1] << x)
+    reach.reverse()
+    full, want = sum(size), share * sum(size)
+    sums = [s for s in range(full + 1) if reach[0] >> s & 1 and (len(size) < 2 or 0 < s < full)]
+    left = min(sums, key=lambda s: (round(abs(s - want), 6), s), default=0)
+    taken = []
+    for i, x in enumerate(size):
+        taken.append(bool(left >= x and reach[i + 1] >> (left - x) & 1))
+        left -= x if taken[-1] else 0
+    return taken
+
+
+def group_split_by_rows(df: DataFrame, group: str, label: str = "label", test_fraction: float = 0.2) -> DataFrame:
+    """Whole groups go to one side, chosen per class so that the *rows* of the test
+    side come nearest to the fraction. The choice sees one row per (class, group)."""
+    sizes = df.groupBy(F.col(label).alias("cls"), F.col(group).cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+
+    def choose(pdf):
+        pdf = pdf.sort_values("grp")
+        pdf["split"] = ["test" if t else "train" for t in nearest_groups([int(x) for x in pdf["n"]], test_fraction)]
+        return pdf[["cls", "grp", "split"]]
+
+    sides = sizes.groupBy("cls").applyInPandas(choose, f"cls {df.schema[label].dataType.simpleString()}, grp long, split string")
+    return (df.join(sides, df[label].eqNullSafe(sides["cls"]) & df[group].cast("long").eqNullSafe(sides["grp"])).drop("cls", "grp"))
+
+
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """M3: balanced weights n / (k * n_c), from the training rows only."""
     c = train.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_c"))

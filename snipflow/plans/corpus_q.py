@@ -52,6 +52,15 @@ def corpus_group_split(spark, sf_dir):
                                            F.count_distinct("template_idx").alias("n_templates"))
 
 
+def corpus_group_split_rows(spark, sf_dir):
+    """Whole templates on one side, rows nearest to a fifth; uneven templates by leaving out documents of few words."""
+    from snipflow.operators.evaluation import group_split_by_rows
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.length(F.coalesce("text", F.lit(""))) > 400).alias("long"))
+    c = fx.x6_corpus(spark, sf_dir).select("doc_id", "template_idx", "label").join(d, "doc_id")
+    c = c.where(F.col("long") | (F.col("template_idx") % 3 == 0))
+    return (group_split_by_rows(c, "template_idx").groupBy("label", "template_idx", "split").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -111,6 +120,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gkey, template_id
 s AS (SELECT label, template_idx, CASE WHEN rk <= ceil(0.2 * gn) THEN 'test' ELSE 'train' END AS split FROM r)
 SELECT label, split, count(*) AS n_rows, count(DISTINCT template_idx) AS n_templates
 FROM c JOIN s USING (label, template_idx) GROUP BY label, split""",
+        "corpus_group_split_rows": f"""
+WITH RECURSIVE
+c AS (SELECT label, template_idx, count(*) AS n FROM ({rs}) r JOIN documents USING (doc_id)
+      WHERE length(coalesce(text, '')) > 400 OR template_idx % 3 = 0 GROUP BY label, template_idx),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY template_idx) AS k, count(*) OVER (PARTITION BY label) AS m,
+             sum(n) OVER (PARTITION BY label) AS total FROM c),
+pick(label, k, mask, s) AS (
+  SELECT DISTINCT label, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o
+  UNION ALL
+  SELECT p.label, o.k, p.mask * 2 + t.b, CAST(p.s + t.b * o.n AS BIGINT)
+  FROM pick p JOIN o ON o.label = p.label AND o.k = p.k + 1, (VALUES (0), (1)) t(b)),
+best AS (SELECT DISTINCT ON (p.label) p.label, mask, o.m FROM pick p JOIN o ON o.label = p.label AND o.k = p.k AND o.k = o.m
+         WHERE o.m < 2 OR (s > 0 AND s < total) ORDER BY p.label, abs(5 * s - total), s, mask DESC)
+SELECT o.label, template_idx, CASE WHEN (mask >> CAST(o.m - o.k AS INT)) & 1 = 1 THEN 'test' ELSE 'train' END AS split, n AS n_rows
+FROM o JOIN best USING (label)""",
         "doc_normalize": f"""SELECT doc_id, {sql_py_strip('text')} || chr(10) AS normalized,
   {sql_py_strip(uncommented)} || chr(10) AS uncommented FROM documents""",
     }
@@ -123,4 +147,5 @@ def queries():
         "corpus_duplicates": corpus_duplicates,
         "doc_normalize": doc_normalize,
         "corpus_group_split": corpus_group_split,
+        "corpus_group_split_rows": corpus_group_split_rows,
     }

@@ -83,6 +83,22 @@ def score_corpus(spark, sf_dir):
                     F.col("complexity.space_complexity").alias("space_complexity"))
 
 
+def model_bundle(spark, sf_dir):
+    """A5: the saved bundle, loaded again, on raw code against the scoring job: how many
+    snippets get the same class and confidence from both."""
+    from snipflow.operators import bundle
+    from snipflow.operators.scoring import analyse
+    from snipflow.session import Scratch
+    c = materialize(fx.x6_corpus(spark, sf_dir).select("doc_id", "code", "label"), "x6_corpus")
+    path = f"{Scratch(spark, 'bundle').root}/model"
+    bundle.train(c, path, SPLIT_KEY, ["doc_id"], num_trees=20)
+    saved = model.load(path)
+    plain = analyse(c, type(saved)(stages=saved.stages[1:-1]), "doc_id").select("doc_id", "algorithm", F.col("confidence").alias("sure"))
+    both = bundle.score(saved, c.select("doc_id", "code")).join(plain, "doc_id")
+    same = (F.col("predicted_label") == F.col("algorithm")) & (F.col("confidence") == F.col("sure"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(same, 1)).alias("n_same"))
+
+
 def template_leakage(spark, sf_dir):
     """Templates whose renderings fall on both sides of the split."""
     from snipflow.operators.corpus import template_leakage as leak
@@ -90,7 +106,8 @@ def template_leakage(spark, sf_dir):
 
 
 def oracle():
-    return {}
+    # properties that hold for any forest
+    return {"model_bundle": "SELECT count(*) AS n, count(*) AS n_same FROM documents"}
 
 
 def queries():
@@ -100,6 +117,7 @@ def queries():
         "model_confusion": model_confusion,
         "model_importances": model_importances,
         "model_cv": model_cv,
+        "model_bundle": model_bundle,
         "model_out_of_scope": model_out_of_scope,
         "score_corpus": score_corpus,
         "template_leakage": template_leakage,

@@ -65,3 +65,26 @@ def test_confusion_long_takes_any_label(spark):
     df = spark.createDataFrame([("a.b", "n"), ("n", "n"), ("n", "true_label"), ("true_label", "zz")], "y string, pred string")
     got = {(r[0], r[1]): r[2] for r in confusion_long(df).collect()}
     assert len(got) == 9 and got[("a.b", "n")] == 1 and got[("n", "true_label")] == 1 and sum(got.values()) == 3
+
+
+def test_nearest_groups_by_enumeration():
+    import itertools
+    import random
+    r = random.Random(5)
+    for _ in range(300):
+        sizes = [r.choice([1, 2, 3, 7, 19, 20, 400]) for _ in range(r.randrange(1, 9))]
+        got = ev.nearest_groups(sizes, 0.2)
+        total, options = sum(sizes), []
+        for mask in itertools.product([True, False], repeat=len(sizes)):
+            s = sum(x for x, m in zip(sizes, mask) if m)
+            if len(sizes) < 2 or 0 < s < total:
+                options.append((abs(5 * s - total), s, [not m for m in mask], list(mask)))
+        assert got == min(options)[3], sizes
+
+
+def test_group_split_by_rows_is_near_and_whole(spark):
+    rows = [("a", g) for g, n in enumerate((50, 30, 11, 9)) for _ in range(n)] + [("b", 7)] * 5 + [(None, None)] * 3
+    s = ev.group_split_by_rows(spark.createDataFrame(rows, "label string, template_idx int"), "template_idx")
+    got = {(r["label"], r["template_idx"], r["split"]): r["n"] for r in s.groupBy("label", "template_idx", "split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("a", 0, "train"): 50, ("a", 1, "train"): 30, ("a", 2, "test"): 11, ("a", 3, "test"): 9,
+                   ("b", 7, "train"): 5, (None, None, "train"): 3}
