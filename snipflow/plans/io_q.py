@@ -1,10 +1,13 @@
-"""Registered round trip of the corpus source (A1, P3): documents as JSON of four layouts in one folder, read back."""
+"""Registered round trips: documents as JSON of four layouts, read back (A1, P3); feature rows as CSV (A3, A4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snipflow.schemas import FEATURE_NAMES
 from snipflow.session import Scratch
+from snipflow.sources import fixtures as fx
+from snipflow.sources import io
 from snipflow.sources.records import CORRUPT, ROW_ID, read_records
 from snipflow.sources.tables import table
 
@@ -44,12 +47,29 @@ def corpus_order(spark, sf_dir):
                  F.count_distinct(ROW_ID).alias("n_distinct"))
 
 
+def features_roundtrip(spark, sf_dir):
+    """A3, A4: X4's feature rows with labels that hold quotes, commas and line breaks, written as CSV and read back."""
+    path = f"{Scratch(spark, 'features').root}/csv"
+    x4 = fx.x4_features(spark, sf_dir)
+    label = F.concat("label", F.when(F.col("l_partkey") % 3 == 0, F.lit(' "q", x')).when(F.col("l_partkey") % 3 == 1, F.lit("\nz")).otherwise(F.lit("")))
+    io.write_features(x4.select(*FEATURE_NAMES, label.alias("label")), path)
+    back, x = io.read_features(spark, path)
+    code = sum((F.col(n) * (i + 1) for i, n in enumerate(x.columns)), F.lit(0.0))
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(code).alias("checksum"))
+
+
 def queries():
-    return {"corpus_records": corpus_records, "corpus_order": corpus_order}
+    return {"features_roundtrip": features_roundtrip,
+            "corpus_records": corpus_records, "corpus_order": corpus_order}
 
 
 def oracle():
+    checksum = " + ".join(f"{n} * {i + 1}" for i, n in enumerate(FEATURE_NAMES))
     return {
+        "features_roundtrip": f"""
+SELECT label || CASE l_partkey % 3 WHEN 0 THEN ' "q", x' WHEN 1 THEN chr(10) || 'z' ELSE '' END AS label, count(*) AS n,
+       CAST(sum({checksum}) AS DOUBLE) AS checksum
+FROM ({fx.x4_sql()}) x GROUP BY 1""",
         "corpus_records": """
 SELECT CASE WHEN damaged THEN NULL ELSE doc_id END AS doc_id, CASE WHEN damaged THEN NULL ELSE sha256(text) END AS code_sha256,
        CASE WHEN damaged THEN NULL ELSE lang END AS label, damaged

@@ -99,6 +99,33 @@ def model_bundle(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(same, 1)).alias("n_same"))
 
 
+def stream_scoring(spark, sf_dir):
+    """H3: the scoring stream over files of submissions, stopped after some and started
+    again, against the batch job: how many submissions have the same row in both."""
+    from snipflow.operators.scoring import analyse
+    from snipflow.session import Scratch
+    from snipflow.streaming import score_stream
+    scratch = Scratch(spark, "score-stream")
+    c = fx.x6_corpus(spark, sf_dir).select(F.col("doc_id").cast("string").alias("sub_id"), "code", "label")
+    broken = F.when(F.col("sub_id") % 13 == 0, F.lit(" ")).when(F.col("sub_id") % 17 == 0, F.concat(F.lit("def (\n"), F.col("code")))
+    subs = scratch.save(c.select("sub_id", F.coalesce(broken, "code").alias("code"), F.lit(None).cast("string").alias("entry_call"),
+                                 F.pmod(F.xxhash64("sub_id"), F.lit(3)).alias("part")), "subs")
+    good, _ = features.build_features(c)
+    fitted = model.fit(good, num_trees=20)
+    for part in range(3):                      # the second start finds two files more
+        subs.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(f"{scratch.root}/inbox")
+        if part != 1:
+            score_stream.start(spark, f"{scratch.root}/inbox", f"{scratch.root}/out", f"{scratch.root}/checkpoint", fitted,
+                               max_files=1).awaitTermination()
+    columns = ["status", "detail", "algorithm", "confidence", "complexity", "features"]
+    one = spark.read.parquet(f"{scratch.root}/out").select("sub_id", F.struct(*columns).alias("one"))
+    two = analyse(subs, fitted).withColumn("complexity", F.to_json("complexity")).withColumn("features", F.to_json("features"))
+    both = one.join(two.select("sub_id", F.struct(*columns).alias("two")), "sub_id", "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("one").eqNullSafe(F.col("two")), 1)).alias("n_same"),
+                    F.count(F.when(F.col("one.status") == "empty", 1)).alias("n_empty"),
+                    F.count(F.when(F.col("one.status") == "parse_error", 1)).alias("n_parse_error"))
+
+
 def template_leakage(spark, sf_dir):
     """Templates whose renderings fall on both sides of the split."""
     from snipflow.operators.corpus import template_leakage as leak
@@ -107,7 +134,9 @@ def template_leakage(spark, sf_dir):
 
 def oracle():
     # properties that hold for any forest
-    return {"model_bundle": "SELECT count(*) AS n, count(*) AS n_same FROM documents"}
+    return {"model_bundle": "SELECT count(*) AS n, count(*) AS n_same FROM documents",
+            "stream_scoring": """SELECT count(*) AS n, count(*) AS n_same, count(*) FILTER (WHERE doc_id % 13 = 0) AS n_empty,
+  count(*) FILTER (WHERE doc_id % 13 <> 0 AND doc_id % 17 = 0) AS n_parse_error FROM documents"""}
 
 
 def queries():
@@ -118,6 +147,7 @@ def queries():
         "model_importances": model_importances,
         "model_cv": model_cv,
         "model_bundle": model_bundle,
+        "stream_scoring": stream_scoring,
         "model_out_of_scope": model_out_of_scope,
         "score_corpus": score_corpus,
         "template_leakage": template_leakage,

@@ -23,6 +23,12 @@ def trace_run_summary(spark, sf_dir):
     return trace.run_summary(fx.x1_runs(spark, sf_dir), fx.x1_steps(spark, sf_dir), CAP, LIMIT)
 
 
+def trace_run_outcomes(spark, sf_dir):
+    """T15 with all nine outcomes, T1 with module frames."""
+    out = trace.run_status(fx.x1b_runs(spark, sf_dir), fx.x1b_steps(spark, sf_dir), fx.X1B_CAP, fx.X1B_TIME_LIMIT_S)
+    return out.drop("duration_s")
+
+
 def trace_hot_lines(spark, sf_dir):
     return trace.hot_lines(fx.x1_steps(spark, sf_dir), CAP)
 
@@ -84,8 +90,36 @@ status AS (
   FROM j)"""
 
 
+def _outcomes_sql() -> str:
+    steps = fx.x1_steps_sql().replace("'main' AS func_name", f"{fx.X1B_FUNC} AS func_name")
+    runs = ", ".join(f"{sql} AS {name}" for name, sql in fx.X1B_RUNS.items())
+    walk = _walk_sql().replace(fx.x1_steps_sql(), steps).replace(f"step_no <= {CAP + 1}", f"step_no <= {fx.X1B_CAP + 1}")
+    cap = fx.X1B_CAP
+    return walk + f""",
+span AS (SELECT run_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s FROM st GROUP BY run_id),
+agg AS (SELECT run_id, count(*) FILTER (WHERE step_no <= {cap}) AS n_steps, max(step_no) > {cap} AS truncated,
+               max(call_depth) FILTER (WHERE step_no <= {cap}) AS max_depth,
+               coalesce(string_agg(output, '' ORDER BY step_no) FILTER (WHERE step_no <= {cap} AND output IS NOT NULL), '') AS out
+        FROM steps GROUP BY run_id),
+runs AS (SELECT DISTINCT user_id AS run_id, {runs} FROM events),
+j AS (SELECT *, CASE WHEN trim(code, ' ' || chr(10)) = '' THEN 1 WHEN duration_s > {fx.X1B_TIME_LIMIT_S} THEN 2 WHEN no_result THEN 3
+        WHEN syntax_error IS NOT NULL THEN 4 WHEN policy_error IS NOT NULL THEN 5 WHEN prepare_error IS NOT NULL THEN 6
+        WHEN truncated THEN 7 WHEN error IS NOT NULL THEN 8 ELSE 9 END AS k
+      FROM runs LEFT JOIN span USING (run_id) LEFT JOIN agg USING (run_id))
+SELECT run_id, ['empty', 'timed_out', 'no_result', 'syntax_error', 'policy_error', 'prepare_error', 'truncated', 'runtime_error', 'ok'][k] AS status,
+  CASE k WHEN 1 THEN '`code` field is empty.' WHEN 2 THEN 'Execution timed out - possible infinite loop'
+         WHEN 3 THEN 'Execution failed before a trace result could be returned.' WHEN 4 THEN syntax_error WHEN 5 THEN policy_error
+         WHEN 6 THEN 'Could not prepare code: ' || prepare_error
+         WHEN 7 THEN 'Trace truncated at {cap} steps (execution may be long-running).' WHEN 8 THEN error END AS error,
+  CAST(CASE WHEN k >= 7 THEN coalesce(n_steps, 0) ELSE 0 END AS BIGINT) AS step_count,
+  CAST(CASE WHEN k >= 7 THEN coalesce(max_depth, 0) ELSE 0 END AS INT) AS max_depth,
+  CASE WHEN k >= 7 THEN {sql_py_strip("coalesce(out, '')")} ELSE '' END AS final_output
+FROM j"""
+
+
 def oracle():
     return {
+        "trace_run_outcomes": _outcomes_sql(),
         "trace_call_depth": _walk_sql() + """
 SELECT run_id, seq, CAST(step_no AS INT) AS step_no, event, line_number, call_depth
 FROM steps WHERE step_no <= """
@@ -114,4 +148,5 @@ def queries():
         "trace_run_status": trace_run_status,
         "trace_run_summary": trace_run_summary,
         "trace_hot_lines": trace_hot_lines,
+        "trace_run_outcomes": trace_run_outcomes,
     }

@@ -122,6 +122,31 @@ def x1_steps_sql() -> str:
             "ts FROM events")
 
 
+# The same steps with module frames (every 11th step, whose calls and returns do
+# not count) and runs of every outcome. What a run carries besides its steps follows
+# from its number: no code, no result, a syntax, policy or preparation error, or none.
+X1B_FUNC = "CASE WHEN event_id % 11 = 0 THEN '<module>' ELSE 'main' END"
+X1B_RUNS = {
+    "code": "CASE WHEN user_id % 9 = 0 THEN ' ' || chr(10) ELSE 'run_' || user_id END",
+    "no_result": "user_id % 9 = 1",
+    "syntax_error": "CASE WHEN user_id % 9 = 2 THEN 'Syntax error at line ' || user_id END",
+    "policy_error": "CASE WHEN user_id % 9 = 3 OR user_id % 9 = 2 THEN 'Use of a restricted name in run ' || user_id END",
+    "prepare_error": "CASE WHEN user_id % 9 = 4 THEN 'cause ' || user_id END",
+    "error": "CASE WHEN user_id % 9 = 5 AND user_id % 2 = 0 THEN 'ValueError: ' || user_id END",
+}
+X1B_CAP = 52
+X1B_TIME_LIMIT_S = 29.4 * 86400.0
+
+
+def x1b_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x1_steps(spark, sf_dir).withColumn("func_name", F.expr(X1B_FUNC.replace("event_id", "seq")))
+
+
+def x1b_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id").distinct().selectExpr(
+        "user_id AS run_id", *[f"{sql.replace('|| user_id', '|| CAST(user_id AS STRING)')} AS {name}" for name, sql in X1B_RUNS.items()])
+
+
 # ---------------------------------------------------------------- X2 -------
 # Operation lines from `events`: one step per event; the run's program is the
 # twelve lines below and each step executes line event_id % 12 + 1. Locals are

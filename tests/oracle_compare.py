@@ -91,7 +91,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
         sc, sn, sh, sl = digest(scols, srows)
         oc, on, oh, ol = digest(ocols, orows)
         tdiff = type_diffs(df, rel)
-        ok = sc == oc and sn == on and sh == oh and not tdiff
+        ok = sc == oc and sn == on and sh == oh and not tdiff and len(scols) == len(set(scols))
         results[name] = ("ok" if ok else "MISMATCH", sn, round(t1 - t0, 2))
         if verbose:
             print(f"{name:40s} {'ok' if ok else 'MISMATCH'} rows={sn}/{on} {t1 - t0:.1f}s",

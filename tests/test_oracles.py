@@ -22,10 +22,13 @@ def test_entry_smoke(spark):
 
 
 def test_every_registered_query_runs(spark):
-    """All registered queries, including rows-only ones, run at sf0.001 with
-    unique column names."""
+    """All registered queries without oracle SQL run at sf0.001 with unique column
+    names (the comparison above runs the others and checks their names)."""
     import __spark_entry__ as entry
+    oracles = entry.oracle_sql()
     for name, fn in entry.queries().items():
+        if name in oracles:
+            continue
         df = fn(spark, SF001)
         assert len(df.columns) == len(set(df.columns)), name
         assert df.count() >= 0, name
