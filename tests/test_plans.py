@@ -23,7 +23,7 @@ def test_scans_are_pruned(spark):
     p = _plan(e.queries()["rules_cascade"](spark, SF001))
     assert "l_extendedprice" not in p and "l_shipdate" not in p
     p = _plan(e.queries()["corpus_render"](spark, SF001))
-    assert "ReadSchema: struct<doc_id:bigint>" in p
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
 
 
 def test_stratified_rank_splits_classes(spark):
