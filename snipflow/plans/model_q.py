@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from snipflow.operators import evaluation as ev
 from snipflow.operators import features, model
+from snipflow.plans.corpus_q import _render_sql
 from snipflow.schemas import FEATURE_NAMES
 from snipflow.session import materialize
 from snipflow.sources import fixtures as fx
 
-SPLIT_KEY = "pmod(xxhash64(doc_id, 42), 2147483647)"
+SPLIT_KEY = "((doc_id % 2147483647) * 48271) % 2147483647"
 
 
 def _data(spark, sf_dir):
@@ -133,8 +134,14 @@ def template_leakage(spark, sf_dir):
 
 
 def oracle():
-    # properties that hold for any forest
-    return {"model_bundle": "SELECT count(*) AS n, count(*) AS n_same FROM documents",
+    # every rendering parses, so the split is over all documents
+    leakage = f"""
+WITH r AS (SELECT doc_id, template_idx, label, {SPLIT_KEY} AS k FROM ({_render_sql()}) c),
+s AS (SELECT template_idx, row_number() OVER (PARTITION BY label ORDER BY k, doc_id) <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS test FROM r)
+SELECT template_idx, count(DISTINCT test) AS n_sides, count(*) AS n FROM s GROUP BY template_idx HAVING count(DISTINCT test) > 1"""
+    # the other two: properties that hold for any forest
+    return {"template_leakage": leakage,
+            "model_bundle": "SELECT count(*) AS n, count(*) AS n_same FROM documents",
             "stream_scoring": """SELECT count(*) AS n, count(*) AS n_same, count(*) FILTER (WHERE doc_id % 13 = 0) AS n_empty,
   count(*) FILTER (WHERE doc_id % 13 <> 0 AND doc_id % 17 = 0) AS n_parse_error FROM documents"""}
 
