@@ -55,6 +55,7 @@ TOKENS = WORDS - SHINGLE + 1
 PAIRS = 5
 PERCENT = 80
 CHUNK = 256                 # distinct texts of a signature that are counted against as many others at once
+PAIRS_AT_ONCE = 2048        # pairs of texts that are compared at once
 _S = mix(np.arange(1, 4 * PAIRS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _S[:2 * PAIRS], _S[2 * PAIRS:] | np.uint64(1)
 _LOW = np.uint64((1 << 28) - 1)
@@ -509,32 +510,83 @@ def _send_members(buckets):
     return run
 
 
+def _ranges(first: np.ndarray, size: np.ndarray):
+    """Which range and which place each element of several ranges has."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 def _least(t: np.ndarray) -> int:
     """Fewest different tokens of a passage."""
     return TOKENS if len(np.unique(t)) == len(t) else int(_distinct(t).min())
 
 
-def _maybe_similar(parts: list, texts: list, percent: int):
-    """Pairs of a part and a text that hold enough common tokens for a similar passage."""
-    sets = [np.unique(t) for t in texts]
-    least = np.array([_least(t) for t in texts])
+def _similar_somewhere(there, low, high, percent: int) -> np.ndarray:
+    """Whether pairs of texts without repeated tokens have a similar passage at the same
+    place. A row of ``there`` has, per column of one text, the column of the same token in
+    the other text, or -1; passages may start in columns ``low`` to ``high`` - 1."""
+    own, starts = np.arange(there.shape[1]), np.arange(TOKENS)
+    # passages from column max - TOKENS + 1 to column min hold the token in both texts
+    first = np.maximum(np.maximum(own, there) - TOKENS + 1, 0)
+    last = np.minimum(np.minimum(own, there), TOKENS - 1)
+    r, c = np.nonzero((there >= 0) & (first <= last))
+    size = len(there) * (TOKENS + 1)
+    edge = (np.bincount(r * (TOKENS + 1) + first[r, c], minlength=size)
+            - np.bincount(r * (TOKENS + 1) + last[r, c] + 1, minlength=size))
+    common = np.cumsum(edge.reshape(-1, TOKENS + 1), axis=1)[:, :TOKENS]
+    good = (100 + percent) * common >= 2 * percent * TOKENS
+    return (good & (starts >= low[:, None]) & (starts < high[:, None])).any(axis=1)
+
+
+def _maybe_similar(parts: list, texts: list, befores: list, percent: int):
+    """Pairs of a part (text, first passage, end) and another text that have a similar
+    passage at the same place; of texts that repeat a token, those that hold enough
+    common tokens. All passages of a signature hold its root, so a text has fewer than
+    ``2 * TOKENS`` columns when the root has the same column in all texts."""
+    size = np.array([len(t) for t in texts])
+    off = np.cumsum(size) - size
+    names, number = np.unique(np.concatenate(texts), return_inverse=True)
+    row, _ = _ranges(off, size)
+    key = np.sort(row * len(names) + number)
+    once = np.ones(len(texts), bool)
+    once[key[1:][key[1:] == key[:-1]] // len(names)] = False
+    least = np.full(len(texts), TOKENS)
+    for k in np.flatnonzero(~once).tolist():
+        least[k] = _least(texts[k])
+    begin = TOKENS - 1 - np.array(befores)
+    column = np.arange(len(row)) - off[row] + begin[row]
+    end = begin + size - TOKENS + 1
     for i in range(0, len(parts), CHUNK):
-        rows = [np.unique(t) for t in parts[i:i + CHUNK]]
-        low = np.array([_least(t) for t in parts[i:i + CHUNK]])
-        names = np.unique(np.concatenate(rows))
-
-        def table(sets):
-            row, tok = np.repeat(np.arange(len(sets)), [len(p) for p in sets]), np.concatenate(sets)
-            at = np.minimum(np.searchsorted(names, tok), len(names) - 1)
-            use = names[at] == tok
-            m = np.zeros((len(sets), len(names)), np.float32)
-            m[row[use], at[use]] = 1
-            return m
-        left = table(rows)
+        who, p, q = (np.array(v) for v in zip(*parts[i:i + CHUNK]))
+        low = np.array([TOKENS if once[k] else _least(texts[k][x:y + TOKENS - 1]) for k, x, y in parts[i:i + CHUNK]])
+        part, at = _ranges(off[who] + p, q - p + TOKENS - 1)
+        used, local = np.unique(number[at], return_inverse=True)
+        grid = np.full((len(who), 2 * TOKENS - 1), len(used))
+        grid[part, column[at]] = local
+        left = np.zeros((len(who), len(used) + 1), np.float32)
+        left[part, local] = 1
+        mine = np.full(len(names), len(used))
+        mine[used] = np.arange(len(used))
         for j in range(0, len(texts), CHUNK):
-            need = percent * (low[:, None] + least[None, j:j + CHUNK])
-            a, b = np.nonzero((100 + percent) * (left @ table(sets[j:j + CHUNK]).T) >= need)
-            yield from zip((a + i).tolist(), (b + j).tolist())
+            stop = min(j + CHUNK, len(texts))
+            span = slice(off[j], off[stop - 1] + size[stop - 1])
+            token = mine[number[span]]
+            hit = token < len(used)
+            place = np.full((stop - j, len(used) + 1), -1, np.int8)
+            place[row[span][hit] - j, token[hit]] = column[span][hit]
+            need = percent * (low[:, None] + least[None, j:stop])
+            a, b = np.nonzero((100 + percent) * (left @ (place >= 0).astype(np.float32).T) >= need)
+            other = who[a] != b + j
+            a, b = a[other], b[other]
+            keep = np.ones(len(a), bool)
+            sure = np.flatnonzero(once[who[a]] & once[b + j])
+            x, y = a[sure], b[sure]
+            for k in range(0, len(sure), PAIRS_AT_ONCE):
+                m, o = x[k:k + PAIRS_AT_ONCE], y[k:k + PAIRS_AT_ONCE]
+                keep[sure[k:k + PAIRS_AT_ONCE]] = _similar_somewhere(
+                    place[o[:, None], grid[m]], np.maximum(begin[who[m]] + p[m], begin[o + j]),
+                    np.minimum(begin[who[m]] + q[m], end[o + j]), percent)
+            yield from zip((a[keep] + i).tolist(), (b[keep] + j).tolist())
 
 
 def _compare_all(texts, befores, places, percent):
@@ -573,9 +625,11 @@ def _compare_all(texts, befores, places, percent):
     for k, c in enumerate(covered):
         apart = main is None or top(docs[k][0]) != top(main)
         parts += [(k, p, q) for p, q in ([(0, len(c))] if apart else _runs(~c))]
-    for part, j in _maybe_similar([texts[k][p:q + TOKENS - 1] for k, p, q in parts], texts, percent):
+    if not parts or len(texts) < 2:
+        return out
+    for part, j in _maybe_similar(parts, texts, befores, percent):
         i, p0, p1 = parts[part]
-        if i == j or (docs[i] == docs[j] and len(docs[i]) == 1):
+        if docs[i] == docs[j] and len(docs[i]) == 1:
             continue
         first = max(p0 - befores[i], -befores[j])
         a, b = first + befores[i], first + befores[j]
