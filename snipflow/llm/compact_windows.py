@@ -372,10 +372,11 @@ def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
     cut = np.flatnonzero(hits["shift"][1:] != hits["shift"][:-1]) + 1
     for at_hit, g in zip(np.concatenate([[0], cut]).tolist(), np.split(hits, cut)):
         shift = int(g["shift"][0])
-        for first, last in _merge(zip(g["a"].tolist(), (g["b"] + 1).tolist())):
-            inside = np.flatnonzero((g["a"] >= first) & (g["b"] < last))
+        alone = len(g) == 1
+        for first, last in [(int(g["a"][0]), int(g["b"][0]) + 1)] if alone else _merge(zip(g["a"].tolist(), (g["b"] + 1).tolist())):
+            inside = np.zeros(1, int) if alone else np.flatnonzero((g["a"] >= first) & (g["b"] < last))
             first = max(first, -shift)
-            at = np.searchsorted(los, first + shift, "right") - 1
+            at = bisect.bisect_right(los, first + shift) - 1
             if at < 0 or first >= last:
                 continue
             lo, tok = theirs[at]
@@ -383,13 +384,21 @@ def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
             x = own[first:first + len(z)]
             if len(x) < TOKENS:
                 continue
-            good = similar_passages(x, z[:len(x)], percent)
+            z = z[:len(x)]
+            a, b = g["a"][inside] - first, g["b"][inside] + 1 - first
+            held = (a >= 0) & (b <= len(x) - TOKENS + 1)
+            if (x == z).all():                  # the usual case: a copied passage
+                mine.append((first, first + len(x) - TOKENS + WORDS))
+                yours.append((mine[-1][0] + shift, mine[-1][1] + shift))
+                left[at_hit + inside[held]] = False
+                continue
+            good = similar_passages(x, z, percent)
+            if not good.any():
+                continue
             for p, q in _runs(good):
                 mine.append((first + p, first + q - 1 + WORDS))
                 yours.append((first + p + shift, first + q - 1 + shift + WORDS))
             sums = np.concatenate([[0], np.cumsum(good)])
-            a, b = g["a"][inside] - first, g["b"][inside] + 1 - first
-            held = (a >= 0) & (b <= len(good))
             left[at_hit + inside[held]] = (sums[b[held]] - sums[a[held]]) < (b - a)[held]
     return mine, yours, left
 
@@ -481,20 +490,18 @@ def _send_members(buckets):
         x.keep(np.isin(x.sig, np.fromiter(hub_of, np.uint64, len(hub_of))))
         order = np.argsort(x.row, kind="stable")
         into: dict[int, tuple] = {}
-        last, own, cover = -1, None, None
+        last, doc, own, cover = -1, None, None, None
         at = bucket_of(x.sig, buckets)
-        for k in order.tolist():
-            r, a, b, sig = int(x.row[k]), int(x.a[k]), int(x.b[k]), int(x.sig[k])
-            doc = int(block.ids[r])
+        for r, a, b, root, sig, to in zip(*(v[order].tolist() for v in (x.row, x.a, x.b, x.root, x.sig, at))):
             if r != last:
-                last, own = r, doc_tokens(block, [r])[r]
+                last, doc, own = r, int(block.ids[r]), doc_tokens(block, [r])[r]
                 cover = np.zeros(len(own), np.uint8)
                 for y, z in _merge(spans.get(doc, [])):
                     cover[y:max(y, z - WORDS + 1)] = 1
-            texts, rows, covers = into.setdefault(int(at[k]), ({}, [], []))
+            texts, rows, covers = into.setdefault(to, ({}, [], []))
             text, hub = own[a:b + TOKENS].tobytes(), hub_of[sig]
             linked = doc == hub or (doc, hub) in links or (hub, doc) in links
-            rows.append((sig, doc, a, int(x.root[k]) - a, linked, texts.setdefault(text, len(texts))))
+            rows.append((sig, doc, a, root - a, linked, texts.setdefault(text, len(texts))))
             covers.append(cover[a:b + 1].tobytes())
         out = []
         for k, (texts, rows, covers) in into.items():
@@ -538,11 +545,12 @@ def _similar_somewhere(there, low, high, percent: int) -> np.ndarray:
     return (good & (starts >= low[:, None]) & (starts < high[:, None])).any(axis=1)
 
 
-def _maybe_similar(parts: list, texts: list, befores: list, percent: int):
+def _maybe_similar(parts: list, texts: list, befores: list, only: np.ndarray, percent: int):
     """Pairs of a part (text, first passage, end) and another text that have a similar
     passage at the same place; of texts that repeat a token, those that hold enough
-    common tokens. All passages of a signature hold its root, so a text has fewer than
-    ``2 * TOKENS`` columns when the root has the same column in all texts."""
+    common tokens. Texts of equal ``only`` are not compared. All passages of a signature
+    hold its root, so a text has fewer than ``2 * TOKENS`` columns when the root has the
+    same column in all texts."""
     size = np.array([len(t) for t in texts])
     off = np.cumsum(size) - size
     names, number = np.unique(np.concatenate(texts), return_inverse=True)
@@ -576,7 +584,7 @@ def _maybe_similar(parts: list, texts: list, befores: list, percent: int):
             place[row[span][hit] - j, token[hit]] = column[span][hit]
             need = percent * (low[:, None] + least[None, j:stop])
             a, b = np.nonzero((100 + percent) * (left @ (place >= 0).astype(np.float32).T) >= need)
-            other = who[a] != b + j
+            other = only[who[a]] != only[b + j]
             a, b = a[other], b[other]
             keep = np.ones(len(a), bool)
             sure = np.flatnonzero(once[who[a]] & once[b + j])
@@ -627,10 +635,11 @@ def _compare_all(texts, befores, places, percent):
         parts += [(k, p, q) for p, q in ([(0, len(c))] if apart else _runs(~c))]
     if not parts or len(texts) < 2:
         return out
-    for part, j in _maybe_similar(parts, texts, befores, percent):
+    # the number of a text's document, or a number of its own if it is in several
+    only = np.unique([d[0] for d in docs], return_inverse=True)[1]
+    only = np.where([len(d) > 1 for d in docs], len(docs) + np.arange(len(docs)), only)
+    for part, j in _maybe_similar(parts, texts, befores, only, percent):
         i, p0, p1 = parts[part]
-        if docs[i] == docs[j] and len(docs[i]) == 1:
-            continue
         first = max(p0 - befores[i], -befores[j])
         a, b = first + befores[i], first + befores[j]
         n = min(p1 - a, len(covered[j]) - b)

@@ -245,6 +245,40 @@ def test_passages_verified_beside_others(spark):
     assert spanned(got[10], 0, 200) and spanned(got[11], 7, 207)
 
 
+def test_pairs_of_a_signature_against_all_pairs():
+    """Candidate pairs hold every pair with a similar passage, and no other pair of texts
+    without repeated tokens."""
+    from snipflow.llm import compact_windows as cw
+    rng = np.random.default_rng(5)
+    n = cw.TOKENS
+    base = rng.permutation(10_000)[:2 * n - 1].astype(np.uint64)
+    texts, befores = [], []
+    for k in range(90):
+        t = base.copy()
+        change = rng.choice(len(t), rng.integers(0, 14), replace=False)
+        change = change[change != n - 1]                       # the root stays
+        t[change] = rng.integers(20_000, 20_040, len(change)) if k % 3 == 0 else rng.permutation(9_000)[:len(change)] + 30_000 + k
+        if k % 4 == 0:                                         # shifted on one side of the root
+            t[n:-1] = t[n + 1:].copy()
+        first, last = sorted(rng.integers(0, n, 2).tolist())
+        texts.append(t[first:last + n])
+        befores.append(n - 1 - first)
+    parts = [(k, p, q) for k in range(0, 90, 2) for p, q in [sorted(rng.integers(0, len(texts[k]) - n + 2, 2).tolist())] if p < q]
+    got = set(cw._maybe_similar(parts, texts, befores, np.arange(90), 80))
+    once = [len(np.unique(t)) == len(t) for t in texts]
+    want, pairs = set(), 0
+    for part, (i, p, q) in enumerate(parts):
+        for j in range(90):
+            places = [(s + befores[i], s + befores[j]) for s in range(p - befores[i], q - befores[i])]
+            sets = [(set(texts[i][a:a + n].tolist()), set(texts[j][b:b + n].tolist())) for a, b in places
+                    if b >= 0 and b + n <= len(texts[j])]
+            if i != j and any(100 * len(x & y) >= 80 * len(x | y) for x, y in sets):
+                want.add((part, j))
+            pairs += 1
+    assert want <= got and 50 < len(want) < pairs // 2
+    assert all(not (once[parts[k][0]] and once[j]) for k, j in got - want)
+
+
 def test_similar_passages_by_sets():
     import numpy as np
     r = np.random.default_rng(1)
