@@ -674,10 +674,11 @@ def _compare_all(texts, befores, places, percent):
 def _settle(percent):
     def run(key, table):
         groups: dict[int, dict] = {}
-        for row in table.to_pylist():
+        for k in range(table.num_rows):         # one block's rows in Python at a time
+            row = table.slice(k, 1).to_pylist()[0]
             load = lambda c, ty: np.frombuffer(row[c], ty).tolist()
             cut = np.concatenate([[0], np.cumsum(load("sizes", np.int32))]) * 8
-            texts = [row["tokens"][cut[k]:cut[k + 1]] for k in range(len(cut) - 1)]
+            texts = [row["tokens"][a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
             covers, at = np.frombuffer(row["covers"], np.uint8) > 0, 0
             for sig, doc, a, before, linked, text in zip(
                     load("sigs", np.uint64), load("docs", np.int64), load("starts", np.int32), load("befores", np.int32),

@@ -8,6 +8,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from snipflow.llm import (compact_windows, decision_lists, decontaminate, line_dedup, minhash_dedup, mixing, quality,
