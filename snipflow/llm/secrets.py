@@ -14,10 +14,12 @@ the same content at another place is a layer of its own.
 Defined results: a null or empty text has no spans; bytes of a layer that are no
 UTF-8 or UTF-16 stay in it as single characters, and decoded bytes without 16
 printable ASCII characters in a row (or full-width letters) end there, as no
-secret is shorter; a base64 run is read from each of its first four characters,
-and compressed bytes may begin anywhere in a run; all members of a compressed
-layer are read, up to ``MAX_LAYER`` bytes (a guard against bombs), and documents where that guard
-cut something are counted in ``n_oversized``. Rows with a repeated or null id
+secret is shorter; a base64 run is read from each of its first four characters, and
+goes on over line breaks and indents after lines of 16 or more characters;
+compressed bytes may begin anywhere in a run; all members of a compressed
+layer are read, up to ``MAX_LAYER`` bytes (a guard against bombs). Layers that this guard
+cuts, or that need more memory than the decompressors are given (``XZ_MEMORY``,
+``ZSTD_WINDOW``), are counted in ``n_oversized``. Rows with a repeated or null id
 are scanned one by one like any other. Other columns are left aside.
 """
 
@@ -49,12 +51,17 @@ ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})"
                      r"|((?:\\x[0-9A-Fa-f]{2})+)|([\uFF01-\uFF5E])")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")   # the shortest secret takes 22 characters
+# a blob wrapped over lines, indented or not: full lines, then a shorter one
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]{16,}+)*+"
+                     r"(?P<short>\r?\n[ \t]*+[A-Za-z0-9+/_-]{1,15}+)?+={0,2}")
+BREAK = re.compile(r"[\r\n\t ]+")
 MIXED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.!~*'()/;:@&=+$,?#-])+")    # percent-encoded bytes, some left as they are
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 PLAIN = re.compile(rb"[\x20-\x7e]{16}|\xef[\xbc\xbd]")
 WIDE = re.compile(rb"(?:[\x20-\x7e]\0){16}")
 CHUNK = 1 << 16
 MAX_LAYER = 1 << 26
+XZ_MEMORY, ZSTD_WINDOW = 1 << 28, 1 << 27
 
 SCHEMA = ("doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, "
           "spans string, n_layers bigint, n_oversized bigint")
@@ -95,10 +102,10 @@ def _decompressor(raw: bytes):
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if raw[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=1 << 28)
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
     if raw[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
-        return zstandard.ZstdDecompressor(max_window_size=1 << 27)
+        return zstandard.ZstdDecompressor(max_window_size=ZSTD_WINDOW)
     return None
 
 
@@ -106,7 +113,7 @@ def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool, int]:
     """Content of all members of compressed bytes, whether the limit cut it and how
     many bytes they take; None if not compressed. Damaged bytes give what comes
     before the damage."""
-    out, at = bytearray(), 0
+    out, at, refused = bytearray(), 0, False
     try:
         while (d := _decompressor(raw[at:at + 8])) is not None and len(out) <= limit:
             if hasattr(d, "stream_reader"):
@@ -132,13 +139,18 @@ def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool, int]:
             at -= len(d.unused_data)
             while raw[at:at + 1] == b"\0":     # padding between members
                 at += 1
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError):
-        at = len(raw)
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError) as exc:
+        refused, at = _refused(exc), len(raw)
     except Exception as exc:  # zstandard has its own error class
         if not (type(exc).__module__.startswith(("zstandard", "backend_c")) or type(exc).__name__ == "ZstdError"):
             raise
-        at = len(raw)
-    return (bytes(out[:limit]) if out else None), len(out) > limit, at
+        refused, at = _refused(exc), len(raw)
+    return (bytes(out[:limit]) if out else None), refused or len(out) > limit, at
+
+
+def _refused(exc: Exception) -> bool:
+    """Whether a decompressor gave up for the memory it would need."""
+    return isinstance(exc, MemoryError) or "emory" in str(exc)
 
 
 class _Layer:
@@ -224,9 +236,9 @@ def unwrap(text: str, limit: int = MAX_LAYER):
         nonlocal cut
         for m in MAGIC.finditer(raw):
             inner, over, used = _inflate(raw[m.start():], limit)
+            cut += over
             if inner is None:
                 continue
-            cut += over
             where = place(m.start(), m.start() + used)
             todo = [inner]
             while todo:
@@ -265,25 +277,47 @@ def unwrap(text: str, limit: int = MAX_LAYER):
             pieces = [_unicode_piece(m) for m in UNICODE.finditer(t)]
             if pieces:
                 push(_rewrite(layer, pieces))
-        for m in BASE64.finditer(t):
-            whole = m[0].rstrip("=").translate({45: 43, 95: 47})
+        for run, at in _base64_runs(t):
+            whole, end = run.rstrip("=").translate({45: 43, 95: 47}), int(at[-1]) + 1
             for skip in range(4):
-                run, at = whole[skip:], m.start() + skip
+                run = whole[skip:]
                 run = run[:len(run) - 1] if len(run) % 4 == 1 else run
                 raw = base64.b64decode(run + "=" * (-len(run) % 4))
-                stop = lambda y: np.where(y >= len(raw), m.end(), at + (y - 1) // 3 * 4 + 4)
-                push_bytes(raw, lambda a, b: (int(layer.start[at + a // 3 * 4]), int(layer.end[int(stop(b)) - 1])))
+                first = lambda x: at[skip + x // 3 * 4]
+                last = lambda y: at[np.minimum(skip + (y - 1) // 3 * 4 + 3, len(at) - 1)]
+                push_bytes(raw, lambda a, b: (int(layer.start[first(a)]),
+                                              int(layer.end[end - 1 if b >= len(raw) else last(b)])))
                 for got, x, y in _decoded(raw):
-                    push(_Layer(got, layer.start[at + x // 3 * 4], layer.end[np.minimum(m.end(), at + (y - 1) // 3 * 4 + 4) - 1]))
+                    push(_Layer(got, layer.start[first(x)], layer.end[last(y)]))
     return spans, len(seen), cut
 
 
+def _base64_runs(t: str):
+    """Base64 runs of a layer with the place of each character: those on one line, then
+    those wrapped over lines (with their shorter last line and, as that may be a word
+    that follows, without it)."""
+    for m in BASE64.finditer(t):
+        yield m[0], np.arange(m.start(), m.end())
+    if "\n" not in t:
+        return
+    for m in WRAPPED.finditer(t):
+        for stop in {m.end(), m.start("short") if m["short"] else m.end()}:
+            part = t[m.start():stop]
+            if "\n" not in part:
+                continue
+            inside = np.ones(len(part), bool)
+            for b in BREAK.finditer(part):
+                inside[b.start():b.end()] = False
+            yield BREAK.sub("", part), m.start() + np.flatnonzero(inside)
+
+
 def _line(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
 def _encoded(text: str) -> bool:
-    return "%" in text or "\\" in text or not text.isascii() or BASE64.search(text) is not None
+    return ("%" in text or "\\" in text or not text.isascii() or BASE64.search(text) is not None
+            or any("\n" in m[0] for m in WRAPPED.finditer(text)))
 
 
 def _scan_batches(batches):

@@ -246,6 +246,48 @@ def test_passages_verified_beside_others(spark):
     assert spanned(got[10], 0, 200) and spanned(got[11], 7, 207)
 
 
+@pytest.mark.parametrize("width", [16, 20, 64, 76])
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("packed", [False, True])
+def test_secrets_in_wrapped_base64(width, gap, packed):
+    """A blob wrapped over lines gives the spans that it gives on one line, mapped to its
+    place; a word on the next line does no harm."""
+    plain = ("some padding words " * 4 + "password=Xy12345678901234567890 and then more words " + "tail " * 3).encode()
+    for extra in range(3):
+        raw = gzip.compress(plain + b"x" * extra, mtime=0) if packed else plain + b"x" * extra
+        blob = base64.b64encode(raw).decode()
+        head = "data: |" + gap
+        for follow in ("", "\nThe end"):
+            text = head + gap.join(blob[k:k + width] for k in range(0, len(blob), width)) + follow
+            spans = secrets.unwrap(text)[0]
+            found = [(s, e) for s, k, e in spans if k == 0]
+            body = len(head) + len(gap.join(blob[k:k + width] for k in range(0, len(blob), width)))
+            assert found and all(len(head) <= s < e <= body + len(follow) for s, e in found)
+            if not packed:
+                at = plain.index(b"password") // 3 * 4
+                assert min(s for s, _ in found) == len(head) + at + at // width * len(gap)
+
+
+def test_secrets_refused_layers_are_counted():
+    import lzma
+    import zstandard
+    raw = b"password=Xy12345678901234567890 " * 4
+    big = lzma.compress(raw, format=lzma.FORMAT_XZ, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 29}])
+    assert secrets.unwrap(base64.b64encode(big).decode())[2] > 0
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(
+        window_log=28, enable_ldm=True), ).compressobj()
+    wide = wide.compress(raw) + wide.flush()
+    assert secrets.unwrap(base64.b64encode(wide).decode())[2] > 0
+    assert secrets.unwrap(base64.b64encode(lzma.compress(raw)).decode())[2] == 0
+
+
+def test_secrets_long_run_is_linear():
+    import time
+    t = time.time()
+    secrets.unwrap("A" * 2_000_000 + "\n" + "B" * 15 + " " + ("word " * 200_000))
+    assert time.time() - t < 30
+
+
 def test_pairs_of_a_signature_against_all_pairs():
     """Candidate pairs hold every pair with a similar passage, and no other pair of texts
     without repeated tokens."""
