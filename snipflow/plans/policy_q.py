@@ -21,9 +21,15 @@ def tree_violations(spark, sf_dir):
 
 
 def run_screening(spark, sf_dir):
-    """V5-V8 on X6 renderings run with a sample call taken from the doc id:
-    some calls are blank, some use blocked names, some do not parse."""
+    """V5-V8 on X6 renderings run with a sample call taken from the doc id: some calls are
+    blank, some use blocked names, some do not parse. Renderings with an even doc id hold
+    their document's text in a function, so that they are definitions only."""
     c = fx.x6_corpus(spark, sf_dir)
+    # the last line of a rendering is its document's text, a string constant
+    constant = F.expr("substring_index(substring(code, 1, length(code) - 1), '\\n', -1)")
+    inside = F.concat(F.expr("substring(code, 1, length(code) - 1 - length(constant))"),
+                      F.lit("def note():\n    "), F.col("constant"), F.lit("\n"))
+    c = c.withColumn("constant", constant).withColumn("code", F.when(F.col("doc_id") % 2 == 0, inside).otherwise(F.col("code")))
     entry = (F.when(F.col("doc_id") % 7 == 0, F.lit(""))
              .when(F.col("doc_id") % 7 == 1, F.lit("print(open('x'))"))
              .when(F.col("doc_id") % 7 == 2, F.lit("print(("))
@@ -33,6 +39,37 @@ def run_screening(spark, sf_dir):
     return s.select("run_id", "screen_status", "screen_message", F.length("run_text").alias("run_len"))
 
 
+def _screening_sql() -> str:
+    """A rendering's lines tell what it imports and whether it holds definitions only;
+    no template uses a blocked name."""
+    from snipflow.plans.corpus_q import _render_sql
+    return f"""
+WITH c AS ({_render_sql()}),
+l AS (SELECT doc_id, code, list_filter(string_split(code, chr(10)), lambda x: length(x) > 0) AS lines FROM c),
+b AS (SELECT doc_id, code, lines[1:len(lines) - 1] AS body FROM l),
+m AS (SELECT doc_id,
+        list_filter(list_transform(list_filter(body, lambda x: regexp_matches(x, '^ *(import|from) ')),
+                                   lambda x: regexp_extract(x, '^ *(import|from) +([A-Za-z0-9_]+)', 2)),
+                    lambda x: x NOT IN ('collections', 'heapq')) AS banned,
+        doc_id % 2 = 0 AND len(list_filter(body, lambda x: NOT regexp_matches(x, '^([ \\t]|#|def |class |import |from )'))) = 0 AS only_defs,
+        CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'print(open(''x''))' WHEN 2 THEN 'print(('
+             ELSE 'print(len(' || doc_id || '))' END AS entry,
+        length(code) + CASE WHEN doc_id % 2 = 0 THEN length('def note():' || chr(10) || '    ') ELSE 0 END AS n
+      FROM b)
+SELECT doc_id AS run_id,
+  CASE WHEN len(banned) > 0 OR doc_id % 7 = 1 THEN 'policy_error' WHEN doc_id % 7 = 2 THEN 'syntax_error'
+       WHEN doc_id % 7 = 0 AND only_defs THEN 'policy_error' ELSE 'ok' END AS screen_status,
+  CASE WHEN len(banned) > 0
+       THEN concat('Import of ''', banned[1], ''' is not allowed. Only collections and heapq are available.')
+       WHEN doc_id % 7 = 1 THEN 'Use of restricted name ''open'' is not allowed.'
+       WHEN doc_id % 7 = 2 THEN 'Syntax error on line 1: ''('' was never closed'
+       WHEN doc_id % 7 = 0 AND only_defs
+       THEN 'No executable sample call found. Add a call at the bottom, e.g. print(binary_search([1, 2, 3], 2)).'
+  END AS screen_message,
+  CAST(n + CASE WHEN entry = '' THEN 0 ELSE 2 + length(entry) END AS INT) AS run_len
+FROM m"""
+
+
 def _anc_sql() -> str:
     return f"""
 WITH RECURSIVE nodes AS ({fx.x3_sql()}),
@@ -88,6 +125,7 @@ v AS (
   FROM nodes WHERE kind IN ('Import', 'ImportFrom') AND split_part(name, '.', 1) NOT IN ('collections', 'heapq'))
 SELECT sample_id, arg_min(message, (depth, node_id)) AS violation, count(*) AS n_violations
 FROM v GROUP BY sample_id""",
+        "run_screening": _screening_sql(),
     }
 
 
