@@ -246,6 +246,61 @@ def test_passages_verified_beside_others(spark):
     assert spanned(got[10], 0, 200) and spanned(got[11], 7, 207)
 
 
+def _plain_spans(text):
+    """Base spans of op1 by walking over the characters, without regular expressions."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    upper, low_hex = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def assign(at):
+        for name in names:
+            if text[at:at + len(name)].translate({c: c + 32 for c in range(65, 91)}) != name:
+                continue
+            k = at + len(name)
+            k += k < len(text) and text[k] in "\"'"
+            k = run(k, " ")
+            if k < len(text) and text[k] in ":=":
+                k = run(k + 1, " ")
+                k += k < len(text) and text[k] in "\"'"
+                end = run(k, word)
+                if end > k:
+                    return end, end - k >= 12
+        return None
+
+    def access(at):
+        end = run(at + 4, upper)
+        return (end, end - at >= 18) if text[at:at + 4] == "AKIA" and end > at + 4 else None
+
+    def hexa(at):
+        end = run(at, low_hex)
+        return (end, end - at >= 16) if end > at else None
+
+    out = set()
+    for kind, read in enumerate((assign, access, hexa)):
+        at = 0
+        while at < len(text):
+            got = read(at)
+            if got and got[1]:
+                out.add((at, kind, got[0]))
+            at = got[0] if got else at + 1
+    return out
+
+
+def test_secrets_base_spans_against_a_walk():
+    rng = random.Random(11)
+    pieces = ["password", "PassWd", "SECRET", "token", "api_key", "apikey", "API_KEY", ":", "=", " ", "  ", '"', "'", "\n", "\t", "AKIA",
+              "AKIAAKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "abc", "Xy9+/", "_.=-", "twelve_chars", "\u00e9", "\u0130", "\u017f",
+              "\u212a", "\U0001f600", "z"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 24)))
+        assert set(secrets.scan(text)) == _plain_spans(text), text
+
+
 @pytest.mark.parametrize("width", [16, 20, 64, 76])
 @pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    "])
 @pytest.mark.parametrize("packed", [False, True])
