@@ -3,7 +3,7 @@ real predictions). A learner has no SQL oracle: tests check properties."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from snipflow.operators import evaluation as ev
 from snipflow.operators import features, model
@@ -48,6 +48,27 @@ def model_importances(spark, sf_dir):
     return model.importances(spark, m)
 
 
+def model_properties(spark, sf_dir):
+    """What holds for any forest on its own split. Per class: rows of either
+    side, test rows whose predicted class occurs in training, and whose confidence lies
+    between that of an even vote and 1; and, for the whole, whether the importances sum
+    to 1 and accuracy beats guessing the largest class."""
+    d, m = _fitted(spark, sf_dir)
+    k = len(model.labels_of(m))
+    known = d.where(F.col("split") == "train").select(F.col("label").alias("predicted_label"), F.lit(True).alias("known")).distinct()
+    p = model.predict(m, d.where(F.col("split") == "test")).join(known, "predicted_label", "left")
+    inside = F.col("confidence").between(round(1 / k, 4), 1.0)
+    per = p.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_test"), F.count(F.when(F.col("known"), 1)).alias("n_known"),
+        F.count(F.when(inside, 1)).alias("n_inside"), F.count(F.when(F.col("predicted_label") == F.col("label"), 1)).alias("n_right"))
+    train = d.where(F.col("split") == "train").groupBy("label").agg(F.count(F.lit(1)).alias("n_train"))
+    weights = model.importances(spark, m, len(FEATURE_NAMES)).agg(F.sum("importance")).first()[0]     # of 39 rows
+    every = Window.partitionBy()  # one row per class
+    return train.join(per, "label", "left").select(
+        "label", "n_train", "n_test", "n_known", "n_inside", F.lit(round(weights, 6)).alias("importance_sum"),
+        (F.sum("n_right").over(every) > F.max("n_test").over(every)).alias("beats_largest_class"))
+
+
 def model_cv(spark, sf_dir):
     d = _data(spark, sf_dir)
     folds = ev.stratified_folds(d.drop("split"), "split_key", ["doc_id"])
@@ -139,8 +160,14 @@ def oracle():
 WITH r AS (SELECT doc_id, template_idx, label, {SPLIT_KEY} AS k FROM ({_render_sql()}) c),
 s AS (SELECT template_idx, row_number() OVER (PARTITION BY label ORDER BY k, doc_id) <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS test FROM r)
 SELECT template_idx, count(DISTINCT test) AS n_sides, count(*) AS n FROM s GROUP BY template_idx HAVING count(DISTINCT test) > 1"""
-    # the other two: properties that hold for any forest
+    # the others: properties that hold for any forest
+    properties = f"""
+WITH n AS (SELECT label, count(*) AS n FROM ({_render_sql()}) c GROUP BY label)
+SELECT label, n - CAST(ceil(0.2 * n) AS BIGINT) AS n_train, CAST(ceil(0.2 * n) AS BIGINT) AS n_test,
+  CAST(ceil(0.2 * n) AS BIGINT) AS n_known, CAST(ceil(0.2 * n) AS BIGINT) AS n_inside,
+  CAST(1 AS DOUBLE) AS importance_sum, true AS beats_largest_class FROM n"""
     return {"template_leakage": leakage,
+            "model_properties": properties,
             "model_bundle": "SELECT count(*) AS n, count(*) AS n_same FROM documents",
             "stream_scoring": """SELECT count(*) AS n, count(*) AS n_same, count(*) FILTER (WHERE doc_id % 13 = 0) AS n_empty,
   count(*) FILTER (WHERE doc_id % 13 <> 0 AND doc_id % 17 = 0) AS n_parse_error FROM documents"""}
@@ -152,6 +179,7 @@ def queries():
         "model_report": model_report,
         "model_confusion": model_confusion,
         "model_importances": model_importances,
+        "model_properties": model_properties,
         "model_cv": model_cv,
         "model_bundle": model_bundle,
         "stream_scoring": stream_scoring,
