@@ -317,9 +317,12 @@ def _multiple(keys: DataFrame) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      width: int = 4, threshold: int = 85) -> DataFrame:
+                      width: int = 4, threshold: int = 85, known: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id linked,
-    directly or through others, itself included). ``threshold`` in percent."""
+    directly or through others, itself included). ``threshold`` in percent.
+
+    ``known``: links (a, b) that are confirmed already, between smallest ids of equal
+    sets; only pairs that they do not tie together are verified."""
     scratch = Scratch(df.sparkSession, "jaccard")
     docs = text_frame(df, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -353,24 +356,29 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [F.when(swap, F.col(c[1 - k])).otherwise(F.col(c[k])).alias(name)
                 for c, names in zip(both, ("xy", "ab")) for k, name in enumerate(names)]
 
+    def with_component(rows: DataFrame, settled: DataFrame) -> DataFrame:
+        return (rows.join(settled, F.col("rep") == F.col("id"), "left")
+                .withColumn("comp", F.coalesce("component", "rep")).drop("id", "component"))
+
     # First: every member of a key with the key's first member.
-    hubs = keys.groupBy("key").agg(F.min(F.struct("rep", "cls", "n")).alias("h")).select("key", "h.*")
-    tried = (keys.alias("x").join(hubs.alias("y"), "key").where((F.col("x.cls") != F.col("y.cls")) & sized("x", "y"))
+    held = keys.withColumn("comp", F.col("rep"))
+    if known is not None:
+        tied = scratch.save(connected_components(known, scratch, "known"), "tied")
+        held = scratch.save(with_component(keys, tied), "held")
+    hubs = held.groupBy("key").agg(F.min(F.struct("rep", "cls", "n", "comp")).alias("h")).select("key", "h.*")
+    tried = (held.alias("x").join(hubs.alias("y"), "key").where((F.col("x.comp") != F.col("y.comp")) & sized("x", "y"))
              .select(*pair("x", "y")).distinct())
-    first = scratch.save(links(tried), "first")
+    first = links(tried)
+    first = scratch.save(first if known is None else first.unionByName(known.select("a", "b")), "first")
     settled = scratch.save(connected_components(first, scratch, "settled"), "settled")
 
-    def with_component(rows: DataFrame) -> DataFrame:
-        return (rows.join(settled, F.col("rep") == F.col("id"), "left")
-                .withColumn("comp", F.coalesce("component", "rep")).drop("id", "component"))
-
     # Then: what stands outside the largest component of its key, the main one.
-    member = scratch.save(with_component(keys), "members")
+    member = scratch.save(with_component(keys, settled), "members")
     held = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = held.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     outside = scratch.save(member.join(main, "key").where("comp <> main").select("key", "cls", "rep", "n", "comp", "main"), "outside")
     found = first.unionByName(_among_outside(outside, items, threshold)).unionByName(
-        _against_main(outside, with_component(reps.select("cls", "rep", "n")), items, threshold))
+        _against_main(outside, with_component(reps.select("cls", "rep", "n"), settled), items, threshold))
     found = scratch.save(found, "links")
 
     # Ids with several texts tie their classes.
@@ -383,5 +391,5 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("cls", F.coalesce("component", "rep").alias("component_id")))
     out = sets.select("doc_id", "n", "cls").join(named, "cls", "left")
     out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "out")
-    scratch.drop("sets", "classes", "reps", "keys", "first", "settled", "members", "outside", "links")
+    scratch.drop("sets", "classes", "reps", "keys", "first", "settled", "members", "outside", "links", "tied", "held")
     return out

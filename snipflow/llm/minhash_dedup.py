@@ -22,9 +22,12 @@ at similarity 0.85 meets in some table with probability above 0.9997.
    do not reach it are then compared with every chunk, so no task holds more
    than two chunks: a group of true copies is read once, however large it is,
    and never more than one link per member leaves a task.
-5. Links give components.
+5. What the tables miss (pairs that share none, or meet only far from their bucket's
+   smallest and largest id) is found by the exact join of ``jaccard_join``: it takes the
+   links so far as known, and verifies on the full sets whatever shares one of its index
+   keys and is not tied together yet. Links give components.
 
-No candidate is capped or sampled away.
+No candidate is capped or sampled away, and no link is left to chance.
 
 Defined results: null ids are kept, linked with nothing; rows that repeat an id
 with different texts link their classes, and rows of one id are kept or dropped
@@ -240,6 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     width: int = 3, threshold: int = 85) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id linked,
     directly or through others), kept (the row is that one). ``threshold`` in percent."""
+    from snipflow.llm.jaccard_join import similar_documents     # it uses this module's sets
     scratch = Scratch(df.sparkSession, "near-dup")
     docs = text_frame(df, id_col, text_col)
     sig = scratch.save(docs.mapInArrow(_signature_rows(width), SIG_SCHEMA), "sig")
@@ -297,14 +301,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     second = (asked.select(*columns).unionAll(asking.select(*columns)).groupBy("component", "chunk", "block")
               .applyInArrow(_link_outside(threshold), "a bigint, b bigint"))
     links = scratch.save(first.where("b IS NOT NULL").select("a", "b").unionAll(second), "links")
-    # Ids that carry several texts tie their classes together.
-    multi = linkable.select("doc_id", "da", "db", "n").distinct().join(classes, ["da", "db", "n"])
-    multi = multi.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(links.unionAll(multi), scratch, "last")
-    out = (sig.select("doc_id", "n").join(final, F.col("doc_id") == F.col("id"), "left")
-           .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    scratch.drop("sig", "classes", "reps", "keys", "members", "cluster", "weight", "items", "first", "blocks")
+    # The exact check: what shares a prefix token (or combination) without being tied yet.
+    out = similar_documents(df, id_col, text_col, width, threshold, known=links)
     out = scratch.save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "out")
-    scratch.drop("sig", "classes", "reps", "keys", "members", "cluster", "weight", "items", "first", "blocks", "links")
+    scratch.drop("links")
     return out
 
 

@@ -159,6 +159,16 @@ def test_minhash_large_clusters_in_two_rounds(spark, monkeypatch):
     assert got == components([shingle_set(t) for _, t in rows], [i for i, _ in rows], 85)
 
 
+def test_minhash_leaves_no_link_to_chance(spark):
+    """Pairs at exactly the threshold: 16 of 20 shingles; tables alone miss some of so many."""
+    rows = []
+    for k in range(2000):
+        text = [f"w{k}x{i}" for i in range(20)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:18] + [f"y{k}", f"z{k}"]))]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=80)
+    assert out.where("component_id <> doc_id - doc_id % 2 OR kept <> (doc_id % 2 = 0)").count() == 0
+
+
 def brute_repeats(rows):
     out, seen = {}, []
     for i, t in sorted(rows, key=lambda x: x[0]):
