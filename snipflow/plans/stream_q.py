@@ -38,7 +38,7 @@ def _run(spark, sf_dir):
 
     def work_off():
         stream = spark.readStream.schema(TRACE_STEPS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(inbox)
-        run_state.write_runs(stream, f"{scratch.root}/out", f"{scratch.root}/checkpoint", state_partitions=8, **_OPTIONS)
+        run_state.write_runs(stream, f"{scratch.root}/out", f"{scratch.root}/checkpoint", state_partitions=max(8, spark.sparkContext.defaultParallelism), **_OPTIONS)
 
     for k in range(files):
         deliver(rows.where(F.col("file") == k))

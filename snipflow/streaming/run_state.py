@@ -20,9 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,6 +32,8 @@ OUT_SCHEMA = ("run_id long, kind string, seq long, step_no int, event string, li
 PENDING_SCHEMA = "us long, seq long, event string, func_name string, line_number int, output string"
 RUN_SCHEMA = ("depth long, n long, truncated boolean, max_depth int, first_us long, last_us long, "
               "last_event string, last_line int, output string")
+_OUT_COLUMNS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+_OUT = Row(*_OUT_COLUMNS)
 _PENDING = ["us", "seq", "event", "func_name", "line_number", "output"]
 
 
@@ -46,42 +46,44 @@ class RunProcessor(StatefulProcessor):
         self.pending = handle.getListState("pending", PENDING_SCHEMA)
         self.run = handle.getValueState("run", RUN_SCHEMA)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in rows:
-            columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in _PENDING]
-            self.pending.appendList(list(zip(*columns)))
-            last = max(int(pdf["us"].max()), last or 0)
-        if last is not None:
-            self.handle.registerTimer(last // 1000 + 1)      # the first millisecond at which it is due
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        got = [tuple(r[c] for c in _PENDING) for r in rows]
+        if got:
+            self.pending.appendList(got)
+            self.handle.registerTimer(max(r[0] for r in got) // 1000 + 1)      # the first millisecond at which it is due
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        waiting = [tuple(r) for r in self.pending.get()]
         due = sorted(r for r in waiting if r[0] <= now * 1000)
         rest = [r for r in waiting if r[0] > now * 1000]
+        had = run = self.run.get()
         out = []
         if due:
             if rest:
                 self.pending.put(rest)
             else:
                 self.pending.clear()
-            out += self._apply(key, due)
-        if not rest and self.run.exists():
-            over = tuple(self.run.get())[5] // 1000 + self.idle_ms
+            rows, run = self._apply(key, due, run)
+            out += rows
+        if not rest and run is not None:
+            over = run[5] // 1000 + self.idle_ms
             if now > over:
-                out.append(self._status(key))
-                self.run.clear()
-            else:
-                self.handle.registerTimer(over + 1)
+                out.append(self._status(key, run))
+                if had is not None:
+                    self.run.clear()
+                return iter(out)
+            self.handle.registerTimer(over + 1)
+        if due:
+            self.run.update(run)
         return iter(out)
 
     def close(self) -> None:
         pass
 
-    def _apply(self, key, due) -> list[pd.DataFrame]:
-        state = tuple(self.run.get()) if self.run.exists() else (0, 0, False, 0, due[0][0], due[0][0], None, None, "")
+    def _apply(self, key, due, run) -> tuple[list[Row], tuple]:
+        state = tuple(run) if run is not None else (0, 0, False, 0, due[0][0], due[0][0], None, None, "")
         depth, n, truncated, max_depth, first, last, last_event, last_line, output = state
         last = max(last, due[-1][0])
         for r in due:
@@ -93,20 +95,18 @@ class RunProcessor(StatefulProcessor):
         truncated = truncated or len(kept) > room
         kept = kept[:room]
         out = []
-        if kept:
-            event = np.array([r[2] for r in kept])
-            walk = depth + np.cumsum(np.where(event == "call", 1, np.where(event == "return", -1, 0)))
-            after = walk - np.minimum(0, np.minimum.accumulate(walk))
-            shown = np.concatenate([[depth], after[:-1]]) + (event == "call")
-            out.append(self._rows(key, "step", len(kept), seq=[r[1] for r in kept], step_no=np.arange(n + 1, n + len(kept) + 1),
-                                  event=event, line_number=[r[4] for r in kept], call_depth=shown))
-            depth, n, max_depth = int(after[-1]), n + len(kept), max(max_depth, int(shown.max()))
-            output += "".join(r[5] or "" for r in kept)
-        self.run.update((depth, n, bool(truncated), max_depth, first, last, last_event, last_line, output))
-        return out
-
-    def _status(self, key) -> pd.DataFrame:
-        _, n, truncated, max_depth, first, last, last_event, last_line, output = tuple(self.run.get())
+        for r in kept:
+            # a return leaves a call, but never goes below the module
+            depth += r[2] == "call"
+            n += 1
+            out.append(_row(key, "step", seq=r[1], step_no=n, event=r[2], line_number=r[4], call_depth=depth))
+            max_depth = max(max_depth, depth)
+            depth = max(depth - (r[2] == "return"), 0)
+        output += "".join(r[5] or "" for r in kept)
+        return out, (depth, n, bool(truncated), max_depth, first, last, last_event, last_line, output)
+
+    def _status(self, key, run) -> Row:
+        _, n, truncated, max_depth, first, last, last_event, last_line, output = run
         duration = (last - first) / 1e6
         if duration > self.time_limit_s:
             status, error, n, max_depth, output = "timed_out", MSG_TIMEOUT, 0, 0, ""
@@ -116,17 +116,12 @@ class RunProcessor(StatefulProcessor):
             status, error = "runtime_error", f"Exception raised at line {last_line}"
         else:
             status, error = "ok", None
-        return self._rows(key, "status", 1, status=[status], error=[error], step_count=[n], max_depth=[max_depth],
-                          final_output=[output], duration_s=[round(duration, 6)])
+        return _row(key, "status", status=status, error=error, step_count=n, max_depth=max_depth, final_output=output,
+                    duration_s=round(duration, 6))
+
 
-    @staticmethod
-    def _rows(key, kind: str, n: int, **values) -> pd.DataFrame:
-        data = {"run_id": [key[0]] * n, "kind": [kind] * n}
-        for column in OUT_SCHEMA.split(", ")[2:]:
-            name, form = column.split()
-            got = pd.Series(values[name]) if name in values else pd.Series([None] * n, dtype=object)
-            data[name] = got.astype({"long": "Int64", "int": "Int32", "double": "float64", "string": object}[form])
-        return pd.DataFrame(data)
+def _row(key, kind: str, **values) -> Row:
+    return _OUT(key[0], kind, *[values.get(c) for c in _OUT_COLUMNS[2:]])
 
 
 def run_stream(steps: DataFrame, cap: int = MAX_STEPS, idle_s: float = 60.0, time_limit_s: float = TIMEOUT_SECONDS,
@@ -136,7 +131,7 @@ def run_stream(steps: DataFrame, cap: int = MAX_STEPS, idle_s: float = 60.0, tim
     ``status`` (status, error, step_count, max_depth, final_output, duration_s)."""
     sel = steps.select("run_id", "seq", "event", "func_name", "line_number", "output", F.col("ts").cast("timestamp").alias("ts"))
     sel = sel.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run_id", "seq"])
-    out = sel.withColumn("us", F.unix_micros("ts")).groupBy("run_id").transformWithStateInPandas(
+    out = sel.withColumn("us", F.unix_micros("ts")).groupBy("run_id").transformWithState(
         RunProcessor(cap, int(idle_s * 1000), time_limit_s), OUT_SCHEMA, "append", "eventtime")
     return out.withColumn("final_output", py_strip(F.col("final_output")))
 

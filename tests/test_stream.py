@@ -129,3 +129,37 @@ def test_score_stream_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
     cols = ["sub_id", "status", "detail", "algorithm", "confidence", "complexity", "features"]
     want = scoring.analyse(subs, m).withColumn("complexity", F.to_json("complexity")).withColumn("features", F.to_json("features"))
     assert sorted(map(str, out.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_run_processor_asks_the_state_seldom():
+    """One due step costs five calls of the state server, each a round trip (nine before)."""
+    from snipflow.streaming.run_state import RunProcessor
+
+    class State:
+        calls, held = [], None
+
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def act(*args):
+                State.calls.append(f"{self.name}.{call}")
+                return [(1_000, 1, "call", "f", 3, None)] if (self.name, call) == ("pending", "get") else None if call == "get" else True
+            return act
+
+    class Handle(State):
+        def getListState(self, *_):
+            return State("pending")
+
+        def getValueState(self, *_):
+            return State("run")
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10
+
+    p = RunProcessor(50, 60_000, 10.0)
+    p.init(Handle("handle"))
+    out = list(p.handleExpiredTimer((7,), Now(), None))
+    assert sorted(State.calls) == ["handle.registerTimer", "pending.clear", "pending.get", "run.get", "run.update"]
+    assert [(r.run_id, r.kind, r.seq, r.step_no, r.call_depth) for r in out] == [(7, "step", 1, 1, 1)]
