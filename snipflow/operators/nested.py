@@ -7,8 +7,8 @@ modules, functions) ``{"kind": .., "repr": ".."}``.
 
 Python's rule is recursive; here it is a level-by-level rewrite. Going down, each
 level's collections are exploded into rows of their children, keyed by the step
-and the child's path. Coming up, one aggregation and one join per level put a
-collection's children together: its repr, its bounded value and the text that it
+and the child's path. Coming up, one aggregation per level puts a
+collection and its children together: its repr, its bounded value and the text that it
 would be as a dictionary key. A nested value is so many narrow rows, wherever it
 nests; only a collection's first ``_SEEN`` children matter, since their reprs alone
 exceed the limit, and reprs are carried up to one character beyond it.
@@ -100,17 +100,20 @@ def _collections(df: DataFrame) -> DataFrame:
 
 
 def _resolved(level: DataFrame, below: DataFrame | None, keys: list[str]) -> DataFrame:
-    columns = [*keys, "path", "parent", "pos", "r", "s", "j", "sr"]
+    own = ["parent", "pos", *(["name"] if "name" in level.columns else [])]
+    columns = [*keys, "path", *own, "r", "s", "j", "sr"]
     deep = F.col("depth") > MAX_DEPTH
     out = _scalars(level.where("children IS NULL"))
     text = _cut(F.col("r"))
     out = (out.withColumn("j", F.when(deep, json_text(text)).otherwise(F.col("j"))).withColumn("s", F.when(deep, text).otherwise(F.col("s")))
            .withColumn("sr", F.when(deep, py_str_repr(text)).otherwise(F.col("sr")))).select(*columns)
     if below is not None:
-        kids = below.groupBy(*keys, F.col("parent").alias("path")).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "r", "s", "j", "sr"))).alias("kids"))
-        held = level.where("children IS NOT NULL").select(*keys, "path", "parent", "pos", "depth", "kind")
-        out = out.unionByName(_collections(held.join(kids, [*keys, "path"], "left")).select(*columns))
+        # a collection and its children meet in one aggregation: no join, so nothing is broadcast
+        kid, held = F.struct("pos", "r", "s", "j", "sr"), F.struct(*own, "depth", "kind")
+        rows = (below.select(*keys, F.col("parent").alias("path"), kid.alias("kid"))
+                .unionByName(level.where("children IS NOT NULL").select(*keys, "path", held.alias("held")), allowMissingColumns=True))
+        rows = rows.groupBy(*keys, "path").agg(F.max("held").alias("held"), F.array_sort(F.collect_list("kid")).alias("kids"))
+        out = out.unionByName(_collections(rows.select(*keys, "path", "held.*", "kids")).select(*columns))
     return out.withColumn("r", F.substring("r", 1, MAX_REPR_LENGTH + 1))
 
 
@@ -133,6 +136,4 @@ def safe_locals(steps: DataFrame, keys: list[str], col: str = "locals") -> DataF
     out = None
     for level in reversed(levels):
         out = _resolved(level, out, keys)
-    names = levels[0].select(*keys, "path", "name")
-    return (out.join(names, [*keys, "path"]).select(*keys, "pos", "name", F.col("j").alias("text"))
-            .withColumn("value", F.parse_json("text")))
+    return out.select(*keys, "pos", "name", F.col("j").alias("text")).withColumn("value", F.parse_json("text"))

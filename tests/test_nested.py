@@ -82,3 +82,19 @@ def test_bounded_values_follow_the_recursive_rule(spark):
 def test_no_steps(spark):
     empty = spark.createDataFrame([], "seq int").withColumn("locals", F.array().cast("array<struct<name:string,value:variant>>"))
     assert nested.safe_locals(empty, ["seq"]).count() == 0
+
+
+def test_levels_meet_without_a_join(spark):
+    """Nothing that grows with the steps can be broadcast through the driver."""
+    import contextlib
+    import io
+
+    from snipflow.operators import nested
+    rows = [(1, '{"kind":"list","items":["a",{"kind":"dict","items":[["k",1]]}]}')]
+    steps = spark.createDataFrame(rows, "id long, j string").selectExpr("id", "array(named_struct('name', 'x', 'value', parse_json(j))) AS locals")
+    out = nested.safe_locals(steps, ["id"])
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        out.explain()
+    assert [tuple(r) for r in out.select("id", "pos", "name", "text").collect()] == [(1, 0, "x", '["a", {"k": 1}]')]
+    assert "Join" not in text.getvalue() and "Broadcast" not in text.getvalue()
