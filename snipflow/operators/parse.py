@@ -5,8 +5,9 @@ Each distinct snippet (``sample_id = sha2(code, 256)``) is parsed once inside
 parent field a node sits in, preorder ``node_id`` / ``end_id`` (the subtree of
 x is ``node_id BETWEEN x.node_id AND x.end_id``), and the ancestor path: ids,
 the field taken below each ancestor, each ancestor's kind, and the names of
-ancestor definitions. With the path on the row, "inside a loop" or "in the
-body of a For" is an array expression, not a join. Every feature is a relational query over
+ancestor definitions; and the direct children, each with its first child and that one's
+first child. With these on the row, "inside a loop", "in the body of a For" or "the value
+assigned" is an array expression, not a join. Every feature is a relational query over
 this table (operators/features.py).
 
 Operator and context nodes (Add, Load, ...) are folded into the ``op`` column
@@ -20,11 +21,26 @@ import ast
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_FIRST = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()),
+                       T.StructField("op", T.StringType())])
+CHILD = T.StructType([
+    T.StructField("node_id", T.IntegerType()),
+    T.StructField("field", T.StringType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("op", T.StringType()),
+    T.StructField("const_num", T.DoubleType()),
+    T.StructField("n_elts", T.IntegerType()),
+    T.StructField("fc", _FIRST),            # its first child, and that one's
+    T.StructField("fc2", _FIRST),
+])
 NODE_SCHEMA = T.StructType([
     T.StructField("sample_id", T.StringType(), False),
     T.StructField("node_id", T.IntegerType(), False),
@@ -48,7 +64,9 @@ NODE_SCHEMA = T.StructType([
     T.StructField("parse_error", T.StringType(), True),
     T.StructField("error_type", T.StringType(), True),
     T.StructField("error_msg", T.StringType(), True),
+    T.StructField("children", T.ArrayType(CHILD), True),
 ])
+_FLAT = [f.name for f in NODE_SCHEMA.fields if f.name != "children"]      # of a row of node_rows
 
 PARSER_VERSION = f"python-ast-{sys.version_info.major}.{sys.version_info.minor}"
 
@@ -158,43 +176,66 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
-_ARROW_SCHEMA = None
-
+BATCH_ROWS = 10_000            # node rows that a task holds before it hands them on
+BATCH_CODES = 100              # snippets that it takes out of Arrow at once
 
-def _arrow_schema():
-    global _ARROW_SCHEMA
-    if _ARROW_SCHEMA is None:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        _ARROW_SCHEMA = to_arrow_schema(NODE_SCHEMA)
-    return _ARROW_SCHEMA
 
+def _children(flat: dict[str, pa.Array]) -> pa.ListArray:
+    """Direct children of each node, in order. The rows are whole snippets in preorder,
+    so a node's first child, if it has one, is the next row."""
+    own = np.arange(len(flat["node_id"]))
+    above = own - flat["node_id"].to_numpy() + flat["parent_id"].fill_null(0).to_numpy()
+    above = np.where(flat["parent_id"].is_valid().to_numpy(zero_copy_only=False), above, -1)
+    held = np.flatnonzero(above >= 0)
+    held = held[np.argsort(above[held], kind="stable")]
+    first = np.append(above[1:], -1) == own
+    second = first & np.append(first[1:], False)
 
-BATCH_ROWS = 50_000            # node rows that a task holds before it hands them on
+    def struct(form, columns, at, absent=None):
+        at = pa.array(at, pa.int32(), mask=absent)
+        return pa.StructArray.from_arrays([c if c is not None else flat[n].take(at) for n, c in columns], names=form.names,
+                                          mask=None if absent is None else pa.array(absent))
 
+    fc, fc2 = (struct(_FIRST, [(n, None) for n in _FIRST.names], held + k, ~has[held]) for k, has in ((1, first), (2, second)))
+    values = struct(CHILD, [(n, {"fc": fc, "fc2": fc2}.get(n)) for n in CHILD.names], held)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(above[held], minlength=len(own)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _arrow_schema()
-    rows: list[tuple] = []
 
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    for b in batches:
-        for sid, code in zip(b.column("sample_id").to_pylist(), b.column("code").to_pylist()):
-            rows += node_rows(sid, code if code is not None else "")
-            if len(rows) >= BATCH_ROWS:
-                yield batch()
-                rows = []
-    if rows:
-        yield batch()
+def _parse_batches(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        form = to_arrow_schema(NODE_SCHEMA)
+        schema = pa.schema([form.field(n) for n in names])
+        need = {*names, *(["node_id", "parent_id", *CHILD.names[:-2]] if "children" in names else [])}
+        rows: list[tuple] = []
+
+        def batch():
+            flat = {n: pa.array(c, type=form.field(n).type) for n, c in zip(_FLAT, zip(*rows)) if n in need}
+            if "children" in names:
+                flat["children"] = _children(flat).cast(form.field("children").type)
+            return pa.RecordBatch.from_arrays([flat[n] for n in names], schema=schema)
+
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH_CODES):
+                part = b.slice(at, BATCH_CODES)
+                for sid, code in zip(part.column("sample_id").to_pylist(), part.column("code").to_pylist()):
+                    rows += node_rows(sid, code if code is not None else "")
+                    if len(rows) >= BATCH_ROWS:
+                        yield batch()
+                        rows = []
+        if rows:
+            yield batch()
+    return run
 
 
 def sample_ids(corpus: DataFrame, code: str = "code") -> DataFrame:
     return corpus.withColumn("sample_id", F.sha2(F.coalesce(F.col(code), F.lit("")), 256))
 
 
-def parse_nodes(corpus: DataFrame, code: str = "code") -> DataFrame:
-    """Node rows for every distinct snippet of ``corpus`` (incl. ParseError rows).
+def parse_nodes(corpus: DataFrame, code: str = "code", columns: list[str] | None = None) -> DataFrame:
+    """Node rows for every distinct snippet of ``corpus`` (incl. ParseError rows), with
+    those of NODE_SCHEMA's columns that are asked for (all by default).
 
     Only ``sample_id, code`` enter the Python worker; duplicates are removed
     first (partial aggregation, so a snippet copied many times costs one row
@@ -208,8 +249,9 @@ def parse_nodes(corpus: DataFrame, code: str = "code") -> DataFrame:
     # merge small partitions into a single Python task.
     # (keyed by a different hash than the dedupe's, so the planner keeps it)
     n = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+    names = columns or NODE_SCHEMA.names
     return (distinct.repartition(n, F.xxhash64("sample_id"))
-            .mapInArrow(_parse_batches, NODE_SCHEMA))
+            .mapInArrow(_parse_batches(names), T.StructType([NODE_SCHEMA[n] for n in names])))
 
 
 def conform(df: DataFrame) -> DataFrame:

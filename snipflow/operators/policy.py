@@ -29,6 +29,10 @@ IMPORT_KINDS = ["Import", "ImportFrom"]
 # -----------------------------------------------------------------------------
 
 
+NODE_COLUMNS = ["sample_id", "node_id", "parent_id", "depth", "field", "pos", "kind", "name", "lineno", "parse_error",
+                "error_type", "error_msg"]
+
+
 def _msg(template: str, value) -> F.Column:
     a, b = template.split("{}")
     return F.concat(F.lit(a), value, F.lit(b))
@@ -115,7 +119,7 @@ def screen(runs: DataFrame, code: str = "code", entry: str = "entry_call") -> Da
         runs = runs.withColumn(entry, F.lit(None).cast("string"))
     texts = runs.select(F.col(code).alias("code")).unionByName(
         runs.where(~is_blank(F.col(entry))).select(F.col(entry).alias("code")))
-    nodes = materialize(parse_nodes(texts))
+    nodes = materialize(parse_nodes(texts, columns=NODE_COLUMNS))
     errs = nodes.where(F.col("kind") == "ParseError").select(
         "sample_id", F.col("error_type").alias("etype"), F.col("error_msg").alias("emsg"),
         F.col("lineno").alias("line"), F.col("parse_error").alias("perr"))

@@ -33,8 +33,8 @@ def analyse(subs: DataFrame, fitted: PipelineModel, id_col: str = "sub_id") -> D
     """
     s = sample_ids(subs.withColumn("_blank", is_blank(F.col("code"))))
     todo = s.where(~F.col("_blank"))
-    nodes = materialize(parse_nodes(todo))
-    feats = features.compute_features(nodes)
+    nodes = materialize(features.wide_nodes(parse_nodes(todo)), "wide_nodes")
+    feats = features.features_of(nodes)
     errs = nodes.where(F.col("kind") == "ParseError").select("sample_id", "error_type", "parse_error")
     scored = model.predict(fitted, feats).withColumnRenamed("confidence", "model_confidence")
     est = rules.estimate(scored)

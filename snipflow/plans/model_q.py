@@ -82,7 +82,7 @@ def model_out_of_scope(spark, sf_dir):
     flat = d.where(~F.col("label").contains("Sort"))
     m = model.fit(flat)
     known = flat.select("label").distinct()
-    unseen = d.join(known, "label", "left_anti")
+    unseen = d.join(F.broadcast(known), "label", "left_anti")      # the classes that the model lists
     p = model.predict(m, unseen)
     return p.select("doc_id", F.col("label").alias("true_label"), F.col("predicted_label").alias("pred"),
                     "confidence")

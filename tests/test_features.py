@@ -61,3 +61,25 @@ def test_preorder_intervals(spark):
             p = by[r["parent_id"]]
             assert p["node_id"] < r["node_id"] <= p["end_id"]
             assert r["path"][-1] == r["parent_id"] and len(r["path"]) == r["depth"]
+
+
+def test_nodes_are_not_shuffled(spark):
+    """Nodes meet their children and ancestors on their own row: the only exchanges are the
+    two of the texts before the parse."""
+    import contextlib
+    import io
+    df = spark.createDataFrame([(v[0],) for v in GOLDEN.values()], "code string")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        features.wide_nodes(parse.parse_nodes(df)).explain()
+    plan = text.getvalue().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_parser_hands_on_small_batches(spark):
+    """What a task holds is bounded by node rows, and only the columns asked for are built."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"sample_id": [str(k) for k in range(900)], "code": ["a = [1, 2, 3]\n"] * 900})
+    out = list(parse._parse_batches(["sample_id", "kind"])(iter([batch] * 5)))
+    assert sum(b.num_rows for b in out) == 7 * 4500 and max(b.num_rows for b in out) < parse.BATCH_ROWS + 100
+    assert out[0].schema.names == ["sample_id", "kind"] and parse.BATCH_ROWS <= 10_000
