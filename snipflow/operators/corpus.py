@@ -153,8 +153,8 @@ def template_leakage(split_rows: DataFrame) -> DataFrame:
 
 def validated(corpus: DataFrame) -> DataFrame:
     """Corpus rows with ``sample_id`` and ``parse_error`` (null: it parses)."""
-    from snipflow.operators.parse import parse_nodes, sample_ids
-    errs = parse_nodes(corpus, columns=["sample_id", "kind", "parse_error"]).where(F.col("kind") == "ParseError").select("sample_id", "parse_error")
+    from snipflow.operators.parse import only_errors, parse_nodes, sample_ids
+    errs = parse_nodes(corpus, columns=["sample_id", "kind", "parse_error"], keep=only_errors).select("sample_id", "parse_error")
     return sample_ids(corpus).join(errs, "sample_id", "left")
 
 

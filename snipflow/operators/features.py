@@ -5,8 +5,11 @@
    of a For", "nearest FunctionDef", "the value assigned", "names compared" are array
    expressions on the node's own row; they become narrow columns before anything is
    written or shuffled: no join, no window, and the arrays never leave their task.
-2. **one aggregation per snippet** over the wide nodes. The rows of a snippet lie
-   together, so nearly all of it happens before the exchange.
+   What a snippet has if one node has it is a bit of each node's ``flags``. Only nodes
+   that a feature reads leave the parser; the others count as children and ancestors.
+2. **one aggregation per snippet** over the wide nodes, small enough to be compiled: the
+   flags' ``bit_or``, counts and maxima. The rows of a snippet lie together, so nearly
+   all of it happens before the exchange.
 3. **side queries** over the few candidate rows of seven shapes that relate two distant
    nodes (recursion per function name, loop-body name sets, classes called by name,
    monotonic stack, same-direction pointers, matrix transpose, backtracking order).
@@ -15,6 +18,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,9 +29,13 @@ from snipflow.session import materialize
 
 # --- fixed values: names the features test for -----------------------------
 LOOP_KINDS = ["For", "While"]
+READ_KINDS = frozenset(["Module", "ParseError", "For", "While", "If", "Return", "FunctionDef", "ClassDef", "arguments", "Call",
+                        "Assign", "AugAssign", "Compare", "BoolOp", "Subscript", "Tuple"])
+READ_ATTRIBUTES = ["next", "left", "right", "children"]
 HEAP_CALLS = ["heappush", "heappop", "heapify", "nlargest", "nsmallest"]
 SORT_CALLS = ["sorted", "sort"]
 BIT_OPS = ["BitXor", "BitAnd", "BitOr", "LShift", "RShift"]
+READ_OPS = [*BIT_OPS, "Mod", "FloorDiv", "Div"]
 VISITED_WORDS = ["visited", "seen", "marked"]
 ADJ_WORDS = ["adj", "graph", "edges", "neighbors", "neighbours"]
 MEMO_WORDS = ["memo", "cache", "dp"]
@@ -42,6 +51,17 @@ REMOVE_METHODS = ["pop", "remove"]
 _LOOPS_SQL = "('For', 'While')"
 
 
+def read_by_features(kind: str, name: str | None, op: str | None) -> bool:
+    """Whether a feature reads nodes of this kind and name by themselves; the others
+    count as children and ancestors of those only."""
+    if kind == "Name":
+        low = name.lower()
+        return "parent" in low or "indegree" in low.replace("_", "") or not name.isascii()
+    if kind == "Attribute":
+        return name in READ_ATTRIBUTES
+    return op in READ_OPS if kind == "BinOp" else kind in READ_KINDS
+
+
 # ---- ancestor facts: array expressions over the node's own path --------------
 def anc_loop_count() -> Column:
     return F.expr(f"size(filter(path_kinds, k -> k IN {_LOOPS_SQL}))")
@@ -112,6 +132,81 @@ def _held(kind: str, cond, value) -> Column:
     return F.when(F.col("kind") == kind, F.transform(F.filter("children", cond), value))
 
 
+def _callee() -> Column:
+    return F.when(F.col("s_func.kind").isin("Name", "Attribute"), F.col("s_func.name"))
+
+
+def _flags() -> dict[str, Column]:
+    """What a snippet has if one of its nodes has it: conditions on wide nodes' columns."""
+    kind, name, op = F.col("kind"), F.col("name"), F.col("op")
+    parent_kind, in_top = F.col("parent_kind"), F.col("in_top")
+    is_call, is_assign = kind == "Call", kind == "Assign"
+    callee = _callee()
+    single = is_assign & (F.col("n_elts") == 1)
+    val = F.col("s_value")
+    name_targets = F.col("c_name_targets")
+    any_target = F.size(name_targets) > 0
+
+    def targets_match(words):
+        return F.exists(name_targets, lambda t: _words(t, words))
+
+    zip_len = F.when(F.col("n_elts") <= F.col("n_args"), F.col("n_elts")).otherwise(
+        F.least(F.col("n_args"), F.col("n_elts") - F.col("n_args")))
+    cache_default = ((kind == "arguments") & (parent_kind == "FunctionDef")
+                     & F.exists("c_cache_default_pos", lambda p: p < zip_len))
+    while_test = (F.col("field") == "test") & (parent_kind == "While")
+    return {
+        "uses_priority_queue": is_call & callee.isin(*HEAP_CALLS),
+        "uses_queue": is_call & (callee == "deque"),
+        "_deque_by_name": is_call & (F.col("s_func.kind") == "Name") & (callee == "deque"),
+        "uses_sorted_or_sort_call": is_call & callee.isin(*SORT_CALLS),
+        "has_visited_like_var": is_assign & targets_match(VISITED_WORDS),
+        "uses_adjacency_structure": is_assign & targets_match(ADJ_WORDS),
+        "_memo_var": (is_assign & targets_match(MEMO_WORDS)) | cache_default,
+        "uses_set": is_assign & any_target & ((val.kind == "Set") | ((val.kind == "Call") & (val.fc.kind == "Name")
+                                                                     & (val["fc"]["name"] == "set"))),
+        "uses_dict": (is_assign & any_target & ((val.kind == "Dict") | ((val.kind == "Call") & (val.fc.kind == "Name")
+                                                                        & val["fc"]["name"].isin("dict", "defaultdict")))) | cache_default,
+        "has_swap_in_loop": single & (F.col("s_t0.kind") == "Tuple") & (val.kind == "Tuple") & F.col("in_loop_body"),
+        "has_two_pointer_pattern": (kind == "Compare") & while_test & (F.col("c_cmp_names") >= 2) & (F.col("c_cmp_other") == 0),
+        "has_early_return_in_loop": (kind == "Return") & (F.col("n_loops_above") > 0),
+        "uses_bit_manipulation": kind.isin("BinOp", "AugAssign") & op.isin(*BIT_OPS),
+        "uses_modular_math": kind.isin("BinOp", "AugAssign") & (op == "Mod"),
+        "has_linked_list_pattern": (kind == "Attribute") & (name == "next"),
+        "_lr_attr": (kind == "Attribute") & name.isin("left", "right"),
+        # self.left / self.right / self.children assigned inside a class
+        "_class_tree": (kind == "Attribute") & name.isin("left", "right", "children")
+            & (F.col("field") == "targets") & (parent_kind == "Assign")
+            & (F.col("fc.kind") == "Name") & (F.col("fc.name") == "self")
+            & F.col("in_class"),
+        "has_prefix_pattern": is_assign & (val.kind == "BinOp") & (val.op == "Add") & (val.fc.kind == "Subscript")
+            & (val.fc2.kind == "Name") & F.array_contains("c_sub_target_bases", val["fc2"]["name"]),
+        "has_fast_slow_pointer_pattern": is_assign & (val.kind == "Attribute") & (val["name"] == "next")
+            & (val.fc.kind == "Attribute") & (val["fc"]["name"] == "next"),
+        "has_sliding_window_pattern": (kind == "Compare") & while_test & (F.col("c_cmp_binop") > 0)
+            & F.col("in_for"),
+        "has_parallel_two_pointer_pattern": (kind == "BoolOp") & (op == "And") & while_test & (F.col("n_elts") >= 2)
+            & (F.col("c_clause_names") >= 2),
+        "has_midpoint_calculation": (kind == "BinOp") & op.isin("FloorDiv", "Div") & (F.col("s_right.kind") == "Constant")
+            & (F.col("s_right.const_num") == 2.0) & (F.col("s_left.kind") == "BinOp")
+            & (F.col("s_left.op") == "Add"),
+        "_parent_name": (kind == "Name") & F.lower(name).contains("parent"),
+        "_indegree": (kind == "Name") & F.replace(F.lower(name), F.lit("_"), F.lit("")).contains("indegree"),
+        "_fn_find": (kind == "FunctionDef") & F.lower(name).contains("find"),
+        "_fn_union": (kind == "FunctionDef") & F.lower(name).contains("union"),
+        # linked-list operations look inside module-level functions only
+        "_top": in_top,
+        "_next_in": in_top & (kind == "Attribute") & (name == "next"),
+        "_skip": in_top & single & (F.col("s_t0.kind") == "Attribute") & (F.col("s_t0.name") == "next")
+            & (val.kind == "Attribute") & (val["name"] == "next"),
+    }
+
+
+# Columns of wide nodes that only their own row's expressions read.
+_PASSING = ["path", "path_fields", "path_kinds", "path_names", "s_left", "s_right", "c_cmp_names", "c_cmp_other", "c_cmp_binop",
+            "c_clause_names", "c_name_targets", "c_sub_target_bases", "c_cache_default_pos", "in_loop_body", "in_for", "in_class"]
+
+
 def wide_nodes(nodes: DataFrame) -> DataFrame:
     """Every node with narrow columns for what its path and its children tell; rows of
     snippets that do not parse stay as they are."""
@@ -176,7 +271,8 @@ def wide_nodes(nodes: DataFrame) -> DataFrame:
         "bt_field": F.when(stmt_call, F.try_element_at("path_fields", F.lit(-2))),
         # the Expr; ids follow statement order
         "bt_stmt": F.when(stmt_call, F.col("parent_id")),
-    }).drop("path", "path_fields", "path_kinds", "path_names")
+    }).withColumn("flags", reduce(Column.bitwiseOR, (F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+                                                     for i, c in enumerate(_flags().values())))).drop(*_PASSING)
 
 
 def _join_all(base: DataFrame, parts: list[DataFrame]) -> DataFrame:
@@ -194,84 +290,19 @@ def compute_features(nodes: DataFrame) -> DataFrame:
 def features_of(wide: DataFrame) -> DataFrame:
     """The same from written wide nodes, which the aggregation and the side queries read."""
     w = wide.where(F.col("kind") != "ParseError")
-    kind, name, op = F.col("kind"), F.col("name"), F.col("op")
-    parent_kind, in_top = F.col("parent_kind"), F.col("in_top")
-    is_call, is_assign = kind == "Call", kind == "Assign"
-    callee = F.when(F.col("s_func.kind").isin("Name", "Attribute"), F.col("s_func.name"))
-    single = is_assign & (F.col("n_elts") == 1)
-    val = F.col("s_value")
-    name_targets = F.col("c_name_targets")
-    any_target = F.size(name_targets) > 0
-    top_level_def = F.col("top_def")
-
-    def targets_match(words):
-        return F.exists(name_targets, lambda t: _words(t, words))
-
-    zip_len = F.when(F.col("n_elts") <= F.col("n_args"), F.col("n_elts")).otherwise(
-        F.least(F.col("n_args"), F.col("n_elts") - F.col("n_args")))
-    cache_default = ((kind == "arguments") & (parent_kind == "FunctionDef")
-                     & F.exists("c_cache_default_pos", lambda p: p < zip_len))
-    while_test = (F.col("field") == "test") & (parent_kind == "While")
+    kind, in_top, top_level_def = F.col("kind"), F.col("in_top"), F.col("top_def")
+    callee = _callee()
+    single = (kind == "Assign") & (F.col("n_elts") == 1)
     main = w.groupBy("sample_id").agg(
         F.count(F.when(kind.isin(*LOOP_KINDS), 1)).alias("num_loops"),
         F.max(F.when(kind.isin(*LOOP_KINDS), F.col("n_loops_above") + 1)).alias("max_loop_depth"),
         F.count(F.when(kind == "FunctionDef", 1)).alias("num_function_defs"),
         F.max_by(F.when(top_level_def, F.col("n_args")), F.when(top_level_def, F.col("node_id")))
         .alias("param_count"),
-        _flag(is_call & callee.isin(*HEAP_CALLS)).alias("uses_priority_queue"),
-        _flag(is_call & (callee == "deque")).alias("uses_queue"),
-        _flag(is_call & (F.col("s_func.kind") == "Name") & (callee == "deque")).alias("_deque_by_name"),
-        _flag(is_call & callee.isin(*SORT_CALLS)).alias("uses_sorted_or_sort_call"),
-        _flag(is_assign & targets_match(VISITED_WORDS)).alias("has_visited_like_var"),
-        _flag(is_assign & targets_match(ADJ_WORDS)).alias("uses_adjacency_structure"),
-        _flag((is_assign & targets_match(MEMO_WORDS)) | cache_default).alias("_memo_var"),
-        _flag(is_assign & any_target & ((val.kind == "Set")
-                                        | ((val.kind == "Call") & (val.fc.kind == "Name")
-                                           & (val["fc"]["name"] == "set")))).alias("uses_set"),
-        _flag((is_assign & any_target & ((val.kind == "Dict")
-                                         | ((val.kind == "Call") & (val.fc.kind == "Name")
-                                            & val["fc"]["name"].isin("dict", "defaultdict"))))
-              | cache_default).alias("uses_dict"),
         F.max("dims").alias("array_dimensionality"),
-        _flag(single & (F.col("s_t0.kind") == "Tuple") & (val.kind == "Tuple") & F.col("in_loop_body"))
-        .alias("has_swap_in_loop"),
-        _flag((kind == "Compare") & while_test & (F.col("c_cmp_names") >= 2) & (F.col("c_cmp_other") == 0))
-        .alias("has_two_pointer_pattern"),
-        F.max("if_nesting")
-        .alias("max_if_nesting_in_loop"),
-        _flag((kind == "Return") & (F.col("n_loops_above") > 0)).alias("has_early_return_in_loop"),
-        _flag(kind.isin("BinOp", "AugAssign") & op.isin(*BIT_OPS)).alias("uses_bit_manipulation"),
-        _flag(kind.isin("BinOp", "AugAssign") & (op == "Mod")).alias("uses_modular_math"),
-        _flag((kind == "Attribute") & (name == "next")).alias("has_linked_list_pattern"),
-        _flag((kind == "Attribute") & name.isin("left", "right")).alias("_lr_attr"),
-        # self.left / self.right / self.children assigned inside a class
-        _flag((kind == "Attribute") & name.isin("left", "right", "children")
-              & (F.col("field") == "targets") & (parent_kind == "Assign")
-              & (F.col("fc.kind") == "Name") & (F.col("fc.name") == "self")
-              & F.col("in_class")).alias("_class_tree"),
-        _flag(is_assign & (val.kind == "BinOp") & (val.op == "Add") & (val.fc.kind == "Subscript")
-              & (val.fc2.kind == "Name") & F.array_contains("c_sub_target_bases", val["fc2"]["name"]))
-        .alias("has_prefix_pattern"),
-        _flag(is_assign & (val.kind == "Attribute") & (val["name"] == "next")
-              & (val.fc.kind == "Attribute") & (val["fc"]["name"] == "next")).alias("has_fast_slow_pointer_pattern"),
-        _flag((kind == "Compare") & while_test & (F.col("c_cmp_binop") > 0)
-              & F.col("in_for")).alias("has_sliding_window_pattern"),
-        _flag((kind == "BoolOp") & (op == "And") & while_test & (F.col("n_elts") >= 2)
-              & (F.col("c_clause_names") >= 2)).alias("has_parallel_two_pointer_pattern"),
-        _flag((kind == "BinOp") & op.isin("FloorDiv", "Div") & (F.col("s_right.kind") == "Constant")
-              & (F.col("s_right.const_num") == 2.0) & (F.col("s_left.kind") == "BinOp")
-              & (F.col("s_left.op") == "Add")).alias("has_midpoint_calculation"),
-        _flag((kind == "Name") & F.lower(name).contains("parent")).alias("_parent_name"),
-        _flag((kind == "Name") & F.replace(F.lower(name), F.lit("_"), F.lit("")).contains("indegree"))
-        .alias("_indegree"),
-        _flag((kind == "FunctionDef") & F.lower(name).contains("find")).alias("_fn_find"),
-        _flag((kind == "FunctionDef") & F.lower(name).contains("union")).alias("_fn_union"),
-        # linked-list operations look inside module-level functions only
-        _flag(in_top).alias("_top"),
-        _flag(in_top & (kind == "Attribute") & (name == "next")).alias("_next_in"),
-        _flag(in_top & single & (F.col("s_t0.kind") == "Attribute") & (F.col("s_t0.name") == "next")
-              & (val.kind == "Attribute") & (val["name"] == "next")).alias("_skip"),
-    )
+        F.max("if_nesting").alias("max_if_nesting_in_loop"),
+        F.bit_or("flags").alias("flags"))
+    main = main.select("*", *[F.getbit("flags", F.lit(i)).cast("int").alias(c) for i, c in enumerate(_flags())]).drop("flags")
     sides = [_recursion(w, callee), _inserts(w), _reverse(w, in_top, single), _monotonic(w), _same_direction(w),
              _transpose(w, single), _backtracking(w)]
     j = _join_all(main, sides)
@@ -477,7 +508,7 @@ def build_features(corpus: DataFrame, code: str = "code") -> tuple[DataFrame, Da
     but keep their own rows; a hot duplicate is a skewed join key that AQE
     splits."""
     from snipflow.operators.parse import parse_nodes, sample_ids
-    nodes = materialize(wide_nodes(parse_nodes(corpus, code)), "wide_nodes")
+    nodes = materialize(wide_nodes(parse_nodes(corpus, code, keep=read_by_features)), "wide_nodes")
     feats = features_of(nodes)
     rows = sample_ids(corpus, code)
     good = rows.join(feats, "sample_id")

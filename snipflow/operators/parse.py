@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import ast
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,29 +67,18 @@ NODE_SCHEMA = T.StructType([
     T.StructField("children", T.ArrayType(CHILD), True),
 ])
 _FLAT = [f.name for f in NODE_SCHEMA.fields if f.name != "children"]      # of a row of node_rows
+_KIND, _NAME, _OP = (_FLAT.index(n) for n in ("kind", "name", "op"))
 
 PARSER_VERSION = f"python-ast-{sys.version_info.major}.{sys.version_info.minor}"
 
 _FOLDED = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
+_OPERATED = (ast.BinOp, ast.UnaryOp, ast.BoolOp, ast.AugAssign, ast.Compare)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
-def _name_of(node: ast.AST):
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return node.attr
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        return node.name
-    if isinstance(node, ast.alias):
-        return node.name
-    if isinstance(node, ast.ImportFrom):
-        return node.module
-    if isinstance(node, ast.arg):
-        return node.arg
-    if isinstance(node, ast.keyword):
-        return node.arg
-    return None
+# Where a node's name stands, by its type.
+_NAMED = {ast.Name: "id", ast.Attribute: "attr", ast.FunctionDef: "name", ast.AsyncFunctionDef: "name", ast.ClassDef: "name",
+          ast.alias: "name", ast.ImportFrom: "module", ast.arg: "arg", ast.keyword: "arg"}
 
 
 def _op_of(node: ast.AST):
@@ -101,9 +90,7 @@ def _op_of(node: ast.AST):
     return None
 
 
-def _const_num(node: ast.AST):
-    if not isinstance(node, ast.Constant):
-        return None
+def _const_num(node: ast.Constant):
     v = node.value
     try:
         if isinstance(v, (bool, int, float)):
@@ -115,23 +102,19 @@ def _const_num(node: ast.AST):
     return None
 
 
-def _sizes(node: ast.AST):
-    n_args = n_elts = None
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-        n_args = len(node.args.args)
-    elif isinstance(node, ast.arguments):
-        n_args, n_elts = len(node.args), len(node.defaults)
-    elif isinstance(node, (ast.Tuple, ast.List, ast.Set)):
-        n_elts = len(node.elts)
-    elif isinstance(node, ast.Assign):
-        n_elts = len(node.targets)
-    elif isinstance(node, ast.BoolOp):
-        n_elts = len(node.values)
-    elif isinstance(node, ast.Compare):
-        n_elts = len(node.comparators)
-    elif isinstance(node, ast.Call):
-        n_args = len(node.args)
-    return n_args, n_elts
+# n_args and n_elts, by type.
+_SIZES = {
+    ast.FunctionDef: lambda n: (len(n.args.args), None),
+    ast.AsyncFunctionDef: lambda n: (len(n.args.args), None),
+    ast.arguments: lambda n: (len(n.args), len(n.defaults)),
+    ast.Tuple: lambda n: (None, len(n.elts)),
+    ast.List: lambda n: (None, len(n.elts)),
+    ast.Set: lambda n: (None, len(n.elts)),
+    ast.Assign: lambda n: (None, len(n.targets)),
+    ast.BoolOp: lambda n: (None, len(n.values)),
+    ast.Compare: lambda n: (None, len(n.comparators)),
+    ast.Call: lambda n: (len(n.args), None),
+}
 
 
 def node_rows(sample_id: str, code: str) -> list[tuple]:
@@ -153,21 +136,27 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
             continue
         node, parent, field, pos, depth, path, pfields, pkinds, pnames = item
         nid = len(rows)
-        n_args, n_elts = _sizes(node)
-        kind, name = type(node).__name__, _name_of(node)
+        cls = type(node)
+        kind = cls.__name__
+        name = getattr(node, _NAMED[cls]) if cls in _NAMED else None
+        n_args, n_elts = _SIZES[cls](node) if cls in _SIZES else (None, None)
         rows.append([sample_id, nid, parent, nid, depth, field, pos, kind,
-                     _op_of(node), name, _const_num(node), n_args, n_elts,
-                     getattr(node, "level", None) if isinstance(node, ast.ImportFrom) else None,
+                     _op_of(node) if cls in _OPERATED else None, name,
+                     _const_num(node) if cls is ast.Constant else None, n_args, n_elts,
+                     node.level if cls is ast.ImportFrom else None,
                      getattr(node, "lineno", None), path, pfields, pkinds, pnames, None, None, None])
-        stack.append(("end", nid))
         children = []
-        for fname, value in ast.iter_fields(node):
+        for fname in cls._fields:
+            value = getattr(node, fname, None)
             if isinstance(value, list):
                 for i, v in enumerate(value):
                     if isinstance(v, ast.AST) and not isinstance(v, _FOLDED):
                         children.append((v, fname, i))
             elif isinstance(value, ast.AST) and not isinstance(value, _FOLDED):
                 children.append((value, fname, None))
+        if not children:
+            continue                        # its subtree ends with itself
+        stack.append(("end", nid))
         cpath, ckinds = path + [nid], pkinds + [kind]
         # ancestor names only for definitions (what scope rules need)
         cnames = pnames + [name if isinstance(node, _DEFS) else None]
@@ -202,7 +191,7 @@ def _children(flat: dict[str, pa.Array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _parse_batches(names: list[str]):
+def _parse_batches(names: list[str], keep: Callable | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
         form = to_arrow_schema(NODE_SCHEMA)
@@ -210,17 +199,30 @@ def _parse_batches(names: list[str]):
         need = {*names, *(["node_id", "parent_id", *CHILD.names[:-2]] if "children" in names else [])}
         rows: list[tuple] = []
 
+        def arrays(of, only):
+            return {n: pa.array(c, type=form.field(n).type) for n, c in zip(_FLAT, zip(*of)) if n in only}
+
         def batch():
-            flat = {n: pa.array(c, type=form.field(n).type) for n, c in zip(_FLAT, zip(*rows)) if n in need}
-            if "children" in names:
-                flat["children"] = _children(flat).cast(form.field("children").type)
+            if keep is None or "children" not in names:
+                flat = arrays(rows, need)
+                if "children" in names:
+                    flat["children"] = _children(flat).cast(form.field("children").type)
+            else:                          # children and ancestors of the nodes kept are any nodes
+                kept = np.flatnonzero([wanted(r) for r in rows])
+                flat = arrays([rows[k] for k in kept], set(names))
+                below = _children(arrays(rows, {"node_id", "parent_id", *CHILD.names[:-2]})).take(pa.array(kept))
+                flat["children"] = below.cast(form.field("children").type)
             return pa.RecordBatch.from_arrays([flat[n] for n in names], schema=schema)
 
+        def wanted(r):
+            return keep(r[_KIND], r[_NAME], r[_OP])
+
         for b in batches:
             for at in range(0, b.num_rows, BATCH_CODES):
                 part = b.slice(at, BATCH_CODES)
                 for sid, code in zip(part.column("sample_id").to_pylist(), part.column("code").to_pylist()):
-                    rows += node_rows(sid, code if code is not None else "")
+                    more = node_rows(sid, code if code is not None else "")
+                    rows += more if keep is None or "children" in names else filter(wanted, more)
                     if len(rows) >= BATCH_ROWS:
                         yield batch()
                         rows = []
@@ -229,13 +231,19 @@ def _parse_batches(names: list[str]):
     return run
 
 
+def only_errors(kind: str, name: str | None, op: str | None) -> bool:
+    return kind == "ParseError"
+
+
 def sample_ids(corpus: DataFrame, code: str = "code") -> DataFrame:
     return corpus.withColumn("sample_id", F.sha2(F.coalesce(F.col(code), F.lit("")), 256))
 
 
-def parse_nodes(corpus: DataFrame, code: str = "code", columns: list[str] | None = None) -> DataFrame:
+def parse_nodes(corpus: DataFrame, code: str = "code", columns: list[str] | None = None,
+                keep: Callable[[str, str | None, str | None], bool] | None = None) -> DataFrame:
     """Node rows for every distinct snippet of ``corpus`` (incl. ParseError rows), with
-    those of NODE_SCHEMA's columns that are asked for (all by default).
+    those of NODE_SCHEMA's columns that are asked for (all by default) and, with ``keep``,
+    of nodes whose kind, name and op it accepts (paths and children name any node).
 
     Only ``sample_id, code`` enter the Python worker; duplicates are removed
     first (partial aggregation, so a snippet copied many times costs one row
@@ -251,7 +259,7 @@ def parse_nodes(corpus: DataFrame, code: str = "code", columns: list[str] | None
     n = 2 * corpus.sparkSession.sparkContext.defaultParallelism
     names = columns or NODE_SCHEMA.names
     return (distinct.repartition(n, F.xxhash64("sample_id"))
-            .mapInArrow(_parse_batches(names), T.StructType([NODE_SCHEMA[n] for n in names])))
+            .mapInArrow(_parse_batches(names, keep), T.StructType([NODE_SCHEMA[n] for n in names])))
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -60,14 +60,14 @@ def corpus_validate(spark, sf_dir):
     """Renderings that parse vs rejects; every 17th rendering is cut in
     half so some fail. Parse failures are reported, not dropped."""
     from snipflow.operators.corpus import validate
-    from snipflow.operators.parse import parse_nodes
+    from snipflow.operators.parse import only_errors, parse_nodes
     from snipflow.session import materialize
     c = fx.x6_corpus(spark, sf_dir)
     c = c.withColumn("code", F.when(F.col("doc_id") % 17 == 0,
                                     F.expr("substring(code, 1, length(code) div 2)"))
                      .otherwise(F.col("code")))
-    nodes = parse_nodes(c, columns=["sample_id", "kind", "parse_error"])
-    good, bad = validate(c, materialize(nodes.where("kind = 'ParseError'"), "nodes"))
+    nodes = parse_nodes(c, columns=["sample_id", "kind", "parse_error"], keep=only_errors)
+    good, bad = validate(c, materialize(nodes, "nodes"))
     return (good.select("label", F.lit("ok").alias("status"))
             .unionByName(bad.select("label", F.lit("rejected").alias("status")))
             .groupBy("label", "status").agg(F.count(F.lit(1)).alias("n")))

@@ -83,3 +83,23 @@ def test_parser_hands_on_small_batches(spark):
     out = list(parse._parse_batches(["sample_id", "kind"])(iter([batch] * 5)))
     assert sum(b.num_rows for b in out) == 7 * 4500 and max(b.num_rows for b in out) < parse.BATCH_ROWS + 100
     assert out[0].schema.names == ["sample_id", "kind"] and parse.BATCH_ROWS <= 10_000
+
+
+def test_only_nodes_that_features_read_leave_the_parser(spark):
+    """Nodes that no feature reads by themselves count as children and ancestors only; the
+    features are those of all nodes, and a node's flags travel as one number."""
+    codes = {v[0] for v in GOLDEN.values()} | {"x = y + 1\n", ""}
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    every = features.wide_nodes(parse.parse_nodes(df))
+    kept = features.wide_nodes(parse.parse_nodes(df, keep=features.read_by_features))
+    assert 2 * kept.count() < every.count()
+    a, b = features.features_of(every), features.features_of(kept)
+    assert a.count() == b.count() == len(codes) and a.exceptAll(b).count() == 0
+    assert dict(kept.dtypes)["flags"] == "bigint" and not {"path", "s_left", "c_name_targets"} & set(kept.columns)
+
+
+def test_validation_takes_errors_only(spark):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"sample_id": ["a", "b"], "code": ["a = [1, 2, 3]\n" * 9, "def (\n"]})
+    out = list(parse._parse_batches(["sample_id", "kind"], parse.only_errors)(iter([batch])))
+    assert [r for b in out for r in b.to_pylist()] == [{"sample_id": "b", "kind": "ParseError"}]
