@@ -76,12 +76,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# Spark deletes a query's shuffle files as soon as the query ends, not when its plan is collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the writes within the block go with the writes: what they wrote
+    is read back from the shared folder, never computed again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 class Scratch:
     """Written intermediates of one job, in the shared checkpoint folder.
 
     ``save`` writes a DataFrame as Parquet and reads it back: lineage is cut,
     later stages prune columns, and a lost executor re-reads files instead of
-    recomputing. ``drop`` deletes one step (or all of them) once no plan reads
+    recomputing; the shuffle files of the step go at once. ``drop`` deletes one step (or all of them) once no plan reads
     it any more; what is left, after a failure too, goes when the driver ends.
     """
 
@@ -92,7 +111,8 @@ class Scratch:
 
     def save(self, df, step: str, compression: str = "snappy"):
         path = f"{self.root}/{step}"
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
+        with _shuffles_dropped(df.sparkSession):
+            df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *steps: str) -> None:

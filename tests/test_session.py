@@ -52,3 +52,23 @@ def test_scratch_save_and_drop(spark):
     s.drop("a")
     assert not os.path.exists(f"{s.root}/a")
     s.drop()
+
+
+def test_saved_step_leaves_no_shuffle_files(spark):
+    """The disk holds what a job saved, not the shuffles that led there."""
+    import os
+    import time
+
+    from snipflow.session import SHUFFLE_CLEANUP, Scratch
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+
+    before, conf, scratch = files(), spark.conf.get(SHUFFLE_CLEANUP), Scratch(spark, "cleanup")
+    saved = scratch.save(spark.range(10_000).repartition(7, "id").groupBy("id").count(), "step")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP) == conf
+    assert saved.count() == 10_000
