@@ -37,8 +37,6 @@ aside.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -46,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from snipflow.llm.blocks import (ANSWERED, ASKED, BLOCK_BYTES, Block, BlockTable, Repeated, answer, arrow_schema, ask,
                                  bucket_of, empty)
-from snipflow.llm.common import Words, mix, shingles, slices, text_frame
+from snipflow.llm.common import Words, buffers, mix, powers, shingles, slices, text_frame
 from snipflow.llm.components import connected_components
 from snipflow.session import Scratch
 
@@ -56,9 +54,12 @@ PAIRS = 5
 PERCENT = 80
 CHUNK = 256                 # distinct texts of a signature that are counted against as many others at once
 PAIRS_AT_ONCE = 2048        # pairs of texts that are compared at once
+TOKENS_AT_ONCE = 1 << 15    # tokens of passages that are verified at once, or one range
 _S = mix(np.arange(1, 4 * PAIRS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _S[:2 * PAIRS], _S[2 * PAIRS:] | np.uint64(1)
 _LOW = np.uint64((1 << 28) - 1)
+_TEXT = 0xD1342543DE82EF95
+_TEXT_INV = pow(_TEXT, -1, 1 << 64)
 
 
 def roots(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -120,13 +121,23 @@ class _Block:
             setattr(self, name, getattr(self, name)[use])
 
 
-def doc_tokens(block: Block, rows) -> dict[int, np.ndarray]:
-    """Tokens of the given documents of a block."""
-    out = {}
-    for r in rows:
-        w = Words(block.data, block.off[r:r + 2], lower=True)
-        out[r] = shingles(w.hash, SHINGLE)
-    return out
+class _Tokens:
+    """Tokens of a block's documents: those of row ``r`` are ``all[first[r]:first[r] + count[r]]``."""
+
+    def __init__(self, block: Block):
+        parts, first, n = [], [np.zeros(0, np.int64)], 0
+        for i, j in slices(block.off):
+            w = Words(block.data, block.off[i:j + 1], lower=True)
+            parts += [shingles(w.hash, SHINGLE), np.zeros(min(SHINGLE - 1, len(w.hash)), np.uint64)]
+            first.append(w.first[:-1] + n)
+            n += len(w.hash)
+        self.all = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.first = np.concatenate([*first, [n]])
+        self.count = np.maximum(np.diff(self.first) - SHINGLE + 1, 0)
+        self.first = self.first[:-1]
+
+    def of(self, r: int) -> np.ndarray:
+        return self.all[self.first[r]:self.first[r] + self.count[r]]
 
 
 def _lowest_per_key(key, ids, *more):
@@ -202,6 +213,21 @@ def _tell_hubs(key, table):
     return pa.table({"bucket": table["bucket"], "block": table["block"], **{c: pa.array(v, pa.binary()) for c, v in out.items()}}, schema=arrow_schema(TOLD))
 
 
+def _merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Ranges of each group that meet or overlap, as one: group, start, end, and the
+    number of one of its ranges; sorted."""
+    order = np.lexsort((lo, group))
+    g, lo, hi = group[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    if not len(g):
+        return g, lo, hi, order
+    number = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
+    width = int(hi.max()) + 1
+    reach = np.maximum.accumulate(number * width + hi)
+    start = np.flatnonzero(np.concatenate([[True], number[1:] * width + lo[1:] > reach[:-1]]))
+    end = np.append(start[1:], len(g)) - 1
+    return g[start], lo[start], reach[end] - number[end] * width, order[start]
+
+
 # kind 0: a request to the hub's block; kind 1: the hits of this block, packed;
 # kind 2: signatures of a bucket (under block) at further places of the hub
 REQUESTS = "kind int, block int, asker int, hub bigint, lo int, hi int, hits binary"
@@ -234,28 +260,17 @@ def _requests(t, x, buckets, key, hub, hub_block, root):
     hit["row"], hit["hub"], hit["hub_block"], hit["a"], hit["b"] = x.row, hub[at], hub_block[at], x.a, x.b
     hit["shift"], hit["sig"] = root[at] - x.root, x.sig
     # passages of one hub in question, as few ranges
-    lo, hi = x.a + hit["shift"], x.b + hit["shift"] + TOKENS
-    order = np.lexsort((lo, hit["hub"]))
-    h, lo, hi = hit["hub"][order], np.maximum(lo[order], 0), hi[order]
-    reach = np.zeros(len(h), np.int64)
-    starts = []
-    for i in range(len(h)):
-        if i == 0 or h[i] != h[i - 1] or lo[i] > reach[i - 1]:
-            starts.append(i)
-            reach[i] = hi[i]
-        else:
-            reach[i] = max(reach[i - 1], hi[i])
-    starts = np.array(starts, int)
-    ends = np.append(starts[1:], len(h)) - 1 if len(starts) else starts
-    n, m = len(starts), len(again)
+    h, lo, hi, source = _merged(hit["hub"], np.maximum(x.a + hit["shift"], 0), x.b + hit["shift"] + TOKENS)
+    of_hub = hit["hub_block"][source]
+    n, m = len(h), len(again)
     i32 = pa.int32()
     return pa.table({
         "kind": pa.array(np.append(np.zeros(n), [1] + [2] * m).astype(np.int32)),
-        "block": pa.array([*hit["hub_block"][order][starts].tolist(), t, *[k for k, _ in again]], i32),
+        "block": pa.array([*of_hub.tolist(), t, *[k for k, _ in again]], i32),
         "asker": pa.array(np.full(n + 1 + m, t), i32),
-        "hub": pa.concat_arrays([pa.array(h[starts]), pa.nulls(1 + m, pa.int64())]),
-        "lo": pa.concat_arrays([pa.array(lo[starts], i32), pa.nulls(1 + m, i32)]),
-        "hi": pa.concat_arrays([pa.array(reach[ends], i32), pa.nulls(1 + m, i32)]),
+        "hub": pa.concat_arrays([pa.array(h), pa.nulls(1 + m, pa.int64())]),
+        "lo": pa.concat_arrays([pa.array(lo, i32), pa.nulls(1 + m, i32)]),
+        "hi": pa.concat_arrays([pa.array(hi, i32), pa.nulls(1 + m, i32)]),
         "hits": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([hit.tobytes(), *[v for _, v in again]], pa.binary())])},
         schema=arrow_schema(REQUESTS))
 
@@ -267,20 +282,15 @@ def _send_passages(t, block, right):
     """The tokens of requested ranges, to each block that asked."""
     marks = right.filter(pa.compute.is_valid(right["doc_id"]))
     ask_ = right.filter(pa.compute.is_valid(right["asker"]))
-    rows = {}
-    skip = block.marked(marks)
-    for r in np.flatnonzero(~skip):
-        rows.setdefault(int(block.ids[r]), []).append(int(r))
+    tokens, skip, rows = _Tokens(block), block.marked(marks), {}
+    for r in np.flatnonzero(~skip).tolist():
+        rows.setdefault(int(block.ids[r]), r)
     out = {"block": [], "hub": [], "lo": [], "tokens": []}
-    cache: dict[int, np.ndarray] = {}
-    ask_ = ask_.take(pa.compute.sort_indices(ask_, [("hub", "ascending")]))
     for to, hub, lo, hi in zip(*(ask_[c].to_pylist() for c in ("asker", "hub", "lo", "hi"))):
-        if hub not in cache:
-            cache = {hub: np.concatenate(list(doc_tokens(block, rows.get(hub, [])[:1]).values()) or [np.zeros(0, np.uint64)])}
         out["block"].append(to)
         out["hub"].append(hub)
         out["lo"].append(lo)
-        out["tokens"].append(cache[hub][lo:hi].tobytes())
+        out["tokens"].append(tokens.of(rows[hub])[lo:hi].tobytes() if hub in rows else b"")
     return pa.table(out, schema=arrow_schema(PASSAGES))
 
 
@@ -341,20 +351,32 @@ def similar_passages(x: np.ndarray, z: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (_count(fx, lx, n) + _count(fz, lz, n) - common)
 
 
-def _merge(spans):
-    out = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-def _held(spans, a, b) -> bool:
-    """Whether one of sorted disjoint spans holds all of a to b."""
-    k = bisect.bisect_right(spans, a, key=lambda x: x[0]) - 1
-    return k >= 0 and spans[k][1] >= b
+def similar_in_pairs(x: np.ndarray, z: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """The same of many pairs at once, whose tokens follow one another; ``size``: tokens of
+    each (``TOKENS`` or more). Places where no whole passage of a pair starts are false."""
+    total = len(x)
+    start = np.cumsum(size) - size
+    pair = np.repeat(np.arange(len(size)), size)
+    low, high = start[pair], (start + size - TOKENS)[pair]       # first and last passage of a place's pair
+    names, number = np.unique(np.concatenate([x, z]), return_inverse=True)
+    number = np.unique(np.concatenate([pair, pair]) * len(names) + number, return_inverse=True)[1]
+    width = total + 2 * TOKENS
+    kx, kz = _keys(x, number[:total], width), _keys(z, number[total:], width)
+
+    def presence(s):
+        at = s % width - TOKENS
+        first = np.maximum(at - TOKENS + 1, low[at])
+        again = s[1:] // width == s[:-1] // width
+        first[1:] = np.where(again, np.maximum(first[1:], at[:-1] + 1), first[1:])
+        return first, np.minimum(at, high[at])
+
+    (fx, lx), (fz, lz) = presence(kx), presence(kz)
+    a, b = np.searchsorted(kz, kx - (TOKENS - 1)), np.searchsorted(kz, kx + (TOKENS - 1), "right")
+    i = np.repeat(np.arange(total), b - a)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[i]
+    common = _count(np.maximum(fx[i], fz[j]), np.minimum(lx[i], lz[j]), total)
+    good = 100 * common >= percent * (_count(fx, lx, total) + _count(fz, lz, total) - common)
+    return good & (np.arange(total) <= high)
 
 
 def _runs(good: np.ndarray) -> list[tuple[int, int]]:
@@ -363,44 +385,68 @@ def _runs(good: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _agreeing(own: np.ndarray, theirs: list, hits: np.ndarray, percent: int):
-    """Word ranges of a document and of its hub whose passages are similar enough,
-    and which hits have a passage that is not."""
-    mine, yours = [], []
-    los = [p[0] for p in theirs]
-    left = np.ones(len(hits), bool)
-    cut = np.flatnonzero(hits["shift"][1:] != hits["shift"][:-1]) + 1
-    for at_hit, g in zip(np.concatenate([[0], cut]).tolist(), np.split(hits, cut)):
-        shift = int(g["shift"][0])
-        alone = len(g) == 1
-        for first, last in [(int(g["a"][0]), int(g["b"][0]) + 1)] if alone else _merge(zip(g["a"].tolist(), (g["b"] + 1).tolist())):
-            inside = np.zeros(1, int) if alone else np.flatnonzero((g["a"] >= first) & (g["b"] < last))
-            first = max(first, -shift)
-            at = bisect.bisect_right(los, first + shift) - 1
-            if at < 0 or first >= last:
-                continue
-            lo, tok = theirs[at]
-            z = tok[first + shift - lo:last + shift - lo + TOKENS - 1]
-            x = own[first:first + len(z)]
-            if len(x) < TOKENS:
-                continue
-            z = z[:len(x)]
-            a, b = g["a"][inside] - first, g["b"][inside] + 1 - first
-            held = (a >= 0) & (b <= len(x) - TOKENS + 1)
-            if (x == z).all():                  # the usual case: a copied passage
-                mine.append((first, first + len(x) - TOKENS + WORDS))
-                yours.append((mine[-1][0] + shift, mine[-1][1] + shift))
-                left[at_hit + inside[held]] = False
-                continue
-            good = similar_passages(x, z, percent)
-            if not good.any():
-                continue
-            for p, q in _runs(good):
-                mine.append((first + p, first + q - 1 + WORDS))
-                yours.append((first + p + shift, first + q - 1 + shift + WORDS))
-            sums = np.concatenate([[0], np.cumsum(good)])
-            left[at_hit + inside[held]] = (sums[b[held]] - sums[a[held]]) < (b - a)[held]
-    return mine, yours, left
+def _agreeing(tokens: _Tokens, hits: np.ndarray, theirs: tuple, percent: int):
+    """Of hits (sorted by row, hub, shift and place): the word ranges of documents whose
+    passages are similar enough to the hub's (number of the first hit of the pair, start,
+    end, shift), and which hits have a passage that is not. ``theirs``: hub, place, offset
+    and count of the passages' tokens (sorted), and the tokens."""
+    hub_of, los, offs, counts, hub_tokens = theirs
+    new = np.concatenate([[True], (hits["row"][1:] != hits["row"][:-1]) | (hits["hub"][1:] != hits["hub"][:-1])])
+    pair_at = np.flatnonzero(new)[np.cumsum(new) - 1]
+    new |= np.concatenate([[True], hits["shift"][1:] != hits["shift"][:-1]])
+    line = np.cumsum(new) - 1
+    _, first, last, at = _merged(line, hits["a"], hits["b"] + 1)
+    range_of = np.zeros(len(hits), np.int64)
+    range_of[at] = 1                                    # a range begins at the smallest place of its line
+    range_of = np.cumsum(range_of) - 1
+    shift, row = hits["shift"][at].astype(np.int64), hits["row"][at]
+    first = np.maximum(first, -shift)
+    # the hub's passage that holds the range: the last one that starts before it
+    hubs = np.unique(hub_of)
+    width = max(int(los.max(initial=0)), int((first + shift).max(initial=0))) + 1
+    held = np.searchsorted(np.searchsorted(hubs, hub_of) * width + los,
+                           np.searchsorted(hubs, hits["hub"][at]) * width + first + shift, "right") - 1
+    inside = (held >= 0) & (hub_of[held] == hits["hub"][at])
+    z_at = first + shift - los[held]
+    size = np.minimum(np.minimum(last - first + TOKENS - 1, counts[held] - z_at), tokens.count[row] - first)
+    size = np.where(inside & (first < last) & (size >= TOKENS), size, 0)
+    x_from, z_from = tokens.first[row] + first, offs[held] + z_at
+    spans, left = [], np.ones(len(hits), bool)
+    todo = np.flatnonzero(size)
+    ends = np.cumsum(size[todo])
+    i = 0
+    while i < len(todo):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOKENS_AT_ONCE, "right")))
+        part = todo[i:j]
+        n = size[part]
+        which, x_place = _ranges(x_from[part], n)
+        x, z = tokens.all[x_place], hub_tokens[_ranges(z_from[part], n)[1]]
+        off = np.cumsum(n) - n
+        within = np.arange(len(which)) - off[which]
+        good = within <= (n - TOKENS)[which]            # the usual case: a copied passage
+        differ = np.zeros(len(part), bool)
+        differ[which[x != z]] = True
+        if differ.any():
+            use = differ[which]
+            good[use] = similar_in_pairs(x[use], z[use], n[differ], percent)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))   # a range ends in false
+        p, q = edge[::2], edge[1::2]
+        k = which[p]
+        start = first[part][k] + p - off[k]
+        spans.append((pair_at[at[part]][k], start, start + q - p - 1 + WORDS, shift[part][k]))
+        sums = np.concatenate([[0], np.cumsum(good)])
+        mine = np.arange(at[part[0]], at[part[-1] + 1] if part[-1] + 1 < len(at) else len(hits))
+        slot = np.searchsorted(part, range_of[mine])
+        known = (slot < len(part)) & (part[np.minimum(slot, len(part) - 1)] == range_of[mine])
+        mine, slot = mine[known], slot[known]
+        a, b = hits["a"][mine] - first[part][slot], hits["b"][mine] + 1 - first[part][slot]
+        ok = (a >= 0) & (b <= n[slot] - TOKENS + 1)
+        mine, slot, a, b = mine[ok], slot[ok], a[ok], b[ok]
+        left[mine] = sums[off[slot] + b] - sums[off[slot] + a] < b - a
+        i = j
+    if not spans:
+        return [np.zeros(0, np.int64)] * 4, left
+    return [np.concatenate(v) for v in zip(*spans)], left
 
 
 def _verify(percent, buckets):
@@ -409,39 +455,38 @@ def _verify(percent, buckets):
         if not hits:
             return empty(FOUND)
         hits = np.concatenate(hits)
-        passages: dict[int, list] = {}
-        for hub, lo, tok in zip(right["hub"].to_pylist(), right["lo"].to_pylist(), right["tokens"].to_pylist()):
-            if tok is not None:
-                passages.setdefault(hub, []).append((lo, np.frombuffer(tok, np.uint64)))
-        for v in passages.values():
-            v.sort(key=lambda p: p[0])
+        if not len(hits):
+            return empty(FOUND)
         hits = hits[np.lexsort((hits["a"], hits["shift"], hits["hub"], hits["row"]))]
-        change = np.flatnonzero((hits["row"][1:] != hits["row"][:-1]) | (hits["hub"][1:] != hits["hub"][:-1])) + 1
-        found, active, words, cache = [], np.zeros(len(hits), bool), {}, (-1, None)
-        linked = np.zeros(len(hits), bool)
-        cut = np.concatenate([[0], change])
-        for at, g in zip(cut.tolist(), np.split(hits, change)):
-            row, hub = int(g["row"][0]), int(g["hub"][0])
-            if cache[0] != row:
-                cache = (row, doc_tokens(block, [row])[row])
-            mine, yours, left = _agreeing(cache[1], passages.get(hub, []), g, percent)
-            doc = int(block.ids[row])
-            if mine:
-                found += [(doc, hub, x, y) for x, y in _merge(mine)] + [(hub, doc, x, y) for x, y in _merge(yours)]
-                words.setdefault(row, []).extend(mine)
-            active[at:at + len(g)] = left if mine else True
-            linked[at:at + len(g)] = bool(mine)
+        sent = right.filter(pa.compute.is_valid(right["tokens"]))
+        sent = sent.take(pa.compute.sort_indices(sent, [("hub", "ascending"), ("lo", "ascending")]))
+        data, off = buffers(sent["tokens"])
+        data = data[off[0]:off[-1]].view(np.uint64)
+        off = (off - off[0]) // 8
+        theirs = sent["hub"].to_numpy(), sent["lo"].to_numpy().astype(np.int64), off[:-1], np.diff(off), data
+        found, active = ([np.zeros(0, np.int64)] * 4, np.ones(len(hits), bool))
+        if sent.num_rows:
+            found, active = _agreeing(_Tokens(block), hits, theirs, percent)
+        pair, start, stop, shift = found
+        # of each pair the document's spans, then the hub's
+        side, lo, hi, _ = _merged(np.concatenate([2 * pair, 2 * pair + 1]), np.concatenate([start, start + shift]),
+                                  np.concatenate([stop, stop + shift]))
+        docs, hubs = block.ids[hits["row"][side // 2]], hits["hub"][side // 2]
         # a hub's spans once per block; the link itself is in the member's rows
         seen, rows = set(), []
         member = set(block.ids[hits["row"]].tolist())
-        for doc, other, x, y in found:
+        for doc, other, x, y in zip(*(v.tolist() for v in (np.where(side % 2, hubs, docs), np.where(side % 2, docs, hubs), lo, hi))):
             if (doc, x, y) in seen and doc not in member:
                 continue
             seen.add((doc, x, y))
             rows.append((0, t, doc, other, x, y, None))
-        for k in np.flatnonzero(active & linked).tolist():
-            h = hits[k]
-            active[k] = not _held(_merge(words[int(h["row"])]), int(h["a"]), int(h["b"]) + WORDS)
+        if len(pair):                       # passages of linked hits within the document's spans so far
+            same = np.concatenate([[True], (hits["row"][1:] != hits["row"][:-1]) | (hits["hub"][1:] != hits["hub"][:-1])])
+            linked = np.isin(np.flatnonzero(same)[np.cumsum(same) - 1], pair)
+            row, lo, hi, _ = _merged(hits["row"][pair], start, stop)
+            width = max(int(hi.max()), int(hits["b"].max()) + WORDS) + 1
+            at = np.searchsorted(row * width + lo, hits["row"] * width + hits["a"], "right") - 1
+            active &= ~(linked & (at >= 0) & (row[at] == hits["row"]) & (hi[at] >= hits["b"] + WORDS))
         rows += [(1, k, None, None, None, None, v) for k, v in _split(hits["sig"], active, buckets)]
         if not rows:
             return empty(FOUND)
@@ -472,37 +517,78 @@ def _tell_open(key, told, opened):
     return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _covered(tokens: _Tokens, ids: np.ndarray, known: pa.Table) -> np.ndarray:
+    """Per token of a block whether the passage that starts there lies in a known span (0 or 1)."""
+    order = np.argsort(ids, kind="stable")
+    spans = [known[c].to_numpy() for c in ("doc", "start", "stop")]
+    doc, start, stop, _ = _merged(*spans)
+    edge = np.zeros(len(tokens.all) + 1, np.int64)
+    lo, hi = np.searchsorted(ids[order], doc), np.searchsorted(ids[order], doc, "right")
+    which, at = _ranges(lo, hi - lo)                    # rows that share an id have its spans
+    row = order[at]
+    begin = np.minimum(start[which], tokens.count[row])
+    end = np.minimum(np.maximum(stop[which] - WORDS + 1, begin), tokens.count[row])
+    np.add.at(edge, tokens.first[row] + begin, 1)
+    np.add.at(edge, tokens.first[row] + end, -1)
+    return (np.cumsum(edge[:-1]) > 0).astype(np.uint8)
+
+
+def _worth_sending(tokens, cover, x, doc, linked, from_, to) -> np.ndarray:
+    """Windows to send, by row: all but those that can find nothing (all passages in known
+    spans and a link with the hub) and are no partner that another window lacks: of equal
+    texts of a signature, the first window of the two smallest documents stays."""
+    sums = np.concatenate([[0], np.cumsum(cover)])
+    idle = np.flatnonzero(linked & (sums[to] - sums[from_] == to - from_))
+    stays = np.ones(len(doc), bool)
+    stays[idle] = False
+    # a text by a hash of its tokens, whatever its place
+    up, down = powers(_TEXT, len(tokens)), powers(_TEXT_INV, len(tokens))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * up[:len(tokens)])])
+    text = (total[to[idle] + TOKENS - 1] - total[from_[idle]]) * down[from_[idle]]
+    columns = [x.sig[idle], text, (x.root - x.a)[idle], (to - from_)[idle], doc[idle], x.a[idle]]
+    order = np.lexsort(columns[::-1])
+    idle, columns = idle[order], [c[order] for c in columns]
+    other = np.ones(len(idle), bool)
+    other[1:] = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0) if len(idle) else False
+    first = other.copy()                                # of its document
+    first[1:] |= columns[4][1:] != columns[4][:-1]
+    rank = np.cumsum(first)
+    rank -= rank[np.flatnonzero(other)][np.cumsum(other) - 1] if len(idle) else 0
+    stays[idle[first & (rank < 2)]] = True
+    stays = np.flatnonzero(stays)
+    return stays[np.argsort(x.row[stays], kind="stable")]
+
+
 def _send_members(buckets):
     """The block's windows of open signatures by bucket, each distinct text of a
-    signature once; which passages lie in known spans, and links with the hub."""
+    signature once; which passages lie in known spans, and links with the hub. Of windows
+    that can find nothing themselves only the partners that others need are sent."""
     def run(t, block, right):
         told = right.filter(pa.compute.is_valid(right["keys"]))
         if not told.num_rows:
             return empty(MEMBERS)
-        hub_of = dict(zip(np.frombuffer(b"".join(told["keys"].to_pylist()), np.uint64).tolist(),
-                          np.frombuffer(b"".join(told["docs"].to_pylist()), np.int64).tolist()))
+        load = lambda c, ty: np.frombuffer(b"".join(told[c].to_pylist()), ty)
+        keys, hubs = load("keys", np.uint64), load("docs", np.int64)
+        order = np.argsort(keys)
+        keys, hubs = keys[order], hubs[order]
         known = right.filter(pa.compute.is_valid(right["doc"]))
-        links, spans = set(), {}
-        for doc, other, x, y in zip(*(known[c].to_pylist() for c in ("doc", "other", "start", "stop"))):
-            links.add((doc, other))
-            spans.setdefault(doc, []).append((x, y))
+        links = set(zip(known["doc"].to_pylist(), known["other"].to_pylist()))
         x = _Block(block, block.marked(right.filter(pa.compute.is_valid(right["doc_id"]))))
-        x.keep(np.isin(x.sig, np.fromiter(hub_of, np.uint64, len(hub_of))))
-        order = np.argsort(x.row, kind="stable")
+        x.keep(keys[np.minimum(np.searchsorted(keys, x.sig), len(keys) - 1)] == x.sig)
+        doc, hub = block.ids[x.row], hubs[np.searchsorted(keys, x.sig)]
+        both, inv = np.unique(np.stack([doc, hub]), axis=1, return_inverse=True)
+        linked = np.array([d == h or (d, h) in links or (h, d) in links for d, h in both.T.tolist()], bool)[inv.ravel()]
+        tokens = _Tokens(block)
+        cover = _covered(tokens, block.ids, known)
+        from_, to = tokens.first[x.row] + x.a, tokens.first[x.row] + x.b + 1
+        kept = _worth_sending(tokens.all, cover, x, doc, linked, from_, to)
         into: dict[int, tuple] = {}
-        last, doc, own, cover = -1, None, None, None
         at = bucket_of(x.sig, buckets)
-        for r, a, b, root, sig, to in zip(*(v[order].tolist() for v in (x.row, x.a, x.b, x.root, x.sig, at))):
-            if r != last:
-                last, doc, own = r, int(block.ids[r]), doc_tokens(block, [r])[r]
-                cover = np.zeros(len(own), np.uint8)
-                for y, z in _merge(spans.get(doc, [])):
-                    cover[y:max(y, z - WORDS + 1)] = 1
-            texts, rows, covers = into.setdefault(to, ({}, [], []))
-            text, hub = own[a:b + TOKENS].tobytes(), hub_of[sig]
-            linked = doc == hub or (doc, hub) in links or (hub, doc) in links
-            rows.append((sig, doc, a, root - a, linked, texts.setdefault(text, len(texts))))
-            covers.append(cover[a:b + 1].tobytes())
+        for k, sig, d, a, root, tied, i, j in zip(*(v[kept].tolist() for v in (at, x.sig, doc, x.a, x.root, linked, from_, to))):
+            texts, rows, covers = into.setdefault(k, ({}, [], []))
+            text = tokens.all[i:j + TOKENS - 1].tobytes()
+            rows.append((sig, d, a, root - a, tied, texts.setdefault(text, len(texts))))
+            covers.append(cover[i:j].tobytes())
         out = []
         for k, (texts, rows, covers) in into.items():
             sig, doc, a, before, linked, text = zip(*rows)
@@ -547,8 +633,8 @@ def _similar_somewhere(there, low, high, percent: int) -> np.ndarray:
 
 def _maybe_similar(parts: list, texts: list, befores: list, only: np.ndarray, percent: int):
     """Pairs of a part (text, first passage, end) and another text that have a similar
-    passage at the same place; of texts that repeat a token, those that hold enough
-    common tokens. Texts of equal ``only`` are not compared. All passages of a signature
+    passage at the same place; pairs in which a text repeats a token are told apart by their
+    common tokens first, then compared many at once. Texts of equal ``only`` are not compared. All passages of a signature
     hold its root, so a text has fewer than ``2 * TOKENS`` columns when the root has the
     same column in all texts."""
     size = np.array([len(t) for t in texts])
@@ -594,9 +680,32 @@ def _maybe_similar(parts: list, texts: list, befores: list, only: np.ndarray, pe
                 keep[sure[k:k + PAIRS_AT_ONCE]] = _similar_somewhere(
                     place[o[:, None], grid[m]], np.maximum(begin[who[m]] + p[m], begin[o + j]),
                     np.minimum(begin[who[m]] + q[m], end[o + j]), percent)
+            open_ = np.flatnonzero(~(once[who[a]] & once[b + j]))
+            keep[open_] = _similar_in_part(number, off, size, np.array(befores), who[a[open_]], p[a[open_]], q[a[open_]], b[open_] + j, percent)
             yield from zip((a[keep] + i).tolist(), (b[keep] + j).tolist())
 
 
+def _similar_in_part(tokens, off, size, befores, i, low, high, j, percent: int) -> np.ndarray:
+    """Whether texts ``i`` have, among passages ``low`` to ``high`` - 1, one similar to that
+    at the same place of texts ``j``."""
+    first = np.maximum(low - befores[i], -befores[j])
+    a, b = first + befores[i], first + befores[j]
+    n = np.minimum(high - a, size[j] - TOKENS + 1 - b) + TOKENS - 1
+    out = np.zeros(len(i), bool)
+    todo = np.flatnonzero(n >= TOKENS)
+    ends = np.cumsum(n[todo])
+    k = 0
+    while k < len(todo):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + TOKENS_AT_ONCE, "right")))
+        part = todo[k:stop]
+        which, x = _ranges((off[i] + a)[part], n[part])
+        z = _ranges((off[j] + b)[part], n[part])[1]
+        good = similar_in_pairs(tokens[x], tokens[z], n[part], percent)
+        out[part[which[good]]] = True
+        k = stop
+    return out
+
+
 def _compare_all(texts, befores, places, percent):
     """Spans (doc, partner, start, end) of one signature's distinct texts, whose
     first passage lies ``before`` tokens ahead of the root; ``places``: (doc, start,
@@ -700,7 +809,6 @@ def _settle(percent):
 
 
 def _count_words(batches):
-    from snipflow.llm.common import buffers
     for batch in batches:
         data, off = buffers(batch["text"])
         n = np.concatenate([np.diff(Words(data, off[i:j + 1]).first) for i, j in slices(off)] or [np.zeros(0, int)])

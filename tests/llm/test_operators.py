@@ -387,6 +387,57 @@ def test_pairs_of_a_signature_against_all_pairs():
     assert all(not (once[parts[k][0]] and once[j]) for k, j in got - want)
 
 
+def test_pairs_with_repeated_tokens_are_compared_before_they_are_handed_on():
+    from snipflow.llm import compact_windows as cw
+    rng = np.random.default_rng(11)
+    n = cw.TOKENS
+    base = rng.permutation(10_000)[:2 * n - 1].astype(np.uint64)
+    texts = []
+    for k in range(60):
+        t = base.copy()
+        change = rng.choice(len(t), 8 + k % 14, replace=False)
+        change = change[change != n - 1]
+        t[change] = rng.integers(20_000, 20_006, len(change))  # few values, so they repeat
+        texts.append(t)
+    parts = [(k, 3, n - 5) for k in range(60)]
+    got = set(cw._maybe_similar(parts, texts, [n - 1] * 60, np.arange(60), 80))
+    want = {(i, j) for i in range(60) for j in range(60) if i != j and cw.similar_passages(texts[i], texts[j], 80)[3:n - 5].any()}
+    assert got == want and 50 < len(want) < 60 * 59 // 2
+
+
+def test_similar_in_pairs_equals_pair_by_pair():
+    r = np.random.default_rng(2)
+    xs, zs, want = [], [], []
+    for k in range(200):
+        x = r.integers(0, (3, 40, 60, 10**9)[k % 4], 46 + k % 60).astype(np.uint64)
+        z = np.roll(x, k % 3)
+        z[r.integers(0, len(z), k % 14)] = 7
+        xs.append(x)
+        zs.append(z)
+        want += compact_windows.similar_passages(x, z, 80).tolist() + [False] * 45
+    got = compact_windows.similar_in_pairs(np.concatenate(xs), np.concatenate(zs), np.array([len(x) for x in xs]), 80)
+    assert got.tolist() == want
+
+
+def test_windows_that_find_nothing_are_sent_once():
+    """40 documents hold one passage, all of it in known spans and linked with the hub: two of
+    them stay as partners, and the one with words outside its spans."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+    from snipflow.llm import compact_windows as cw
+    n, docs = cw.TOKENS, 41
+    text = np.random.default_rng(3).integers(1, 10**9, n + 4).astype(np.uint64)
+    tokens = SimpleNamespace(all=np.tile(np.append(text, np.uint64(0)), docs), first=np.arange(docs) * (n + 5), count=np.full(docs, n + 4))
+    ids = np.arange(docs)[::-1].copy()
+    known = pa.table({"doc": np.arange(docs), "start": np.zeros(docs, int), "stop": np.append(np.full(docs - 1, 54), 50)})
+    cover = cw._covered(tokens, ids, known)
+    rows = np.arange(docs)
+    x = SimpleNamespace(sig=np.full(docs, 9, np.uint64), row=rows, a=np.zeros(docs, int), root=np.full(docs, 20))
+    begin = tokens.first
+    kept = cw._worth_sending(tokens.all, cover, x, ids, np.ones(docs, bool), begin, begin + 5)
+    assert sorted(ids[kept].tolist()) == [0, 1, docs - 1]
+
+
 def test_similar_passages_by_sets():
     import numpy as np
     r = np.random.default_rng(1)
