@@ -747,13 +747,16 @@ def _compare_all(texts, befores, places, percent):
     # the number of a text's document, or a number of its own if it is in several
     only = np.unique([d[0] for d in docs], return_inverse=True)[1]
     only = np.where([len(d) > 1 for d in docs], len(docs) + np.arange(len(docs)), only)
+    met: dict[tuple, list] = {}             # places at which a pair of texts has been compared
     for part, j in _maybe_similar(parts, texts, befores, only, percent):
         i, p0, p1 = parts[part]
         first = max(p0 - befores[i], -befores[j])
         a, b = first + befores[i], first + befores[j]
         n = min(p1 - a, len(covered[j]) - b)
-        if n <= 0:
+        before = met.setdefault((min(i, j), max(i, j)), [])
+        if n <= 0 or any(x <= first and first + n <= y for x, y in before):
             continue
+        before.append((first, first + n))
         tied = top(docs[i][0]) == top(docs[j][0])
         if tied:
             need = np.flatnonzero(~(covered[i][a:a + n] & covered[j][b:b + n]))
