@@ -30,7 +30,7 @@ class CodeFeatures(Transformer, HasInputCol, DefaultParamsReadable, DefaultParam
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         code = self.getInputCol()
-        feats = features.compute_features(parse_nodes(dataset, code, keep=features.read_by_features))
+        feats = features.compute_features(parse_nodes(dataset, code, features.READ_COLUMNS, features.read_by_features))
         return sample_ids(dataset, code).join(feats, "sample_id").drop("sample_id")
 
 

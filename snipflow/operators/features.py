@@ -31,6 +31,8 @@ from snipflow.session import materialize
 LOOP_KINDS = ["For", "While"]
 READ_KINDS = frozenset(["Module", "ParseError", "For", "While", "If", "Return", "FunctionDef", "ClassDef", "arguments", "Call",
                         "Assign", "AugAssign", "Compare", "BoolOp", "Subscript", "Tuple"])
+READ_COLUMNS = ["sample_id", "node_id", "parent_id", "field", "kind", "op", "name", "n_args", "n_elts", "parse_error", "error_type",
+                "path", "path_fields", "path_kinds", "path_names", "children"]
 READ_ATTRIBUTES = ["next", "left", "right", "children"]
 HEAP_CALLS = ["heappush", "heappop", "heapify", "nlargest", "nsmallest"]
 SORT_CALLS = ["sorted", "sort"]
@@ -119,8 +121,8 @@ def _flag(c: Column) -> Column:
 # ---- 1: wide nodes -------------------------------------------------------------
 def _child(kind: str, cond, *cols: str) -> Column:
     """Of nodes of ``kind``: the child that meets a condition (a field that holds one node)."""
-    got = F.get(F.filter("children", cond), F.lit(0))
-    return F.when((F.col("kind") == kind) & got.isNotNull(), F.struct(*[got[c].alias(c) for c in cols]))
+    narrow = F.transform(F.filter("children", cond), lambda c: F.struct(*[c[n].alias(n) for n in cols]))
+    return F.when(F.col("kind") == kind, F.get(narrow, F.lit(0)))
 
 
 def _in_field(*names: str):
@@ -508,7 +510,7 @@ def build_features(corpus: DataFrame, code: str = "code") -> tuple[DataFrame, Da
     but keep their own rows; a hot duplicate is a skewed join key that AQE
     splits."""
     from snipflow.operators.parse import parse_nodes, sample_ids
-    nodes = materialize(wide_nodes(parse_nodes(corpus, code, keep=read_by_features)), "wide_nodes")
+    nodes = materialize(wide_nodes(parse_nodes(corpus, code, READ_COLUMNS, read_by_features)), "wide_nodes")
     feats = features_of(nodes)
     rows = sample_ids(corpus, code)
     good = rows.join(feats, "sample_id")

@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,14 +67,19 @@ NODE_SCHEMA = T.StructType([
     T.StructField("error_msg", T.StringType(), True),
     T.StructField("children", T.ArrayType(CHILD), True),
 ])
-_FLAT = [f.name for f in NODE_SCHEMA.fields if f.name != "children"]      # of a row of node_rows
+# What the tree tells of a node; arrays over a batch of whole snippets give it. The rest stands in its row of node_rows.
+_PATHS = ["path", "path_fields", "path_kinds", "path_names"]
+_OF_TREE = frozenset(["end_id", *_PATHS, "children"])
+_FLAT = [f.name for f in NODE_SCHEMA.fields if f.name not in _OF_TREE]
 _KIND, _NAME, _OP = (_FLAT.index(n) for n in ("kind", "name", "op"))
 
 PARSER_VERSION = f"python-ast-{sys.version_info.major}.{sys.version_info.minor}"
 
 _FOLDED = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
 _OPERATED = (ast.BinOp, ast.UnaryOp, ast.BoolOp, ast.AugAssign, ast.Compare)
-_DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+_DEFS = ["FunctionDef", "AsyncFunctionDef", "ClassDef"]
+# Fields that never hold a node with a row of its own.
+_BARE = frozenset(["ctx", "op", "ops", "id", "attr", "kind", "type_comment", "asname", "module", "level", "conversion", "is_async", "simple"])
 
 
 # Where a node's name stands, by its type.
@@ -117,6 +123,18 @@ _SIZES = {
 }
 
 
+_ABOUT: dict[type, tuple] = {}
+
+
+def _about(cls: type) -> tuple:
+    """Of a node type: its name, where a node's name stands, the function of its sizes, whether
+    it has an operator, and the fields that may hold nodes."""
+    if cls not in _ABOUT:
+        _ABOUT[cls] = (cls.__name__, _NAMED.get(cls), _SIZES.get(cls), cls in _OPERATED,
+                       () if cls is ast.Constant else tuple(f for f in cls._fields if f not in _BARE))
+    return _ABOUT[cls]
+
+
 def node_rows(sample_id: str, code: str) -> list[tuple]:
     """Preorder rows of one snippet (iterative walk: deep trees are fine)."""
     try:
@@ -124,60 +142,79 @@ def node_rows(sample_id: str, code: str) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError, TypeError) as exc:
         msg = getattr(exc, "msg", None) if isinstance(exc, SyntaxError) else str(exc)
         line = getattr(exc, "lineno", None) if isinstance(exc, SyntaxError) else None
-        return [(sample_id, -1, None, -1, 0, None, None, "ParseError", None, None, None, None,
-                 None, None, line, None, None, None, None, str(exc), type(exc).__name__, msg)]
-    rows: list[list] = []
-    # stack items: (node, parent_id, field, pos, depth, path, fields, kinds, names) or ("end", id)
-    stack: list = [(tree, None, None, None, 0, [], [], [], [])]
+        return [(sample_id, -1, None, 0, None, None, "ParseError", None, None, None, None, None, None, line,
+                 str(exc), type(exc).__name__, msg)]
+    rows: list[tuple] = []
+    stack: list = [(tree, None, None, None, 0)]      # node, parent_id, field, pos, depth
     while stack:
-        item = stack.pop()
-        if item[0] == "end":
-            rows[item[1]][3] = len(rows) - 1
-            continue
-        node, parent, field, pos, depth, path, pfields, pkinds, pnames = item
+        node, parent, field, pos, depth = stack.pop()
         nid = len(rows)
         cls = type(node)
-        kind = cls.__name__
-        name = getattr(node, _NAMED[cls]) if cls in _NAMED else None
-        n_args, n_elts = _SIZES[cls](node) if cls in _SIZES else (None, None)
-        rows.append([sample_id, nid, parent, nid, depth, field, pos, kind,
-                     _op_of(node) if cls in _OPERATED else None, name,
-                     _const_num(node) if cls is ast.Constant else None, n_args, n_elts,
-                     node.level if cls is ast.ImportFrom else None,
-                     getattr(node, "lineno", None), path, pfields, pkinds, pnames, None, None, None])
+        kind, named, sizes, operated, fields = _about(cls)
+        n_args, n_elts = sizes(node) if sizes else (None, None)
+        rows.append((sample_id, nid, parent, depth, field, pos, kind, _op_of(node) if operated else None,
+                     getattr(node, named) if named else None, _const_num(node) if cls is ast.Constant else None,
+                     n_args, n_elts, node.level if cls is ast.ImportFrom else None, getattr(node, "lineno", None),
+                     None, None, None))
         children = []
-        for fname in cls._fields:
+        for fname in fields:
             value = getattr(node, fname, None)
             if isinstance(value, list):
-                for i, v in enumerate(value):
-                    if isinstance(v, ast.AST) and not isinstance(v, _FOLDED):
-                        children.append((v, fname, i))
+                children += [(v, nid, fname, i, depth + 1) for i, v in enumerate(value)
+                             if isinstance(v, ast.AST) and not isinstance(v, _FOLDED)]
             elif isinstance(value, ast.AST) and not isinstance(value, _FOLDED):
-                children.append((value, fname, None))
-        if not children:
-            continue                        # its subtree ends with itself
-        stack.append(("end", nid))
-        cpath, ckinds = path + [nid], pkinds + [kind]
-        # ancestor names only for definitions (what scope rules need)
-        cnames = pnames + [name if isinstance(node, _DEFS) else None]
-        for v, fname, i in reversed(children):
-            stack.append((v, nid, fname, i, depth + 1, cpath, pfields + [fname], ckinds, cnames))
-    return [tuple(r) for r in rows]
+                children.append((value, nid, fname, None, depth + 1))
+        stack += reversed(children)
+    return rows
 
 
 BATCH_ROWS = 10_000            # node rows that a task holds before it hands them on
 BATCH_CODES = 100              # snippets that it takes out of Arrow at once
 
 
-def _children(flat: dict[str, pa.Array]) -> pa.ListArray:
-    """Direct children of each node, in order. The rows are whole snippets in preorder,
-    so a node's first child, if it has one, is the next row."""
-    own = np.arange(len(flat["node_id"]))
-    above = own - flat["node_id"].to_numpy() + flat["parent_id"].fill_null(0).to_numpy()
-    above = np.where(flat["parent_id"].is_valid().to_numpy(zero_copy_only=False), above, -1)
-    held = np.flatnonzero(above >= 0)
+def _above(flat: dict[str, pa.Array]) -> np.ndarray:
+    """Each node's parent as a row of the batch, which holds whole snippets in preorder (-1: none)."""
+    above = np.arange(len(flat["node_id"])) - flat["node_id"].to_numpy() + flat["parent_id"].fill_null(0).to_numpy()
+    return np.where(flat["parent_id"].is_valid().to_numpy(zero_copy_only=False), above, -1)
+
+
+def _ends(flat: dict[str, pa.Array], above: np.ndarray) -> pa.Array:
+    """The last node id of each node's subtree, from the deepest nodes up."""
+    ends, depth = flat["node_id"].to_numpy().copy(), flat["depth"].to_numpy()
+    for d in range(depth.max(initial=0), 0, -1):
+        at = np.flatnonzero(depth == d)
+        np.maximum.at(ends, above[at], ends[at])
+    return pa.array(ends, pa.int32())
+
+
+def _paths(flat: dict[str, pa.Array], above: np.ndarray, kept: np.ndarray) -> dict[str, pa.Array]:
+    """The ancestors of the nodes kept, from the root down: their ids, the field taken below
+    each, their kinds, and their names if they are definitions (what scope rules need)."""
+    depth = flat["depth"].to_numpy()[kept]
+    offsets = np.concatenate([[0], np.cumsum(depth, dtype=np.int64)])
+    ancestors, below = np.empty(offsets[-1], np.int64), np.empty(offsets[-1], np.int64)
+    at, slot = kept, offsets[1:] - 1
+    up = above[at]
+    while len(at):
+        more = up >= 0
+        at, up, slot = at[more], up[more], slot[more]
+        ancestors[slot], below[slot] = up, at
+        at, up, slot = up, above[up], slot - 1
+    fails = pc.equal(flat["kind"].take(pa.array(kept)), "ParseError")        # no tree, so no path
+    offsets = pa.array(offsets, pa.int32(), mask=np.append(fails.to_numpy(zero_copy_only=False), False))
+    names = pc.if_else(pc.is_in(flat["kind"], value_set=pa.array(_DEFS)), flat["name"], pa.scalar(None, pa.string()))
+    values = [flat["node_id"].take(pa.array(ancestors)), flat["field"].take(pa.array(below)),
+              flat["kind"].take(pa.array(ancestors)), names.take(pa.array(ancestors))]
+    return {n: pa.ListArray.from_arrays(offsets, v) for n, v in zip(_PATHS, values)}
+
+
+def _children(flat: dict[str, pa.Array], above: np.ndarray, kept: np.ndarray) -> pa.ListArray:
+    """Direct children of the nodes kept, in order. A node's first child, if it has one, is the next row."""
+    parents = np.zeros(len(above) + 1, bool)
+    parents[kept] = True
+    held = np.flatnonzero(parents[above])          # -1, no parent, is the last place
     held = held[np.argsort(above[held], kind="stable")]
-    first = np.append(above[1:], -1) == own
+    first = np.append(above[1:], -1) == np.arange(len(above))
     second = first & np.append(first[1:], False)
 
     def struct(form, columns, at, absent=None):
@@ -187,7 +224,7 @@ def _children(flat: dict[str, pa.Array]) -> pa.ListArray:
 
     fc, fc2 = (struct(_FIRST, [(n, None) for n in _FIRST.names], held + k, ~has[held]) for k, has in ((1, first), (2, second)))
     values = struct(CHILD, [(n, {"fc": fc, "fc2": fc2}.get(n)) for n in CHILD.names], held)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(above[held], minlength=len(own)))])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(above[held], minlength=len(above))[kept])])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
@@ -196,33 +233,38 @@ def _parse_batches(names: list[str], keep: Callable | None = None):
         from pyspark.sql.pandas.types import to_arrow_schema
         form = to_arrow_schema(NODE_SCHEMA)
         schema = pa.schema([form.field(n) for n in names])
-        need = {*names, *(["node_id", "parent_id", *CHILD.names[:-2]] if "children" in names else [])}
+        whole = not _OF_TREE.isdisjoint(names)       # children and ancestors of the nodes kept are any nodes
+        tree = {"node_id", "parent_id", "depth", "kind", "field", "name", *(CHILD.names[:-2] if "children" in names else [])}
         rows: list[tuple] = []
 
+        def wanted(r):
+            return keep(r[_KIND], r[_NAME], r[_OP])
+
         def arrays(of, only):
-            return {n: pa.array(c, type=form.field(n).type) for n, c in zip(_FLAT, zip(*of)) if n in only}
+            return {n: pa.array(c, type=form.field(n).type) for n, c in zip(_FLAT, zip(*of) if of else [()] * len(_FLAT)) if n in only}
 
         def batch():
-            if keep is None or "children" not in names:
-                flat = arrays(rows, need)
+            if not whole:
+                flat = arrays(rows, names)
+            else:
+                every = arrays(rows, tree)
+                above = _above(every)
+                kept = np.arange(len(rows)) if keep is None else np.flatnonzero([wanted(r) for r in rows])
+                flat = arrays([rows[k] for k in kept], set(names) - tree) | {n: every[n].take(pa.array(kept)) for n in tree}
                 if "children" in names:
-                    flat["children"] = _children(flat).cast(form.field("children").type)
-            else:                          # children and ancestors of the nodes kept are any nodes
-                kept = np.flatnonzero([wanted(r) for r in rows])
-                flat = arrays([rows[k] for k in kept], set(names))
-                below = _children(arrays(rows, {"node_id", "parent_id", *CHILD.names[:-2]})).take(pa.array(kept))
-                flat["children"] = below.cast(form.field("children").type)
+                    flat["children"] = _children(every, above, kept).cast(form.field("children").type)
+                if "end_id" in names:
+                    flat["end_id"] = _ends(every, above).take(pa.array(kept))
+                if not set(_PATHS).isdisjoint(names):
+                    flat |= {n: c.cast(form.field(n).type) for n, c in _paths(every, above, kept).items()}
             return pa.RecordBatch.from_arrays([flat[n] for n in names], schema=schema)
 
-        def wanted(r):
-            return keep(r[_KIND], r[_NAME], r[_OP])
-
         for b in batches:
             for at in range(0, b.num_rows, BATCH_CODES):
                 part = b.slice(at, BATCH_CODES)
                 for sid, code in zip(part.column("sample_id").to_pylist(), part.column("code").to_pylist()):
                     more = node_rows(sid, code if code is not None else "")
-                    rows += more if keep is None or "children" in names else filter(wanted, more)
+                    rows += more if keep is None or whole else filter(wanted, more)
                     if len(rows) >= BATCH_ROWS:
                         yield batch()
                         rows = []

@@ -33,7 +33,7 @@ def analyse(subs: DataFrame, fitted: PipelineModel, id_col: str = "sub_id") -> D
     """
     s = sample_ids(subs.withColumn("_blank", is_blank(F.col("code"))))
     todo = s.where(~F.col("_blank"))
-    nodes = materialize(features.wide_nodes(parse_nodes(todo, keep=features.read_by_features)), "wide_nodes")
+    nodes = materialize(features.wide_nodes(parse_nodes(todo, columns=features.READ_COLUMNS, keep=features.read_by_features)), "wide_nodes")
     feats = features.features_of(nodes)
     errs = nodes.where(F.col("kind") == "ParseError").select("sample_id", "error_type", "parse_error")
     scored = model.predict(fitted, feats).withColumnRenamed("confidence", "model_confidence")

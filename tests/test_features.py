@@ -103,3 +103,38 @@ def test_validation_takes_errors_only(spark):
     batch = pa.RecordBatch.from_pydict({"sample_id": ["a", "b"], "code": ["a = [1, 2, 3]\n" * 9, "def (\n"]})
     out = list(parse._parse_batches(["sample_id", "kind"], parse.only_errors)(iter([batch])))
     assert [r for b in out for r in b.to_pylist()] == [{"sample_id": "b", "kind": "ParseError"}]
+
+
+def test_tree_columns_against_a_walk(spark):
+    """Ancestors, subtree ends and children, gathered over a batch of snippets, against each
+    snippet's own tree; fields in an order of their own, a batch without a node that is kept."""
+    import ast
+
+    import pyarrow as pa
+    codes = [v[0] for v in GOLDEN.values()] + ["", "def (\n", "x = " + "+".join(["a"] * 200) + "\n",
+                                               "class A:\n  async def f(self, *, k=1, **o):\n    return {**o, 'k': [i async for i in k if i]}\n"]
+    batch = pa.RecordBatch.from_pydict({"sample_id": [str(k) for k in range(len(codes))], "code": codes})
+    names = ["path_names", "children", "sample_id", "path", "end_id", "path_fields", "node_id", "path_kinds", "kind", "field"]
+    got = {}
+    for b in parse._parse_batches(names)(iter([batch])):
+        for r in b.to_pylist():
+            got.setdefault(int(r["sample_id"]), []).append(r)
+    for k, code in enumerate(codes):
+        if code == "def (\n":
+            assert [(r["kind"], r["path"], r["children"]) for r in got[k]] == [("ParseError", None, [])]
+            continue
+        expect, todo = [], [(ast.parse(code), None, [], [], [], [])]
+        while todo:
+            node, field, path, fields, kinds, names_of = todo.pop()
+            below = [(c, f) for f, v in ast.iter_fields(node) for c in (v if isinstance(v, list) else [v])
+                     if isinstance(c, ast.AST) and not isinstance(c, parse._FOLDED)]
+            own = node.name if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else None
+            size = sum(not isinstance(n, parse._FOLDED) for n in ast.walk(node))
+            expect.append((len(expect), len(expect) + size - 1, type(node).__name__, field, path, fields, kinds, names_of, [f for _, f in below]))
+            nid = expect[-1][0]
+            todo += [(c, f, path + [nid], fields + [f], kinds + [type(node).__name__], names_of + [own]) for c, f in reversed(below)]
+        seen = [(r["node_id"], r["end_id"], r["kind"], r["field"], r["path"], r["path_fields"], r["path_kinds"], r["path_names"],
+                 [c["field"] for c in r["children"]]) for r in got[k]]
+        assert seen == expect, code
+    none = list(parse._parse_batches(["sample_id", "path", "children"], lambda kind, name, op: False)(iter([batch])))
+    assert sum(b.num_rows for b in none) == 0
