@@ -109,10 +109,11 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _at_exit(spark, self.root)
 
-    def save(self, df, step: str, compression: str = "snappy"):
+    def save(self, df, step: str, compression: str = "snappy", by: tuple = ()):
+        """``by``: columns with few values, by which a reader picks whole folders."""
         path = f"{self.root}/{step}"
         with _shuffles_dropped(df.sparkSession):
-            df.write.mode("overwrite").option("compression", compression).parquet(path)
+            df.write.mode("overwrite").option("compression", compression).partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *steps: str) -> None:

@@ -163,3 +163,150 @@ def test_run_processor_asks_the_state_seldom():
     out = list(p.handleExpiredTimer((7,), Now(), None))
     assert sorted(State.calls) == ["handle.registerTimer", "pending.clear", "pending.get", "run.get", "run.update"]
     assert [(r.run_id, r.kind, r.seq, r.step_no, r.call_depth) for r in out] == [(7, "step", 1, 1, 1)]
+
+
+def _run_both(batches, cap=4, idle_ms=5_000, limit=8.0):
+    """The rows of one processor per run and of one for all runs, batch by batch
+    (watermark, steps), and the calls of the state that each took."""
+    from collections import defaultdict
+
+    import pandas as pd
+    from pyspark.sql import Row
+
+    from snipflow.streaming import run_state as rs
+    calls = {"run": 0, "bucket": 0}
+
+    class Value:
+        held = None
+
+        def __init__(self, kind):
+            self.kind = kind
+
+        def get(self):
+            calls[self.kind] += 1
+            return self.held
+
+        def update(self, value):
+            calls[self.kind] += 1
+            self.held = value
+
+        put = update
+
+        def clear(self):
+            calls[self.kind] += 1
+            self.held = None
+
+    class Rows(Value):
+        def get(self):
+            return iter(super().get() or [])
+
+        def appendList(self, rows):
+            calls[self.kind] += 1
+            self.held = [*(self.held or []), *rows]
+
+    class Handle:
+        def __init__(self, kind):
+            self.kind, self.timers = kind, set()
+
+        def getValueState(self, *_):
+            return Value(self.kind)
+
+        def getListState(self, *_):
+            return Rows(self.kind)
+
+        def registerTimer(self, at):
+            calls[self.kind] += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            calls[self.kind] += 1
+            self.timers.discard(at)
+
+    class Now:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    def make(cls, kind):
+        handle, p = Handle(kind), cls(cap, idle_ms, limit)
+        p.init(handle)
+        return handle, p
+
+    def fire(handle, p, key, now):
+        out = []
+        for at in sorted(t for t in handle.timers if t <= now):
+            if at in handle.timers:
+                handle.timers.discard(at)
+                out.append(p.handleExpiredTimer(key, Now(now), Now(at)))
+        return out
+
+    one, bucket = {}, make(rs.RunsProcessor, "bucket")
+    alone, shared = [], []
+    row = Row(*rs._PENDING)
+    for now, steps in batches:
+        of = defaultdict(list)
+        for run, *step in steps:
+            of[run].append(row(*step))
+        for run, rows in of.items():
+            one.setdefault(run, make(rs.RunProcessor, "run"))[1].handleInputRows((run,), iter(rows), Now(now))
+        for run, (handle, p) in one.items():
+            alone += [r for got in fire(handle, p, (run,), now) for r in got]
+        names, numbers = rs._STEPS.names, rs._NUMBERS
+        frame = pd.DataFrame([[0 if v is None and n in numbers else v for n, v in zip(names, s)] for s in steps], columns=names)
+        frame["nulls"] = [sum(1 << k for k, n in enumerate(numbers) if s[names.index(n)] is None) for s in steps]
+        handle, p = bucket
+        got = [p.handleInputRows((0,), iter([frame.iloc[:7], frame.iloc[7:]]), Now(now))] if steps else []
+        for frame in (f for g in [*got, *fire(handle, p, (0,), now)] for f in g):
+            shared += [rs._OUT(*r) for r in frame.itertuples(index=False)]
+    assert bucket[1].bucket.held is None and not bucket[0].timers
+    return alone, shared, calls
+
+
+def test_runs_of_a_bucket_share_state():
+    import random
+    r = random.Random(5)
+    batches, top = [], 0
+    for k in range(12):
+        steps = [(r.choice([None, *range(-1, 9)]), (1_000 * k + r.randrange(2_500)) * 1_000 + r.choice([0, 0, 7]), 100 * k + i + (1 << 60),
+                  r.choice(["call", "line", "return", "exception", None]), r.choice(["main", "<module>", None]), r.choice([None, 3, 4]),
+                  r.choice([None, "", "x\n"])) for i in range(30 if k not in (7, 8) else 2)]
+        batches.append((max(top - 1_500, 0), [s for s in steps if s[1] > (top - 1_500) * 1_000]))
+        top = max([top, *[s[1] // 1_000 for s in batches[-1][1]]])
+    batches += [(top - 1_500, []), (top + 60_000, [])]
+    key, seen = (lambda x: [(v is None, v) for v in x]), set()
+    for cap, limit in ((4, 1e9), (1_000, 1e9), (4, 8.0)):
+        alone, shared, _ = _run_both(batches, cap=cap, limit=limit)
+        assert sorted(map(tuple, shared), key=key) == sorted(map(tuple, alone), key=key)
+        seen |= {x.status or x.kind for x in alone}
+    assert seen >= {"step", "ok", "truncated", "runtime_error", "timed_out"}
+
+
+def test_state_is_asked_per_bucket_not_per_run():
+    """Hundreds of runs take a few calls a batch (six per run before)."""
+    steps = [(run, 1_000_000 + run, run, "line", "main", 1, "x\n") for run in range(300)]
+    alone, shared, calls = _run_both([(0, steps), (5_000, []), (60_000, [])])
+    assert len(alone) == len(shared) == 600
+    assert calls["bucket"] <= 12 < 300 * 6 <= calls["run"]
+
+
+def test_slices_arrive_whole_in_several_files(spark, tmp_path, monkeypatch):
+    """A slice in many files is one batch: none of its steps is late."""
+    from snipflow.plans import stream_q, trace_q
+    from snipflow.session import checkpoint_dir
+    monkeypatch.setattr(stream_q, "_ROWS_PER_FILE", 400)
+    monkeypatch.setattr(stream_q, "_LEAST_ROWS", 100)
+    monkeypatch.setattr(stream_q, "_OPTIONS", dict(stream_q._OPTIONS, buckets=3))
+    d = str(tmp_path)
+    events = spark.read.parquet(f"{SF01}/events.parquet")
+    events.withColumn("user_id", F.col("user_id") % 7).write.parquet(f"{d}/events.parquet")
+    got = stream_q.stream_trace_steps(spark, d)
+    inboxes = [x for x in os.listdir(checkpoint_dir(spark)) if x.startswith("run-stream-")]
+    newest = max(inboxes, key=lambda x: os.path.getmtime(f"{checkpoint_dir(spark)}/{x}"))
+    assert len([x for x in os.listdir(f"{checkpoint_dir(spark)}/{newest}/inbox") if x.endswith(".parquet")]) > 14
+    want = trace_q.trace_call_depth(spark, d).select(got.columns)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
