@@ -188,10 +188,10 @@ def detect_operations(steps: DataFrame) -> DataFrame:
 
 def py_str_repr(c: Column) -> Column:
     """``repr(str)`` for printable text: quote choice and escapes of quotes and backslashes."""
-    esc = F.regexp_replace(c, r"\\", r"\\\\")
+    esc = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     use_double = c.contains("'") & ~c.contains('"')
     return F.when(use_double, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.regexp_replace(esc, "'", "\\\\'"), F.lit("'")))
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
 def words_local(text: Column) -> Column:

@@ -39,28 +39,36 @@ def _cut(c: Column) -> Column:
 
 
 def _described(df: DataFrame) -> DataFrame:
-    """Kind of each value, its children if it is a collection."""
-    kind = F.try_variant_get("v", "$.kind", "string")
+    """What the value ``v`` of each row is: its kind and children if it is a collection
+    (``inner``), else its text ``t`` (of another kind: its repr), ``form`` and whether it
+    is ``none``. A value is read here once and not kept."""
+    df = df.withColumn("kind", F.try_variant_get("v", "$.kind", "string"))
+    kind = F.col("kind")
     entries = F.flatten(F.slice(F.try_variant_get("v", "$.items", "array<array<variant>>"), 1, _SEEN))
     items = F.slice(F.try_variant_get("v", "$.items", "array<variant>"), 1, _SEEN)
-    children = F.when(kind == "dict", entries).when(kind.isin(_SEQUENCES), items)
-    return df.withColumn("kind", kind).withColumn("children", children)
+    df = df.withColumn("children", F.when(kind == "dict", entries).when(kind.isin(_SEQUENCES), items))
+    df = df.withColumn("inner", F.col("children").isNotNull())
+    t = (F.when(F.col("inner"), F.lit(None).cast("string")).when(kind.isNotNull(), F.try_variant_get("v", "$.repr", "string"))
+         .otherwise(F.try_variant_get("v", "$", "string")))
+    return (df.withColumn("none", F.is_variant_null("v") | F.col("v").isNull()).withColumn("t", t)
+            .withColumn("form", F.when(kind.isNull(), F.schema_of_variant("v"))).drop("v"))
 
 
 def _scalars(df: DataFrame) -> DataFrame:
-    """r (repr), s (``str``), j (JSON) of the values that are no collections."""
-    kind, text, form = F.col("kind"), F.try_variant_get("v", "$", "string"), F.schema_of_variant("v")
-    null = F.is_variant_null("v") | F.col("v").isNull()
-    atom = F.try_variant_get("v", "$.repr", "string")
-    number = kind.isin("int", "float") & F.regexp_like(atom, F.lit(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
-    py = F.when(form == "BOOLEAN", F.initcap(text)).otherwise(text)
+    """r (repr), s (``str``), j (JSON), sr (repr of s) of the values that are no collections."""
+    kind, t, null, form = F.col("kind"), F.col("t"), F.col("none"), F.col("form")
+    df = df.withColumn("c", _cut(t))
+    number = (F.coalesce(kind.isin("int", "float"), F.lit(False))
+              & F.regexp_like(t, F.lit(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")))
+    py = F.when(form == "BOOLEAN", F.initcap(t)).otherwise(t)
     string = ~null & kind.isNull() & (form == "STRING")
-    r = F.when(null, "None").when(kind.isNotNull(), atom).when(string, py_str_repr(text)).otherwise(py)
-    s = F.when(null, "None").when(kind.isNotNull() & ~number, _cut(atom)).when(kind.isNotNull(), atom).when(string, _cut(text)).otherwise(py)
-    j = (F.when(null, "null").when(kind.isNotNull() & ~number, json_text(_cut(atom))).when(kind.isNotNull(), atom)
-         .when(string, json_text(_cut(text))).otherwise(text))
-    sr = F.when(string, py_str_repr(_cut(text))).when(kind.isNotNull() & ~number, py_str_repr(_cut(atom))).otherwise(s)
-    return df.withColumn("r", r).withColumn("s", s).withColumn("j", j).withColumn("sr", sr)
+    other = kind.isNotNull() & ~number
+    df = df.withColumn("r", F.when(null, "None").when(kind.isNotNull(), t).when(string, py_str_repr(t)).otherwise(py))
+    s = F.when(null, "None").when(other, F.col("c")).when(kind.isNotNull(), t).when(string, F.col("c")).otherwise(py)
+    j = F.when(null, "null").when(other, json_text(F.col("c"))).when(kind.isNotNull(), t).when(string, json_text(F.col("c"))).otherwise(t)
+    whole = string & (F.length(t) <= MAX_REPR_LENGTH)
+    sr = F.when(whole, F.col("r")).when(string | other, py_str_repr(F.col("c"))).otherwise(F.col("s"))
+    return df.withColumn("s", s).withColumn("j", j).withColumn("sr", sr)
 
 
 def _collections(df: DataFrame) -> DataFrame:
@@ -103,7 +111,7 @@ def _resolved(level: DataFrame, below: DataFrame | None, keys: list[str]) -> Dat
     own = ["parent", "pos", *(["name"] if "name" in level.columns else [])]
     columns = [*keys, "path", *own, "r", "s", "j", "sr"]
     deep = F.col("depth") > MAX_DEPTH
-    out = _scalars(level.where("children IS NULL"))
+    out = _scalars(level.where("NOT inner"))
     text = _cut(F.col("r"))
     out = (out.withColumn("j", F.when(deep, json_text(text)).otherwise(F.col("j"))).withColumn("s", F.when(deep, text).otherwise(F.col("s")))
            .withColumn("sr", F.when(deep, py_str_repr(text)).otherwise(F.col("sr")))).select(*columns)
@@ -111,7 +119,7 @@ def _resolved(level: DataFrame, below: DataFrame | None, keys: list[str]) -> Dat
         # a collection and its children meet in one aggregation: no join, so nothing is broadcast
         kid, held = F.struct("pos", "r", "s", "j", "sr"), F.struct(*own, "depth", "kind")
         rows = (below.select(*keys, F.col("parent").alias("path"), kid.alias("kid"))
-                .unionByName(level.where("children IS NOT NULL").select(*keys, "path", held.alias("held")), allowMissingColumns=True))
+                .unionByName(level.where("inner").select(*keys, "path", held.alias("held")), allowMissingColumns=True))
         rows = rows.groupBy(*keys, "path").agg(F.max("held").alias("held"), F.array_sort(F.collect_list("kid")).alias("kids"))
         out = out.unionByName(_collections(rows.select(*keys, "path", "held.*", "kids")).select(*columns))
     return out.withColumn("r", F.substring("r", 1, MAX_REPR_LENGTH + 1))
@@ -124,12 +132,14 @@ def safe_locals(steps: DataFrame, keys: list[str], col: str = "locals") -> DataF
 
     ``col`` is array<struct<name string, value variant>>; ``keys`` name a step and are
     not null. Engine names and the two module handles are dropped."""
-    held = steps.select(*keys, F.posexplode(col).alias("pos", "x")).select(*keys, "pos", "x.name", F.col("x.value").alias("v"))
+    # not posexplode: Spark would test the array's size first, and build every value twice
+    held = steps.select(*keys, F.posexplode_outer(col).alias("pos", "x")).where("pos IS NOT NULL")
+    held = held.select(*keys, "pos", "x.name", F.col("x.value").alias("v"))
     module = F.coalesce(F.try_variant_get("v", "$.kind", "string") == "module", F.lit(False))
     held = held.where(~F.col("name").isin(ENGINE_NAMES) & ~(F.col("name").isin(MODULE_NAMES) & module))
     level = _described(held.withColumn("path", F.col("pos").cast("string")).withColumn("parent", F.lit("")).withColumn("depth", F.lit(0)))
     levels = [materialize(level, "locals")]
-    while not (inner := levels[-1].where("children IS NOT NULL")).isEmpty():
+    while not (inner := levels[-1].where("inner")).isEmpty():
         child = (inner.select(*keys, F.col("path").alias("parent"), "depth", F.posexplode("children").alias("pos", "v"))
                  .withColumn("path", F.concat_ws("/", "parent", "pos")).withColumn("depth", F.col("depth") + 1))
         levels.append(materialize(_described(child), "locals"))

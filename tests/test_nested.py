@@ -98,3 +98,16 @@ def test_levels_meet_without_a_join(spark):
         out.explain()
     assert [tuple(r) for r in out.select("id", "pos", "name", "text").collect()] == [(1, 0, "x", '["a", {"k": 1}]')]
     assert "Join" not in text.getvalue() and "Broadcast" not in text.getvalue()
+
+
+def test_values_are_built_once(spark, monkeypatch):
+    """Exploding the locals adds no test of their number, for which each value would be built again."""
+    seen, write = [], nested.materialize
+    monkeypatch.setattr(nested, "materialize", lambda df, name: seen.append(df) or write(df, name))
+    rows = [(1, '{"kind":"list","items":["a",2]}'), (2, "7")]
+    steps = spark.createDataFrame(rows, "id long, j string").selectExpr("id", "array(named_struct('name', 'x', 'value', parse_json(j))) AS locals")
+    out = nested.safe_locals(steps.unionAll(steps.selectExpr("id + 10 AS id", "slice(locals, 1, 0) AS locals")), ["id"])
+    assert sorted((r["id"], r["text"]) for r in out.select("id", "text").collect()) == [(1, '["a", 2]'), (2, "7")]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2                     # one for each side of the union
+    assert "v" not in seen[0].columns                       # a value is kept as children or text
