@@ -32,8 +32,8 @@ def py_rstrip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    """None, empty or whitespace only."""
-    return c.isNull() | (F.regexp_replace(c, f"{PY_WS}+", "") == "")
+    """None, empty or whitespace only: no other character is found (the first one ends the search)."""
+    return c.isNull() | ~F.regexp_like(c, F.lit(PY_WS.replace("[", "[^", 1)))
 
 
 def py_splitlines(c: Column) -> Column:

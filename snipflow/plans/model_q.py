@@ -126,19 +126,22 @@ def stream_scoring(spark, sf_dir):
     again, against the batch job: how many submissions have the same row in both."""
     from snipflow.operators.scoring import analyse
     from snipflow.session import Scratch
+    from snipflow.sources.io import read_submissions
     from snipflow.streaming import score_stream
     scratch = Scratch(spark, "score-stream")
     c = fx.x6_corpus(spark, sf_dir).select(F.col("doc_id").cast("string").alias("sub_id"), "code", "label")
     broken = F.when(F.col("sub_id") % 13 == 0, F.lit(" ")).when(F.col("sub_id") % 17 == 0, F.concat(F.lit("def (\n"), F.col("code")))
     subs = scratch.save(c.select("sub_id", F.coalesce(broken, "code").alias("code"), F.lit(None).cast("string").alias("entry_call"),
-                                 F.pmod(F.xxhash64("sub_id"), F.lit(3)).alias("part")), "subs")
+                                 F.pmod(F.xxhash64("sub_id"), F.lit(3)).alias("part")), "subs", by=("part",))
     good, _ = features.build_features(c)
-    fitted = model.fit(good, num_trees=20)
-    for part in range(3):                      # the second start finds two files more
-        subs.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(f"{scratch.root}/inbox")
+    fitted = model.fit(materialize(good.select("label", *FEATURE_NAMES), "train_rows"), num_trees=20)
+    inbox, files = f"{scratch.root}/inbox", 0
+    for part in range(3):                      # the second start finds two parts more
+        subs.where(F.col("part") == part).drop("part").write.mode("append").json(inbox)
+        files = files or len(read_submissions(spark, inbox).inputFiles())
         if part != 1:
-            score_stream.start(spark, f"{scratch.root}/inbox", f"{scratch.root}/out", f"{scratch.root}/checkpoint", fitted,
-                               max_files=1).awaitTermination()
+            score_stream.start(spark, inbox, f"{scratch.root}/out", f"{scratch.root}/checkpoint", fitted,
+                               max_files=max(1, files)).awaitTermination()
     columns = ["status", "detail", "algorithm", "confidence", "complexity", "features"]
     one = spark.read.parquet(f"{scratch.root}/out").select("sub_id", F.struct(*columns).alias("one"))
     two = analyse(subs, fitted).withColumn("complexity", F.to_json("complexity")).withColumn("features", F.to_json("features"))

@@ -310,3 +310,28 @@ def test_slices_arrive_whole_in_several_files(spark, tmp_path, monkeypatch):
     want = trace_q.trace_call_depth(spark, d).select(got.columns)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_scoring_inbox_is_written_by_many_tasks_and_fit_reads_rows_once(spark, tmp_path, monkeypatch):
+    from conftest import SF001
+    from snipflow.operators import model
+    from snipflow.plans import model_q
+    from snipflow.streaming import score_stream
+    d = str(tmp_path)
+    spark.read.parquet(f"{SF001}/documents.parquet").repartition(4, "doc_id").write.parquet(f"{d}/documents.parquet")
+    fit, start, seen = model.fit, score_stream.start, []
+    monkeypatch.setattr(model, "fit", lambda rows, **kw: seen.append(rows) or fit(rows, **kw))
+    monkeypatch.setattr(score_stream, "start", lambda *a, **kw: seen.append(kw["max_files"]) or start(*a, **kw))
+    r = model_q.stream_scoring(spark, d).first()
+    assert r["n"] == r["n_same"] == 200 and r["n_empty"] > 0 and r["n_parse_error"] > 0
+    rows, first, second = seen
+    assert first == second == 4                            # one task's file before
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()     # features are not built anew per pass
+
+
+def test_blank_texts(spark):
+    from snipflow.functions.text import is_blank
+    texts = [None, "", " ", "\t\n\x0b\x0c\r", "\x1c\x85\xa0     　", "a", " a ", "\n" * 50 + "]", "​", "\U0001f600", "^", "\x00"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", is_blank(F.col("t")).alias("b"))
+    assert {r["i"]: r["b"] for r in rows.collect()} == {i: t is None or not t.strip() for i, t in enumerate(texts)}
+    assert "regexp_replace" not in rows._jdf.queryExecution().optimizedPlan().toString()
