@@ -54,6 +54,7 @@ PAIRS = 5
 PERCENT = 80
 CHUNK = 256                 # distinct texts of a signature that are counted against as many others at once
 PAIRS_AT_ONCE = 2048        # pairs of texts that are compared at once
+NEAR_AT_ONCE = 1 << 22      # pairs of texts that share a rare token, listed at once
 TOKENS_AT_ONCE = 1 << 15    # tokens of passages that are verified at once, or one range
 _S = mix(np.arange(1, 4 * PAIRS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _S[:2 * PAIRS], _S[2 * PAIRS:] | np.uint64(1)
@@ -631,10 +632,22 @@ def _similar_somewhere(there, low, high, percent: int) -> np.ndarray:
     return (good & (starts >= low[:, None]) & (starts < high[:, None])).any(axis=1)
 
 
+def _rarest(row, token, rank, need):
+    """Of each row's different tokens those of lowest rank, so many that two rows with
+    ``need`` tokens in common have one of them in common."""
+    order = np.lexsort((rank[token], row))
+    row, token = row[order], token[order]
+    count = np.bincount(row, minlength=len(need))
+    use = np.arange(len(row)) - (np.cumsum(count) - count)[row] <= (count - need)[row]
+    return row[use], token[use]
+
+
 def _maybe_similar(parts: list, texts: list, befores: list, only: np.ndarray, percent: int):
     """Pairs of a part (text, first passage, end) and another text that have a similar
     passage at the same place; pairs in which a text repeats a token are told apart by their
-    common tokens first, then compared many at once. Texts of equal ``only`` are not compared. All passages of a signature
+    common tokens first, then compared many at once. Texts of equal ``only`` are not compared. Of many texts only those are counted
+    that share one of a part's rarest tokens: similar passages have ``percent`` of either's tokens in common, so that
+    unrelated texts under a common signature cost what they hold, not their square. All passages of a signature
     hold its root, so a text has fewer than ``2 * TOKENS`` columns when the root has the
     same column in all texts."""
     size = np.array([len(t) for t in texts])
@@ -650,6 +663,20 @@ def _maybe_similar(parts: list, texts: list, befores: list, only: np.ndarray, pe
     begin = TOKENS - 1 - np.array(befores)
     column = np.arange(len(row)) - off[row] + begin[row]
     end = begin + size - TOKENS + 1
+    few = int(least.min())
+
+    def needed(n):
+        return np.maximum(-(-percent * n // 100), -(-percent * (n + few) // (100 + percent)))
+
+    many = len(texts) > CHUNK
+    if many:
+        key = np.unique(key)
+        of, token = key // len(names), key % len(names)
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(np.bincount(token, minlength=len(names)), kind="stable")] = np.arange(len(names))
+        rare_of, rare = _rarest(of, token, rank, needed(least))
+        order = np.argsort(rare, kind="stable")
+        rare_of, rare = rare_of[order], rare[order]
     for i in range(0, len(parts), CHUNK):
         who, p, q = (np.array(v) for v in zip(*parts[i:i + CHUNK]))
         low = np.array([TOKENS if once[k] else _least(texts[k][x:y + TOKENS - 1]) for k, x, y in parts[i:i + CHUNK]])
@@ -661,28 +688,40 @@ def _maybe_similar(parts: list, texts: list, befores: list, only: np.ndarray, pe
         left[part, local] = 1
         mine = np.full(len(names), len(used))
         mine[used] = np.arange(len(used))
-        for j in range(0, len(texts), CHUNK):
-            stop = min(j + CHUNK, len(texts))
-            span = slice(off[j], off[stop - 1] + size[stop - 1])
-            token = mine[number[span]]
+        near = np.arange(len(texts))
+        if many:
+            k, held = np.nonzero(left)
+            k, held = _rarest(k, used[held], rank, needed(low))
+            from_, to = np.searchsorted(rare, held), np.searchsorted(rare, held, "right")
+            if (to - from_).sum() <= NEAR_AT_ONCE:
+                of, at = _ranges(from_, to - from_)
+                near = np.unique(rare_of[at][only[who[k[of]]] != only[rare_of[at]]])
+        j = 0
+        while j < len(near):                            # whole ranges of CHUNK texts
+            stop = int(np.searchsorted(near, (near[min(j + CHUNK, len(near)) - 1] // CHUNK + 1) * CHUNK))
+            some, j = near[j:stop], stop
+            of, at = _ranges(off[some], size[some])
+            token = mine[number[at]]
             hit = token < len(used)
-            place = np.full((stop - j, len(used) + 1), -1, np.int8)
-            place[row[span][hit] - j, token[hit]] = column[span][hit]
-            need = percent * (low[:, None] + least[None, j:stop])
+            place = np.full((len(some), len(used) + 1), -1, np.int8)
+            place[of[hit], token[hit]] = column[at][hit]
+            need = percent * (low[:, None] + least[None, some])
             a, b = np.nonzero((100 + percent) * (left @ (place >= 0).astype(np.float32).T) >= need)
-            other = only[who[a]] != only[b + j]
+            other = only[who[a]] != only[some[b]]
             a, b = a[other], b[other]
             keep = np.ones(len(a), bool)
-            sure = np.flatnonzero(once[who[a]] & once[b + j])
+            sure = np.flatnonzero(once[who[a]] & once[some[b]])
             x, y = a[sure], b[sure]
             for k in range(0, len(sure), PAIRS_AT_ONCE):
                 m, o = x[k:k + PAIRS_AT_ONCE], y[k:k + PAIRS_AT_ONCE]
                 keep[sure[k:k + PAIRS_AT_ONCE]] = _similar_somewhere(
-                    place[o[:, None], grid[m]], np.maximum(begin[who[m]] + p[m], begin[o + j]),
-                    np.minimum(begin[who[m]] + q[m], end[o + j]), percent)
-            open_ = np.flatnonzero(~(once[who[a]] & once[b + j]))
-            keep[open_] = _similar_in_part(number, off, size, np.array(befores), who[a[open_]], p[a[open_]], q[a[open_]], b[open_] + j, percent)
-            yield from zip((a[keep] + i).tolist(), (b[keep] + j).tolist())
+                    place[o[:, None], grid[m]], np.maximum(begin[who[m]] + p[m], begin[some[o]]),
+                    np.minimum(begin[who[m]] + q[m], end[some[o]]), percent)
+            open_ = np.flatnonzero(~(once[who[a]] & once[some[b]]))
+            keep[open_] = _similar_in_part(number, off, size, np.array(befores), who[a[open_]], p[a[open_]], q[a[open_]], some[b[open_]], percent)
+            a, b = a[keep], some[b[keep]]
+            order = np.lexsort((b, a, b // CHUNK))
+            yield from zip((a[order] + i).tolist(), b[order].tolist())
 
 
 def _similar_in_part(tokens, off, size, befores, i, low, high, j, percent: int) -> np.ndarray:

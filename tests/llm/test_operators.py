@@ -546,3 +546,39 @@ def test_pipeline_stages(spark, tmp_path):
         return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
     group = components([five(r["text"]) for r in rows], [r["doc_id"] for r in rows], 80)
     assert kept == set(group.values())
+
+
+def test_many_texts_of_a_signature_are_told_apart_by_rare_tokens(monkeypatch):
+    """Unrelated texts under one signature are not counted against each other; what is
+    found equals the comparison of all pairs."""
+    import numpy as np
+
+    from snipflow.llm import compact_windows as cw
+    r = np.random.default_rng(3)
+    families = [r.integers(1 << 40, 1 << 60, 91, dtype=np.uint64) for _ in range(4)]
+    texts, befores = [], []
+    for k in range(700):
+        t = families[k % 4].copy() if k % 9 == 0 else r.integers(0, 1 << 40, 91, dtype=np.uint64)
+        t[r.random(91) < 0.04 * (k % 3)] = r.integers(0, 1 << 40)     # also a token that repeats
+        t[45] = 7
+        before = int(r.integers(40, 46))
+        texts.append(t[45 - before:45 - before + cw.TOKENS + int(r.integers(0, 5))])
+        befores.append(before)
+    parts, only = [(k, 0, len(t) - cw.TOKENS + 1) for k, t in enumerate(texts)], np.arange(700) // 2
+    counted, full = [], np.full
+    monkeypatch.setattr(np, "full", lambda shape, *a, **kw: (counted.append(shape[0]) if a[:1] == (-1,) else None, full(shape, *a, **kw))[1])
+    got = list(cw._maybe_similar(parts, texts, befores, only, 80))
+    monkeypatch.undo()
+    assert sum(counted) < 700                              # texts held against 3 chunks of parts; 2,100 before
+    want = []
+    for i in range(700):
+        for j in range(700):
+            first = max(-befores[i], -befores[j])
+            a, b = first + befores[i], first + befores[j]
+            n = min(len(texts[i]) - a, len(texts[j]) - b)
+            if only[i] != only[j] and n >= cw.TOKENS and i % 9 == j % 9 == 0 and (
+                    cw.similar_passages(texts[i][a:a + n], texts[j][b:b + n], 80).any()):
+                want.append((i, j))
+    assert len(want) > 100 and sorted(got) == want
+    monkeypatch.setattr(cw, "NEAR_AT_ONCE", -1)            # all texts
+    assert list(cw._maybe_similar(parts, texts, befores, only, 80)) == got
